@@ -1,0 +1,19 @@
+import os, sys, time
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from cadenza.session import local_session
+from cadenza.plans import features as f
+from cadenza.operators import sentiment as se
+from cadenza.functions import text as tx
+from cadenza.sources.tables import songs
+from pyspark.sql import functions as F
+spark = local_session("8")
+sf = sys.argv[1]
+def t(label, df):
+    s = time.time(); df.write.format("noop").mode("overwrite").save(); print(f"{label}: {time.time()-s:.1f}s", flush=True)
+lex = f.materialise(f.test_lexicon(spark, sf), f"/tmp/t/lex{time.time()}")
+t("songs", songs(spark, sf))
+s = songs(spark, sf)
+t("terms", s.select("song_id", tx.term_counts(tx.similarity_tokens(F.col("lyrics")))))
+t("words", s.select("song_id", se.sentiment_words(F.col("lyrics"))))
+t("mood", se.lexicon_sentiment(s, "song_id", "lyrics", lex))
+t("tone", se.lexicon_polarity(s.select("song_id", tx.words(F.col("lyrics")).alias("tokens")), "song_id", "tokens", lex))
