@@ -269,13 +269,11 @@ def b19(spark, sf):
 
 @query(
     "b20_check_requests",
-    r"""SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?://(www\.|m\.)?th') THEN 'bad url' WHEN length(substr(html, 1, (page_id % 3)::INTEGER)) < 2 THEN 'text too short'
-    WHEN NOT page_id % 150 BETWEEN 1 AND 100 THEN 'limit out of range' END AS refused FROM pages""",
+    r"""SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?://(www\.|m\.)?th') THEN 'bad url' WHEN length(regexp_extract(url, '[#=]([a-z0-9]+)$', 1)) < 2 THEN 'text too short'
+    WHEN NOT length(html) // 100 BETWEEN 1 AND 100 THEN 'limit out of range' END AS refused FROM pages""",
 )
 def b20(spark, sf):
     asked = table(spark, sf, "pages").select(
-        "page_id", "url", F.expr("substring(html, 1, cast(page_id % 3 as int))").alias("text"), (F.col("page_id") % 150).alias("limit")
+        "page_id", "url", F.regexp_extract("url", "[#=]([a-z0-9]+)$", 1).alias("text"), F.floor(F.length("html") / 100).alias("limit")
     )
     return search.check_requests(asked, "url", "text", "limit", r"^https?://(www\.|m\.)?th").select("page_id", "refused")
-
-
