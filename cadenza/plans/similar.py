@@ -86,8 +86,10 @@ def similar_by_raw_cosine(
 
 def raw_cosine_pairs(catalog: DataFrame, seeds: DataFrame, exclude_self: bool = True) -> DataFrame:
     pairs = sc.against_seeds(catalog, seeds, exclude_self)
-    dot = sum((F.col(f"seed.{n}") * F.col(n) for n in AUDIO_KEYS), F.lit(0.0))
-    norms = [F.sqrt(sum((F.col(f"{p}{n}") * F.col(f"{p}{n}") for n in AUDIO_KEYS), F.lit(0.0))) for p in ("seed.", "")]
+    # Whole-number features would overflow their own type when multiplied.
+    mine, other = ([F.col(f"{p}{n}").cast("double") for n in AUDIO_KEYS] for p in ("", "seed."))
+    dot = sum((a * b for a, b in zip(other, mine)), F.lit(0.0))
+    norms = [F.sqrt(sum((a * a for a in side), F.lit(0.0))) for side in (other, mine)]
     return pairs.select(
         F.col("seed.seed_id").alias("seed_id"), "song_id", "track_name", "track_artist",
         sc.score_round(arrays.cosine_from(dot, *norms)).alias("combined"),

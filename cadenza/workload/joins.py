@@ -246,8 +246,8 @@ def d31(spark, sf):
 @query(
     "d31_lyrics_duplicates",
     f"""WITH {sp.SONGS}, {RAW_TERMS_SQL}, {INCOMING_SQL}, seeds AS (SELECT incoming_id AS seed_id FROM incoming), {sp.lyric_legs('seeds')}
-    SELECT i.incoming_id, s.song_id, round(lyrics, 6) AS lyrics_similarity FROM incoming i JOIN songs s ON contains(lower(s.track_artist), lower(i.track_artist))
-    JOIN lyr ON lyr.seed_id = i.incoming_id AND lyr.song_id = s.song_id WHERE round(lyrics, 6) >= 0.8""",
+    SELECT i.incoming_id, s.song_id, round(lyr.lyrics, 6) AS lyrics_similarity FROM incoming i JOIN songs s ON contains(lower(s.track_artist), lower(i.track_artist))
+    JOIN lyr ON lyr.seed_id = i.incoming_id AND lyr.song_id = s.song_id WHERE round(lyr.lyrics, 6) >= 0.8""",
 )
 def d31_lyrics(spark, sf):
     catalog, incoming = duplicate_inputs(spark, sf)
