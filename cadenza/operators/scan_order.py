@@ -1,0 +1,99 @@
+"""Order-dependent scans: batches in id order, early stop, rising thresholds."""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from cadenza.operators import scoring as sc
+
+# Rows per batch, threshold growth per batch and its cap.
+BATCH_ROWS = 500
+GROWTH = 1.05
+CAP = 1.2
+ID_RANGE = 100_000
+
+
+def ranked_by_id(df: DataFrame, id_col: str, rank: str = "pos", width: int = ID_RANGE) -> DataFrame:
+    """1-based position in id order of unique whole-number ids, without one global sort.
+
+    Counts per id range give every range its offset; inside a range, which holds at most
+    ``width`` ids, rows are numbered directly.
+    """
+    ranged = df.withColumn("_range", F.floor(F.col(id_col) / width))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(id_col))
+    return ranged.withColumn("_inside", inside).join(offsets, "_range").withColumn(
+        rank, F.col("_offset") + F.col("_inside")
+    ).drop("_range", "_inside", "_offset")
+
+
+def batch_number(pos: Column, seed_pos: Column, batch_rows: int = BATCH_ROWS) -> Column:
+    """Batch of a song once the seed itself is taken out of the order."""
+    shifted = pos - F.when(pos > seed_pos, 1).otherwise(0)
+    return F.floor((shifted - 1) / batch_rows)
+
+
+def target_candidates(k: int) -> int:
+    return min(3 * k, 100)
+
+
+def stop_early(scored: DataFrame, k: int) -> DataFrame:
+    """Rows of the batches begun before enough candidates were found (constant floor).
+
+    The batch that reaches the target is the one holding the target-th candidate, so the
+    first few candidates of a seed decide it.
+    """
+    target = target_candidates(k)
+    first = sc.top_k(scored, ["seed_id"], [F.asc("pos")], target, "nth")
+    last = first.groupBy("seed_id").agg(
+        F.max("batch").alias("_last"), F.count(F.lit(1)).alias("_n")
+    ).select("seed_id", F.when(F.col("_n") >= target, F.col("_last")).alias("_last"))
+    joined = scored.join(F.broadcast(last), "seed_id")
+    return joined.where(F.col("_last").isNull() | (F.col("batch") <= F.col("_last"))).drop("_last")
+
+
+def rising_thresholds(scored: DataFrame, k: int) -> DataFrame:
+    """Early stop with thresholds that rise 5 % per batch once 2k candidates are found.
+
+    The rule is a recurrence over a seed's batches. It needs few rows: everything up to
+    the batch of the 2k-th candidate, the batches in which thresholds still rise, and
+    after that only rows above the capped threshold, of which the first few end the scan.
+    """
+    target, enough = target_candidates(k), 2 * k
+    rises = math.ceil(math.log(CAP / sc.START_FACTOR) / math.log(GROWTH)) + 1
+    first = sc.top_k(scored, ["seed_id"], [F.asc("pos")], enough, "nth")
+    turn = first.groupBy("seed_id").agg(F.max("batch").alias("_b"), F.count(F.lit(1)).alias("_n")).select(
+        "seed_id", F.when(F.col("_n") >= enough, F.col("_b") + rises).alias("_until")
+    )
+    marked = scored.join(F.broadcast(turn), "seed_id")
+    early = marked.where(F.col("_until").isNull() | (F.col("batch") <= F.col("_until")))
+    always = (F.col("audio") >= sc.MIN_AUDIO * CAP) & (F.col("combined") >= sc.MIN_COMBINED * CAP)
+    late = sc.top_k(marked.where((F.col("batch") > F.col("_until")) & always), ["seed_id"], [F.asc("pos")], target, "_nth")
+    needed = early.unionByName(late.drop("_nth")).select("seed_id", "song_id", "batch", "audio", "combined")
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        audio, combined = sc.MIN_AUDIO * sc.START_FACTOR, sc.MIN_COMBINED * sc.START_FACTOR
+        found, previous, kept = 0, -1, []
+        for batch, rows in pdf.sort_values("batch", kind="stable").groupby("batch", sort=True):
+            if found >= target:
+                break
+            if found >= enough:
+                for _ in range(min(int(batch) - previous, rises + 1)):
+                    audio = min(sc.MIN_AUDIO * CAP, audio * GROWTH)
+                    combined = min(sc.MIN_COMBINED * CAP, combined * GROWTH)
+            previous = int(batch)
+            good = rows[(rows.audio >= audio) & (rows.combined >= combined)]
+            found += len(good)
+            kept.append(good)
+        return pd.concat(kept) if kept else pdf.head(0)
+
+    return needed.groupBy("seed_id").applyInPandas(scan, needed.schema)
+
+

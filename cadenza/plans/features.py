@@ -50,6 +50,17 @@ def build_features(catalog: DataFrame, lexicon: DataFrame) -> DataFrame:
     return joined.withColumn("terms_sq", total)
 
 
+def feature_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon as a table: it is read once per lag of the negation rule."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#lexicon")
+    if key not in _BUILT:
+        _BUILT[key] = work_path(spark, "lexicon")
+    path = _BUILT[key]
+    if path_exists(spark, f"{path}/_SUCCESS"):
+        return spark.read.parquet(path)
+    return materialise(test_lexicon(spark, sf_dir), path)
+
+
 def song_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table of the given data; built on first use in an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -58,9 +69,7 @@ def song_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _BUILT[key]
     if path_exists(spark, f"{path}/_SUCCESS"):
         return spark.read.parquet(path)
-    # The lexicon is read once per lag of the negation rule, so it is written first.
-    lexicon = materialise(test_lexicon(spark, sf_dir), f"{path}-lexicon")
-    return materialise(build_features(songs(spark, sf_dir), lexicon), path)
+    return materialise(build_features(songs(spark, sf_dir), feature_lexicon(spark, sf_dir)), path)
 
 
 def genre_leads(features: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from cadenza.functions import arrays, audio
 from cadenza.operators import scoring as sc
 from cadenza.sources.tables import AUDIO_KEYS, audio_vector
 
+LEGS = ["audio", "lyrics", "sentiment"]
 MOOD = ["neg", "neu", "pos", "compound"]
 SEED_COLUMNS = [*AUDIO_KEYS, *MOOD, "terms", "terms_sq"]
 
@@ -36,22 +37,33 @@ def score_pairs(
     mood = arrays.cosine(sentiment_vector("seed."), sentiment_vector())
     scored = pairs.select(
         F.col("seed.seed_id").alias("seed_id"), "song_id", "track_name", "track_artist",
-        sc.score_round(sc.audio_score(feature_weights)).alias("audio"),
-        (sc.score_round(mood) if weights["sentiment"] > 0 else F.lit(0.0)).alias("sentiment"),
+        sc.audio_score(feature_weights).alias("audio_raw"),
+        (mood if weights["sentiment"] > 0 else F.lit(0.0)).alias("sentiment_raw"),
     )
     if weights["audio"] > 0:
-        scored = scored.where(F.col("audio") >= audio_floor)
+        scored = scored.where(sc.score_round(F.col("audio_raw")) >= audio_floor)
     if weights["sentiment"] > 0.2:
-        scored = scored.where(F.col("sentiment") >= sc.MIN_SENTIMENT)
+        scored = scored.where(sc.score_round(F.col("sentiment_raw")) >= sc.MIN_SENTIMENT)
     if weights["lyrics"] > 0:
-        scored = scored.join(sc.lyrics_scores(catalog, seeds), ["seed_id", "song_id"], "left")
-        scored = scored.withColumn("lyrics", sc.score_round(F.coalesce("lyrics", F.lit(0.0))))
+        lyrics = sc.lyrics_scores(catalog, seeds).withColumnRenamed("lyrics", "lyrics_raw")
+        scored = scored.join(lyrics, ["seed_id", "song_id"], "left").na.fill(0.0, ["lyrics_raw"])
         if weights["lyrics"] > 0.3:
-            scored = scored.where(F.col("lyrics") >= sc.MIN_LYRICS)
+            scored = scored.where(sc.score_round(F.col("lyrics_raw")) >= sc.MIN_LYRICS)
     else:
-        scored = scored.withColumn("lyrics", F.lit(0.0))
-    combined = sum((F.col(leg) * weights[leg] for leg in ("audio", "lyrics", "sentiment")), F.lit(0.0))
-    return scored.withColumn("combined", sc.score_round(combined)).where(F.col("combined") >= combined_floor)
+        scored = scored.withColumn("lyrics_raw", F.lit(0.0))
+    return combine_legs(scored, weights).where(F.col("combined") >= combined_floor)
+
+
+def combine_legs(scored: DataFrame, weights: dict[str, float], override: tuple[Column, Column] | None = None) -> DataFrame:
+    """Weighted sum of the unrounded legs, then every score cut to six digits.
+
+    ``override`` is (condition, score) for rows that are combined differently.
+    """
+    combined = sum((F.col(f"{leg}_raw") * weights[leg] for leg in LEGS), F.lit(0.0))
+    if override is not None:
+        combined = F.when(override[0], override[1]).otherwise(combined)
+    done = {leg: sc.score_round(F.col(f"{leg}_raw")) for leg in LEGS}
+    return scored.withColumns({**done, "combined": sc.score_round(combined)}).drop(*[f"{leg}_raw" for leg in LEGS])
 
 
 def result_rows(ranked: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -212,12 +212,13 @@ def scored(
     """CTEs lyr and scored for the genre leads against the catalog."""
     wa, wl, ws = weights
     return f"""{lyric_legs()},
-legs AS (
-  SELECT q.song_id AS seed_id, c.song_id, c.track_name, c.track_artist, round({audio_sim(feature_weights)}, 6) AS audio,
-    round(coalesce(lyr.lyrics, 0), 6) AS lyrics, round({mood_cos()}, 6) AS sentiment
+raw AS (
+  SELECT q.song_id AS seed_id, c.song_id, c.track_name, c.track_artist, {audio_sim(feature_weights)} AS ra,
+    coalesce(lyr.lyrics, 0) AS rl, {mood_cos()} AS rs
   FROM leads l JOIN features q ON q.song_id = l.seed_id JOIN features c ON c.song_id <> q.song_id
   LEFT JOIN lyr ON lyr.seed_id = q.song_id AND lyr.song_id = c.song_id),
-scored AS (SELECT * FROM (SELECT *, round({wa}::DOUBLE * audio + {wl}::DOUBLE * lyrics + {ws}::DOUBLE * sentiment, 6) AS combined FROM legs)
+scored AS (SELECT * FROM (SELECT seed_id, song_id, track_name, track_artist, round(ra, 6) AS audio, round(rl, 6) AS lyrics, round(rs, 6) AS sentiment,
+    round({wa}::DOUBLE * ra + {wl}::DOUBLE * rl + {ws}::DOUBLE * rs, 6) AS combined FROM raw)
   WHERE audio >= {audio_floor}::DOUBLE AND combined >= {combined_floor}::DOUBLE)"""
 
 
