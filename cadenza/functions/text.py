@@ -207,3 +207,26 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     """Jaccard overlap of two trigram sets; 0 where both are empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+
+
+def section_markers(text: Column) -> Column:
+    """ARRAY<STRUCT<marker, chorus>> of the bracketed section names, in order."""
+    names = F.regexp_extract_all(text, F.lit(r"\[([^\]\n]*)\]"), F.lit(1))
+    return F.transform(
+        names, lambda n: F.struct(n.alias("marker"), F.contains(F.lower(n), F.lit("chorus")).alias("chorus"))
+    )
+
+
+def stanzas(text: Column) -> Column:
+    """Blocks of lines separated by blank lines, empty ones dropped."""
+    return F.filter(F.split(text, r"\n\s*\n"), lambda s: strip(s) != "")
+
+
+def rename_keys(record: Column, names: dict[str, str]) -> Column:
+    """Map with some keys renamed."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.transform_keys(record, lambda k, v: F.coalesce(F.try_element_at(table, k), k))
+
+
+# Short sentiment keys and their long names.
+LONG_SENTIMENT_KEYS = {"pos": "positive", "neg": "negative", "neu": "neutral"}
