@@ -1 +1,55 @@
+"""Page extraction."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cadenza.operators import pages as pg
+from cadenza.sources.tables import table
+from cadenza.workload.registry import query
+
+
+@query("j1_container_text")
+def j1(spark, sf):
+    return pg.page_texts(table(spark, sf, "pages"), "page_id", "html", [("article", None, None, False)], None)
+
+
+@query(
+    "j2_outgoing_links",
+    """WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, list_filter(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1), lambda x: contains(x, '/') AND contains(x, 'e')) AS links FROM pages)
+    SELECT page_id, list_transform(links[1:3], lambda x: CASE WHEN starts_with(x, '/') THEN host || x ELSE x END) AS links FROM l""",
+)
+def j2(spark, sf):
+    return table(spark, sf, "pages").select("page_id", pg.matching_links(F.col("html"), F.col("url"), ["/", "e"]).alias("links"))
+
+
+TITLE_SQL = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+
+
+@query(
+    "j3_embedded_json",
+    f"""SELECT page_id, CASE WHEN contains(url, '#') THEN 'Unknown' ELSE {TITLE_SQL} END AS title, CASE WHEN contains(url, '#') THEN 'Unknown' ELSE url END AS uploader,
+    CASE WHEN contains(url, '#') THEN 0 ELSE page_id * 7 END::BIGINT AS view_count, 0::BIGINT AS duration, substr(md5(url), 1, 11) AS video_id, {TITLE_SQL} AS found_title FROM pages""",
+)
+def j3(spark, sf):
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    details = F.struct(title.alias("title"), F.col("url").alias("author"), (F.col("page_id") * 7).cast("string").alias("viewCount"))
+    player = F.concat(
+        F.lit("<script>var ytInitialPlayerResponse = "), F.to_json(F.struct(details.alias("videoDetails"))), F.lit(";</script>")
+    )
+    runs = lambda c: F.struct(F.array(F.struct(c.alias("text"))).alias("runs"))
+    video = F.struct(F.substring(F.md5("url"), 1, 11).alias("videoId"), runs(title).alias("title"), runs(F.col("url")).alias("ownerText"))
+    nested = F.array(F.struct(video.alias("videoRenderer")))
+    for name in ("contents", "itemSectionRenderer"):
+        nested = F.struct(nested.alias(name))
+    nested = F.array(nested)
+    for name in ("contents", "sectionListRenderer", "primaryContents", "twoColumnSearchResultsRenderer", "contents"):
+        nested = F.struct(nested.alias(name))
+    search = F.concat(F.lit("<script>var ytInitialData = "), F.to_json(nested), F.lit(";</script>"))
+    broken = F.when(F.contains("url", F.lit("#")), F.lit("<script>var ytInitialPlayerResponse = {oops;</script>")).otherwise(player)
+    rows = table(spark, sf, "pages").select("page_id", F.concat("html", broken, search).alias("html"))
+    fields, found = pg.player_fields(F.col("html")), pg.first_search_result(F.col("html"))
+    return rows.select(
+        "page_id", *[fields[n].alias(n) for n in ("title", "uploader", "view_count", "duration")],
+        found["video_id"].alias("video_id"), found["title"].alias("found_title"),
+    )
