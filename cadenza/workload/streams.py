@@ -1 +1,145 @@
+"""Quotas, time-to-live views, ingest, retention and progressive results."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cadenza.operators import scoring as sc
+from cadenza.plans.features import genre_leads
+from cadenza.session import work_path
+from cadenza.sources import catalog as cat
+from cadenza.sources.tables import AUDIO_KEYS, songs, table
+from cadenza.streaming import quota, runs, views
+from cadenza.workload import sqlparts as sp
+from cadenza.workload.registry import query
+from cadenza.workload.similarity import audio_sql
+
+DAY = 86_400
+AS_OF = "2024-01-31 00:00:00"
+
+
+def as_of():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
+@query(
+    "t1_fixed_window_quota",
+    f"""WITH n AS (SELECT event_id, event_type, epoch_us(ts) // ({DAY}::BIGINT * 1000000) AS w, row_number() OVER (PARTITION BY event_type, epoch_us(ts) // ({DAY}::BIGINT * 1000000) ORDER BY ts, event_id) AS nth FROM events)
+    SELECT event_id, event_type, nth <= 60 AS allowed, greatest(0, 60 - nth)::INTEGER AS remaining, ((w + 1) * {DAY})::BIGINT AS reset FROM n""",
+)
+def t1(spark, sf):
+    return quota.fixed_window_quota(table(spark, sf, "events"), "event_type", "ts", "event_id", 60, DAY)
+
+
+def event_stream(spark, sf):
+    return runs.read_files(spark, sf, table(spark, sf, "events").schema, "events.parquet")
+
+
+@query("t1_window_counts_stream")
+def t1_stream(spark, sf):
+    # Event time needs a zoned timestamp for the watermark.
+    stream = event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return runs.run_to_table(quota.window_counts(stream, "event_type", "ts", DAY, limit=60), "window-counts")
+
+
+LIMITS = {"click": 2, "view": 3, "purchase": 1, "error": 4}
+
+
+@query("t2_sliding_log_stream")
+def t2(spark, sf):
+    requests = event_stream(spark, sf).select(
+        F.col("event_type").alias("operation"), F.col("event_id").alias("request_id"), quota.epoch_micros("ts").alias("micros")
+    )
+    return runs.run_to_table(quota.sliding_log_quota(requests, LIMITS), "sliding-log")
+
+
+@query(
+    "t3_ttl_view",
+    f"""WITH l AS (SELECT user_id, arg_max(ts, (ts, event_id)) AS ts, arg_max(CASE WHEN event_type = 'error' THEN 'invalid' ELSE 'valid' END, (ts, event_id)) AS status,
+      arg_max(CASE WHEN event_type = 'signup' THEN NULL ELSE event_id END, (ts, event_id)) AS eid FROM events GROUP BY user_id)
+    SELECT x.user_id, e.ts, e.props AS url, CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS k FROM
+      (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) x JOIN events e USING (event_id)
+    WHERE r = 1 AND x.event_type NOT IN ('error', 'signup') AND x.ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY""",
+)
+def t3(spark, sf):
+    log = cache_log(spark, sf)
+    latest = views.latest_entries(log, "user_id", "ts", "event_id", ["url", "status"])
+    valid = views.valid_entries(latest, "ts", "status", "url", as_of())
+    return valid.select("user_id", "ts", "url", cat.parse_features(F.col("url"), "k BIGINT")["k"].alias("k"))
+
+
+def cache_log(spark, sf, events=None):
+    """Events as cache writes: errors are failures, sign-ups invalidate."""
+    rows = table(spark, sf, "events") if events is None else events
+    return rows.select(
+        "user_id", "ts", "event_id",
+        F.when(F.col("event_type") != "signup", F.col("props")).alias("url"),
+        F.when(F.col("event_type") == "error", "invalid").otherwise("valid").alias("status"),
+    )
+
+
+@query("t3_ttl_view_stream")
+def t3_stream(spark, sf):
+    log = cache_log(spark, sf, event_stream(spark, sf)).select(
+        F.col("user_id").alias("entry_key"), quota.epoch_micros("ts").alias("micros"), "url", "status"
+    )
+    updates = views.expiring_view(log)
+    path = work_path(spark, "ttl-view")
+
+    def publish(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/update={number}")
+
+    before = spark.conf.get(runs.PROVIDER, None)
+    spark.conf.set(runs.PROVIDER, runs.ROCKSDB)
+    try:
+        updates.writeStream.outputMode("update").foreachBatch(publish).option(
+            "checkpointLocation", f"{path}-checkpoint"
+        ).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(runs.PROVIDER) if before is None else spark.conf.set(runs.PROVIDER, before)
+    published = spark.read.schema("entry_key BIGINT, micros BIGINT, url STRING, update INT").parquet(path)
+    return published.groupBy("entry_key").agg(F.max_by(F.struct("micros", "url"), F.col("update")).alias("e")).select("entry_key", "e.*")
+
+
+@query(
+    "t4_catalog_ingest_stream",
+    r"""SELECT doc_id, text, lang, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text, source ORDER BY doc_id) AS n FROM
+    (SELECT doc_id, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+\z', '', 'g') AS text, lang, source, n_chars FROM documents)) WHERE n = 1""",
+)
+def t4(spark, sf):
+    schema = table(spark, sf, "documents").schema
+    target = work_path(spark, "ingested")
+    views.ingest(runs.read_files(spark, sf, schema, "documents.parquet"), target, "doc_id", ["text", "lang", "source"], ["text", "source"])
+    return spark.read.option("basePath", target).parquet(target).drop("batch")
+
+
+@query(
+    "t5_retention_plan",
+    """WITH m AS (SELECT max(o_orderdate) AS now FROM orders), s AS (SELECT c_custkey AS id, c_mktsegment = 'BUILDING' AS orig, max(o_orderdate) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
+    SELECT 'song' AS kind, id, CASE WHEN NOT orig AND (last IS NULL OR last <= now - INTERVAL 30 DAY) THEN 'drop' ELSE 'keep' END AS action FROM s, m
+    UNION ALL SELECT 'recommendation', o_orderkey, CASE WHEN o_orderdate < now - INTERVAL 7 DAY THEN 'drop' ELSE 'keep' END FROM orders, m""",
+)
+def t5(spark, sf):
+    orders = table(spark, sf, "orders")
+    accessed = orders.groupBy(F.col("o_custkey").alias("song_id")).agg(F.max("o_orderdate").alias("last_accessed"))
+    catalog = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("song_id"), (F.col("c_mktsegment") == "BUILDING").alias("is_original")
+    ).join(accessed, "song_id", "left")
+    recs = orders.select(F.col("o_orderkey").alias("rec_id"), F.col("o_custkey").alias("song_id"), F.col("o_orderdate").alias("created_at"))
+    latest = orders.agg(F.max("o_orderdate").alias("m")).scalar()
+    return views.retention_plan(catalog, recs, latest, 512.0)
+
+
+@query("t6_progressive_top_k_stream", audio_sql(sp.STANDARD))
+def t6(spark, sf):
+    catalog = songs(spark, sf).select("song_id", "track_name", "playlist_genre", *AUDIO_KEYS)
+    seeds = sc.as_seeds(genre_leads(catalog), AUDIO_KEYS)
+    path = work_path(spark, "arriving")
+    catalog.repartition(4, "song_id").write.parquet(path)
+    stream = runs.read_files(spark, path, catalog.schema, files_per_trigger=1)
+
+    def score(batch):
+        pairs = sc.against_seeds(batch, seeds)
+        return pairs.select("seed.seed_id", "song_id", sc.score_round(sc.audio_score()).alias("audio"))
+
+    return views.progressive_top_k(stream, score, ["seed_id"], [F.desc("audio"), F.asc("song_id")], 5)
