@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,17 @@ def read_files(spark: SparkSession, path: str, schema, glob: str | None = None,
     return reader.parquet(path)
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Custom state needs the RocksDB store; the session's own choice is put back after."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
 def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Process all available input into a new Parquet table and read it back.
 
@@ -28,24 +40,22 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     """
     spark = stream.sparkSession
     path = work_path(spark, label)
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
+    with rocksdb(spark):
         running = (
             stream.writeStream.format("parquet").outputMode(mode)
             .option("checkpointLocation", f"{path}-checkpoint").option("path", path)
             .trigger(availableNow=True).start()
         )
         running.awaitTermination()
-    finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None]) -> None:
+def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process all available input with a per-batch function, which must be repeatable."""
     path = work_path(stream.sparkSession, f"{label}-checkpoint")
-    running = (
-        stream.writeStream.foreachBatch(handle).option("checkpointLocation", path).trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
+    with rocksdb(stream.sparkSession):
+        running = (
+            stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", path)
+            .trigger(availableNow=True).start()
+        )
+        running.awaitTermination()

@@ -37,39 +37,51 @@ def valid_entries(latest: DataFrame, ts: str, status: str, url: str, as_of: Colu
 
 
 class ExpiringValue(StatefulProcessor):
-    """Per key the newest valid entry; an invalid one clears it, state expires by itself."""
+    """Per key the newest valid entry; an invalid one clears it, a timer ends its lifetime."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("entry", "at BIGINT, url STRING", ttlDurationMs=self.ttl_ms)
+        self.handle = handle
+        self.entry = handle.getValueState("entry", "at BIGINT, url STRING, live BOOLEAN")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at, url, status = -1, None, None
-        if self.value.exists():
-            at, url = self.value.get()
-            status = "valid"
+        at, url, live = self.entry.get() if self.entry.exists() else (-1, None, False)
         for chunk in rows:
             row = chunk.loc[chunk["micros"].idxmax()]
             if row["micros"] > at:
-                at, url, status = int(row["micros"]), row["url"], row["status"]
-        if status == "valid" and url is not None:
-            self.value.update((at, url))
-        else:
-            self.value.clear()
-            url = None
-        yield pd.DataFrame({"entry_key": [key[0]], "micros": [at], "url": pd.Series([url], dtype="object")})
+                at, live = int(row["micros"]), row["status"] == "valid" and row["url"] is not None
+                url = row["url"] if live else None
+        self.entry.update((at, url, live))
+        if live:
+            self.handle.registerTimer(at // 1000 + self.ttl_ms)
+        yield self._row(key, at, url)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.entry.exists():
+            at, _, live = self.entry.get()
+            # A newer entry has its own, later timer.
+            if live and at // 1000 + self.ttl_ms <= expiredTimerInfo.getExpiryTimeInMs():
+                self.entry.clear()
+                yield self._row(key, at, None)
+
+    @staticmethod
+    def _row(key, at, url) -> pd.DataFrame:
+        return pd.DataFrame({"entry_key": [key[0]], "micros": [at], "url": pd.Series([url], dtype="object")})
 
     def close(self) -> None:
         pass
 
 
-def expiring_view(log: DataFrame, days: int = URL_DAYS) -> DataFrame:
-    """Streaming twin of the two functions above; ``log`` has entry_key, micros, url, status."""
-    return log.groupBy("entry_key").transformWithStateInPandas(
+def expiring_view(log: DataFrame, days: int = URL_DAYS, late: str = "1 hour") -> DataFrame:
+    """Streaming twin of the two functions above: one row per change of a key.
+
+    ``log`` has entry_key, ts (zoned), micros, url, status. Rows later than ``late`` are dropped.
+    """
+    return log.withWatermark("ts", late).groupBy("entry_key").transformWithStateInPandas(
         statefulProcessor=ExpiringValue(days * 86_400_000),
-        outputStructType="entry_key BIGINT, micros BIGINT, url STRING", outputMode="Update", timeMode="ProcessingTime",
+        outputStructType="entry_key BIGINT, micros BIGINT, url STRING", outputMode="Update", timeMode="EventTime",
     )
 
 

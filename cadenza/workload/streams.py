@@ -81,7 +81,7 @@ def cache_log(spark, sf, events=None):
 @query("t3_ttl_view_stream")
 def t3_stream(spark, sf):
     log = cache_log(spark, sf, event_stream(spark, sf)).select(
-        F.col("user_id").alias("entry_key"), quota.epoch_micros("ts").alias("micros"), "url", "status"
+        F.col("user_id").alias("entry_key"), F.col("ts").cast("timestamp").alias("ts"), quota.epoch_micros("ts").alias("micros"), "url", "status"
     )
     updates = views.expiring_view(log)
     path = work_path(spark, "ttl-view")
@@ -89,16 +89,10 @@ def t3_stream(spark, sf):
     def publish(batch, number):
         batch.write.mode("overwrite").parquet(f"{path}/update={number}")
 
-    before = spark.conf.get(runs.PROVIDER, None)
-    spark.conf.set(runs.PROVIDER, runs.ROCKSDB)
-    try:
-        updates.writeStream.outputMode("update").foreachBatch(publish).option(
-            "checkpointLocation", f"{path}-checkpoint"
-        ).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.unset(runs.PROVIDER) if before is None else spark.conf.set(runs.PROVIDER, before)
+    runs.run_batches(updates, "ttl-view", publish, mode="update")
     published = spark.read.schema("entry_key BIGINT, micros BIGINT, url STRING, update INT").parquet(path)
-    return published.groupBy("entry_key").agg(F.max_by(F.struct("micros", "url"), F.col("update")).alias("e")).select("entry_key", "e.*")
+    newest = F.struct(F.col("update"), F.col("url").isNull())
+    return published.groupBy("entry_key").agg(F.max_by(F.struct("micros", "url"), newest).alias("e")).select("entry_key", "e.*")
 
 
 @query(
