@@ -122,28 +122,26 @@ def duplicate_candidates(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
     return containment_join(rows, asked, "track_artist", "asked_artist")
 
 
-def incoming_lyrics(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
-    """TF-IDF cosine of raw texts; needs ``terms``/``terms_sq`` on both sides."""
-    asked = incoming.select(F.col("incoming_id").alias("seed_id"), "terms", "terms_sq")
-    return lyrics_scores(catalog, asked).withColumnRenamed("seed_id", "incoming_id")
-
-
-def find_duplicates(catalog: DataFrame, incoming: DataFrame, title_at: float = DUPLICATE_AT, lyrics_at: float = DUPLICATE_AT) -> DataFrame:
+def find_duplicates(
+    catalog: DataFrame, song_terms: DataFrame, incoming: DataFrame, incoming_terms: DataFrame,
+    title_at: float = DUPLICATE_AT, lyrics_at: float = DUPLICATE_AT,
+) -> DataFrame:
     """Catalog songs that may duplicate an incoming one: title ratio or lyrics cosine.
 
-    The ratio of two titles cannot exceed 2 min(len) / (len + len); pairs that this and
-    the lyrics leg both rule out never reach the Python function.
+    The term tables hold the raw texts' counts, the incoming one keyed by seed_id. The
+    ratio of two titles cannot exceed 2 min(len) / (len + len); pairs that this and the
+    lyrics leg both rule out never reach the Python function.
     """
-    pairs = duplicate_candidates(catalog, incoming)
-    scored = pairs.join(incoming_lyrics(catalog, incoming), ["incoming_id", "song_id"], "left")
-    texts = incoming.select("incoming_id", (F.size("terms") > 0).alias("asked_text"))
-    own = catalog.select("song_id", (F.size("terms") > 0).alias("own_text"))
+    lyrics = lyrics_scores(song_terms, incoming_terms).withColumnRenamed("seed_id", "incoming_id")
+    scored = duplicate_candidates(catalog, incoming).join(lyrics, ["incoming_id", "song_id"], "left")
+    texts = incoming_terms.select(F.col("seed_id").alias("incoming_id"), (F.col("terms_sq") > 0).alias("asked_text"))
+    own = song_terms.select("song_id", (F.col("terms_sq") > 0).alias("own_text"))
     scored = scored.join(sized_broadcast(texts), "incoming_id").join(own, "song_id")
     # A text without words has no cosine at all; two texts without a shared word have 0.
-    lyrics = F.when(F.col("asked_text") & F.col("own_text"), F.coalesce("lyrics", F.lit(0.0)))
+    known = F.when(F.col("asked_text") & F.col("own_text"), F.coalesce("lyrics", F.lit(0.0)))
     la, lb = F.length("asked_title"), F.length("norm_title")
     bound = F.when(la + lb > 0, 2 * F.least(la, lb) / (la + lb)).otherwise(F.lit(1.0))
-    open_pairs = scored.withColumn("lyrics", lyrics).where((bound >= title_at) | (F.col("lyrics") >= lyrics_at))
+    open_pairs = scored.withColumn("lyrics", known).where((bound >= title_at) | (F.col("lyrics") >= lyrics_at))
     rated = open_pairs.withColumn("title_similarity", matcher_ratio("asked_title", "norm_title"))
     return rated.where((F.col("title_similarity") >= title_at) | (F.col("lyrics") >= lyrics_at)).select(
         "incoming_id", "song_id", "track_name", "track_artist", "title_similarity", F.col("lyrics").alias("lyrics_similarity")

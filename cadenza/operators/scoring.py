@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.functions import audio
+from cadenza.functions import audio, text as tx
 from cadenza.session import sized_broadcast
 
 MAX_SEEDS = 256
@@ -79,20 +79,36 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def lyrics_scores(catalog: DataFrame, seeds: DataFrame) -> DataFrame:
+def term_table(docs: DataFrame, id_col: str, text_col: str, cleaned: bool = True) -> DataFrame:
+    """(id, terms, terms_sq): term counts of each text and the sum of their squares.
+
+    Counted inside each row, so building this table shuffles no text.
+    """
+    terms = tx.term_counts(tx.similarity_tokens(F.col(text_col), cleaned))
+    total = F.aggregate("terms", F.lit(0).cast("bigint"), lambda acc, t: acc + t["tf"] * t["tf"])
+    return docs.select(id_col, terms.alias("terms")).withColumn("terms_sq", total)
+
+
+def terms_of_seeds(song_terms: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The term rows of the seeds of one request batch."""
+    ids = seeds.select(F.col("seed_id").alias("song_id"))
+    return song_terms.join(F.broadcast(ids), "song_id", "left_semi").withColumnRenamed("song_id", "seed_id")
+
+
+def lyrics_scores(song_terms: DataFrame, seed_terms: DataFrame) -> DataFrame:
     """TF-IDF cosine of each (seed, song) pair that shares a term, corpus = the pair.
 
-    Needs ``terms`` (term counts) and ``terms_sq`` (sum of squared counts) on both sides.
-    Only shared terms are joined; the unshared part follows from the totals.
+    Both sides are term tables. Only shared terms are joined; the unshared part follows
+    from the totals.
     """
-    seed_terms = seeds.select(
+    asked = seed_terms.select(
         "seed_id", F.col("terms_sq").alias("seed_sq"), F.explode("terms").alias("t")
     ).select("seed_id", "seed_sq", F.col("t.term").alias("term"), F.col("t.tf").alias("seed_tf"))
-    song_terms = catalog.select("song_id", "terms_sq", F.explode("terms").alias("t")).select(
+    offered = song_terms.select("song_id", "terms_sq", F.explode("terms").alias("t")).select(
         "song_id", "terms_sq", F.col("t.term").alias("term"), F.col("t.tf").alias("tf")
     )
     shared = (
-        song_terms.join(sized_broadcast(seed_terms), "term")
+        offered.join(sized_broadcast(asked), "term")
         .groupBy("seed_id", "song_id")
         .agg(
             F.sum(F.col("tf") * F.col("seed_tf")).alias("dot"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as tx
+from cadenza.operators.scoring import term_table
 from cadenza.operators.sentiment import lexicon_polarity, lexicon_sentiment
 from cadenza.session import path_exists, work_path
 from cadenza.sources.tables import songs, table
@@ -40,36 +43,39 @@ def test_lexicon(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame
 
 
 def build_features(catalog: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Catalog plus sentiment columns and the term counts the lyrics leg needs."""
+    """The catalog's numbers plus sentiment columns; the heavy text columns stay behind."""
     mood = lexicon_sentiment(catalog, "song_id", "lyrics", lexicon)
     tokens = catalog.select("song_id", tx.words(F.col("lyrics")).alias("tokens"))
     tone = lexicon_polarity(tokens, "song_id", "tokens", lexicon)
-    terms = tx.term_counts(tx.similarity_tokens(F.col("lyrics")))
-    joined = catalog.withColumn("terms", terms).join(mood, "song_id").join(tone, "song_id")
-    total = F.aggregate("terms", F.lit(0).cast("bigint"), lambda acc, t: acc + t["tf"] * t["tf"])
-    return joined.withColumn("terms_sq", total)
+    return catalog.drop("lyrics").join(mood, "song_id").join(tone, "song_id")
 
 
-def feature_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexicon as a table: it is read once per lag of the negation rule."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir}#lexicon")
+def _built_once(spark: SparkSession, sf_dir: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table of the given data; built on first use in an application."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#{label}")
     if key not in _BUILT:
-        _BUILT[key] = work_path(spark, "lexicon")
+        _BUILT[key] = work_path(spark, label)
     path = _BUILT[key]
     if path_exists(spark, f"{path}/_SUCCESS"):
         return spark.read.parquet(path)
-    return materialise(test_lexicon(spark, sf_dir), path)
+    return materialise(build(), path)
+
+
+def feature_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon as a table: it is read once per lag of the negation rule."""
+    return _built_once(spark, sf_dir, "lexicon", lambda: test_lexicon(spark, sf_dir))
 
 
 def song_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table of the given data; built on first use in an application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
-        _BUILT[key] = work_path(spark, "features")
-    path = _BUILT[key]
-    if path_exists(spark, f"{path}/_SUCCESS"):
-        return spark.read.parquet(path)
-    return materialise(build_features(songs(spark, sf_dir), feature_lexicon(spark, sf_dir)), path)
+    """The feature table: one narrow row per song."""
+    return _built_once(
+        spark, sf_dir, "features", lambda: build_features(songs(spark, sf_dir), feature_lexicon(spark, sf_dir))
+    )
+
+
+def song_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term table of the lyrics leg, kept apart from the narrow features."""
+    return _built_once(spark, sf_dir, "terms", lambda: term_table(songs(spark, sf_dir), "song_id", "lyrics"))
 
 
 def genre_leads(features: DataFrame) -> DataFrame:

@@ -29,21 +29,23 @@ SWEEP_MIN_SHARE = 0.7
 
 
 def similar_to_external(
-    catalog: DataFrame, queries: DataFrame, k: int = 5, weights: dict[str, float] = sc.DEFAULT_WEIGHTS
+    catalog: DataFrame, song_terms: DataFrame, queries: DataFrame, query_terms: DataFrame, k: int = 5,
+    weights: dict[str, float] = sc.DEFAULT_WEIGHTS,
 ) -> DataFrame:
     """Top ``k`` catalog songs for feature records that are not in the catalog.
 
-    ``queries`` has seed_id, the twelve features, the sentiment columns, terms, terms_sq
-    and ``video``. A query without words is matched by audio alone. Video-derived queries
-    use their own feature weights and a lower audio floor. A catalog song without stored
+    ``queries`` has seed_id, the twelve features, the sentiment columns, ``worded`` and
+    ``video``; ``query_terms`` is their term table. A query without words is matched by
+    audio alone. Video-derived queries use their own feature weights and a lower audio floor. A catalog song without stored
     sentiment scores 0 there.
     """
-    return sc.in_request_batches(queries, lambda batch: _external_batch(catalog, batch, k, weights))
+    return sc.in_request_batches(queries, lambda batch: _external_batch(catalog, song_terms, batch, query_terms, k, weights))
 
 
-def _external_batch(catalog: DataFrame, queries: DataFrame, k: int, weights: dict[str, float]) -> DataFrame:
-    seeds = queries.withColumn("worded", F.size("terms") > 0)
-    pairs = sc.against_seeds(catalog.drop("terms", "terms_sq"), seeds.drop("terms", "terms_sq"), exclude_self=False)
+def _external_batch(
+    catalog: DataFrame, song_terms: DataFrame, queries: DataFrame, query_terms: DataFrame, k: int, weights: dict[str, float]
+) -> DataFrame:
+    pairs = sc.against_seeds(catalog, queries, exclude_self=False)
     video, worded = F.col("seed.video"), F.col("seed.worded")
     audio_leg = F.when(video, sc.audio_score(audio.VIDEO_WEIGHTS)).otherwise(sc.audio_score())
     stored = F.col("compound").isNotNull()
@@ -53,7 +55,8 @@ def _external_batch(catalog: DataFrame, queries: DataFrame, k: int, weights: dic
         "seed.seed_id", "song_id", "track_name", "track_artist", worded.alias("worded"), low.alias("audio_floor"),
         audio_leg.alias("audio_raw"), F.coalesce(mood, F.lit(0.0)).alias("sentiment_raw"),
     ).where(sc.score_round(F.col("audio_raw")) >= sc.START_FACTOR * F.col("audio_floor"))
-    lyrics = sc.lyrics_scores(catalog, seeds).withColumnRenamed("lyrics", "lyrics_raw")
+    asked = query_terms.join(F.broadcast(queries.select("seed_id")), "seed_id", "left_semi")
+    lyrics = sc.lyrics_scores(song_terms, asked).withColumnRenamed("lyrics", "lyrics_raw")
     scored = scored.join(lyrics, ["seed_id", "song_id"], "left").na.fill(0.0, ["lyrics_raw"])
     kept = similar.combine_legs(scored, weights, (~F.col("worded"), F.col("audio_raw"))).where(
         F.col("combined") >= sc.START_FACTOR * sc.MIN_COMBINED
@@ -125,9 +128,9 @@ def mood_list(features: DataFrame, mood: str, k: int = 10) -> DataFrame:
     return features.orderBy(orders[mood], "song_id").limit(k)
 
 
-def playlist(catalog: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+def playlist(catalog: DataFrame, song_terms: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
     """``n`` songs per seed, no (title, artist) twice."""
-    scored = similar.score_pairs(catalog, seeds)
+    scored = similar.score_pairs(catalog, song_terms, seeds)
     order = [F.desc("combined"), F.asc("song_id")]
     distinct = sc.top_k(scored, ["seed_id", "track_name", "track_artist"], order, 1, "copy").drop("copy")
     return similar.result_rows(sc.top_k(distinct, ["seed_id"], order, n))

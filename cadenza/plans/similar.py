@@ -11,7 +11,7 @@ from cadenza.sources.tables import AUDIO_KEYS, audio_vector
 
 LEGS = ["audio", "lyrics", "sentiment"]
 MOOD = ["neg", "neu", "pos", "compound"]
-SEED_COLUMNS = [*AUDIO_KEYS, *MOOD, "terms", "terms_sq"]
+SEED_COLUMNS = [*AUDIO_KEYS, *MOOD]
 
 
 def sentiment_vector(prefix: str = "") -> Column:
@@ -20,6 +20,7 @@ def sentiment_vector(prefix: str = "") -> Column:
 
 def score_pairs(
     catalog: DataFrame,
+    song_terms: DataFrame,
     seeds: DataFrame,
     weights: dict[str, float] = sc.DEFAULT_WEIGHTS,
     audio_floor: float = sc.MIN_AUDIO * sc.START_FACTOR,
@@ -31,9 +32,7 @@ def score_pairs(
 
     The cheap audio floor runs first, inside the scan, before the lyrics leg is joined.
     """
-    # The audio and sentiment legs need no term arrays; only the lyrics leg reads them.
-    seed_rows = seeds.drop("terms", "terms_sq")
-    pairs = sc.against_seeds(catalog.drop("terms", "terms_sq"), seed_rows, exclude_self)
+    pairs = sc.against_seeds(catalog, seeds, exclude_self)
     mood = arrays.cosine(sentiment_vector("seed."), sentiment_vector())
     scored = pairs.select(
         F.col("seed.seed_id").alias("seed_id"), "song_id", "track_name", "track_artist",
@@ -45,7 +44,7 @@ def score_pairs(
     if weights["sentiment"] > 0.2:
         scored = scored.where(sc.score_round(F.col("sentiment_raw")) >= sc.MIN_SENTIMENT)
     if weights["lyrics"] > 0:
-        lyrics = sc.lyrics_scores(catalog, seeds).withColumnRenamed("lyrics", "lyrics_raw")
+        lyrics = sc.lyrics_scores(song_terms, sc.terms_of_seeds(song_terms, seeds)).withColumnRenamed("lyrics", "lyrics_raw")
         scored = scored.join(lyrics, ["seed_id", "song_id"], "left").na.fill(0.0, ["lyrics_raw"])
         if weights["lyrics"] > 0.3:
             scored = scored.where(sc.score_round(F.col("lyrics_raw")) >= sc.MIN_LYRICS)
@@ -73,14 +72,14 @@ def result_rows(ranked: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def similar_songs(
-    catalog: DataFrame, seeds: DataFrame, k: int = 5, weights: dict[str, float] = sc.DEFAULT_WEIGHTS
+    catalog: DataFrame, song_terms: DataFrame, seeds: DataFrame, k: int = 5, weights: dict[str, float] = sc.DEFAULT_WEIGHTS
 ) -> DataFrame:
     """Top ``k`` songs per seed by the weighted sum of the three legs, after refinement."""
     if weights["audio"] == 1.0 and weights["lyrics"] == 0.0 and weights["sentiment"] == 0.0:
         return similar_by_raw_cosine(catalog, seeds, k)
     return sc.in_request_batches(
         seeds,
-        lambda batch: result_rows(sc.refine_and_rank(score_pairs(catalog, batch, weights), ["seed_id"], k)),
+        lambda batch: result_rows(sc.refine_and_rank(score_pairs(catalog, song_terms, batch, weights), ["seed_id"], k)),
     )
 
 

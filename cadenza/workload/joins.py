@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadenza.functions import audio as au, text as tx
+from cadenza.functions import audio as au
 from cadenza.operators import joins as jn, linkage as ln, scoring as sc
 from cadenza.plans.features import genre_leads
 from cadenza.sources.tables import audio_map, songs, table
@@ -230,12 +230,13 @@ term_totals AS (SELECT song_id, sum(tf * tf) AS sq FROM terms GROUP BY song_id)"
 
 
 def duplicate_inputs(spark, sf):
-    raw = tx.term_counts(tx.similarity_tokens(F.col("lyrics"), cleaned=False))
-    total = F.aggregate("terms", F.lit(0).cast("bigint"), lambda acc, t: acc + t["tf"] * t["tf"])
-    catalog = songs(spark, sf).select("song_id", "track_name", "track_artist", raw.alias("terms")).withColumn("terms_sq", total)
+    rows = songs(spark, sf)
+    catalog = rows.select("song_id", "track_name", "track_artist")
+    terms = sc.term_table(rows, "song_id", "lyrics", cleaned=False)
     first = catalog.groupBy("track_artist").agg(F.min(F.struct("track_name", "song_id")).alias("f")).select(F.col("f.song_id").alias("song_id"))
     incoming = catalog.join(first, "song_id", "left_semi").withColumnRenamed("song_id", "incoming_id")
-    return catalog, incoming
+    ids = incoming.select(F.col("incoming_id").alias("seed_id"))
+    return catalog, terms, incoming, sc.terms_of_seeds(terms, ids)
 
 
 @query("d31_find_duplicates")
@@ -250,8 +251,9 @@ def d31(spark, sf):
     JOIN lyr ON lyr.seed_id = i.incoming_id AND lyr.song_id = s.song_id WHERE round(lyr.lyrics, 6) >= 0.8""",
 )
 def d31_lyrics(spark, sf):
-    catalog, incoming = duplicate_inputs(spark, sf)
-    scored = ln.duplicate_candidates(catalog, incoming).join(ln.incoming_lyrics(catalog, incoming), ["incoming_id", "song_id"])
+    catalog, terms, incoming, asked = duplicate_inputs(spark, sf)
+    lyrics = sc.lyrics_scores(terms, asked).withColumnRenamed("seed_id", "incoming_id")
+    scored = ln.duplicate_candidates(catalog, incoming).join(lyrics, ["incoming_id", "song_id"])
     return scored.select("incoming_id", "song_id", F.round("lyrics", 6).alias("lyrics_similarity")).where("lyrics_similarity >= 0.8")
 
 

@@ -8,7 +8,7 @@ from cadenza.functions import audio, text as tx
 from cadenza.operators import aggregates as ag, scan_order as so, scoring as sc, search, spaces as vs
 from cadenza.operators.sentiment import lexicon_sentiment
 from cadenza.plans import products as pr, similar
-from cadenza.plans.features import feature_lexicon, genre_leads, song_features
+from cadenza.plans.features import feature_lexicon, genre_leads, song_features, song_terms
 from cadenza.sources.tables import AUDIO_KEYS, audio_vector, song_view, songs, table
 from cadenza.workload import sqlparts as sp
 from cadenza.workload.registry import query
@@ -24,7 +24,7 @@ def leads(features, columns=similar.SEED_COLUMNS):
 @query("d19_similar_songs", f"WITH {sp.BASE}, {sp.scored()}, {sp.refined(5)} SELECT {RESULT} FROM ranked")
 def d19(spark, sf):
     features = song_features(spark, sf)
-    return similar.similar_songs(features, leads(features), k=5)
+    return similar.similar_songs(features, song_terms(spark, sf), leads(features), k=5)
 
 
 # External records: the benchmark texts beside the embedding of the same number, with raw
@@ -52,9 +52,9 @@ def external_records(spark, sf):
 def external_queries(spark, sf):
     records = external_records(spark, sf)
     mood = lexicon_sentiment(records, "seed_id", "lyrics", feature_lexicon(spark, sf))
-    terms = tx.term_counts(tx.similarity_tokens(F.col("lyrics")))
-    total = F.aggregate("terms", F.lit(0).cast("bigint"), lambda acc, t: acc + t["tf"] * t["tf"])
-    return records.join(mood, "seed_id").withColumn("terms", terms).withColumn("terms_sq", total).drop("lyrics")
+    texts = sc.term_table(records, "seed_id", "lyrics")
+    queries = records.withColumn("worded", F.size(tx.similarity_tokens(F.col("lyrics"))) > 0).drop("lyrics").join(mood, "seed_id")
+    return queries, texts
 
 
 EXT_SCORED = f"""{sp.lyric_legs('ext_ids', 'ext_terms', 'ext_totals')},
@@ -76,7 +76,7 @@ def d20(spark, sf):
     features = song_features(spark, sf)
     # Songs of one cluster have no stored sentiment.
     catalog = features.withColumns({m: F.when(F.col("cluster") != 2, F.col(m)) for m in similar.MOOD})
-    return pr.similar_to_external(catalog, external_queries(spark, sf), k=5)
+    return pr.similar_to_external(catalog, song_terms(spark, sf), *external_queries(spark, sf), k=5)
 
 
 VIDEO_PAIRS_SQL = f"vp AS (SELECT q.song_id AS seed_id, c.song_id, c.track_name, c.track_artist, round({sp.audio_sim(sp.VIDEO)}, 6) AS audio FROM extn q CROSS JOIN songs c)"
@@ -117,7 +117,7 @@ PAGE_SQL = "(SELECT song_id AS seed_id FROM songs WHERE playlist_genre = 'de' OR
 def d23(spark, sf):
     features = song_features(spark, sf)
     page = search.page(features.where("playlist_genre = 'de'"), ["track_name", "song_id"], 0, 10)
-    return similar.similar_songs(features, sc.as_seeds(page, similar.SEED_COLUMNS), k=5)
+    return similar.similar_songs(features, song_terms(spark, sf), sc.as_seeds(page, similar.SEED_COLUMNS), k=5)
 
 
 NAMED_SQL = """named AS (SELECT track_name AS title FROM (SELECT *, row_number() OVER (PARTITION BY track_artist ORDER BY track_name, song_id) AS r FROM songs) WHERE r = 1),
@@ -134,7 +134,7 @@ def d24(spark, sf):
     named = first.select(F.col("f.track_name").alias("title")).distinct()
     found = search.first_matches(features, named, "track_name", "song_id").select("song_id").distinct()
     seeds = features.join(found, "song_id", "left_semi")
-    return similar.similar_songs(features, sc.as_seeds(seeds, similar.SEED_COLUMNS), k=5)
+    return similar.similar_songs(features, song_terms(spark, sf), sc.as_seeds(seeds, similar.SEED_COLUMNS), k=5)
 
 
 @query(
@@ -156,7 +156,7 @@ def d25(spark, sf):
 )
 def d26(spark, sf):
     features = song_features(spark, sf)
-    return pr.playlist(features, leads(features), 20)
+    return pr.playlist(features, song_terms(spark, sf), leads(features), 20)
 
 
 @query(
@@ -165,7 +165,7 @@ def d26(spark, sf):
 )
 def d27(spark, sf):
     features = song_features(spark, sf)
-    return similar.similar_songs(features.where("playlist_genre = 'fr'"), leads(features), k=5)
+    return similar.similar_songs(features.where("playlist_genre = 'fr'"), song_terms(spark, sf), leads(features), k=5)
 
 
 TOP_STD = f"WITH {sp.SONGS}, {sp.LEADS}, {AUDIO_STD}, {STD_COSINE_SQL}, t AS (SELECT * FROM (SELECT *, {TOP_SQL.format('score')} FROM cosines) WHERE rank <= 10)"
@@ -240,20 +240,20 @@ def e6(spark, sf):
 )
 def e7(spark, sf):
     features = song_features(spark, sf)
-    profile = sc.score_profile(similar.score_pairs(features, leads(features)), ["seed_id"], ["audio", "combined"])
+    profile = sc.score_profile(similar.score_pairs(features, song_terms(spark, sf), leads(features)), ["seed_id"], ["audio", "combined"])
     return profile.select("seed_id", "n", *[F.round(c, 6).alias(c) for c in profile.columns if c not in ("seed_id", "n")])
 
 
 @query("e12_result_quality", f"WITH {sp.BASE}, {sp.scored()}, {sp.refined(5)} SELECT seed_id, count(*) AS n, round(avg(combined), 6) AS quality FROM ranked GROUP BY seed_id")
 def e12(spark, sf):
     features = song_features(spark, sf)
-    return ag.result_quality(similar.similar_songs(features, leads(features), k=5), "seed_id", "combined")
+    return ag.result_quality(similar.similar_songs(features, song_terms(spark, sf), leads(features), k=5), "seed_id", "combined")
 
 
 @query("f5_refinement", f"WITH {sp.BASE}, {sp.scored()}, {sp.refined(40)} SELECT seed_id, song_id, combined, rank FROM ranked")
 def f5(spark, sf):
     features = song_features(spark, sf)
-    ranked = sc.refine_and_rank(similar.score_pairs(features, leads(features)), ["seed_id"], 40)
+    ranked = sc.refine_and_rank(similar.score_pairs(features, song_terms(spark, sf), leads(features)), ["seed_id"], 40)
     return ranked.select("seed_id", "song_id", "combined", "rank")
 
 
@@ -265,7 +265,7 @@ placed AS (SELECT s.*, c.pos - CASE WHEN c.pos > q.pos THEN 1 ELSE 0 END AS nth,
 
 def scanned_pairs(spark, sf):
     features = song_features(spark, sf)
-    scored = similar.score_pairs(features, leads(features))
+    scored = similar.score_pairs(features, song_terms(spark, sf), leads(features))
     places = so.ranked_by_id(features.select("song_id"), "song_id")
     seed_places = places.join(F.broadcast(genre_leads(features).select("song_id")), "song_id", "left_semi")
     named = seed_places.select(F.col("song_id").alias("seed_id"), F.col("pos").alias("seed_pos"))
@@ -298,7 +298,7 @@ def f4_ramp(spark, sf):
 )
 def f6(spark, sf):
     features = song_features(spark, sf)
-    swept = pr.threshold_sweep(similar.score_pairs(features, leads(features)), k=5)
+    swept = pr.threshold_sweep(similar.score_pairs(features, song_terms(spark, sf), leads(features)), k=5)
     return swept.select("seed_id", "level", "song_id", "combined", "rank")
 
 
@@ -312,7 +312,7 @@ def f6(spark, sf):
 )
 def h15(spark, sf):
     features = song_features(spark, sf)
-    found = similar.similar_songs(features, leads(features), k=5)
+    found = similar.similar_songs(features, song_terms(spark, sf), leads(features), k=5)
     return found.select("seed_id", "song_id", *[c.alias(n) for n, c in pr.explanation_columns().items()])
 
 
@@ -326,7 +326,7 @@ def h15(spark, sf):
 )
 def h16(spark, sf):
     features = song_features(spark, sf)
-    found = similar.similar_songs(features, leads(features), k=5)
+    found = similar.similar_songs(features, song_terms(spark, sf), leads(features), k=5)
     long = found.unpivot(["seed_id", "song_id"], ["audio", "lyrics", "sentiment"], "component", "score")
     weight = F.create_map(*[c for leg, w in sc.DEFAULT_WEIGHTS.items() for c in (F.lit(leg), F.lit(w))])
     contribution = F.round(F.element_at(weight, F.col("component")) * F.col("score"), 6)

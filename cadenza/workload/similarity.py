@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import arrays, audio as au
 from cadenza.operators import scoring as sc, spaces as vs
 from cadenza.plans import similar
-from cadenza.plans.features import genre_leads, song_features
+from cadenza.plans.features import genre_leads, song_features, song_terms
 from cadenza.sources.tables import AUDIO_KEYS, audio_vector, songs, table
 from cadenza.workload import sqlparts as sp
 from cadenza.workload.registry import query
@@ -295,9 +295,9 @@ def d15(spark, sf):
     f"WITH {sp.SONGS}, {sp.TERMS}, {sp.LEADS}, {sp.lyric_legs()} SELECT seed_id, song_id, round(lyrics, 6) AS lyrics FROM lyr",
 )
 def d16(spark, sf):
-    features = song_features(spark, sf)
-    seeds = sc.as_seeds(genre_leads(features), ["terms", "terms_sq"])
-    return sc.lyrics_scores(features, seeds).withColumn("lyrics", sc.score_round(F.col("lyrics")))
+    terms = song_terms(spark, sf)
+    seeds = sc.as_seeds(genre_leads(song_features(spark, sf)), [])
+    return sc.lyrics_scores(terms, sc.terms_of_seeds(terms, seeds)).withColumn("lyrics", sc.score_round(F.col("lyrics")))
 
 
 @query(
@@ -324,7 +324,7 @@ def d17(spark, sf):
 def d18(spark, sf):
     features = song_features(spark, sf)
     weights = {"audio": 0.3, "lyrics": 0.4, "sentiment": 0.3}
-    scored = similar.score_pairs(features, sc.as_seeds(genre_leads(features), similar.SEED_COLUMNS), weights)
+    scored = similar.score_pairs(features, song_terms(spark, sf), sc.as_seeds(genre_leads(features), similar.SEED_COLUMNS), weights)
     return scored.select("seed_id", "song_id", "audio", "lyrics", "sentiment", "combined")
 
 
