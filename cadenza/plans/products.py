@@ -52,7 +52,7 @@ def _external_batch(
     mood = F.when(worded & stored, similar.arrays.cosine(similar.sentiment_vector("seed."), similar.sentiment_vector()))
     low = F.when(video, F.lit(sc.MIN_VIDEO_AUDIO)).otherwise(F.lit(sc.MIN_AUDIO))
     scored = pairs.select(
-        "seed.seed_id", "song_id", "track_name", "track_artist", worded.alias("worded"), low.alias("audio_floor"),
+        "seed.seed_id", "song_id", worded.alias("worded"), low.alias("audio_floor"),
         audio_leg.alias("audio_raw"), F.coalesce(mood, F.lit(0.0)).alias("sentiment_raw"),
     ).where(sc.score_round(F.col("audio_raw")) >= sc.START_FACTOR * F.col("audio_floor"))
     asked = query_terms.join(F.broadcast(queries.select("seed_id")), "seed_id", "left_semi")
@@ -61,14 +61,14 @@ def _external_batch(
     kept = similar.combine_legs(scored, weights, (~F.col("worded"), F.col("audio_raw"))).where(
         F.col("combined") >= sc.START_FACTOR * sc.MIN_COMBINED
     )
-    return similar.result_rows(sc.refine_and_rank(kept, ["seed_id"], k, F.col("audio_floor")))
+    return similar.result_rows(sc.refine_and_rank(kept, ["seed_id"], k, F.col("audio_floor")), catalog)
 
 
 def video_audio_pairs(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """Audio similarity by the video weights of every query to every song, no floor."""
     pairs = sc.against_seeds(catalog, queries.select("seed_id", *AUDIO_KEYS), exclude_self=False)
     score = sc.score_round(sc.audio_score(audio.VIDEO_WEIGHTS))
-    return pairs.select("seed.seed_id", "song_id", "track_name", "track_artist", score.alias("audio"))
+    return pairs.select("seed.seed_id", "song_id", score.alias("audio"))
 
 
 def similar_by_video_audio(catalog: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -81,7 +81,7 @@ def similar_by_video_audio(catalog: DataFrame, queries: DataFrame, k: int = 5) -
         ranked = sc.refine_and_rank(
             scored, ["seed_id"], k, floor, floor, candidate_factor=2, with_std=False, min_kept=k
         )
-        return similar.result_rows(ranked)
+        return similar.result_rows(ranked, catalog)
 
     return sc.in_request_batches(queries, run)
 
@@ -130,10 +130,10 @@ def mood_list(features: DataFrame, mood: str, k: int = 10) -> DataFrame:
 
 def playlist(catalog: DataFrame, song_terms: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
     """``n`` songs per seed, no (title, artist) twice."""
-    scored = similar.score_pairs(catalog, song_terms, seeds)
+    scored = similar.score_pairs(catalog, song_terms, seeds, carry=("track_name", "track_artist"))
     order = [F.desc("combined"), F.asc("song_id")]
     distinct = sc.top_k(scored, ["seed_id", "track_name", "track_artist"], order, 1, "copy").drop("copy")
-    return similar.result_rows(sc.top_k(distinct, ["seed_id"], order, n))
+    return similar.result_rows(sc.top_k(distinct, ["seed_id"], order, n).drop("track_name", "track_artist"), catalog)
 
 
 def component_split(score: Column, has_lyrics: Column) -> Column:

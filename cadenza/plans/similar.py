@@ -27,15 +27,18 @@ def score_pairs(
     combined_floor: float = sc.MIN_COMBINED * sc.START_FACTOR,
     feature_weights: dict[str, float] = audio.STANDARD_WEIGHTS,
     exclude_self: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """All (seed, song) pairs that pass the floors, with their leg scores.
 
     The cheap audio floor runs first, inside the scan, before the lyrics leg is joined.
+    Pairs are ids and scores only (plus ``carry``): names are looked up after the top-k,
+    and the statistics pass and the ranking pass can then read the same shuffle.
     """
     pairs = sc.against_seeds(catalog, seeds, exclude_self)
     mood = arrays.cosine(sentiment_vector("seed."), sentiment_vector())
     scored = pairs.select(
-        F.col("seed.seed_id").alias("seed_id"), "song_id", "track_name", "track_artist",
+        F.col("seed.seed_id").alias("seed_id"), "song_id", *carry,
         sc.audio_score(feature_weights).alias("audio_raw"),
         (mood if weights["sentiment"] > 0 else F.lit(0.0)).alias("sentiment_raw"),
     )
@@ -65,9 +68,11 @@ def combine_legs(scored: DataFrame, weights: dict[str, float], override: tuple[C
     return scored.withColumns({**done, "combined": sc.score_round(combined)}).drop(*[f"{leg}_raw" for leg in LEGS])
 
 
-def result_rows(ranked: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    return ranked.select(
-        *(keys or ["seed_id"]), "song_id", "track_name", "track_artist", "combined", "audio", "lyrics", "sentiment", "rank"
+def result_rows(ranked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Result rows with titles; ``ranked`` holds at most k rows per seed of one batch."""
+    names = catalog.select("song_id", "track_name", "track_artist")
+    return names.join(F.broadcast(ranked), "song_id").select(
+        "seed_id", "song_id", "track_name", "track_artist", "combined", "audio", "lyrics", "sentiment", "rank"
     )
 
 
@@ -79,7 +84,9 @@ def similar_songs(
         return similar_by_raw_cosine(catalog, seeds, k)
     return sc.in_request_batches(
         seeds,
-        lambda batch: result_rows(sc.refine_and_rank(score_pairs(catalog, song_terms, batch, weights), ["seed_id"], k)),
+        lambda batch: result_rows(
+            sc.refine_and_rank(score_pairs(catalog, song_terms, batch, weights), ["seed_id"], k), catalog
+        ),
     )
 
 
@@ -89,10 +96,8 @@ def similar_by_raw_cosine(
     """Audio only: plain cosine of the twelve features, floor, top ``k``."""
     scored = raw_cosine_pairs(catalog, seeds).where(F.col("combined") >= floor)
     ranked = sc.top_k(scored, ["seed_id"], [F.desc("combined"), F.asc("song_id")], k)
-    return ranked.select(
-        "seed_id", "song_id", "track_name", "track_artist", "combined", F.col("combined").alias("audio"),
-        F.lit(0.0).alias("lyrics"), F.lit(0.0).alias("sentiment"), "rank",
-    )
+    legs = {"audio": F.col("combined"), "lyrics": F.lit(0.0), "sentiment": F.lit(0.0)}
+    return result_rows(ranked.withColumns(legs), catalog)
 
 
 def raw_cosine_pairs(catalog: DataFrame, seeds: DataFrame, exclude_self: bool = True) -> DataFrame:
@@ -102,8 +107,7 @@ def raw_cosine_pairs(catalog: DataFrame, seeds: DataFrame, exclude_self: bool =
     dot = sum((a * b for a, b in zip(other, mine)), F.lit(0.0))
     norms = [F.sqrt(sum((a * a for a in side), F.lit(0.0))) for side in (other, mine)]
     return pairs.select(
-        F.col("seed.seed_id").alias("seed_id"), "song_id", "track_name", "track_artist",
-        sc.score_round(arrays.cosine_from(dot, *norms)).alias("combined"),
+        F.col("seed.seed_id").alias("seed_id"), "song_id", sc.score_round(arrays.cosine_from(dot, *norms)).alias("combined"),
     )
 
 
