@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Feature weights of the two similarity variants.
@@ -25,16 +25,25 @@ LOUDNESS_FLOOR = -60.0
 TEMPO_CAP = 250.0
 
 
-def tempo_similarity(seed: Column, other: Column) -> Column:
+def tempo_gap(seed: Column, other: Column) -> Column:
     """Closest of same, double and half time; not symmetric, the seed comes first."""
-    gap = F.least(F.abs(seed - other), F.abs(seed - 2 * other), F.abs(seed - 0.5 * other))
+    return F.least(F.abs(seed - other), F.abs(seed - 2 * other), F.abs(seed - 0.5 * other))
+
+
+def tempo_score(gap: Column) -> Column:
+    """1 up to 5 BPM, falling to 20, then a second, gentler fall to 0 at 40; NaN scores 0."""
     return (
         F.when(gap <= 5, F.lit(1.0))
         .when(gap <= 20, 1.0 - (gap - 5) / 15.0)
-        .otherwise(F.greatest(F.lit(0.0), 1.0 - gap / 40.0))
+        .when(gap < 40, 1.0 - gap / 40.0)
+        .otherwise(F.lit(0.0))
     )
 
 
+def tempo_similarity(seed: Column, other: Column) -> Column:
+    return tempo_score(tempo_gap(seed, other))
+
+
 def range_similarity(a: Column, b: Column, span: float) -> Column:
     return 1.0 - F.least(F.lit(1.0), F.abs(a - b) / span)
 
@@ -50,34 +59,47 @@ def feature_similarity(name: str, seed: Column, other: Column) -> Column:
 Lookup = Callable[[str], Column]
 
 
-def audio_similarity(
+def clean_features(df: DataFrame, names: Iterable[str] = tuple(STANDARD_WEIGHTS)) -> DataFrame:
+    """The scored features as doubles, NULL (unparseable) as 0.0.
+
+    Done once per row, below the pairing, which keeps the pair expression small enough
+    for the JVM to compile.
+    """
+    return df.withColumns({n: F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names})
+
+
+def complete_similarity(seed: Lookup, other: Lookup, gap: Column, weights: dict[str, float]) -> Column:
+    """Weighted mean over records that have all features, cleaned by :func:`clean_features`.
+
+    A NaN value adds no score but keeps its weight in the divisor: LEAST ranks NaN above
+    every number, so the range similarity becomes 0 by itself.
+    """
+    score = F.lit(0.0)
+    for name, weight in weights.items():
+        part = tempo_score(gap) if name == "tempo" else feature_similarity(name, seed(name), other(name))
+        score = score + weight * part
+    return score / F.lit(sum(weights.values()))
+
+
+def partial_similarity(
     seed: Lookup,
     other: Lookup,
+    present: tuple[Lookup, Lookup],
     weights: dict[str, float] = STANDARD_WEIGHTS,
-    present: tuple[Lookup, Lookup] | None = None,
     min_features: int = STANDARD_MIN_FEATURES,
 ) -> Column:
-    """Weighted mean of the feature similarities.
+    """The same over records that may lack features; only common ones count.
 
-    ``seed``/``other`` give a feature's column by name. ``present`` gives, per side,
-    whether the record has the feature at all; without it every feature is taken as
-    present. A NaN value keeps its weight in the divisor but adds no score; a NULL
-    value (unparseable) counts as 0.0.
+    ``present`` tells, per side, whether a record has a feature. Too few common features
+    give 0. A NULL value (unparseable) counts as 0.0.
     """
     score, used, common = F.lit(0.0), F.lit(0.0), F.lit(0)
     for name, weight in weights.items():
-        a = F.coalesce(seed(name), F.lit(0.0))
-        b = F.coalesce(other(name), F.lit(0.0))
-        part = F.when(F.isnan(a) | F.isnan(b), F.lit(0.0)).otherwise(weight * feature_similarity(name, a, b))
-        if present is None:
-            score = score + part
-            continue
+        part = weight * feature_similarity(name, F.coalesce(seed(name), F.lit(0.0)), F.coalesce(other(name), F.lit(0.0)))
         both = present[0](name) & present[1](name)
         score = score + F.when(both, part).otherwise(F.lit(0.0))
         used = used + F.when(both, F.lit(weight)).otherwise(F.lit(0.0))
         common = common + both.cast("int")
-    if present is None:
-        return score / F.lit(sum(weights.values()))
     return F.when((common < min_features) | (used == 0), F.lit(0.0)).otherwise(score / used)
 
 

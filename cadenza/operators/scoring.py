@@ -69,8 +69,14 @@ def as_seeds(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.col("song_id").alias("seed_id"), *columns)
 
 
+def audio_pairs(catalog: DataFrame, seeds: DataFrame, exclude_self: bool = True) -> DataFrame:
+    """Pairs ready for :func:`audio_score`: features cleaned, tempo gap at hand."""
+    pairs = against_seeds(audio.clean_features(catalog), audio.clean_features(seeds), exclude_self)
+    return pairs.withColumn("tempo_gap", audio.tempo_gap(F.col("seed.tempo"), F.col("tempo")))
+
+
 def audio_score(weights: dict[str, float] = audio.STANDARD_WEIGHTS) -> Column:
-    return audio.audio_similarity(lambda n: F.col(f"seed.{n}"), F.col, weights)
+    return audio.complete_similarity(lambda n: F.col(f"seed.{n}"), F.col, F.col("tempo_gap"), weights)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

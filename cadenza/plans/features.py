@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from cadenza.functions import text as tx
 from cadenza.operators.scoring import term_table
 from cadenza.operators.sentiment import lexicon_polarity, lexicon_sentiment
-from cadenza.session import path_exists, work_path
-from cadenza.sources.tables import songs, table
+from cadenza.session import path_exists, spread, work_path
+from cadenza.sources.tables import songs, spread_table
 
 _BUILT: dict[tuple[str, str], str] = {}
 
@@ -32,7 +32,7 @@ def test_lexicon(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame
     Stands in for the lexicon table a user supplies.
     """
     counted = (
-        table(spark, sf_dir, "documents")
+        spread_table(spark, sf_dir, "documents")
         .select(F.explode(tx.term_counts(tx.words(F.col("text")))).alias("t"))
         .groupBy(F.col("t.term").alias("term"))
         .agg(F.sum("t.tf").alias("n"))
@@ -57,8 +57,8 @@ def _built_once(spark: SparkSession, sf_dir: str, label: str, build: Callable[[]
         _BUILT[key] = work_path(spark, label)
     path = _BUILT[key]
     if path_exists(spark, f"{path}/_SUCCESS"):
-        return spark.read.parquet(path)
-    return materialise(build(), path)
+        return spread(spark.read.parquet(path))
+    return spread(materialise(build(), path))
 
 
 def feature_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,11 +45,11 @@ def similar_to_external(
 def _external_batch(
     catalog: DataFrame, song_terms: DataFrame, queries: DataFrame, query_terms: DataFrame, k: int, weights: dict[str, float]
 ) -> DataFrame:
-    pairs = sc.against_seeds(catalog, queries, exclude_self=False)
+    pairs = sc.audio_pairs(catalog, queries, exclude_self=False)
     video, worded = F.col("seed.video"), F.col("seed.worded")
     audio_leg = F.when(video, sc.audio_score(audio.VIDEO_WEIGHTS)).otherwise(sc.audio_score())
     stored = F.col("compound").isNotNull()
-    mood = F.when(worded & stored, similar.arrays.cosine(similar.sentiment_vector("seed."), similar.sentiment_vector()))
+    mood = F.when(worded & stored, similar.sentiment_cosine())
     low = F.when(video, F.lit(sc.MIN_VIDEO_AUDIO)).otherwise(F.lit(sc.MIN_AUDIO))
     scored = pairs.select(
         "seed.seed_id", "song_id", worded.alias("worded"), low.alias("audio_floor"),
@@ -66,7 +66,7 @@ def _external_batch(
 
 def video_audio_pairs(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """Audio similarity by the video weights of every query to every song, no floor."""
-    pairs = sc.against_seeds(catalog, queries.select("seed_id", *AUDIO_KEYS), exclude_self=False)
+    pairs = sc.audio_pairs(catalog, queries.select("seed_id", *AUDIO_KEYS), exclude_self=False)
     score = sc.score_round(sc.audio_score(audio.VIDEO_WEIGHTS))
     return pairs.select("seed.seed_id", "song_id", score.alias("audio"))
 

@@ -75,3 +75,13 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a table scan over the cores where its files give fewer splits than that.
+
+    A large table has more splits than cores and is left alone, so only small inputs to
+    heavy per-row work are moved. For plain scans: it looks at the plan's partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.session import spread
+
 # The twelve audio features, in vector order.
 AUDIO_KEYS = [
     "danceability", "energy", "key", "loudness", "mode", "speechiness",
@@ -16,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table for heavy per-row work, also where its file is a single split."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _unit(i: int) -> Column:
     """Embedding component ``i`` (1-based) moved into 0..1."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(0.5) + F.get("embedding", F.lit(i - 1)).cast("double")))
@@ -55,7 +62,7 @@ def song_view(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return song_view(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
+    return song_view(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
 
 
 def audio_map(prefix: str = "") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import audio, coerce
 from cadenza.operators import search, shaping
 from cadenza.sources import catalog as cat
-from cadenza.sources.tables import audio_map, songs, table
+from cadenza.sources.tables import audio_map, songs, spread_table, table
 from cadenza.workload import sqlparts as sp
 from cadenza.workload.registry import query
 
@@ -99,7 +99,7 @@ def b7(spark, sf):
 
 
 def part_catalog(spark, sf):
-    return table(spark, sf, "part").select(
+    return spread_table(spark, sf, "part").select(
         F.col("p_partkey").alias("song_id"), F.col("p_name").alias("track_name"), F.col("p_brand").alias("track_artist"),
         F.col("p_type").alias("playlist_genre"), "p_size", "p_retailprice",
     )

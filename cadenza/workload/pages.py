@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.operators import pages as pg
-from cadenza.sources.tables import table
+from cadenza.sources.tables import spread_table, table
 from cadenza.workload.registry import query
 
 
 @query("j1_container_text")
 def j1(spark, sf):
-    return pg.page_texts(table(spark, sf, "pages"), "page_id", "html", [("article", None, None, False)], None)
+    return pg.page_texts(spread_table(spark, sf, "pages"), "page_id", "html", [("article", None, None, False)], None)
 
 
 @query(

@@ -21,7 +21,7 @@ TOP_SQL = "CAST(row_number() OVER (PARTITION BY seed_id ORDER BY {0} DESC, song_
 
 def audio_pairs(spark, sf):
     catalog = songs(spark, sf)
-    return sc.against_seeds(
+    return sc.audio_pairs(
         catalog.select("song_id", *AUDIO_KEYS), sc.as_seeds(genre_leads(catalog), AUDIO_KEYS)
     )
 
@@ -79,9 +79,7 @@ def d1_partial(spark, sf):
 
         return test
 
-    score = au.audio_similarity(
-        lambda n: F.col(f"seed.{n}"), F.col, present=(present("seed."), present(""))
-    )
+    score = au.partial_similarity(lambda n: F.col(f"seed.{n}"), F.col, (present("seed."), present("")))
     return pairs.select("seed.seed_id", "song_id", sc.score_round(score).alias("audio"))
 
 

@@ -133,7 +133,7 @@ def t6(spark, sf):
     stream = runs.read_files(spark, path, catalog.schema, files_per_trigger=1)
 
     def score(batch):
-        pairs = sc.against_seeds(batch, seeds)
+        pairs = sc.audio_pairs(batch, seeds)
         return pairs.select("seed.seed_id", "song_id", sc.score_round(sc.audio_score()).alias("audio"))
 
     return views.progressive_top_k(stream, score, ["seed_id"], [F.desc("audio"), F.asc("song_id")], 5)
