@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import audio as au
 from cadenza.operators import joins as jn, linkage as ln, scoring as sc
 from cadenza.plans.features import genre_leads
+from cadenza.session import write_and_read
 from cadenza.sources.tables import audio_map, songs, table
 from cadenza.workload import sqlparts as sp
 from cadenza.workload.registry import query
@@ -232,7 +233,8 @@ term_totals AS (SELECT song_id, sum(tf * tf) AS sq FROM terms GROUP BY song_id)"
 def duplicate_inputs(spark, sf):
     rows = songs(spark, sf)
     catalog = rows.select("song_id", "track_name", "track_artist")
-    terms = sc.term_table(rows, "song_id", "lyrics", cleaned=False)
+    # Read by four legs of the search, so the texts are counted once.
+    terms = write_and_read(sc.term_table(rows, "song_id", "lyrics", cleaned=False), "raw-terms")
     first = catalog.groupBy("track_artist").agg(F.min(F.struct("track_name", "song_id")).alias("f")).select(F.col("f.song_id").alias("song_id"))
     incoming = catalog.join(first, "song_id", "left_semi").withColumnRenamed("song_id", "incoming_id")
     ids = incoming.select(F.col("incoming_id").alias("seed_id"))

@@ -9,6 +9,7 @@ from cadenza.operators import aggregates as ag, scan_order as so, scoring as sc,
 from cadenza.operators.sentiment import lexicon_sentiment
 from cadenza.plans import products as pr, similar
 from cadenza.plans.features import feature_lexicon, genre_leads, song_features, song_terms
+from cadenza.session import write_and_read
 from cadenza.sources.tables import AUDIO_KEYS, audio_vector, song_view, songs, table
 from cadenza.workload import sqlparts as sp
 from cadenza.workload.registry import query
@@ -52,9 +53,10 @@ def external_records(spark, sf):
 def external_queries(spark, sf):
     records = external_records(spark, sf)
     mood = lexicon_sentiment(records, "seed_id", "lyrics", feature_lexicon(spark, sf))
-    texts = sc.term_table(records, "seed_id", "lyrics")
+    texts = write_and_read(sc.term_table(records, "seed_id", "lyrics"), "external-terms")
     queries = records.withColumn("worded", F.size(tx.similarity_tokens(F.col("lyrics"))) > 0).drop("lyrics").join(mood, "seed_id")
-    return queries, texts
+    # A request's records feed several legs; their features are computed once.
+    return write_and_read(queries, "external-queries"), texts
 
 
 EXT_SCORED = f"""{sp.lyric_legs('ext_ids', 'ext_terms', 'ext_totals')},

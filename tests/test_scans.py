@@ -1,0 +1,40 @@
+import random
+
+import pytest
+
+from cadenza.operators import scan_order as so, scoring as sc
+
+
+def test_ranks_follow_ids(spark):
+    ids = random.Random(4).sample(range(1_000), 200)
+    df = spark.createDataFrame([(i,) for i in ids], "song_id BIGINT")
+    got = {r.song_id: r.pos for r in so.ranked_by_id(df, "song_id", width=37).collect()}
+    assert got == {v: i + 1 for i, v in enumerate(sorted(ids))}
+
+
+def plain_scan(rows, k, n_batches, rising):
+    audio = combined = 0.8 * 0.15
+    found = []
+    for batch in range(n_batches):
+        if len(found) >= min(3 * k, 100):
+            break
+        if rising and len(found) >= 2 * k:
+            audio, combined = min(0.18, audio * 1.05), min(0.18, combined * 1.05)
+        found += [r for r in rows if r[3] == batch and r[4] >= audio and r[5] >= combined]
+    return {r[1] for r in found}
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("k,spread", [(3, 0.03), (10, 0.06), (30, 0.5)])
+def test_scans_against_brute_force(spark, seed, k, spread):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(400):
+        # Scores crowd around the rising thresholds; whole batches may pass nothing.
+        base = 0.11 + spread * rng.random() if rng.random() < 0.5 else 0.05
+        rows.append((7, i, i + 1, i // 8, round(base, 6), round(base + 0.02 * rng.random(), 6)))
+    passing = [r for r in rows if r[4] >= 0.12 and r[5] >= 0.12]
+    df = spark.createDataFrame(passing, "seed_id BIGINT, song_id BIGINT, pos BIGINT, batch BIGINT, audio DOUBLE, combined DOUBLE")
+    assert {r.song_id for r in so.rising_thresholds(df, k).collect()} == plain_scan(rows, k, 50, True)
+    assert {r.song_id for r in so.stop_early(df, k).collect()} == plain_scan(rows, k, 50, False)
+    assert so.target_candidates(k) == min(3 * k, 100) and sc.START_FACTOR == 0.8
