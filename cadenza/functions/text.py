@@ -157,6 +157,12 @@ def title_from_file(name: Column) -> Column:
     return F.regexp_replace(base, r"^[\d_\-\s]+", "")
 
 
+def file_pattern(title: Column) -> Column:
+    """What the file saved for a title contains: odd characters dropped, spaces as underscores."""
+    kept = F.regexp_replace(title, rf"[^\p{{L}}\p{{N}}_\s\p{{Z}}\-]", "")
+    return F.replace(kept, F.lit(" "), F.lit("_"))
+
+
 def duration_text(ms: Column) -> Column:
     """m:ss with the minutes modulo 60."""
     seconds = F.floor(ms / 1000) % 60

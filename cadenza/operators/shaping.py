@@ -46,6 +46,17 @@ def default_sentiment() -> Column:
     return F.create_map(*parts)
 
 
+# The features a failed extraction reports, all zero.
+EXTRACTED_KEYS = [
+    "duration_ms", "tempo", "energy", "loudness", "acousticness", "danceability", "speechiness",
+    "instrumentalness", "liveness", "valence",
+]
+
+
+def default_audio() -> Column:
+    return F.create_map(*[c for k in EXTRACTED_KEYS for c in (F.lit(k), F.lit(0.0))])
+
+
 def with_defaults(record: Column, default: Column) -> Column:
     """The record, or the default where there is none."""
     return F.coalesce(record, default)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions.audio import normalise_ranges
+from cadenza.functions.coerce import epoch_micros
 
 # Frame and step in samples, silence level, roll-off share, smallest power.
 FRAME = 2048
@@ -27,7 +28,7 @@ def positioned(events: DataFrame, key: str, ts: str, id_col: str, value: str) ->
     and length, and only a minute's rows are ordered together.
     """
     sliced = events.select(
-        F.col(key).alias("series"), F.date_trunc("minute", ts).alias("slice"), F.col(ts).alias("_ts"),
+        F.col(key).alias("series"), F.floor(epoch_micros(ts) / 60_000_000).alias("slice"), F.col(ts).alias("_ts"),
         F.col(id_col).alias("_id"), F.col(value).alias("_v"),
     )
     totals = sliced.groupBy("series", "slice").agg(F.count(F.lit(1)).alias("c"), F.sum("_v").alias("s"))

@@ -72,9 +72,8 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
     Beyond ``max_rows`` the plan is left unhinted, so Spark shuffles both sides.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    # A plain count stays distributed; a limited one would gather rows in a single task.
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def spread(scan: DataFrame) -> DataFrame:

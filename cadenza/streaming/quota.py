@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from cadenza.functions.coerce import epoch_micros
 from cadenza.operators.scoring import top_k
 
 # Requests per minute and client; hourly limits per operation.
@@ -19,13 +20,6 @@ HOURLY = {"search": 300, "download": 50}
 HOUR_MICROS = 3_600_000_000
 
 
-def epoch_micros(ts: Column | str) -> Column:
-    """Microseconds since 1970 of a zone-less timestamp."""
-    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    value = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MICROSECOND", zero, value.cast("timestamp_ntz"))
-
-
 def window_number(ts: str, seconds: int) -> Column:
     return F.floor(epoch_micros(ts) / (seconds * 1_000_000))
 

@@ -127,6 +127,15 @@ def retention_plan(
     return both.select("kind", "id", F.when(F.col("dropped"), "drop").otherwise("keep").alias("action"))
 
 
+def file_retention_plan(files: DataFrame, as_of: Column, storage_mb: Column | float, ceiling_mb: float = STORAGE_CEILING_MB) -> DataFrame:
+    """(kind, path, action) of stored files; ``files`` has kind ('audio' or 'cache'), path, modified."""
+    full = (storage_mb if isinstance(storage_mb, Column) else F.lit(storage_mb)) > ceiling_mb
+    limit = F.when(F.col("kind") == "audio", as_of - F.expr(f"INTERVAL {AUDIO_HOURS} HOURS")).otherwise(
+        as_of - F.expr(f"INTERVAL {CACHE_HOURS} HOURS")
+    )
+    return files.select("kind", "path", F.when((F.col("modified") < limit) & full, "drop").otherwise("keep").alias("action"))
+
+
 def progressive_top_k(stream: DataFrame, score, keys: list[str], order: list[Column], k: int, label: str = "progressive") -> DataFrame:
     """Keep the best ``k`` per key while catalog files arrive; every batch publishes a version.
 

@@ -259,6 +259,17 @@ def b18(spark, sf):
     )
 
 
+@query(
+    "b18_failed_extraction",
+    f"WITH {sp.SONGS} SELECT doc_id, CASE WHEN song_id IS NULL THEN 10 ELSE 12 END AS n_keys, round(coalesce(tempo, 0), 6) AS tempo FROM documents LEFT JOIN songs ON song_id = doc_id",
+)
+def b18_audio(spark, sf):
+    stored = songs(spark, sf).select(F.col("song_id").alias("doc_id"), audio_map().alias("m"))
+    rows = table(spark, sf, "documents").select("doc_id").join(stored, "doc_id", "left")
+    record = rows.select("doc_id", shaping.with_defaults(F.col("m"), shaping.default_audio()).alias("m"))
+    return record.select("doc_id", F.size("m").alias("n_keys"), F.round(F.try_element_at("m", F.lit("tempo")), 6).alias("tempo"))
+
+
 @query(
     "b19_feature_profile",
     f"WITH {sp.SONGS} " + " UNION ALL ".join(f"SELECT song_id, '{n}' AS feature, round(least(1, greatest(0, {n})), 6) AS value FROM songs" for n in shaping.PROFILE_KEYS),

@@ -18,8 +18,9 @@ from cadenza.workload.similarity import AUDIO_STD, STD_COSINE_SQL, TOP_SQL, audi
 RESULT = "seed_id, song_id, track_name, track_artist, combined, audio, lyrics, sentiment, rank"
 
 
-def leads(features, columns=similar.SEED_COLUMNS):
-    return sc.as_seeds(genre_leads(features), columns)
+def leads(features):
+    """The request's seeds, written once because every leg of a search reads them."""
+    return write_and_read(sc.as_seeds(genre_leads(features), similar.SEED_COLUMNS), "seeds")
 
 
 @query("d19_similar_songs", f"WITH {sp.BASE}, {sp.scored()}, {sp.refined(5)} SELECT {RESULT} FROM ranked")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.functions.coerce import epoch_micros
 from cadenza.operators import scoring as sc
 from cadenza.plans.features import genre_leads
 from cadenza.session import work_path
@@ -48,7 +49,7 @@ LIMITS = {"click": 2, "view": 3, "purchase": 1, "error": 4}
 @query("t2_sliding_log_stream")
 def t2(spark, sf):
     requests = event_stream(spark, sf).select(
-        F.col("event_type").alias("operation"), F.col("event_id").alias("request_id"), quota.epoch_micros("ts").alias("micros")
+        F.col("event_type").alias("operation"), F.col("event_id").alias("request_id"), epoch_micros("ts").alias("micros")
     )
     return runs.run_to_table(quota.sliding_log_quota(requests, LIMITS), "sliding-log")
 
@@ -81,7 +82,7 @@ def cache_log(spark, sf, events=None):
 @query("t3_ttl_view_stream")
 def t3_stream(spark, sf):
     log = cache_log(spark, sf, event_stream(spark, sf)).select(
-        F.col("user_id").alias("entry_key"), F.col("ts").cast("timestamp").alias("ts"), quota.epoch_micros("ts").alias("micros"), "url", "status"
+        F.col("user_id").alias("entry_key"), F.col("ts").cast("timestamp").alias("ts"), epoch_micros("ts").alias("micros"), "url", "status"
     )
     updates = views.expiring_view(log)
     path = work_path(spark, "ttl-view")
@@ -124,6 +125,17 @@ def t5(spark, sf):
     return views.retention_plan(catalog, recs, latest, 512.0)
 
 
+@query(
+    "t5_file_retention",
+    f"""WITH f AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'audio' ELSE 'cache' END AS kind, '/store/' || event_id AS path, ts AS modified FROM events)
+    SELECT kind, path, CASE WHEN modified < TIMESTAMP '{AS_OF}' - CASE WHEN kind = 'audio' THEN INTERVAL 6 HOUR ELSE INTERVAL 24 HOUR END THEN 'drop' ELSE 'keep' END AS action FROM f""",
+)
+def t5_files(spark, sf):
+    kind = F.when(F.col("event_type").isin("click", "view"), "audio").otherwise("cache")
+    files = table(spark, sf, "events").select(kind.alias("kind"), F.concat(F.lit("/store/"), "event_id").alias("path"), F.col("ts").alias("modified"))
+    return views.file_retention_plan(files, as_of(), 512.0)
+
+
 @query("t6_progressive_top_k_stream", audio_sql(sp.STANDARD))
 def t6(spark, sf):
     catalog = songs(spark, sf).select("song_id", "track_name", "playlist_genre", *AUDIO_KEYS)

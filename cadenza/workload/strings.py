@@ -144,6 +144,14 @@ def h12(spark, sf):
     return table(spark, sf, "part").select("p_partkey", tx.title_from_file(path).alias("title"))
 
 
+@query(
+    "h12_file_pattern",
+    f"WITH {sp.SONGS} " + r"SELECT song_id, replace(regexp_replace(track_name, '[^\p{L}\p{N}_\s\p{Z}\-]', '', 'g'), ' ', '_') AS pattern FROM songs",
+)
+def h12_pattern(spark, sf):
+    return songs(spark, sf).select("song_id", tx.file_pattern(F.col("track_name")).alias("pattern"))
+
+
 @query(
     "h13_sections",
     f"WITH {MARKED_SQL} " + r"""SELECT doc_id, list_transform(regexp_extract_all(text, '\[([^\]\n]*)\]', 1), lambda m: m || CASE WHEN contains(lower(m), 'chorus') THEN '!' ELSE '' END) AS markers,
