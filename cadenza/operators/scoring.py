@@ -7,7 +7,7 @@ the plan, so the catalog is scanned once, in place, and never shuffled for scori
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -65,6 +65,16 @@ def in_request_batches(
     return reduce(DataFrame.unionByName, [run(seeds.where(slot == i)) for i in range(parts)])
 
 
+def per_request_batch(search: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let a search ``(catalog, seeds, ...)`` take any number of seeds."""
+
+    @wraps(search)
+    def run(catalog: DataFrame, seeds: DataFrame, *args, **kwargs) -> DataFrame:
+        return in_request_batches(seeds, lambda batch: search(catalog, batch, *args, **kwargs))
+
+    return run
+
+
 def as_seeds(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.col("song_id").alias("seed_id"), *columns)
 

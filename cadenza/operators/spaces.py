@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import arrays
-from cadenza.operators.scoring import against_seeds, score_round, top_k
+from cadenza.operators.scoring import against_seeds, per_request_batch, score_round, top_k
 
 # Weights of the hybrid vector's parts.
 HYBRID_WEIGHTS = {"w2v": 0.4, "audio": 0.3, "sentiment": 0.2, "topics": 0.1}
@@ -42,6 +42,7 @@ def _nearest(scored: DataFrame, k: int) -> DataFrame:
     return top_k(scored, ["seed_id"], [F.desc("score"), F.asc("song_id")], k)
 
 
+@per_request_batch
 def cosine_neighbours(space: DataFrame, seeds: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """Top ``k`` by cosine; ``space`` has (song_id, v), ``seeds`` (seed_id, v)."""
     pairs = against_seeds(space.select("song_id", "v"), seeds.select("seed_id", "v"), exclude_self)
@@ -49,6 +50,7 @@ def cosine_neighbours(space: DataFrame, seeds: DataFrame, k: int, exclude_self:
     return _nearest(scored, k)
 
 
+@per_request_batch
 def euclid_neighbours(space: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
     """``k`` nearest by distance, scored 1 - d / max(d) among them."""
     pairs = against_seeds(space.select("song_id", "v"), seeds.select("seed_id", "v"))
@@ -74,6 +76,7 @@ def angular_neighbours(space: DataFrame, seeds: DataFrame, k: int = 10) -> DataF
     return near.select("seed_id", "song_id", score_round(arrays.angular(F.col("score"))).alias("distance"), "rank")
 
 
+@per_request_batch
 def approximate_neighbours(
     space: DataFrame, seeds: DataFrame, k: int = 10, tables: int = 10, bucket: float = 1.0, seed: int = 42
 ) -> DataFrame:
@@ -113,6 +116,7 @@ def hybrid_space(features: DataFrame, dims: dict[str, int]) -> DataFrame:
     return out
 
 
+@per_request_batch
 def hybrid_neighbours(
     space: DataFrame, seeds: DataFrame, k: int = 5, weights: dict[str, float] = HYBRID_WEIGHTS
 ) -> DataFrame:

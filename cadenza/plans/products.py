@@ -130,10 +130,14 @@ def mood_list(features: DataFrame, mood: str, k: int = 10) -> DataFrame:
 
 def playlist(catalog: DataFrame, song_terms: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
     """``n`` songs per seed, no (title, artist) twice."""
-    scored = similar.score_pairs(catalog, song_terms, seeds, carry=("track_name", "track_artist"))
     order = [F.desc("combined"), F.asc("song_id")]
-    distinct = sc.top_k(scored, ["seed_id", "track_name", "track_artist"], order, 1, "copy").drop("copy")
-    return similar.result_rows(sc.top_k(distinct, ["seed_id"], order, n).drop("track_name", "track_artist"), catalog)
+
+    def run(batch: DataFrame) -> DataFrame:
+        scored = similar.score_pairs(catalog, song_terms, batch, carry=("track_name", "track_artist"))
+        distinct = sc.top_k(scored, ["seed_id", "track_name", "track_artist"], order, 1, "copy").drop("copy")
+        return similar.result_rows(sc.top_k(distinct, ["seed_id"], order, n).drop("track_name", "track_artist"), catalog)
+
+    return sc.in_request_batches(seeds, run)
 
 
 def component_split(score: Column, has_lyrics: Column) -> Column:

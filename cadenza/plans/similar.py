@@ -99,6 +99,7 @@ def similar_songs(
     )
 
 
+@sc.per_request_batch
 def similar_by_raw_cosine(
     catalog: DataFrame, seeds: DataFrame, k: int = 5, floor: float = sc.MIN_AUDIO
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from cadenza.functions import arrays, audio as au
 from cadenza.operators import scoring as sc, spaces as vs
 from cadenza.plans import similar
 from cadenza.plans.features import genre_leads, song_features, song_terms
+from cadenza.session import write_and_read
 from cadenza.sources.tables import AUDIO_KEYS, audio_vector, songs, table
 from cadenza.workload import sqlparts as sp
 from cadenza.workload.registry import query
@@ -165,7 +166,8 @@ knn AS (SELECT seed_id, song_id, distance, rank, round(1 - distance / far, 6) AS
 
 def audio_space(spark, sf):
     catalog = songs(spark, sf).select("song_id", "track_name", "playlist_genre", audio_vector().alias("v"))
-    space = vs.standardised(catalog, "v", len(AUDIO_KEYS))
+    # The scaled matrix is written once: the catalog side and the seeds both read it.
+    space = write_and_read(vs.standardised(catalog, "v", len(AUDIO_KEYS)), "audio-space")
     return space, sc.as_seeds(genre_leads(space), ["v"])
 
 
@@ -258,7 +260,7 @@ def hybrid_inputs(spark, sf):
         "song_id", "w2v", audio_vector().alias("audio"),
         F.array("polarity", "subjectivity", *similar.MOOD).alias("sentiment"), "topics",
     )
-    space = vs.hybrid_space(vectors, HYBRID_DIMS)
+    space = write_and_read(vs.hybrid_space(vectors, HYBRID_DIMS), "hybrid-space")
     leads = genre_leads(features.select("song_id", "track_name", "playlist_genre")).select("song_id")
     seeds = sc.as_seeds(space.join(F.broadcast(leads), "song_id", "left_semi"), list(HYBRID_DIMS))
     return space, seeds

@@ -196,3 +196,17 @@ def test_media_defaults(spark):
     row = cat.normalise_media(spark.createDataFrame([("abc", None, None, None, 7, "d" * 600, None)], schema)).first()
     assert (row.title, row.uploader, row.duration, row.view_count, len(row.description), row.n_tags) == ("Unknown", "Unknown", 0, 7, 500, 0)
     assert row.url.endswith("watch?v=abc")
+
+
+def test_catalog_build_and_lyrics_analysis(spark, sf):
+    from cadenza.sources.tables import songs
+    from cadenza.workload import texts
+
+    built = texts.i7(spark, sf).collect()
+    assert len(built) == songs(spark, sf).select("track_name", "track_artist").distinct().count()
+    assert all(len(r.w2v) == 100 and len(r.audio_scaled) == 12 for r in built)
+    assert all(sum(r.topics) == pytest.approx(1.0) or sum(r.topics) == 0.0 for r in built)
+    assert np.mean([r.audio_scaled for r in built], axis=0) == pytest.approx(np.zeros(12), abs=1e-9)
+    analysed = texts.i8(spark, sf).collect()
+    assert len(analysed) == songs(spark, sf).count()
+    assert all((sum(r.topics) > 0) == bool(r.tokens) and -1 <= r.compound <= 1 for r in analysed)
