@@ -110,6 +110,7 @@ def lexicon_sentiment(docs: DataFrame, id_col: str, text_col: str, lexicon: Data
     # Per-document values are taken below the explode: above it they would run per word.
     per_doc = base.select(
         id_col,
+        F.size("_w").alias("_n"),
         F.least(_count_of(F.col("_text"), "!"), F.lit(4)).alias("_bangs"),
         _count_of(F.col("_text"), "?").alias("_marks"),
         ((n_caps > 0) & (n_caps < F.size("_w"))).alias("_caps_differ"),
@@ -126,12 +127,14 @@ def lexicon_sentiment(docs: DataFrame, id_col: str, text_col: str, lexicon: Data
         ).alias("_items"),
     )
     per_word = per_doc.select(
-        id_col, "_bangs", "_marks", "_caps_differ", "_but", F.explode_outer("_items").alias("t")
-    ).select(id_col, "_bangs", "_marks", "_caps_differ", "_but", "t.*")
+        id_col, "_n", "_bangs", "_marks", "_caps_differ", "_but", F.explode_outer("_items").alias("t")
+    ).select(id_col, "_n", "_bangs", "_marks", "_caps_differ", "_but", "t.*")
 
     known = sized_broadcast(lexicon.select("term", "valence"))
     low = F.lower("word")
     hits = per_word.join(known, (low == F.col("term")) & ~low.isin(BOOSTERS_UP + BOOSTERS_DOWN), "left").drop("term")
+    # Only words of the lexicon go on, and one row per document to stand for the rest.
+    hits = hits.where(F.col("valence").isNotNull() | (F.coalesce("at", F.lit(1)) == 1))
     for p in ("p1", "p2", "p3"):
         other = known.select(F.col("term").alias(f"{p}_term"))
         key = F.when(F.col("valence").isNotNull(), F.lower(p))
@@ -164,7 +167,7 @@ def lexicon_sentiment(docs: DataFrame, id_col: str, text_col: str, lexicon: Data
         F.sum(s).alias("total"),
         F.sum(F.when(s > 0, s + 1).otherwise(0.0)).alias("up"),
         F.sum(F.when(s < 0, s - 1).otherwise(0.0)).alias("down"),
-        F.count(F.when((s == 0) & F.col("word").isNotNull(), 1)).alias("flat"),
+        (F.max("_n") - F.count(F.when(s != 0, 1))).alias("flat"),
         F.max("_bangs").alias("bangs"),
         F.max("_marks").alias("marks"),
     )

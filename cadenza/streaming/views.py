@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cadenza.operators.scoring import top_k
@@ -95,8 +96,11 @@ def ingest(stream: DataFrame, target_path: str, order: str, text_columns: list[s
 
     def handle(batch: DataFrame, number: int) -> None:
         clean = cat.trim_text(cat.drop_empty_fill_unknown(batch, text_columns), text_columns)
-        earlier = [f"{target_path}/batch={i}" for i in range(number) if path_exists(spark, f"{target_path}/batch={i}")]
-        target = spark.read.schema(schema).parquet(*earlier) if earlier else clean.limit(0)
+        # Earlier batches only, by partition: a repeated batch must not see its own first try.
+        target = clean.limit(0)
+        if path_exists(spark, target_path):
+            stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())]))
+            target = stored.parquet(target_path).where(F.col("batch") < number)
         append_new(target, clean, order, key).write.mode("overwrite").parquet(f"{target_path}/batch={number}")
 
     run_batches(stream, "ingest", handle)
