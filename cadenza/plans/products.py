@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import audio, text as tx
-from cadenza.operators import scoring as sc, spaces as vs
+from cadenza.operators import scoring as sc, search, spaces as vs
 from cadenza.plans import similar
+from cadenza.session import write_and_read
 from cadenza.sources.tables import AUDIO_KEYS
 
 # Mood prototypes; features not named are 0.
@@ -140,6 +141,25 @@ def playlist(catalog: DataFrame, song_terms: DataFrame, seeds: DataFrame, n: int
     return sc.in_request_batches(seeds, run)
 
 
+def recommend_by_name(
+    catalog: DataFrame, song_terms: DataFrame, requests: DataFrame, k: int = 5, with_artist: bool = False
+) -> DataFrame:
+    """Recommendations for the first song that bears each requested title (and artist)."""
+    artist = "track_artist" if with_artist else None
+    found = search.first_matches(catalog, requests, "track_name", "song_id", artist).select("song_id").distinct()
+    seeds = sc.as_seeds(catalog.join(found, "song_id", "left_semi"), similar.SEED_COLUMNS)
+    return similar.similar_songs(catalog, song_terms, write_and_read(seeds, "seeds"), k)
+
+
+def recommend_for_genre(
+    catalog: DataFrame, song_terms: DataFrame, genre: str, offset: int = 0, limit: int = 10, k: int = 5
+) -> DataFrame:
+    """Recommendations for every song on one page of a genre."""
+    page = search.page(catalog.where(F.col("playlist_genre") == genre), ["track_name", "song_id"], offset, limit)
+    seeds = sc.as_seeds(page, similar.SEED_COLUMNS)
+    return similar.similar_songs(catalog, song_terms, write_and_read(seeds, "seeds"), k)
+
+
 def component_split(score: Column, has_lyrics: Column) -> Column:
     """One score split over its components."""
     return F.create_map(F.lit("audio"), score * 0.6, F.lit("lyrics"), F.when(has_lyrics, score * 0.4).otherwise(F.lit(0.0)))

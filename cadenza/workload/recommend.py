@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import audio, text as tx
-from cadenza.operators import aggregates as ag, scan_order as so, scoring as sc, search, spaces as vs
+from cadenza.operators import aggregates as ag, scan_order as so, scoring as sc, spaces as vs
 from cadenza.operators.sentiment import lexicon_sentiment
 from cadenza.plans import products as pr, similar
 from cadenza.plans.features import feature_lexicon, genre_leads, song_features, song_terms
@@ -118,9 +118,7 @@ PAGE_SQL = "(SELECT song_id AS seed_id FROM songs WHERE playlist_genre = 'de' OR
     f"WITH {sp.BASE.replace(sp.LEADS, f'leads AS {PAGE_SQL}')}, {sp.scored()}, {sp.refined(5)} SELECT {RESULT} FROM ranked",
 )
 def d23(spark, sf):
-    features = song_features(spark, sf)
-    page = search.page(features.where("playlist_genre = 'de'"), ["track_name", "song_id"], 0, 10)
-    return similar.similar_songs(features, song_terms(spark, sf), sc.as_seeds(page, similar.SEED_COLUMNS), k=5)
+    return pr.recommend_for_genre(song_features(spark, sf), song_terms(spark, sf), "de")
 
 
 NAMED_SQL = """named AS (SELECT track_name AS title FROM (SELECT *, row_number() OVER (PARTITION BY track_artist ORDER BY track_name, song_id) AS r FROM songs) WHERE r = 1),
@@ -135,9 +133,7 @@ def d24(spark, sf):
     features = song_features(spark, sf)
     first = features.groupBy("track_artist").agg(F.min(F.struct("track_name", "song_id")).alias("f"))
     named = first.select(F.col("f.track_name").alias("title")).distinct()
-    found = search.first_matches(features, named, "track_name", "song_id").select("song_id").distinct()
-    seeds = features.join(found, "song_id", "left_semi")
-    return similar.similar_songs(features, song_terms(spark, sf), sc.as_seeds(seeds, similar.SEED_COLUMNS), k=5)
+    return pr.recommend_by_name(features, song_terms(spark, sf), named)
 
 
 @query(

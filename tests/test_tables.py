@@ -146,3 +146,16 @@ def test_retention_ignores_null_ids(spark):
     catalog = spark.createDataFrame([(1, False), (2, False), (3, True)], "song_id BIGINT, orig BOOLEAN")
     recent = spark.createDataFrame([(1,), (None,)], "song_id BIGINT")
     assert ids(jn.keep_recommended(catalog, recent, "song_id", F.col("orig"))) == [1, 3]
+
+
+@pytest.mark.parametrize("keep", [1, 3, 4, 100])
+def test_vocabulary_keeps_the_most_frequent_terms(spark, keep):
+    from cadenza.operators.aggregates import document_frequency
+
+    docs = [["a", "b", "c"], ["a", "b", "d", "d"], ["a", "c", "e"], ["f", "b"], ["g"]]
+    df = spark.createDataFrame([(d,) for d in docs], "tokens ARRAY<STRING>")
+    counts = {t: sum(t in d for d in docs) for d in docs for t in d}
+    allowed = [t for t, n in counts.items() if 1 <= n <= 0.6 * len(docs)]
+    expected = sorted(allowed, key=lambda t: (-counts[t], t))[:keep]
+    got = document_frequency(df, "tokens", 1, 0.6, keep).collect()
+    assert sorted((r.term, r.df) for r in got) == sorted((t, counts[t]) for t in expected)
