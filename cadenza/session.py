@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,14 +35,18 @@ def local_session(cores: str | int = "*", app: str = "cadenza", **conf: str) ->
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediates.
+    """The shared folder for written intermediates, named by ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder is chosen.
+    A session in one local process may leave it unset and gets a folder of its own. On a
+    cluster an unset option is an error: a machine-local folder would hide each executor's
+    files from the others.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder (master {master})")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="cadenza-")
