@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import packing, quality_rules, sharding, url_filter
+from cadenza.llm import (
+    class_lm, longest_match, minhash_join, multi_index, packing, piece_viterbi, quality_rules, sharding, url_filter,
+    weak_labels,
+)
 from cadenza.llm.tables import given
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +77,33 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(given(spark, sf_dir, "documents"), [1.0] * SHARDS)
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify_documents(given(spark, sf_dir, "documents"), given(spark, sf_dir, "labels"))
+
+
+@query
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(given(spark, sf_dir, "documents"))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longest_match.count_tokens(given(spark, sf_dir, "documents"), PIECES)
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_viterbi.encode_documents(given(spark, sf_dir, "documents"), PIECES)
+
+
+@query
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_documents(given(spark, sf_dir, "documents"))
+
+
+@query
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(given(spark, sf_dir, "embeddings"))
