@@ -2,18 +2,19 @@
 
 Equal shingle sets form one class first, so copies are never compared. A class has one
 MinHash value per coordinate. Two classes are candidates when at least ``matches`` of their
-``coordinates`` agree. Documents are posted under (coordinate, value) pairs, and
+``coordinates`` agree. Classes are posted under (coordinate, value) pairs, and
 
 * prefix: under one total order of all pairs, rare before frequent, two classes that agree
   in ``matches`` pairs share one of their first ``coordinates - matches + 1``. Only these
   are posted. Any total order keeps this true; the one used orders by a counting sketch of
   fixed size, so common shingles end up outside the prefixes;
-* skip merging: a first pass merges each posting list through one member of it (its least
-  class), one candidate per posting. Lists whose classes are then in one component are
-  skipped for good; in the others only classes of different components are paired.
+* skip merging: a posting carries one byte per coordinate of its class. The members of a list
+  are merged by counting agreeing bytes; a list hands on a forest of those that agree, so
+  members already connected are skipped and no list emits all its pairs.
 
-Candidates with enough agreeing coordinates are confirmed on their full shingle sets. Links
-inside a component already found would not change any result, so skipping loses none.
+The components of these forests hold all candidates. Inside a component all pairs are
+confirmed on their full shingle sets, unless links found before connect them already. Lists
+and components above a bounded size are cut into blocks that meet pairwise.
 """
 
 from __future__ import annotations
@@ -22,16 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import arrow_text as at
 from cadenza.llm.components import components
-from cadenza.llm.tables import settle
+from cadenza.llm.tables import gathered, settle
 
 COORDINATES = 48
 #: Least agreeing coordinates of a candidate: at Jaccard 0.8 fewer than this has a chance near 1e-5.
 MATCHES = 27
+#: Members of a list or component that one task compares with as many others; longer ones are cut.
+BLOCK = 2048
+#: Shingles in such a block of a component, so that long texts bound it as well.
+BLOCK_SHINGLES = 1 << 20
+#: Lists up to this length hand on their agreeing pairs as they are, longer ones a forest.
+SHORT_LIST = 64
 #: Counters of the sketch that orders postings: fixed size, whatever the corpus.
 SKETCH_BITS = 18
 PERCENT = 80
@@ -134,105 +141,248 @@ def posting_sketch(classes: DataFrame, coordinates: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["bucket", "n"])
 
     counted = classes.select("signature").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()  # at most 2 ** SKETCH_BITS rows
+    got = gathered(counted)  # at most 2 ** SKETCH_BITS rows
     sketch = np.zeros(size, np.int64)
-    sketch[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    sketch[got["bucket"]] = got["n"]
     return sketch
 
 
 def postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(token, node): each class under its ``coordinates - matches + 1`` rarest pairs."""
+    """(token, node, bytes, often): each class under its ``coordinates - matches + 1`` rarest pairs.
+
+    ``bytes`` has the last byte of every coordinate's value, ``often`` the sketch's count,
+    which no list of the token exceeds.
+    """
     prefix = coordinates - matches + 1
     sketch = classes.sparkSession.sparkContext.broadcast(posting_sketch(classes, coordinates))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = _pair_names(_signature_rows(batch.column(1), coordinates))
+            signatures = _signature_rows(batch.column(1), coordinates)
+            names = _pair_names(signatures)
             often = sketch.value[(names & at.U64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
             rare = np.lexsort((names, often))[:, :prefix]
             tokens = np.take_along_axis(names, rare, 1).view(np.int64).ravel()
+            counts = np.take_along_axis(often, rare, 1).ravel()
             nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), prefix)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes)], ["token", "node"])
-
-    return classes.select("node", "signature").mapInArrow(post, "token long, node long")
-
-
-def agreeing(pairs: DataFrame, classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in at least ``matches`` coordinates."""
-    left = classes.select(F.col("node").alias("a"), F.col("signature").alias("sign_a"))
-    right = classes.select(F.col("node").alias("b"), F.col("signature").alias("sign_b"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = _signature_rows(batch.column(2), coordinates) == _signature_rows(batch.column(3), coordinates)
-            yield batch.select([0, 1]).filter(pa.array(same.sum(1) >= matches))
-
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sign_a", "sign_b")
-    return joined.mapInArrow(count, "a long, b long")
+            short = (signatures & np.uint32(255)).astype(np.uint8)
+            packed = pa.array([row.tobytes() for row in short], pa.binary())
+            packed = packed.take(pa.array(np.repeat(np.arange(len(short)), prefix)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens), pa.array(nodes), packed, pa.array(counts)], ["token", "node", "bytes", "often"]
+            )
+
+    return classes.select("node", "signature").mapInArrow(post, "token long, node long, bytes binary, often long")
+
+
+def _block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Each row once per pair of blocks its own block belongs to, as (low, high, is_low)."""
+    own = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
+    dealt = rows.withColumns({"_own": own, "_other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    return dealt.withColumns(
+        {"low": F.least("_own", "_other"), "high": F.greatest("_own", "_other"), "is_low": F.col("_own") <= F.col("_other")}
+    ).drop("_own", "_other")
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """A sorted partition in pieces of whole groups: the last group of a batch waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changes = np.zeros(batch.num_rows, bool)
+        for key in keys:
+            values = batch.column(key).to_numpy(zero_copy_only=False)
+            changes[1:] |= values[1:] != values[:-1]
+        changes[0] = bool(held) and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys)
+        cuts = np.flatnonzero(changes)
+        if len(cuts):
+            if held or cuts[-1]:
+                yield pa.Table.from_batches([*held, batch.slice(0, int(cuts[-1]))]).combine_chunks()
+            held = [batch.slice(int(cuts[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _group_bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
+    changes = np.zeros(table.num_rows + 1, bool)
+    changes[[0, -1]] = True
+    for key in keys:
+        values = table.column(key).to_numpy()
+        changes[1:-1] |= values[1:] != values[:-1]
+    return np.flatnonzero(changes)
+
+
+def _rows_of(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Agreeing coordinates of every row of ``a`` with every row of ``b``."""
+    total = np.zeros((len(a), len(b)), np.uint8)
+    for i in range(a.shape[1]):
+        total += a[:, i][:, None] == b[:, i][None, :]
+    return total
+
+
+def spanning_forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the least node each reaches by links between left and right, itself left out."""
+    most = np.iinfo(np.int64).max
+    a, b = left.copy(), right.copy()
+    while True:
+        low_a = np.minimum(a, np.where(linked, b[None, :], most).min(1))
+        low_b = np.minimum(b, np.where(linked, low_a[:, None], most).min(0))
+        if (low_a == a).all() and (low_b == b).all():
+            break
+        a, b = low_a, low_b
+    nodes, least = np.concatenate([left, right]), np.concatenate([a, b])
+    other = nodes != least
+    return nodes[other], least[other]
+
+
+LIST_KEYS = ["token", "low", "high"]
+
+
+def candidate_forest(posted: DataFrame, coordinates: int, matches: int) -> DataFrame:
+    """(a, b) links that connect all classes that share a list and agree in ``matches`` coordinates."""
+    # Only a token whose sketch count exceeds a block can have a longer list.
+    long_lists = posted.where(F.col("often") > BLOCK).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    cut = settle(
+        long_lists.where(F.col("n") > BLOCK).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
+        "long-lists",
+    )
+    dealt = _block_pairs(posted.drop("often").join(cut, "token", "left"), F.coalesce("blocks", F.lit(1))).drop("blocks")
+    partitions = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(partitions, *LIST_KEYS).sortWithinPartitions(*LIST_KEYS)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _stretches(batches, LIST_KEYS):
+            node = table["node"].to_numpy()
+            signs = _rows_of(table["bytes"], np.uint8, coordinates)
+            is_low = table["is_low"].combine_chunks().to_numpy(zero_copy_only=False)
+            whole = table["low"].to_numpy() == table["high"].to_numpy()
+            bounds = _group_bounds(table, LIST_KEYS)
+            sizes = np.diff(bounds)
+            end = np.repeat(bounds[1:], sizes)
+            short = np.repeat(sizes <= SHORT_LIST, sizes)
+            found = []
+            for step in range(1, min(int(sizes.max()), SHORT_LIST)):
+                first = np.flatnonzero(short[:-step] & (np.arange(len(node) - step) + step < end[:-step]))
+                meets = whole[first] | (is_low[first] != is_low[first + step])
+                first = first[meets]
+                agree = (signs[first] == signs[first + step]).sum(1) >= matches
+                found.append((node[first[agree]], node[first[agree] + step]))
+            for start, stop in zip(bounds[:-1][sizes > SHORT_LIST], bounds[1:][sizes > SHORT_LIST]):
+                rows = np.arange(start, stop)
+                left, right = (rows, rows) if whole[start] else (rows[is_low[rows]], rows[~is_low[rows]])
+                linked = _agreement(signs[left], signs[right]) >= matches
+                found.append(spanning_forest(linked, node[left], node[right]))
+            a, b = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return ordered.mapInArrow(merge, "a long, b long").where(F.col("a") > F.col("b")).distinct()
 
 
 def full_sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(node, shingles array<long>) of the ``wanted`` (node, key) classes, from their whole texts."""
+    """(node, shingles) of the ``wanted`` (node, member) classes, from a whole text of each."""
+    known = wanted.select(F.col("member").alias("_member"), F.col("node").alias("_wanted"))
+    bodies = docs.join(known, F.col(key) == F.col("_member")).select("_wanted", F.col(text).alias("_body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, raw, offsets in at.slices(batch, text):
+            asked = at.column(batch, "_wanted").to_numpy(zero_copy_only=False)
+            for start, end, raw, offsets in at.slices(batch, "_body"):
                 shingles, bounds = shingle_sets(raw, offsets, width)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(class_hashes(shingles, bounds).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(shingles.view(np.int64))),
-                    ],
-                    ["node", "shingles"],
-                )
+                nodes = class_hashes(shingles, bounds).view(np.int64)
+                values = pa.array([shingles[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())
+                # A key may come with several texts: only that of the wanted class counts.
+                own = pa.array(nodes == asked[start:end])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), values], ["node", "shingles"]).filter(own)
 
-    bodies = docs.join(wanted.select(F.col("member").alias(key)).distinct(), key, "left_semi").select(key, text)
-    sets = bodies.mapInArrow(run, "node long, shingles array<long>")
-    # A key may come with several texts; only the wanted class counts, once.
-    return sets.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    # Rows that repeat a key and a text give the same set.
+    return bodies.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union on their full sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = settle(classes.join(nodes, "node", "left_semi").select("node", "member"), "wanted")
-    sets = settle(full_sets(docs, key, text, width, wanted), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    met = pairs.join(left, "a").join(right, "b")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return met.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+def confirmed_forest(sets: DataFrame, percent: int, coordinates: int, matches: int) -> DataFrame:
+    """(a, b) links that connect what links of 100 * intersection >= percent * union connect.
+
+    ``sets`` has (component, blocks, node, shingles): only rows of one component are compared.
+    """
+    keys = ["component", "low", "high"]
+    partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _block_pairs(sets, F.col("blocks")).drop("blocks")
+    ordered = dealt.repartition(partitions, *keys).sortWithinPartitions(*keys)
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _stretches(batches, keys):
+            node = table["node"].to_numpy()
+            is_low = table["is_low"].combine_chunks().to_numpy(zero_copy_only=False)
+            whole = table["low"].to_numpy() == table["high"].to_numpy()
+            bodies = table["shingles"].combine_chunks()
+            bounds = _group_bounds(table, keys)
+            links: list[tuple[int, int]] = []
+            for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if stop - start > 1:
+                    own = [np.frombuffer(b, at.U64) for b in bodies[start:stop].to_pylist()]
+                    low = np.ones(stop - start, bool) if whole[start] else is_low[start:stop]
+                    links += linked_sets(own, node[start:stop], low, bool(whole[start]), percent, coordinates, matches)
+            a, b = zip(*links) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return ordered.mapInArrow(confirm, "a long, b long")
+
+
+def linked_sets(
+    sets: list[np.ndarray], nodes: np.ndarray, low: np.ndarray, whole: bool, percent: int, coordinates: int, matches: int
+) -> list[tuple[int, int]]:
+    """Links between sorted shingle sets that connect all that are similar enough.
+
+    Without ``whole`` only ``low`` sets meet the others. Sets whose signatures agree too
+    little and sets that links already connect are not intersected.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.concatenate(sets)
+    signs = (minhash(flat, bounds, coordinates) & np.uint32(255)).astype(np.uint8)
+    names, ids = np.unique(flat, return_inverse=True)
+    flags = np.zeros(len(names), bool)
+    group = np.arange(len(sets))
+    links = []
+    for i in np.flatnonzero(low).tolist():
+        later = np.arange(i + 1, len(sets)) if whole else np.flatnonzero(~low)
+        later = later[group[later] != group[i]]
+        smaller, larger = np.minimum(sizes[i], sizes[later]), np.maximum(sizes[i], sizes[later])
+        later = later[100 * smaller >= percent * larger]
+        later = later[(signs[later] == signs[i]).sum(1) >= matches]
+        if not len(later):
+            continue
+        flags[ids[bounds[i] : bounds[i + 1]]] = True
+        for j in later.tolist():
+            if group[j] == group[i]:
+                continue
+            both = int(np.count_nonzero(flags[ids[bounds[j] : bounds[j + 1]]]))
+            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                links.append((int(nodes[i]), int(nodes[j])))
+                group[group == group[j]] = group[i]
+        flags[ids[bounds[i] : bounds[i + 1]]] = False
+    return links
 
 
 def link_classes(
     classes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int, coordinates: int, matches: int
 ) -> DataFrame:
     """(a, b) links between classes that connect all classes any link connects."""
-    posted = settle(postings(classes, coordinates, matches), "postings")
-    shared = posted.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top"))
-    lists = settle(shared.where(F.col("hub") < F.col("top")).select("token", "hub"), "lists")
-    posted = settle(posted.join(lists, "token"), "shared-postings")
-
-    stars = posted.where(F.col("node") > F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    near = settle(agreeing(settle(stars.distinct(), "stars"), classes, coordinates, matches), "star-pairs")
-    first = settle(confirmed(near, classes, docs, key, text, width, percent), "star-links")
-
-    found = settle(components(first, "a", "b"), "first-components")
-    placed = settle(
-        posted.select("token", "node").join(found, "node", "left").select(
-            "token", "node", F.coalesce("component", "node").alias("component")
-        ),
-        "placed-postings",
-    )
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = settle(mixed.where(F.col("low") < F.col("high")).select("token"), "mixed-lists")
-    open_lists = settle(placed.join(mixed, "token", "left_semi"), "open-postings")
-    one = open_lists.select("token", F.col("node").alias("a"), F.col("component").alias("component_a"))
-    two = open_lists.select("token", F.col("node").alias("b"), F.col("component").alias("component_b"))
-    across = one.join(two, "token").where(F.col("component_a") < F.col("component_b")).select("a", "b").distinct()
-    rest = settle(agreeing(settle(across, "cross-pairs"), classes, coordinates, matches), "cross-near")
-    second = confirmed(rest, classes, docs, key, text, width, percent)
-    return first.unionByName(second)
+    forest = candidate_forest(postings(classes, coordinates, matches), coordinates, matches)
+    found = settle(components(forest, "a", "b"), "candidates")
+    wanted = settle(classes.select("node", "member", "n_shingles").join(found, "node"), "wanted")
+    sizes = wanted.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    sizes = settle(sizes.select("component", blocks.alias("blocks")), "component-sizes")
+    placed = settle(wanted.select("node", "component").join(sizes, "component"), "placed")
+    sets = full_sets(docs, key, text, width, wanted).join(placed, "node")
+    return confirmed_forest(sets, percent, coordinates, matches)
 
 
 def near_duplicates(
@@ -256,7 +406,10 @@ def near_duplicates(
     signed = settle(sign_documents(docs, key, text, width, coordinates), "signed")
     able = signed.where(F.col(key).isNotNull() & F.col("node").isNotNull())
     classes = settle(
-        able.groupBy("node").agg(F.min(key).alias("member"), F.first("signature").alias("signature")), "classes"
+        able.groupBy("node").agg(
+            F.min(key).alias("member"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+        ),
+        "classes",
     )
     links = link_classes(classes, docs, key, text, width, percent, coordinates, matches)
     found = settle(components(links, "a", "b"), "components")
@@ -267,3 +420,29 @@ def near_duplicates(
     named = settle(classes.join(linked, "node", "left").select("node", F.coalesce("least", "member").alias("own")), "named")
     out = rows.join(named, "node", "left").withColumn("component_id", F.when(F.col(key).isNotNull(), F.coalesce("own", key)))
     return out.select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The documents that stay: of each group of near duplicates the row with the least key.
+
+    Rows with a null key and texts without words all stay, except that of rows that repeat a
+    key one stays. All columns are returned.
+    """
+    rows = near_duplicates(docs, key, text, width, percent)
+    told = rows.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("kept").alias("any_kept")
+    )
+    # Only keys with something to decide take part in the join.
+    decided = settle(
+        told.where((F.col("rows") > 1) | ~F.col("any_kept")).select(
+            F.col(key).alias("_key"), (~F.col("any_kept")).alias("_gone")
+        ),
+        "decided",
+    )
+    gone = decided.where("_gone").select("_key")
+    repeated = decided.where(~F.col("_gone")).select("_key")
+    left = docs.join(gone, F.col(key) == F.col("_key"), "left_anti")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key])
+    return left.join(repeated, F.col(key) == F.col("_key"), "left_anti").unionByName(once)

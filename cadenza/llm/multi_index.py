@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import arrow_text as at
 from cadenza.llm.components import components
+from cadenza.llm.minhash_join import spanning_forest
 from cadenza.llm.tables import settle
 
 COSINE = 0.98
@@ -177,18 +178,6 @@ def assign_cells(classes: DataFrame, books: Codebooks, reach: float) -> DataFram
     return classes.mapInArrow(run, f"{kinds}, space int, home int, visited array<int>")
 
 
-def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least node each left and right node reaches by links."""
-    most = np.iinfo(np.int64).max
-    a, b = left.copy(), right.copy()
-    while True:
-        low_a = np.minimum(a, np.where(linked, b[None, :], most).min(1))
-        low_b = np.minimum(b, np.where(linked, low_a[:, None], most).min(0))
-        if (low_a == a).all() and (low_b == b).all():
-            return a, b
-        a, b = low_a, low_b
-
-
 def _meet(cosine: float):
     """Counts and forest links of one block of visitors against one block of a cell."""
 
@@ -204,13 +193,16 @@ def _meet(cosine: float):
         p, h = np.flatnonzero(visitor), np.flatnonzero(~visitor)
         own = table["own"].to_numpy(zero_copy_only=False)[p]
         linked = (units[p] @ units[h].T >= cosine) & (node[p][:, None] != node[h][None, :])
-        least_p, least_h = _forest(linked, node[p], node[h])
         # Vectors of the same cell meet twice, once from either side; others once.
         links = np.concatenate([linked @ weight[h], weight[p][~own] @ linked[~own]])
         nodes = np.concatenate([node[p], node[h]])
-        least = np.concatenate([least_p, least_h])
-        told = (links > 0) | (least != nodes)
-        return pa.table({"node": nodes[told], "links": links[told].astype(np.int64), "near": least[told]})
+        some = links > 0
+        one, least = spanning_forest(linked, node[p], node[h])
+        return pa.table({
+            "node": np.concatenate([nodes[some], one]),
+            "links": np.concatenate([links[some].astype(np.int64), np.zeros(len(one), np.int64)]),
+            "near": np.concatenate([nodes[some], least]),
+        })
 
     return run
 

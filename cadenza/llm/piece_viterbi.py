@@ -42,6 +42,8 @@ class PieceCoder:
     def __init__(self, pieces: list[tuple[str, int, float]], byte_ids: list[int], remembered: int = REMEMBERED) -> None:
         if any(MARK in p.lstrip(MARK) for p, _, _ in pieces):
             raise ValueError("a piece has a mark after another character")
+        if all(p != MARK for p, _, _ in pieces):
+            raise ValueError("the mark must be a piece")
         self.byte_ids = byte_ids
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
         self.text_of = {i: p for p, i, _ in pieces}

@@ -44,7 +44,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FERTILITY = ["n_tokens", "chars_per_token", "fallback_share", "token_entropy"]
 
 
-def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many bytes of each row are flagged."""
     total = np.concatenate([[0], np.cumsum(flags)])
     return total[offsets[1:]] - total[offsets[:-1]]
@@ -72,8 +72,8 @@ def text_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     repeated = covered[: len(words.rows)] > 0
     return {
         "n_words": words.per_row,
-        "word_chars": _per_row(in_word, offsets),
-        "n_symbols": _per_row(_SYMBOL[raw], offsets),
+        "word_chars": per_row(in_word, offsets),
+        "n_symbols": per_row(_SYMBOL[raw], offsets),
         "n_dup_lines": _duplicate_lines(raw, offsets, words, rows),
         "n_repeat_words": np.bincount(words.rows[repeated], minlength=rows),
     }

@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_PATTERN = public_tokenizers.PATTERN
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 8
 
@@ -66,7 +67,7 @@ FROM placed LEFT JOIN (SELECT * FROM met WHERE n = 1) USING (r)
 
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(given(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    return packing.pack_documents(given(spark, sf_dir, "documents"), BYTE_RANKS, BYTE_PATTERN)
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,3 +21,9 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 def ascii_lower(value: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def gathered(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a result of bounded size, by Arrow; numbers without nulls."""
+    table = df.toArrow()
+    return {name: table.column(name).to_numpy() for name in table.column_names}

@@ -1,14 +1,13 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote good, bad or nothing on each text. Expectation
-maximisation over the counts of vote patterns estimates how often each labeller is right
-and how common bad texts are; the posterior of a pattern labels its texts. A logistic
+maximisation over the counts of vote patterns estimates how often each labeller is right; the posterior of a pattern labels its texts. A logistic
 scorer over hashed features learns from the posteriors of a bounded sample and judges all
 documents.
 
 Vote patterns number at most ``3 ** labellers``, so the statistics that EM needs stay small
-whatever the corpus, and cover all of it. Abusive words are learnt from a bounded sample of
-labelled rows; every other rule is fixed.
+whatever the corpus, and cover all of it. Abusive words are learnt per language from a
+bounded sample of labelled rows; every other rule is fixed.
 """
 
 from __future__ import annotations
@@ -23,22 +22,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm import arrow_text as at
-from cadenza.llm.quality_rules import text_counts
+from cadenza.llm.quality_rules import per_row, text_counts
+from cadenza.llm.tables import gathered
 
 #: Labelled rows, chosen by hash, from which abusive words are learnt.
 LABELLED_SAMPLE = 20_000
 #: Documents, chosen by hash, that the scorer trains on, about.
 TRAINING_SAMPLE = 8_192
-#: Abusive words kept, and how much more often they must be in toxic texts.
-MARKER_WORDS = 256
-MARKER_ODDS = 50.0
-MARKER_TEXTS = 5
+#: Abusive words kept at most; in how many and what share of a language's toxic texts they
+#: must be, and how much more often than in its others.
+MARKER_WORDS = 1024
+MARKER_TEXTS = 4
+MARKER_SHARE = 0.12
+MARKER_ODDS = 30.0
 #: Hashed feature buckets and passes of the scorer.
 FEATURE_BITS = 18
 EPOCHS = 12
 
 LABELLERS = [
-    "symbols", "adjacent_repeats", "repeated_windows", "duplicate_lines", "abuse", "dense_abuse",
+    "symbols", "adjacent_repeats", "repeated_windows", "duplicate_lines", "shouting", "abuse", "dense_abuse",
     "clean_prose", "punctuated", "varied",
 ]
 GOOD, ABSTAIN, BAD = 0, 1, 2
@@ -56,6 +58,7 @@ def text_measures(raw: np.ndarray, offsets: np.ndarray, markers: np.ndarray) ->
     stops = np.isin(final, np.frombuffer(b".!?", np.uint8))
     sentences = np.bincount(words.rows[stops], minlength=rows)
     abusive = np.isin(bare_hashes(words), markers)
+    upper, lower = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122)
     lines = np.bincount(np.searchsorted(offsets, np.flatnonzero(raw == 10), "right") - 1, minlength=rows) + 1
     own = at.mix(words.hashes ^ at.mix(words.rows.astype(at.U64) + at.U64(1)))
     _, first = np.unique(own, return_index=True)
@@ -67,6 +70,8 @@ def text_measures(raw: np.ndarray, offsets: np.ndarray, markers: np.ndarray) ->
         "repeated": counts["n_repeat_words"] / n,
         "dup_lines": counts["n_dup_lines"] / lines,
         "sentences": sentences / n,
+        "capitals": per_row(upper, offsets) / np.maximum(per_row(upper | lower, offsets), 1),
+        "bangs": per_row(raw == ord("!"), offsets) / n,
         "abusive": np.bincount(words.rows[abusive], minlength=rows).astype(float),
         "abuse": np.bincount(words.rows[abusive], minlength=rows) / n,
         # Distinct words against what a text of that length would have at most.
@@ -90,11 +95,14 @@ def bare_hashes(words: at.Words) -> np.ndarray:
 def votes(m: dict[str, np.ndarray]) -> np.ndarray:
     """Rows x labellers of GOOD, ABSTAIN or BAD."""
     some = m["n_words"] > 0
-    calm = (m["symbols"] < 0.01) & (m["adjacent"] < 0.05) & (m["repeated"] < 0.2) & (m["abusive"] == 0)
+    loud = (m["capitals"] > 0.5) | (m["bangs"] > 0.3)
+    abusive, dense = m["abusive"] >= 2, (m["abusive"] >= 1) & (m["abuse"] >= 0.005)
+    civil = some & (m["symbols"] <= 0.05) & (m["adjacent"] <= 0.2) & ~loud & ~abusive & ~dense
+    plain = civil & (m["symbols"] < 0.01) & (m["adjacent"] < 0.1) & (m["repeated"] < 0.3) & (m["dup_lines"] < 0.4)
     rules = [
-        (m["symbols"] > 0.05, BAD), (m["adjacent"] > 0.15, BAD), (m["repeated"] > 0.3, BAD),
-        (m["dup_lines"] > 0.3, BAD), (m["abusive"] >= 1, BAD), (m["abuse"] >= 0.002, BAD),
-        (calm & some, GOOD), (calm & (m["sentences"] > 0.01), GOOD), (calm & (m["varied"] > 0.4), GOOD),
+        (m["symbols"] > 0.05, BAD), (m["adjacent"] > 0.2, BAD), (m["repeated"] > 0.4, BAD),
+        (m["dup_lines"] > 0.5, BAD), (some & loud, BAD), (abusive, BAD), (dense, BAD),
+        (plain, GOOD), (civil & (m["sentences"] > 0.01), GOOD), (civil & (m["varied"] > 0.4), GOOD),
     ]
     return np.stack([np.where(hit, kind, ABSTAIN) for hit, kind in rules], 1)
 
@@ -109,87 +117,99 @@ def votes_of(pattern: np.ndarray, labellers: int) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """Accuracies of the labellers and the share of bad texts."""
+    """The chance of each labeller to be right when it votes."""
 
     accuracy: np.ndarray
-    bad_share: float
 
     def posterior(self, table: np.ndarray) -> np.ndarray:
-        """The chance of bad for rows of votes."""
-        weight = np.log(self.accuracy / (1 - self.accuracy))
-        logit = np.log(self.bad_share / (1 - self.bad_share)) + (table - 1) @ weight
+        """The chance of bad for rows of votes; one half without a vote."""
+        logit = (table - 1) @ np.log(self.accuracy / (1 - self.accuracy))
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 100) -> LabelModel:
-    """EM with weak priors: a labeller starts as right in 8 of 10 votes, bad texts as 1 in 10.
+#: What is assumed of a labeller before the texts are seen: right in 8 of 10 votes.
+PRIOR_RIGHT, PRIOR_VOTES = 8.0, 10.0
 
-    Labellers are taken as independent given the class and better than chance. With no
-    patterns the priors are the result.
+
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 200) -> LabelModel:
+    """EM over vote patterns. Votes are independent given the class, and better than chance.
+
+    Neither class is taken as more common: most labellers vote one way only, and a class
+    balance learnt from them would talk the rarer kind down. With no patterns the prior is
+    the result.
     """
     table, counts = votes_of(patterns, labellers), counts.astype(float)
-    model = LabelModel(np.full(labellers, 0.8), 0.1)
+    given = ((table != ABSTAIN) * counts[:, None]).sum(0)
+    model = LabelModel(np.full(labellers, PRIOR_RIGHT / PRIOR_VOTES))
     for _ in range(rounds):
         bad = model.posterior(table)
         right = np.where(table == BAD, bad[:, None], np.where(table == GOOD, 1 - bad[:, None], 0.0))
-        given = ((table != ABSTAIN) * counts[:, None]).sum(0)
-        accuracy = np.clip(((right * counts[:, None]).sum(0) + 8) / (given + 10), 0.55, 0.999)
-        share = float(np.clip(((bad * counts).sum() + 1) / (counts.sum() + 10), 0.001, 0.5))
-        done = np.abs(accuracy - model.accuracy).max(initial=0) < 1e-9 and abs(share - model.bad_share) < 1e-9
-        model = LabelModel(accuracy, share)
+        accuracy = ((right * counts[:, None]).sum(0) + PRIOR_RIGHT) / (given + PRIOR_VOTES)
+        accuracy = np.clip(accuracy, 0.55, 0.999)
+        done = np.abs(accuracy - model.accuracy).max(initial=0) < 1e-9
+        model = LabelModel(accuracy)
         if done:
             break
     return model
 
 
-def learn_markers(docs: DataFrame, labels: DataFrame, key: str, text: str) -> np.ndarray:
-    """Hashes of words that mark toxic texts, from at most ``LABELLED_SAMPLE`` labelled rows."""
+def learn_markers(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str | None) -> np.ndarray:
+    """Hashes of words that mark toxic texts of a language, from at most ``LABELLED_SAMPLE`` labelled rows.
+
+    A marker is in ``MARKER_SHARE`` of a language's toxic texts, and ``MARKER_ODDS`` times as
+    often in them as in its others. Equal texts count once.
+    """
     told = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).select(key, "toxic").distinct()
     sample = told.orderBy(F.xxhash64(key, "toxic"), key, "toxic").limit(LABELLED_SAMPLE)
+    language = F.coalesce(F.col(lang).cast("string"), F.lit("?")) if lang else F.lit("?")
     # At most LABELLED_SAMPLE rows of two numbers.
-    texts = docs.select(key, text).join(F.broadcast(sample), key).select(text, "toxic")
+    met = docs.select(key, F.col(text).alias("_body"), language.alias("_lang")).join(F.broadcast(sample), key)
+    texts = met.select("_lang", (F.col("toxic") == 1).cast("int").alias("_bad"), "_body", F.xxhash64("_body").alias("_name"))
+    once = texts.dropDuplicates(["_name"]).drop("_name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = np.array([int(t == 1) for t in at.column(batch, "toxic").to_pylist()], np.int64)
-            for start, end, raw, offsets in at.slices(batch, text):
+            for start, end, raw, offsets in at.slices(batch, "_body"):
                 words = at.words_of(raw, offsets, lower=True)
                 bare = bare_hashes(words)
                 _, first = np.unique(at.mix(bare ^ at.mix(words.rows.astype(at.U64) + at.U64(1))), return_index=True)
-                names, inverse = np.unique(bare[first], return_inverse=True)
-                bad = toxic[start:end][words.rows[first]]
-                in_bad = np.bincount(inverse, bad, len(names)).astype(np.int64)
-                in_all = np.bincount(inverse, minlength=len(names))
+                first.sort()
+                cuts = np.searchsorted(words.rows[first], np.arange(end - start + 1))
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bare[first].view(np.int64)))
+                part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(names.view(np.int64), 0)),
-                     pa.array(np.append(in_bad, toxic[start:end].sum())),
-                     pa.array(np.append(in_all - in_bad, (1 - toxic[start:end]).sum())),
-                     pa.array(np.arange(len(names) + 1) == len(names))],
-                    ["word", "bad", "good", "whole"],
+                    [at.column(part, "_lang"), at.column(part, "_bad"), lists], ["lang", "bad", "words"]
                 )
 
-    counted = texts.mapInArrow(run, "word long, bad long, good long, whole boolean").groupBy("whole", "word").agg(
-        F.sum("bad").alias("bad"), F.sum("good").alias("good")
+    rows = once.mapInArrow(run, "lang string, bad int, words array<long>")
+    whole = rows.groupBy("lang").agg(F.sum("bad").alias("all_bad"), F.count(F.lit(1)).alias("all"))
+    counted = rows.select("lang", "bad", F.explode("words").alias("word")).groupBy("lang", "word").agg(
+        F.sum("bad").alias("in_bad"), F.count(F.lit(1)).alias("in_all")
     )
-    whole = counted.where("whole").first()
-    if whole is None:
-        return np.zeros(0, at.U64)
-    odds = ((F.col("bad") + 0.5) / (whole["bad"] + 1.0)) / ((F.col("good") + 0.5) / (whole["good"] + 1.0))
-    top = counted.where(~F.col("whole") & (F.col("bad") >= MARKER_TEXTS)).withColumn("odds", odds).where(
-        F.col("odds") >= MARKER_ODDS
+    known = counted.where(F.col("in_bad") >= MARKER_TEXTS).join(whole, "lang")
+    bad_rate = (F.col("in_bad") + 0.5) / (F.col("all_bad") + 1.0)
+    good_rate = (F.col("in_all") - F.col("in_bad") + 0.5) / (F.col("all") - F.col("all_bad") + 1.0)
+    odds = bad_rate / good_rate
+    top = known.withColumn("odds", odds).where(
+        (F.col("in_bad") >= MARKER_SHARE * F.col("all_bad")) & (F.col("odds") >= MARKER_ODDS)
     )
-    rows = top.orderBy(F.desc("odds"), "word").limit(MARKER_WORDS).select("word").collect()
-    return np.sort(np.array([r["word"] for r in rows], np.int64).view(at.U64))
+    best = top.groupBy("word").agg(F.max("odds").alias("odds")).orderBy(F.desc("odds"), "word").limit(MARKER_WORDS)
+    return np.sort(gathered(best.select("word"))["word"].astype(np.int64).view(at.U64))
+
 
+STEPPED = ["symbols", "adjacent", "repeated", "dup_lines", "capitals", "bangs", "varied", "abuse"]
 
-def features(m: dict[str, np.ndarray], words: at.Words, row: int, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values) of one row: its distinct words, and its shares in steps."""
+
+def features(
+    m: dict[str, np.ndarray], table: np.ndarray, words: at.Words, row: int, cuts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values) of one row: its distinct words, its shares in steps, and its votes."""
     mask = at.U64((1 << FEATURE_BITS) - 1)
     names, counts = np.unique(words.hashes[cuts[row] : cuts[row + 1]], return_counts=True)
     value = np.log1p(counts)
     value = value / max(np.sqrt((value * value).sum()), 1e-12)
-    steps = [min(int(8 * m[k][row] ** 0.5 * 2), 15) for k in ("symbols", "adjacent", "repeated", "dup_lines", "varied")]
-    steps.append(min(int(m["abusive"][row]), 3))
+    steps = [min(int(8 * m[k][row] ** 0.5 * 2), 15) for k in STEPPED]
+    steps += [min(int(m["abusive"][row]), 3), *table[row].tolist()]
     named = at.mix(np.array([1 + 16 * i + s for i, s in enumerate(steps)], at.U64))
     return (np.concatenate([names, named]) & mask).astype(np.int64), np.concatenate([value, np.ones(len(steps))])
 
@@ -220,9 +240,8 @@ class Classifier:
     weights: np.ndarray
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Classifier:
-    spark = docs.sparkSession
-    markers = learn_markers(docs, labels, key, text)
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang") -> Classifier:
+    markers = learn_markers(docs, labels, key, text, lang)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,18 +251,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(counts, pa.int64())], ["pattern", "n"])
 
     seen = docs.select(text).mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    patterns = seen.orderBy("pattern").toPandas()  # at most 3 ** labellers rows
-    counts = patterns["n"].to_numpy(np.int64)
-    model = fit_label_model(patterns["pattern"].to_numpy(np.int64), counts, len(LABELLERS))
+    patterns = gathered(seen.orderBy("pattern"))  # at most 3 ** labellers rows
+    counts = patterns["n"].astype(np.int64)
+    model = fit_label_model(patterns["pattern"].astype(np.int64), counts, len(LABELLERS))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[np.ndarray, np.ndarray, float]] = []
         for batch in batches:
             for start, end, raw, offsets in at.slices(batch, text):
                 m, words = text_measures(raw, offsets, markers)
-                label = model.posterior(votes(m))
+                table = votes(m)
+                label, told = model.posterior(table), (table != ABSTAIN).any(1)
                 cuts = words.bounds()
-                rows += [(*features(m, words, i, cuts), float(label[i])) for i in range(end - start)]
+                rows += [(*features(m, table, words, i, cuts), float(label[i])) for i in np.flatnonzero(told).tolist()]
         yield pa.RecordBatch.from_arrays([pa.array([train_scorer(rows)], pa.list_(pa.float64()))], ["weights"])
 
     total = max(1, int(counts.sum()))
@@ -272,7 +292,7 @@ def classify(docs: DataFrame, model: Classifier, keep: list[str], text: str = "t
                 cuts = words.bounds()
                 scores = np.full(end - start, model.weights[-1])
                 for i in range(end - start):
-                    buckets, values = features(m, words, i, cuts)
+                    buckets, values = features(m, table, words, i, cuts)
                     scores[i] += model.weights[buckets] @ values
                 chance = 1 / (1 + np.exp(-np.clip(scores, -50, 50)))
                 part = batch.slice(start, end - start)
@@ -286,7 +306,9 @@ def classify(docs: DataFrame, model: Classifier, keep: list[str], text: str = "t
     return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 
 
-def classify_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def classify_documents(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = "lang"
+) -> DataFrame:
     """One row per document: key, votes, weak_bad, bad_score, kept.
 
     ``votes`` has -1 (good), 0 (nothing) or 1 (bad) per labeller, ``weak_bad`` is the label
@@ -295,7 +317,7 @@ def classify_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
     text counts as empty: no labeller votes on it. Repeated rows are judged alike; null keys
     take part; an empty table gives no rows; extra columns are ignored.
     """
-    return classify(docs, fit(docs, labels, key, text), [key], text)
+    return classify(docs, fit(docs, labels, key, text, lang), [key], text)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
