@@ -288,7 +288,8 @@ def candidate_forest(posted: DataFrame, coordinates: int, matches: int) -> DataF
 def full_sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the ``wanted`` (node, member) classes, from a whole text of each."""
     known = wanted.select(F.col("member").alias("_member"), F.col("node").alias("_wanted"))
-    bodies = docs.join(known, F.col(key) == F.col("_member")).select("_wanted", F.col(text).alias("_body"))
+    # The wanted keys grow with the corpus: never broadcast, so that every size has the same plan.
+    bodies = docs.join(known.hint("merge"), F.col(key) == F.col("_member")).select("_wanted", F.col(text).alias("_body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
