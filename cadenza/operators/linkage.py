@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from cadenza.functions import text as tx
-from cadenza.operators.scoring import lyrics_scores, top_k
-from cadenza.session import sized_broadcast
+from cadenza.operators.scoring import lyrics_cosine, top_k
+from cadenza.session import write_and_read
 
 # Confidence steps per source kind (base, exact title, contained title,
 # exact artist, contained artist, penalty without artist).
 SEARCH_HIT = {"base": 0.5, "title_equal": 0.3, "title_within": 0.2, "artist_equal": 0.2, "artist_within": 0.1, "no_artist": 0.0}
 OPEN_DATABASE = {"base": 0.5, "title_equal": 0.3, "title_within": 0.3, "artist_equal": 0.2, "artist_within": 0.2, "no_artist": -0.3}
+# A source that corrects spelling itself starts higher; its title and artist are not compared.
 AUTOCORRECTED_BASE = 0.6
 GOOD_ENOUGH = 0.8
 OVERLAY_ABOVE = 0.5
@@ -27,17 +24,21 @@ DUPLICATE_AT = 0.8
 def containment_join(catalog: DataFrame, requests: DataFrame, column: str, wanted: str) -> DataFrame:
     """Rows whose ``column`` contains a request's ``wanted`` text, ignoring case.
 
-    A text contains x exactly if x equals one of its substrings of x's length. So each
-    row offers its distinct substrings of the lengths asked for, and an equi-join on the
-    substring replaces comparing every row with every request.
+    A text contains x exactly if x equals one of its substrings of x's length. The distinct
+    texts offer their distinct substrings of the lengths asked for and meet the distinct
+    wanted texts in an equi-join; rows and requests then join the few texts that met.
     """
     asked = requests.withColumn("_part", F.lower(wanted))
-    lengths = asked.agg(F.sort_array(F.collect_set(F.length("_part"))).alias("l")).scalar()
-    low = F.lower(column)
-    by_length = catalog.withColumn("_len", F.explode(lengths)).where(F.col("_len") <= F.length(low))
-    parts = F.transform(F.sequence(F.lit(1), F.length(low) - F.col("_len") + 1), lambda i: low.substr(i, F.col("_len")))
-    offered = by_length.withColumn("_part", F.explode(F.array_distinct(parts))).drop("_len")
-    return offered.join(sized_broadcast(asked), "_part").drop("_part")
+    named = catalog.withColumn("_whole", F.lower(column))
+    parts = asked.select("_part").distinct()
+    lengths = parts.agg(F.sort_array(F.collect_set(F.length("_part"))).alias("l")).scalar()
+    whole = named.select("_whole").distinct().withColumn("_len", F.explode(lengths)).where(F.col("_len") <= F.length("_whole"))
+    pieces = F.transform(
+        F.sequence(F.lit(1), F.length("_whole") - F.col("_len") + 1), lambda i: F.col("_whole").substr(i, F.col("_len"))
+    )
+    offered = whole.select("_whole", F.explode(F.array_distinct(pieces)).alias("_part"))
+    met = write_and_read(offered.join(parts, "_part"), "contained")
+    return named.join(met, "_whole").join(asked, "_part").drop("_whole", "_part")
 
 
 def _within(a: Column, b: Column) -> Column:
@@ -53,14 +54,19 @@ def accepted_hits(queries: DataFrame, hits: DataFrame, order: list[Column], trie
     return joined.where(title | artist)
 
 
-def match_confidence(title: Column, artist: Column, hit_title: Column, hit_artist: Column, steps: dict[str, float]) -> Column:
+def match_confidence(
+    title: Column, artist: Column, hit_title: Column, hit_artist: Column, steps: dict[str, float],
+    autocorrected: Column | None = None,
+) -> Column:
+    """Confidence that a hit is the song asked for; a source that corrects spelling has a fixed one."""
     t, a, ht, ha = (F.lower(c) for c in (title, artist, hit_title, hit_artist))
     score = (
         F.lit(steps["base"])
         + F.when(t == ht, steps["title_equal"]).when(_within(t, ht), steps["title_within"]).otherwise(0.0)
         + F.when(a == ha, steps["artist_equal"]).when(_within(a, ha), steps["artist_within"]).otherwise(steps["no_artist"])
     )
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    return bounded if autocorrected is None else F.when(autocorrected, F.lit(AUTOCORRECTED_BASE)).otherwise(bounded)
 
 
 def survivorship(sources: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -103,46 +109,43 @@ def first_answer(sources: DataFrame, id_col: str, value: str) -> DataFrame:
     )
 
 
-@F.pandas_udf(DoubleType())
-def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio; Spark has no such function."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
 def edit_ratio(a: Column, b: Column) -> Column:
-    """1 - Levenshtein distance / longer length: the native alternative to the ratio above."""
+    """1 - Levenshtein distance / longer length; two empty texts are equal."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(F.lit(1.0))
 
 
 def duplicate_candidates(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(incoming, catalog) pairs whose catalog artist contains the incoming one."""
+    """(incoming, catalog) pairs whose catalog artist contains the incoming one: ids and titles."""
     asked = incoming.select("incoming_id", F.col("track_artist").alias("asked_artist"), tx.normalise_title(F.col("track_name")).alias("asked_title"))
     rows = catalog.select("song_id", "track_name", "track_artist", tx.normalise_title(F.col("track_name")).alias("norm_title"))
     return containment_join(rows, asked, "track_artist", "asked_artist")
 
 
+def with_lyrics_similarity(pairs: DataFrame, catalog: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Adds ``lyrics_similarity`` to (incoming_id, song_id) pairs from both sides' term columns.
+
+    A text without words has no cosine at all; two texts without a shared word have 0.
+    """
+    asked = incoming.select("incoming_id", F.struct("terms", "terms_sq").alias("asked"))
+    own = catalog.select("song_id", F.struct("terms", "terms_sq").alias("own"))
+    met = pairs.join(own, "song_id").join(asked, "incoming_id")
+    known = (F.col("asked.terms_sq") > 0) & (F.col("own.terms_sq") > 0)
+    return met.withColumn("lyrics_similarity", F.when(known, lyrics_cosine("asked.", "own."))).drop("asked", "own")
+
+
 def find_duplicates(
-    catalog: DataFrame, song_terms: DataFrame, incoming: DataFrame, incoming_terms: DataFrame,
-    title_at: float = DUPLICATE_AT, lyrics_at: float = DUPLICATE_AT,
+    catalog: DataFrame, incoming: DataFrame, title_at: float = DUPLICATE_AT, lyrics_at: float = DUPLICATE_AT
 ) -> DataFrame:
     """Catalog songs that may duplicate an incoming one: title ratio or lyrics cosine.
 
-    The term tables hold the raw texts' counts, the incoming one keyed by seed_id. The
-    ratio of two titles cannot exceed 2 min(len) / (len + len); pairs that this and the
-    lyrics leg both rule out never reach the Python function.
+    Both sides carry the term columns of their raw texts. Artists block first; only the
+    pairs left fetch their terms and are scored. Ratios and cosines have six digits.
     """
-    lyrics = lyrics_scores(song_terms, incoming_terms).withColumnRenamed("seed_id", "incoming_id")
-    scored = duplicate_candidates(catalog, incoming).join(lyrics, ["incoming_id", "song_id"], "left")
-    texts = incoming_terms.select(F.col("seed_id").alias("incoming_id"), (F.col("terms_sq") > 0).alias("asked_text"))
-    own = song_terms.select("song_id", (F.col("terms_sq") > 0).alias("own_text"))
-    scored = scored.join(sized_broadcast(texts), "incoming_id").join(own, "song_id")
-    # A text without words has no cosine at all; two texts without a shared word have 0.
-    known = F.when(F.col("asked_text") & F.col("own_text"), F.coalesce("lyrics", F.lit(0.0)))
-    la, lb = F.length("asked_title"), F.length("norm_title")
-    bound = F.when(la + lb > 0, 2 * F.least(la, lb) / (la + lb)).otherwise(F.lit(1.0))
-    open_pairs = scored.withColumn("lyrics", known).where((bound >= title_at) | (F.col("lyrics") >= lyrics_at))
-    rated = open_pairs.withColumn("title_similarity", matcher_ratio("asked_title", "norm_title"))
-    return rated.where((F.col("title_similarity") >= title_at) | (F.col("lyrics") >= lyrics_at)).select(
-        "incoming_id", "song_id", "track_name", "track_artist", "title_similarity", F.col("lyrics").alias("lyrics_similarity")
+    pairs = write_and_read(duplicate_candidates(catalog, incoming), "candidates")
+    ratio = F.round(edit_ratio(F.col("asked_title"), F.col("norm_title")), 6)
+    rated = with_lyrics_similarity(pairs.withColumn("title_similarity", ratio), catalog, incoming)
+    rated = rated.withColumn("lyrics_similarity", F.round("lyrics_similarity", 6))
+    return rated.where((F.col("title_similarity") >= title_at) | (F.col("lyrics_similarity") >= lyrics_at)).select(
+        "incoming_id", "song_id", "track_name", "track_artist", "title_similarity", "lyrics_similarity"
     )

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
-from html.parser import HTMLParser
 from operator import and_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,74 +22,52 @@ MIN_LENGTH = 100
 LINK_TRIES = 3
 
 
-class _Containers(HTMLParser):
-    """Text nodes inside every element that ``wanted`` accepts; script and style are skipped."""
-
-    def __init__(self, wanted):
-        super().__init__(convert_charrefs=True)
-        self.wanted, self.open, self.done, self.mute = wanted, [], [], 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.mute += 1
-        for item in self.open:
-            item[1] += item[0] == tag
-        hit = self.wanted(tag, dict(attrs))
-        if hit is not None:
-            item = [tag, 1, [], hit]
-            self.open.append(item)
-            self.done.append(item)
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.mute = max(0, self.mute - 1)
-        for item in list(self.open):
-            item[1] -= item[0] == tag
-            if item[1] == 0:
-                self.open.remove(item)
-
-    def handle_data(self, data):
-        if not self.mute:
-            for item in self.open:
-                item[2].append(data)
-
-
-def container_text(html: str | None, containers=CONTAINERS, class_word: str | None = CLASS_WORD) -> str | None:
-    """Text of the first container kind a page has; text nodes are joined by line breaks."""
-
-    def wanted(tag, attrs):
-        classes = (attrs.get("class") or "").split()
-        for i, (name, key, value, _) in enumerate(containers):
-            if tag != name:
-                continue
-            if key is None or (value in classes if key == "class" else attrs.get(key) == value):
-                return i
-        if class_word and tag == "div" and any(class_word in c.lower() for c in classes):
-            return len(containers)
-        return None
-
-    parser = _Containers(wanted)
-    parser.feed(html or "")
-    parser.close()
-    for i, (*_, every) in enumerate(containers):
-        texts = ["\n".join(item[2]).strip() for item in parser.done if item[3] == i]
-        if texts:
-            return "\n".join(texts) if every else texts[0]
-    return next(("\n".join(t[2]).strip() for t in parser.done if t[3] == len(containers) and len("\n".join(t[2]).strip()) > MIN_LENGTH), None)
+# The named entities that texts use.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&amp;": "&"}
 
 
-def page_texts(pages: DataFrame, id_col: str, html_col: str, containers=CONTAINERS, class_word: str | None = CLASS_WORD) -> DataFrame:
-    """(id, text): container text of every page, white space collapsed; NULL without a container."""
+def visible_text(html: Column) -> Column:
+    """Text of a piece of HTML: scripts, styles and tags become line breaks, entities characters, white space one space."""
+    plain = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>", "\n")
+    for entity, character in ENTITIES.items():
+        plain = F.replace(plain, F.lit(entity), F.lit(character))
+    return tx.clean_to_line(plain)
+
+
+def _pattern(tag: str, key: str | None, value: str | None) -> str:
+    """An element's opening tag, content and first closing tag."""
+    if key is None:
+        opening = rf"<{tag}(?:\s[^>]*)?>"
+    elif key == "class":
+        opening = rf'<{tag}\s[^>]*class="(?:[^"]*\s)?{value}(?:\s[^"]*)?"[^>]*>'
+    else:
+        opening = rf'<{tag}\s[^>]*{key}="{value}"[^>]*>'
+    return rf"(?is){opening}(.*?)</{tag}>"
+
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame(
-                {id_col: pdf[id_col], "raw": [container_text(h, containers, class_word) for h in pdf[html_col]]}
-            )
+def container_text(html: Column, containers=CONTAINERS, class_word: str | None = CLASS_WORD) -> Column:
+    """Text of the first container kind a page has; NULL without one.
 
-    id_type = pages.schema[id_col].dataType.simpleString()
-    raw = pages.select(id_col, html_col).mapInPandas(extract, f"{id_col} {id_type}, raw string")
-    return raw.select(id_col, tx.clean_to_line(F.col("raw")).alias("text"))
+    Scripts go first, since they may quote tags. An element ends at the first closing tag of
+    its name, so a container that holds another of the same name is cut there.
+    """
+    body = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "\n")
+    tried = []
+    for tag, key, value, every in containers:
+        found = F.regexp_extract_all(body, F.lit(_pattern(tag, key, value)), F.lit(1))
+        texts = F.transform(found, visible_text)
+        chosen = F.array_join(texts, "\n") if every else F.get(texts, F.lit(0))
+        tried.append(F.when(F.size(found) > 0, chosen))
+    if class_word:
+        any_class = rf'(?is)<div\s[^>]*class="[^"]*{class_word}[^"]*"[^>]*>(.*?)</div>'
+        texts = F.transform(F.regexp_extract_all(body, F.lit(any_class), F.lit(1)), visible_text)
+        tried.append(F.get(F.filter(texts, lambda t: F.length(t) > MIN_LENGTH), F.lit(0)))
+    return F.coalesce(*tried)
+
+
+def page_texts(pages: DataFrame, id_col: str, html_col: str, containers=CONTAINERS, class_word: str | None = CLASS_WORD) -> DataFrame:
+    """(id, text): container text of every page; NULL without a container."""
+    return pages.select(id_col, container_text(F.col(html_col), containers, class_word).alias("text"))
 
 
 def matching_links(html: Column, page_url: Column, needles: list[str], redirect: str | None = None, tries: int = LINK_TRIES) -> Column:

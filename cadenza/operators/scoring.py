@@ -1,22 +1,22 @@
 """Seeds against the catalog: scoring, thresholds, refinement, top-k.
 
-A request holds a bounded number of seed songs. Their rows travel as one array inside
-the plan, so the catalog is scanned once, in place, and never shuffled for scoring.
+A request may hold any number of seed songs. They are written once as blocks of rows; every
+catalog row meets every block by an equi-join on the block's number. A small request's blocks
+are broadcast by Spark's own size threshold, so the catalog is scanned in place; a large
+request is shuffled by block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce, wraps
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import audio, text as tx
-from cadenza.session import sized_broadcast
+from cadenza.session import write_and_read
 
-MAX_SEEDS = 256
+# Seeds that travel in one row.
+SEED_BLOCK = 64
 SCORE_DIGITS = 6
 
 # Similarity floors, early-scan factor and default leg weights.
@@ -37,44 +37,24 @@ def score_round(value: Column) -> Column:
     return F.round(value, SCORE_DIGITS)
 
 
-def seed_array(seeds: DataFrame, max_seeds: int = MAX_SEEDS) -> Column:
-    """All seed rows as one array (a scalar subquery); fails beyond ``max_seeds``."""
-    gathered = seeds.limit(max_seeds + 1).agg(F.collect_list(F.struct(*seeds.columns)).alias("rows"))
-    message = F.lit(f"more than {max_seeds} seeds in one request batch")
-    checked = gathered.select(
-        F.when(F.size("rows") <= max_seeds, F.col("rows")).otherwise(F.raise_error(message)).alias("rows")
-    )
-    return checked.scalar()
+def seed_blocks(seeds: DataFrame, size: int = SEED_BLOCK) -> tuple[DataFrame, int]:
+    """The request as (block, seeds) rows of about ``size`` seeds, and the number of blocks."""
+    written = write_and_read(seeds, "request")
+    blocks = max(1, -(-written.count() // size))
+    dealt = written.withColumn("block", F.pmod(F.xxhash64("seed_id"), F.lit(blocks)).cast("int"))
+    gathered = dealt.groupBy("block").agg(F.collect_list(F.struct(*seeds.columns)).alias("seeds"))
+    return write_and_read(gathered, "seed-blocks"), blocks
 
 
 def against_seeds(catalog: DataFrame, seeds: DataFrame, exclude_self: bool = True) -> DataFrame:
     """Every catalog row beside every seed of the request, as column ``seed``."""
-    pairs = catalog.withColumn("seed", F.explode(seed_array(seeds)))
+    gathered, blocks = seed_blocks(seeds)
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = catalog.withColumn("block", numbers).join(gathered, "block").drop("block")
+    pairs = met.withColumn("seed", F.explode("seeds")).drop("seeds")
     return pairs.where(F.col("song_id") != F.col("seed.seed_id")) if exclude_self else pairs
 
 
-def in_request_batches(
-    seeds: DataFrame, run: Callable[[DataFrame], DataFrame], batch: int = MAX_SEEDS
-) -> DataFrame:
-    """Run a request of any size: one catalog scan per batch of seeds."""
-    total = seeds.count()
-    if total <= batch:
-        return run(seeds)
-    parts = -(-2 * total // batch)
-    slot = F.pmod(F.xxhash64("seed_id"), F.lit(parts))
-    return reduce(DataFrame.unionByName, [run(seeds.where(slot == i)) for i in range(parts)])
-
-
-def per_request_batch(search: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Let a search ``(catalog, seeds, ...)`` take any number of seeds."""
-
-    @wraps(search)
-    def run(catalog: DataFrame, seeds: DataFrame, *args, **kwargs) -> DataFrame:
-        return in_request_batches(seeds, lambda batch: search(catalog, batch, *args, **kwargs))
-
-    return run
-
-
 def as_seeds(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.col("song_id").alias("seed_id"), *columns)
 
@@ -95,49 +75,42 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def term_table(docs: DataFrame, id_col: str, text_col: str, cleaned: bool = True) -> DataFrame:
-    """(id, terms, terms_sq): term counts of each text and the sum of their squares.
+def term_columns(text: Column, cleaned: bool = True) -> dict[str, Column]:
+    """``terms``, a map from term to count, and ``terms_sq``, the sum of the squared counts.
 
-    Counted inside each row, so building this table shuffles no text.
+    Counted inside each row, so no text is shuffled.
     """
-    terms = tx.term_counts(tx.similarity_tokens(F.col(text_col), cleaned))
-    total = F.aggregate("terms", F.lit(0).cast("bigint"), lambda acc, t: acc + t["tf"] * t["tf"])
-    return docs.select(id_col, terms.alias("terms")).withColumn("terms_sq", total)
+    counted = tx.term_counts(tx.similarity_tokens(text, cleaned))
+    total = F.aggregate(counted, F.lit(0).cast("bigint"), lambda acc, t: acc + t["tf"] * t["tf"])
+    return {"terms": F.map_from_entries(counted), "terms_sq": total}
 
 
-def terms_of_seeds(song_terms: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The term rows of the seeds of one request batch."""
-    ids = seeds.select(F.col("seed_id").alias("song_id"))
-    return song_terms.join(F.broadcast(ids), "song_id", "left_semi").withColumnRenamed("song_id", "seed_id")
+def with_terms(docs: DataFrame, text_col: str, cleaned: bool = True) -> DataFrame:
+    """The rows with their term counts."""
+    return docs.withColumns(term_columns(F.col(text_col), cleaned))
 
 
-def lyrics_scores(song_terms: DataFrame, seed_terms: DataFrame) -> DataFrame:
-    """TF-IDF cosine of each (seed, song) pair that shares a term, corpus = the pair.
+def lyrics_cosine(a: str = "seed.", b: str = "") -> Column:
+    """TF-IDF cosine of a pair of term columns, corpus = the pair; 0 without a shared term.
 
-    Both sides are term tables. Only shared terms are joined; the unshared part follows
-    from the totals.
+    Both maps are merged by hash inside the row; only shared terms add up, the unshared part
+    follows from the totals.
     """
-    asked = seed_terms.select(
-        "seed_id", F.col("terms_sq").alias("seed_sq"), F.explode("terms").alias("t")
-    ).select("seed_id", "seed_sq", F.col("t.term").alias("term"), F.col("t.tf").alias("seed_tf"))
-    offered = song_terms.select("song_id", "terms_sq", F.explode("terms").alias("t")).select(
-        "song_id", "terms_sq", F.col("t.term").alias("term"), F.col("t.tf").alias("tf")
-    )
-    shared = (
-        offered.join(sized_broadcast(asked), "term")
-        .groupBy("seed_id", "song_id")
-        .agg(
-            F.sum(F.col("tf") * F.col("seed_tf")).alias("dot"),
-            F.sum(F.col("seed_tf") * F.col("seed_tf")).alias("s11"),
-            F.sum(F.col("tf") * F.col("tf")).alias("s22"),
-            F.max("seed_sq").alias("t11"),
-            F.max("terms_sq").alias("t22"),
-        )
+    both = F.map_zip_with(
+        F.col(f"{a}terms"), F.col(f"{b}terms"),
+        lambda term, x, y: F.when(x.isNotNull() & y.isNotNull(), F.struct((x * y).alias("d"), (x * x).alias("p"), (y * y).alias("q"))),
     )
-    return shared.select(
-        "seed_id", "song_id",
-        pair_cosine(F.col("dot"), F.col("s11"), F.col("t11"), F.col("s22"), F.col("t22")).alias("lyrics"),
+    zero = F.lit(0).cast("bigint")
+    sums = F.aggregate(
+        F.map_values(both), F.struct(zero.alias("d"), zero.alias("p"), zero.alias("q")),
+        lambda acc, v: F.when(v.isNull(), acc).otherwise(
+            F.struct((acc["d"] + v["d"]).alias("d"), (acc["p"] + v["p"]).alias("p"), (acc["q"] + v["q"]).alias("q"))
+        ),
+        lambda acc: F.when(
+            acc["d"] > 0, pair_cosine(acc["d"], acc["p"], F.col(f"{a}terms_sq"), acc["q"], F.col(f"{b}terms_sq"))
+        ).otherwise(F.lit(0.0)),
     )
+    return F.coalesce(sums, F.lit(0.0))
 
 
 def pair_cosine(dot: Column, s11: Column, t11: Column, s22: Column, t22: Column) -> Column:
@@ -180,31 +153,40 @@ def refine_and_rank(
     candidate_factor: int = 3,
     with_std: bool = True,
     min_kept: int | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Stricter cut when a key has many candidates, then its top ``k`` by ``combined``.
 
+    The statistics and the ranking both read ``scored``; unless it is ``written`` already,
+    it is written first and every pair is scored once.
+
     With more than ``candidate_factor * k`` candidates only rows at or above
     max(floor, 0.85 median, median - std) stay, unless too few would remain. Whether
     enough remain shows in the best few rows of each kind, so no key is ever counted
     in one task.
     """
     needed = max(k, 3) if min_kept is None else min_kept
+    if not written:
+        scored = write_and_read(scored, "scored")
     profile = score_profile(scored, keys, ["audio", "combined"])
 
     def cut(metric: str) -> Column:
         median, std = F.col(f"{metric}_median"), F.col(f"{metric}_std")
         return F.greatest(median * 0.85, median - std) if with_std else median * 0.85
 
-    # One row per seed (and level) of a bounded request.
-    cuts = profile.select(
-        *keys,
-        (F.col("n") > candidate_factor * k).alias("many"),
-        cut("audio").alias("audio_cut"),
-        cut("combined").alias("combined_cut"),
+    # One row per seed (and level), written so that Spark knows its size.
+    cuts = write_and_read(
+        profile.select(
+            *keys,
+            (F.col("n") > candidate_factor * k).alias("many"),
+            cut("audio").alias("audio_cut"),
+            cut("combined").alias("combined_cut"),
+        ),
+        "cuts",
     )
     a_floor = audio_floor if isinstance(audio_floor, Column) else F.lit(audio_floor)
     c_floor = combined_floor if isinstance(combined_floor, Column) else F.lit(combined_floor)
-    flagged = scored.join(F.broadcast(cuts), keys).withColumn(
+    flagged = scored.join(cuts, keys).withColumn(
         "kept",
         ~F.col("many")
         | (

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as tx
+from cadenza.operators.scoring import top_k
+from cadenza.session import write_and_read
 
 # Fuzzy-match floor and the relevance steps for title and artist hits.
 FUZZY_FLOOR = 0.3
@@ -106,16 +108,30 @@ def fuzzy_search(
     return matches.select(F.col("q.request").alias("request"), *catalog.columns, relevance.alias("relevance"))
 
 
+def fuzzy_page(matches: DataFrame, offset: int = 0, limit: int = 50, title_col: str = "track_name", id_col: str = "song_id") -> DataFrame:
+    """One page of every request's matches: by relevance, unknown last, then title and id.
+
+    A request by genre alone has no relevance and so comes in title order.
+    """
+    order = [F.desc_nulls_last("relevance"), F.asc(title_col), F.asc(id_col)]
+    return top_k(matches, ["request"], order, offset + limit, "place").where(F.col("place") > offset)
+
+
 def first_matches(catalog: DataFrame, requests: DataFrame, title_col: str, id_col: str, artist_col: str | None = None) -> DataFrame:
-    """Per request the smallest id whose title (and artist) equals it, ignoring case."""
+    """Per request the smallest id whose title (and artist) equals it, ignoring case.
+
+    Only rows that bear a requested name take part in the grouping.
+    """
     keys = [F.lower(title_col).alias("title_key")]
     if artist_col:
         keys.append(F.lower(artist_col).alias("artist_key"))
     names = ["title_key"] + (["artist_key"] if artist_col else [])
-    first = catalog.select(*keys, id_col).groupBy(*names).agg(F.min(id_col).alias(id_col))
     asked = requests.withColumn("title_key", F.lower("title"))
     if artist_col:
         asked = asked.withColumn("artist_key", F.lower("artist"))
+    asked = write_and_read(asked, "asked-names")
+    named = catalog.select(*keys, id_col).join(asked.select(*names).distinct(), names, "left_semi")
+    first = named.groupBy(*names).agg(F.min(id_col).alias(id_col))
     return asked.join(first, names).drop(*names)
 
 
@@ -144,16 +160,27 @@ def page(df: DataFrame, order: list[Column | str], offset: int = 0, limit: int =
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-# Accepted link prefix and audio qualities of a processing request.
+# Accepted link prefix, audio qualities and query lengths of a request.
 LINK_PATTERN = r"^https?://(www\.)?(youtube\.com|youtu\.be)"
 QUALITIES = ["64", "96", "128", "192", "256", "320"]
+DEFAULT_QUALITY = "192"
+LONGEST_QUERY = 200
+
 
+def check_requests(
+    requests: DataFrame, url: str, text: str, limit: str, quality: str | None = None, link_pattern: str = LINK_PATTERN
+) -> DataFrame:
+    """Each request with the reason it is refused; NULL where it is accepted.
 
-def check_requests(requests: DataFrame, url: str, text: str, limit: str, link_pattern: str = LINK_PATTERN) -> DataFrame:
-    """Each request with the reason it is refused; NULL where it is accepted."""
+    A missing quality is the default one.
+    """
+    size = F.coalesce(F.length(text), F.lit(0))
     reason = (
         F.when(~F.coalesce(F.col(url).rlike(link_pattern), F.lit(False)), "bad url")
-        .when(F.coalesce(F.length(text), F.lit(0)) < 2, "text too short")
+        .when(size < 2, "text too short")
+        .when(size > LONGEST_QUERY, "text too long")
         .when(~F.coalesce(F.col(limit).between(1, 100), F.lit(False)), "limit out of range")
     )
+    if quality is not None:
+        reason = reason.when(~F.coalesce(F.col(quality), F.lit(DEFAULT_QUALITY)).isin(QUALITIES), "bad quality")
     return requests.withColumn("refused", reason)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.arrays import bind
-from cadenza.session import sized_broadcast
 
 # Fixed values of the published rule set.
 BOOST = 0.293
@@ -30,6 +29,9 @@ BOOSTERS_DOWN = [
     "somewhat", "sorta", "sortof", "sort-of",
 ]
 
+# Two-word degree adverbs, all of which weaken.
+BOOSTER_PAIRS = ["just enough", "kind of", "sort of"]
+
 # Negation words.
 NEGATORS = [
     "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "ain't", "aren't",
@@ -97,11 +99,49 @@ def _count_of(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def lexicon_sentiment(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
+def _least(valence: Column, p1: Column, p2: Column, p1_known: Column) -> Column:
+    """"least" just before a word turns it, but "at least" and "very least" do not."""
+    turns = p1.isNotNull() & ~p1_known & (F.lower(p1) == "least")
+    spared = F.coalesce(F.lower(p2).isin("at", "very"), F.lit(False))
+    return F.when(turns & ~spared, valence * NEGATION).otherwise(valence)
+
+
+def _idiom_keys(word: Column, p1: Column, p2: Column, p3: Column, n1: Column, n2: Column) -> list[Column]:
+    """The two- and three-word phrases around a word, in the order in which they are tried."""
+    return [
+        F.lower(F.concat_ws(" ", *words))
+        for words in ([p1, word], [p2, p1, word], [p2, p1], [p3, p2, p1], [p3, p2], [word, n1], [word, n1, n2])
+    ]
+
+
+def _with_idioms(hits: DataFrame, idioms: DataFrame) -> DataFrame:
+    """Column ``s`` replaced by the valence of the idiom a word stands in.
+
+    Of the phrases that end at or before the word the first known one counts; a known phrase
+    that begins with the word overrides it, the longer one last. They apply where the third
+    word back is there and no lexicon word, as the negation rule of that distance does.
+    """
+    keys = _idiom_keys(*[F.col(c) for c in ("word", "p1", "p2", "p3", "n1", "n2")])
+    known = idioms.select(F.lower("phrase").alias("phrase"), F.col("valence").alias("phrase_valence"))
+    active = F.col("p3").isNotNull() & F.col("p3_term").isNull() & F.col("valence").isNotNull()
+    for i, key in enumerate(keys):
+        named = known.select(F.col("phrase").alias(f"_k{i}"), F.col("phrase_valence").alias(f"_v{i}"))
+        present = F.col("n1").isNotNull() if i == 5 else F.col("n2").isNotNull() if i == 6 else F.lit(True)
+        hits = hits.join(named, F.when(active & present, key) == F.col(f"_k{i}"), "left")
+    forward = F.coalesce("_v6", "_v5")
+    backward = F.coalesce(*[F.col(f"_v{i}") for i in range(5)])
+    return hits.withColumn("s", F.coalesce(forward, backward, "s")).drop(*[f"_{x}{i}" for x in "kv" for i in range(7)])
+
+
+def lexicon_sentiment(
+    docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, idioms: DataFrame | None = None
+) -> DataFrame:
     """neg, neu, pos and compound per document; an empty text is neutral.
 
-    Every word keeps its three predecessors from the array it came from, so no window is
-    needed; the lexicon is joined by hash and the sums combine before their one shuffle.
+    ``idioms`` (phrase of two or three words, valence) is a second input table, like the
+    lexicon. Every word keeps its neighbours from the array it came from, so no window is
+    needed; lexicon and idioms are joined by hash, broadcast or not as Spark's size threshold
+    says, and the sums combine before their one shuffle.
     """
     words = sentiment_words(F.coalesce(F.col(text_col), F.lit("")))
     base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), words.alias("_w"))
@@ -122,6 +162,7 @@ def lexicon_sentiment(docs: DataFrame, id_col: str, text_col: str, lexicon: Data
                 lambda t, i: F.struct(
                     t.alias("word"), (i + 1).alias("at"), F.get(w, i - 1).alias("p1"),
                     F.get(w, i - 2).alias("p2"), F.get(w, i - 3).alias("p3"),
+                    F.get(w, i + 1).alias("n1"), F.get(w, i + 2).alias("n2"),
                 ),
             ),
         ).alias("_items"),
@@ -130,7 +171,7 @@ def lexicon_sentiment(docs: DataFrame, id_col: str, text_col: str, lexicon: Data
         id_col, "_n", "_bangs", "_marks", "_caps_differ", "_but", F.explode_outer("_items").alias("t")
     ).select(id_col, "_n", "_bangs", "_marks", "_caps_differ", "_but", "t.*")
 
-    known = sized_broadcast(lexicon.select("term", "valence"))
+    known = lexicon.select("term", "valence")
     low = F.lower("word")
     hits = per_word.join(known, (low == F.col("term")) & ~low.isin(BOOSTERS_UP + BOOSTERS_DOWN), "left").drop("term")
     # Only words of the lexicon go on, and one row per document to stand for the rest.
@@ -152,6 +193,13 @@ def lexicon_sentiment(docs: DataFrame, id_col: str, text_col: str, lexicon: Data
         active = F.col(p).isNotNull() & F.col(f"{p}_term").isNull()
         hits = hits.withColumn("s", F.when(active, s + _boost(F.col(p), s, caps, factor)).otherwise(s))
         hits = hits.withColumn("s", F.when(active, _negate(F.col("s"), distance, p1, p2, p3)).otherwise(F.col("s")))
+    if idioms is not None:
+        hits = _with_idioms(hits, idioms)
+    for first, second in ((p3, p2), (p2, p1)):
+        pair = F.lower(F.concat_ws(" ", first, second)).isin(BOOSTER_PAIRS)
+        weaker = F.when(p3.isNotNull() & F.col("p3_term").isNull() & pair, F.lit(BOOST)).otherwise(F.lit(0.0))
+        hits = hits.withColumn("s", F.col("s") - weaker)
+    hits = hits.withColumn("s", _least(F.col("s"), p1, p2, F.col("p1_term").isNotNull()))
     s = F.col("s")
     hits = hits.withColumn(
         "s",
@@ -199,7 +247,7 @@ def lexicon_polarity(docs: DataFrame, id_col: str, tokens_col: str, lexicon: Dat
     No tokens at all gives (0, 0.5); tokens without a lexicon word give (0, 0).
     """
     tokens = docs.select(id_col, F.explode_outer(tokens_col).alias("token"))
-    known = sized_broadcast(lexicon.select("term", "polarity", "subjectivity"))
+    known = lexicon.select("term", "polarity", "subjectivity")
     joined = tokens.join(known, F.col("token") == F.col("term"), "left")
     agg = joined.groupBy(id_col).agg(
         F.count("token").alias("n"),

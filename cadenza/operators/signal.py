@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,35 +87,39 @@ def frame_levels(samples: DataFrame, frame: int = FRAME, hop: int = HOP) -> Data
 
 
 def spectral_frames(samples: DataFrame, sample_rate: float, frame: int = FRAME, hop: int = HOP) -> DataFrame:
-    """Centroid, bandwidth, roll-off and flatness per frame (Hann window, FFT in numpy).
+    """Centroid, bandwidth, roll-off and flatness per frame, from a Hann window and the Fourier sums.
 
-    A frame's samples form one array of at most ``frame`` values, so a long series is
-    spread over as many tasks as it has frames.
+    A sample adds its part to every frequency of its frames, and the sums combine before
+    their shuffle; so no frame is gathered, and a long series spreads like many short ones.
     """
-    rows = framed(samples, frame, hop).groupBy("series", "frame").agg(
-        F.sort_array(F.collect_list(F.struct("at", "value"))).alias("points")
+    turn = 2 * math.pi / frame
+    window = 0.5 - 0.5 * F.cos(turn * F.col("at"))
+    rows = framed(samples, frame, hop).select("series", "frame", "at", (F.col("value") * window).alias("v"))
+    bins = rows.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(frame // 2))))
+    angle = F.col("bin") * F.col("at") % frame * turn
+    sums = bins.groupBy("series", "frame", "bin").agg(
+        F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im")
+    )
+    power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    sized = sums.select(
+        "series", "frame", (F.col("bin") * sample_rate / frame).alias("hz"), F.sqrt(power).alias("size"),
+        F.greatest(F.lit(TINY), power).alias("power"),
+    )
+    # A frame has frame / 2 + 1 frequencies.
+    whole = W.partitionBy("series", "frame")
+    total = F.sum("size").over(whole)
+    up_to = F.sum("size").over(whole.orderBy("hz").rowsBetween(W.unboundedPreceding, 0))
+    marked = sized.select(
+        "*", total.alias("total"), up_to.alias("up_to"),
+        F.when(total > 0, F.sum(F.col("hz") * F.col("size")).over(whole) / total).otherwise(F.lit(0.0)).alias("centre"),
+    )
+    off = F.col("hz") - F.col("centre")
+    return marked.groupBy("series", "frame").agg(
+        F.max("centre").alias("centroid"),
+        F.sqrt(F.sum(F.when(F.col("total") > 0, off * off * F.col("size") / F.col("total")).otherwise(0.0))).alias("bandwidth"),
+        F.min(F.when(F.col("up_to") >= ROLL_OFF * F.col("total"), F.col("hz"))).alias("rolloff"),
+        (F.exp(F.avg(F.ln("power"))) / F.avg("power")).alias("flatness"),
     )
-    arrays = rows.select("series", "frame", F.col("points.at").alias("at"), F.col("points.value").alias("value"))
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / frame)
-    frequencies = np.fft.rfftfreq(frame, 1.0 / sample_rate)
-
-    @F.pandas_udf("centroid double, bandwidth double, rolloff double, flatness double")
-    def spectrum(at: pd.Series, value: pd.Series) -> pd.DataFrame:
-        signal = np.zeros((len(at), frame))
-        for i, (a, v) in enumerate(zip(at, value)):
-            signal[i, np.asarray(a, dtype=np.int64)] = v
-        size = np.abs(np.fft.rfft(signal * window, axis=1))
-        total = size.sum(axis=1, keepdims=True)
-        share = np.divide(size, total, out=np.zeros_like(size), where=total > 0)
-        centroid = share @ frequencies
-        spread = np.sqrt((share * (frequencies[None, :] - centroid[:, None]) ** 2).sum(axis=1))
-        running = np.cumsum(size, axis=1)
-        rolloff = frequencies[np.argmax(running >= ROLL_OFF * total, axis=1)]
-        power = np.maximum(TINY, size**2)
-        flatness = np.exp(np.log(power).mean(axis=1)) / power.mean(axis=1)
-        return pd.DataFrame({"centroid": centroid, "bandwidth": spread, "rolloff": rolloff, "flatness": flatness})
-
-    return arrays.withColumn("s", spectrum("at", "value")).select("series", "frame", "s.*")
 
 
 def song_features(frames: DataFrame, sample_rate: float, tempo: Column, n_samples: Column) -> DataFrame:

@@ -4,45 +4,49 @@ from __future__ import annotations
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import arrays
-from cadenza.operators.scoring import against_seeds, per_request_batch, score_round, top_k
+from cadenza.operators.scoring import against_seeds, score_round, top_k
+from cadenza.session import write_and_read
 
 # Weights of the hybrid vector's parts.
 HYBRID_WEIGHTS = {"w2v": 0.4, "audio": 0.3, "sentiment": 0.2, "topics": 0.1}
 EXPLAIN_EPSILON = 1e-10
 
 
-def column_stats(df: DataFrame, vector: str, dims: int) -> DataFrame:
-    """Mean and population std of every vector component: one row, one global aggregate."""
-    at = [F.get(vector, F.lit(i)) for i in range(dims)]
-    flat = df.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(at)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(at)]
-    )
-    return flat.select(
-        F.struct(
-            F.array(*[F.col(f"m{i}") for i in range(dims)]).alias("mean"),
-            F.array(*[F.col(f"s{i}") for i in range(dims)]).alias("scale"),
-        ).alias("stats")
+def vector_stats(df: DataFrame, vectors: list[str]) -> DataFrame:
+    """Mean and population std of every component of several vector columns: one row, one pass.
+
+    The row has one struct (mean, scale) per vector column.
+    """
+    row = df.agg(
+        *[Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(v))).alias(v) for v in vectors]
     )
 
+    def stats(v: str) -> Column:
+        n = F.greatest(F.col(f"{v}.count"), F.lit(1))
+        scale = F.transform(vector_to_array(F.col(f"{v}.variance")), lambda x: F.sqrt(x * (n - 1) / n))
+        return F.struct(vector_to_array(F.col(f"{v}.mean")).alias("mean"), scale.alias("scale")).alias(v)
 
-def standardised(df: DataFrame, vector: str, dims: int, stats: DataFrame | None = None) -> DataFrame:
-    """Replace ``vector`` by its standardised form, by ``stats`` or its own columns' statistics."""
-    fitted = column_stats(df, vector, dims) if stats is None else stats
-    with_stats = df.withColumn("_stats", fitted.scalar())
-    done = arrays.standardise(F.col(vector), F.col("_stats.mean"), F.col("_stats.scale"))
-    return with_stats.withColumn(vector, done).drop("_stats")
+    return row.select(*map(stats, vectors))
+
+
+def standardised(df: DataFrame, vectors: list[str], stats: DataFrame | None = None) -> DataFrame:
+    """Replace vector columns by their standardised form, by ``stats`` or their own statistics."""
+    fitted = vector_stats(df, vectors) if stats is None else stats
+    with_stats = df.withColumn("_stats", fitted.select(F.struct(*vectors)).scalar())
+    done = {v: arrays.standardise(F.col(v), F.col(f"_stats.{v}.mean"), F.col(f"_stats.{v}.scale")) for v in vectors}
+    return with_stats.withColumns(done).drop("_stats")
 
 
 def _nearest(scored: DataFrame, k: int) -> DataFrame:
     return top_k(scored, ["seed_id"], [F.desc("score"), F.asc("song_id")], k)
 
 
-@per_request_batch
 def cosine_neighbours(space: DataFrame, seeds: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """Top ``k`` by cosine; ``space`` has (song_id, v), ``seeds`` (seed_id, v)."""
     pairs = against_seeds(space.select("song_id", "v"), seeds.select("seed_id", "v"), exclude_self)
@@ -50,7 +54,6 @@ def cosine_neighbours(space: DataFrame, seeds: DataFrame, k: int, exclude_self:
     return _nearest(scored, k)
 
 
-@per_request_batch
 def euclid_neighbours(space: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
     """``k`` nearest by distance, scored 1 - d / max(d) among them."""
     pairs = against_seeds(space.select("song_id", "v"), seeds.select("seed_id", "v"))
@@ -76,13 +79,14 @@ def angular_neighbours(space: DataFrame, seeds: DataFrame, k: int = 10) -> DataF
     return near.select("seed_id", "song_id", score_round(arrays.angular(F.col("score"))).alias("distance"), "rank")
 
 
-@per_request_batch
 def approximate_neighbours(
-    space: DataFrame, seeds: DataFrame, k: int = 10, tables: int = 10, bucket: float = 1.0, seed: int = 42
+    space: DataFrame, seeds: DataFrame, k: int = 10, tables: int = 12, bits: int = 6, seed: int = 42
 ) -> DataFrame:
-    """``k`` nearest among the rows that share a random-projection bucket with the seed.
+    """``k`` nearest among the rows that share a bucket of random projections with the seed.
 
-    Only rows in a shared bucket get their exact distance.
+    A bucket is a table's number and the sides of ``bits`` random planes. Both sides post
+    their ids under their buckets and meet in an equi-join; only rows that met get their
+    exact distance.
     """
     unit = F.transform("v", lambda x: x / F.col("_norm"))
 
@@ -90,68 +94,64 @@ def approximate_neighbours(
         sized = df.select(key, "v", arrays.norm(F.col("v")).alias("_norm")).where("_norm > 0")
         return sized.select(key, unit.alias("v")).withColumn("features", array_to_vector("v"))
 
-    catalog = units(space, "song_id")
+    catalog, asked = units(space, "song_id"), units(seeds, "seed_id")
+    # A bucket length of 1 cuts unit vectors at the plane through 0.
     lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
+        inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=tables * bits, seed=seed
     ).fit(catalog)
 
-    def hashed(df: DataFrame, key: str) -> DataFrame:
-        buckets = F.transform("hashes", lambda h: F.get(vector_to_array(h), F.lit(0)))
-        return lsh.transform(df).select(key, "v", buckets.alias("b"))
+    def posted(df: DataFrame, key: str) -> DataFrame:
+        sides = F.transform("hashes", lambda h: F.get(vector_to_array(h), F.lit(0)).cast("int"))
+        grouped = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.slice(sides, t * bits + 1, bits))
+        return lsh.transform(df).select(key, F.posexplode(grouped).alias("table", "bucket"))
 
-    pairs = against_seeds(hashed(catalog, "song_id"), hashed(units(seeds, "seed_id"), "seed_id"))
-    shared = F.exists(F.zip_with("b", "seed.b", lambda x, y: x == y), lambda same: same)
-    scored = pairs.where(shared).select(
-        "seed.seed_id", "song_id", score_round(arrays.dot(F.col("seed.v"), F.col("v"))).alias("score")
-    )
-    near = _nearest(scored, k)
+    met = posted(catalog, "song_id").join(posted(asked, "seed_id"), ["table", "bucket"])
+    pairs = met.select("seed_id", "song_id").where(F.col("seed_id") != F.col("song_id")).distinct()
+    rows = pairs.join(catalog.select("song_id", "v"), "song_id").join(asked.select("seed_id", F.col("v").alias("w")), "seed_id")
+    near = _nearest(rows.select("seed_id", "song_id", score_round(arrays.dot(F.col("w"), F.col("v"))).alias("score")), k)
     return near.select("seed_id", "song_id", score_round(arrays.angular(F.col("score"))).alias("distance"), "rank")
 
 
-def hybrid_space(features: DataFrame, dims: dict[str, int]) -> DataFrame:
-    """(song_id, one standardised vector per space); spaces given by their dimension."""
-    out = features.select("song_id", *dims)
-    for name, size in dims.items():
-        out = standardised(out, name, size)
-    return out
+def hybrid_space(features: DataFrame, spaces: list[str], weights: dict[str, float] = HYBRID_WEIGHTS) -> DataFrame:
+    """(song_id, one standardised vector per space, their weighted concatenation ``unit`` of length 1).
 
+    One pass gathers the statistics of all spaces. A zero concatenation stays zero.
+    """
+    scaled = standardised(features.select("song_id", *spaces), spaces)
+    joined = F.concat(*[arrays.scaled(F.col(name), weights[name]) for name in spaces])
+    long = scaled.withColumn("unit", joined).withColumn("_norm", arrays.norm(F.col("unit")))
+    size = F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(F.lit(1.0))
+    return long.withColumn("unit", F.transform("unit", lambda x: x / size)).drop("_norm")
 
-@per_request_batch
-def hybrid_neighbours(
-    space: DataFrame, seeds: DataFrame, k: int = 5, weights: dict[str, float] = HYBRID_WEIGHTS
-) -> DataFrame:
+
+def hybrid_neighbours(space: DataFrame, seeds: DataFrame, k: int = 5, weights: dict[str, float] = HYBRID_WEIGHTS) -> DataFrame:
     """Cosine of the weighted concatenation, with each recommended song's own per-space scores.
 
-    The concatenated dot product is the weighted sum of the per-space ones, so no long
-    vector is built and the per-space cosines come for free. Sentiment and topics are
-    explained by 1 - distance, min-max scaled within the result.
+    ``space`` comes from :func:`hybrid_space` and is written; ``seeds`` has its columns. A
+    pair costs one dot product; the per-space scores are taken for the ``k`` winners only.
+    Sentiment and topics are explained by 1 - distance, min-max scaled within the result.
     """
-    pairs = against_seeds(space, seeds)
-    for name in weights:
-        mine, other = F.col(name), F.col(f"seed.{name}")
-        pairs = pairs.withColumns(
-            {f"{name}_dot": arrays.dot(other, mine), f"{name}_a": arrays.dot(other, other), f"{name}_b": arrays.dot(mine, mine)}
-        )
-
-    def weighted(part: str) -> Column:
-        return sum((F.lit(w * w) * F.col(f"{name}_{part}") for name, w in weights.items()), F.lit(0.0))
+    pairs = against_seeds(space.select("song_id", "unit"), seeds.select("seed_id", "unit"))
+    score = score_round(arrays.dot(F.col("seed.unit"), F.col("unit")))
+    near = _nearest(pairs.select("seed.seed_id", "song_id", score.alias("score")), k)
+    near = write_and_read(near, "hybrid-ranks")
+    mine = space.select("song_id", F.struct(*weights).alias("mine"))
+    other = seeds.select("seed_id", F.struct(*weights).alias("other"))
+    both = near.join(mine, "song_id").join(other, "seed_id")
 
     def own_cosine(name: str) -> Column:
-        return arrays.cosine_from(F.col(f"{name}_dot"), F.sqrt(f"{name}_a"), F.sqrt(f"{name}_b"))
+        return arrays.cosine(F.col(f"other.{name}"), F.col(f"mine.{name}"))
 
     def closeness(name: str) -> Column:
-        squared = F.col(f"{name}_a") + F.col(f"{name}_b") - 2 * F.col(f"{name}_dot")
-        return 1 - F.sqrt(F.greatest(F.lit(0.0), squared))
+        return 1 - arrays.euclid(F.col(f"other.{name}"), F.col(f"mine.{name}"))
 
-    scored = pairs.select(
-        "seed.seed_id", "song_id",
-        score_round(arrays.cosine_from(weighted("dot"), F.sqrt(weighted("a")), F.sqrt(weighted("b")))).alias("score"),
+    return both.select(
+        "seed_id", "song_id", "score", "rank",
         own_cosine("w2v").alias("lyrics_similarity"),
         own_cosine("audio").alias("audio_similarity"),
         closeness("sentiment").alias("sentiment_closeness"),
         closeness("topics").alias("topic_closeness"),
     )
-    return _nearest(scored, k)
 
 
 def min_max_within(df: DataFrame, key: str, column: str) -> Column:

@@ -1,19 +1,14 @@
-"""The catalog's derived features, computed once and reused."""
+"""The catalog's derived features."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as tx
-from cadenza.operators.scoring import term_table
+from cadenza.operators.scoring import with_terms
 from cadenza.operators.sentiment import lexicon_polarity, lexicon_sentiment
-from cadenza.session import path_exists, spread, work_path
-from cadenza.sources.tables import songs, spread_table
-
-_BUILT: dict[tuple[str, str], str] = {}
+from cadenza.session import path_exists
 
 SENTIMENT_KEYS = ["neg", "neu", "pos", "compound"]
 
@@ -26,59 +21,12 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def test_lexicon(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame:
-    """The most frequent words with a valence derived from their length.
+def build_features(catalog: DataFrame, lexicon: DataFrame, idioms: DataFrame | None = None) -> DataFrame:
+    """The catalog's numbers, sentiment and term columns; the texts stay behind.
 
-    Stands in for the lexicon table a user supplies.
+    A search reads only the columns it scores, so those without a lyrics leg skip the terms.
     """
-    counted = (
-        spread_table(spark, sf_dir, "documents")
-        .select(F.explode(tx.term_counts(tx.words(F.col("text")))).alias("t"))
-        .groupBy(F.col("t.term").alias("term"))
-        .agg(F.sum("t.tf").alias("n"))
-    )
-    top = counted.orderBy(F.desc("n"), "term").limit(size)
-    valence = (F.length("term") % 9 - 4).cast("double")
-    return top.select("term", valence.alias("valence"), (valence / 4).alias("polarity"), (F.abs(valence) / 4).alias("subjectivity"))
-
-
-def build_features(catalog: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """The catalog's numbers plus sentiment columns; the heavy text columns stay behind."""
-    mood = lexicon_sentiment(catalog, "song_id", "lyrics", lexicon)
+    mood = lexicon_sentiment(catalog, "song_id", "lyrics", lexicon, idioms)
     tokens = catalog.select("song_id", tx.words(F.col("lyrics")).alias("tokens"))
     tone = lexicon_polarity(tokens, "song_id", "tokens", lexicon)
-    return catalog.drop("lyrics").join(mood, "song_id").join(tone, "song_id")
-
-
-def _built_once(spark: SparkSession, sf_dir: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table of the given data; built on first use in an application."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir}#{label}")
-    if key not in _BUILT:
-        _BUILT[key] = work_path(spark, label)
-    path = _BUILT[key]
-    if path_exists(spark, f"{path}/_SUCCESS"):
-        return spread(spark.read.parquet(path))
-    return spread(materialise(build(), path))
-
-
-def feature_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexicon as a table: it is read once per lag of the negation rule."""
-    return _built_once(spark, sf_dir, "lexicon", lambda: test_lexicon(spark, sf_dir))
-
-
-def song_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table: one narrow row per song."""
-    return _built_once(
-        spark, sf_dir, "features", lambda: build_features(songs(spark, sf_dir), feature_lexicon(spark, sf_dir))
-    )
-
-
-def song_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The term table of the lyrics leg, kept apart from the narrow features."""
-    return _built_once(spark, sf_dir, "terms", lambda: term_table(songs(spark, sf_dir), "song_id", "lyrics"))
-
-
-def genre_leads(features: DataFrame) -> DataFrame:
-    """The alphabetically first song of every genre, as a request's seeds."""
-    leads = features.groupBy("playlist_genre").agg(F.min(F.struct("track_name", "song_id")).alias("lead"))
-    return features.join(F.broadcast(leads.select(F.col("lead.song_id").alias("song_id"))), "song_id", "left_semi")
+    return with_terms(catalog, "lyrics").drop("lyrics").join(mood, "song_id").join(tone, "song_id")

@@ -30,22 +30,15 @@ SWEEP_MIN_SHARE = 0.7
 
 
 def similar_to_external(
-    catalog: DataFrame, song_terms: DataFrame, queries: DataFrame, query_terms: DataFrame, k: int = 5,
-    weights: dict[str, float] = sc.DEFAULT_WEIGHTS,
+    catalog: DataFrame, queries: DataFrame, k: int = 5, weights: dict[str, float] = sc.DEFAULT_WEIGHTS
 ) -> DataFrame:
     """Top ``k`` catalog songs for feature records that are not in the catalog.
 
-    ``queries`` has seed_id, the twelve features, the sentiment columns, ``worded`` and
-    ``video``; ``query_terms`` is their term table. A query without words is matched by
-    audio alone. Video-derived queries use their own feature weights and a lower audio floor. A catalog song without stored
-    sentiment scores 0 there.
+    ``queries`` has seed_id, the twelve features, the sentiment and term columns, ``worded``
+    and ``video``. A query that is not ``worded`` is matched by audio alone. Video-derived
+    queries use their own feature weights and a lower audio floor. A catalog song without
+    stored sentiment scores 0 there.
     """
-    return sc.in_request_batches(queries, lambda batch: _external_batch(catalog, song_terms, batch, query_terms, k, weights))
-
-
-def _external_batch(
-    catalog: DataFrame, song_terms: DataFrame, queries: DataFrame, query_terms: DataFrame, k: int, weights: dict[str, float]
-) -> DataFrame:
     pairs = sc.audio_pairs(catalog, queries, exclude_self=False)
     video, worded = F.col("seed.video"), F.col("seed.worded")
     audio_leg = F.when(video, sc.audio_score(audio.VIDEO_WEIGHTS)).otherwise(sc.audio_score())
@@ -53,12 +46,10 @@ def _external_batch(
     mood = F.when(worded & stored, similar.sentiment_cosine())
     low = F.when(video, F.lit(sc.MIN_VIDEO_AUDIO)).otherwise(F.lit(sc.MIN_AUDIO))
     scored = pairs.select(
-        "seed.seed_id", "song_id", worded.alias("worded"), low.alias("audio_floor"),
+        "seed.seed_id", "song_id", "terms", "terms_sq", "seed", worded.alias("worded"), low.alias("audio_floor"),
         audio_leg.alias("audio_raw"), F.coalesce(mood, F.lit(0.0)).alias("sentiment_raw"),
     ).where(sc.score_round(F.col("audio_raw")) >= sc.START_FACTOR * F.col("audio_floor"))
-    asked = query_terms.join(F.broadcast(queries.select("seed_id")), "seed_id", "left_semi")
-    lyrics = sc.lyrics_scores(song_terms, asked).withColumnRenamed("lyrics", "lyrics_raw")
-    scored = scored.join(lyrics, ["seed_id", "song_id"], "left").na.fill(0.0, ["lyrics_raw"])
+    scored = scored.withColumn("lyrics_raw", sc.lyrics_cosine()).drop("terms", "terms_sq", "seed")
     kept = similar.combine_legs(scored, weights, (~F.col("worded"), F.col("audio_raw"))).where(
         F.col("combined") >= sc.START_FACTOR * sc.MIN_COMBINED
     )
@@ -75,16 +66,10 @@ def video_audio_pairs(catalog: DataFrame, queries: DataFrame) -> DataFrame:
 def similar_by_video_audio(catalog: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Audio-only search for video-derived features: no early stop, median-based refinement."""
     floor = sc.MIN_VIDEO_AUDIO
-
-    def run(batch: DataFrame) -> DataFrame:
-        scored = video_audio_pairs(catalog, batch).where(F.col("audio") >= floor * sc.START_FACTOR)
-        scored = scored.withColumns({"combined": F.col("audio"), "lyrics": F.lit(0.0), "sentiment": F.lit(0.0)})
-        ranked = sc.refine_and_rank(
-            scored, ["seed_id"], k, floor, floor, candidate_factor=2, with_std=False, min_kept=k
-        )
-        return similar.result_rows(ranked, catalog)
-
-    return sc.in_request_batches(queries, run)
+    scored = video_audio_pairs(catalog, queries).where(F.col("audio") >= floor * sc.START_FACTOR)
+    scored = scored.withColumns({"combined": F.col("audio"), "lyrics": F.lit(0.0), "sentiment": F.lit(0.0)})
+    ranked = sc.refine_and_rank(scored, ["seed_id"], k, floor, floor, candidate_factor=2, with_std=False, min_kept=k)
+    return similar.result_rows(ranked, catalog)
 
 
 def mood_seeds(spark: SparkSession, moods: list[str]) -> DataFrame:
@@ -100,13 +85,12 @@ def mood_seeds(spark: SparkSession, moods: list[str]) -> DataFrame:
 
 def songs_for_moods(catalog: DataFrame, moods: list[str], k: int = 5) -> DataFrame:
     """Top ``k`` songs per mood by standardised cosine; ``catalog`` has (song_id, v)."""
-    dims = len(AUDIO_KEYS)
     seeds = mood_seeds(catalog.sparkSession, moods)
-    stats = vs.column_stats(catalog, "v", dims)
+    stats = vs.vector_stats(catalog, ["v"])
     near = vs.cosine_neighbours(
-        vs.standardised(catalog, "v", dims, stats), vs.standardised(seeds, "v", dims, stats), k, exclude_self=False
+        vs.standardised(catalog, ["v"], stats), vs.standardised(seeds, ["v"], stats), k, exclude_self=False
     )
-    return near.join(F.broadcast(seeds.select("seed_id", "mood")), "seed_id").select("mood", "song_id", "score", "rank")
+    return near.join(seeds.select("seed_id", "mood"), "seed_id").select("mood", "song_id", "score", "rank")
 
 
 def predicted_mood(value: dict[str, Column]) -> Column:
@@ -129,35 +113,28 @@ def mood_list(features: DataFrame, mood: str, k: int = 10) -> DataFrame:
     return features.orderBy(orders[mood], "song_id").limit(k)
 
 
-def playlist(catalog: DataFrame, song_terms: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+def playlist(catalog: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
     """``n`` songs per seed, no (title, artist) twice."""
     order = [F.desc("combined"), F.asc("song_id")]
+    scored = similar.score_pairs(catalog, seeds, carry=("track_name", "track_artist"))
+    distinct = sc.top_k(scored, ["seed_id", "track_name", "track_artist"], order, 1, "copy").drop("copy")
+    return similar.result_rows(sc.top_k(distinct, ["seed_id"], order, n).drop("track_name", "track_artist"), catalog)
 
-    def run(batch: DataFrame) -> DataFrame:
-        scored = similar.score_pairs(catalog, song_terms, batch, carry=("track_name", "track_artist"))
-        distinct = sc.top_k(scored, ["seed_id", "track_name", "track_artist"], order, 1, "copy").drop("copy")
-        return similar.result_rows(sc.top_k(distinct, ["seed_id"], order, n).drop("track_name", "track_artist"), catalog)
-
-    return sc.in_request_batches(seeds, run)
 
-
-def recommend_by_name(
-    catalog: DataFrame, song_terms: DataFrame, requests: DataFrame, k: int = 5, with_artist: bool = False
-) -> DataFrame:
+def recommend_by_name(catalog: DataFrame, requests: DataFrame, k: int = 5, with_artist: bool = False) -> DataFrame:
     """Recommendations for the first song that bears each requested title (and artist)."""
     artist = "track_artist" if with_artist else None
     found = search.first_matches(catalog, requests, "track_name", "song_id", artist).select("song_id").distinct()
     seeds = sc.as_seeds(catalog.join(found, "song_id", "left_semi"), similar.SEED_COLUMNS)
-    return similar.similar_songs(catalog, song_terms, write_and_read(seeds, "seeds"), k)
+    return similar.similar_songs(catalog, seeds, k)
 
 
-def recommend_for_genre(
-    catalog: DataFrame, song_terms: DataFrame, genre: str, offset: int = 0, limit: int = 10, k: int = 5
+def recommend_for_page(
+    catalog: DataFrame, chosen: Column, offset: int = 0, limit: int = 10, k: int = 5
 ) -> DataFrame:
-    """Recommendations for every song on one page of a genre."""
-    page = search.page(catalog.where(F.col("playlist_genre") == genre), ["track_name", "song_id"], offset, limit)
-    seeds = sc.as_seeds(page, similar.SEED_COLUMNS)
-    return similar.similar_songs(catalog, song_terms, write_and_read(seeds, "seeds"), k)
+    """Recommendations for every song on one page of a genre, a mood or another choice."""
+    page = search.page(catalog.where(chosen), ["track_name", "song_id"], offset, limit)
+    return similar.similar_songs(catalog, sc.as_seeds(page, similar.SEED_COLUMNS), k)
 
 
 def component_split(score: Column, has_lyrics: Column) -> Column:
@@ -180,21 +157,23 @@ def threshold_sweep(scored: DataFrame, k: int) -> DataFrame:
     Level 0 always counts; a stricter level only with at least 0.7 k rows. The lowest of
     equally good levels wins, which is what trying them one after the other gives.
     """
-    levels = scored.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(SWEEP_LEVELS - 1))))
+    # Scored once; the levels only repeat narrow rows of ids and scores.
+    levels = write_and_read(scored, "swept").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(SWEEP_LEVELS - 1))))
     lift = SWEEP_STEP * F.col("level")
     levels = levels.withColumns({"audio_floor": F.lit(sc.MIN_AUDIO) + lift, "combined_floor": F.lit(sc.MIN_COMBINED) + lift})
     passing = levels.where(
         (F.col("audio") >= sc.START_FACTOR * F.col("audio_floor"))
         & (F.col("combined") >= sc.START_FACTOR * F.col("combined_floor"))
     )
-    ranked = sc.refine_and_rank(passing, ["seed_id", "level"], k, F.col("audio_floor"), F.col("combined_floor"))
+    ranked = sc.refine_and_rank(passing, ["seed_id", "level"], k, F.col("audio_floor"), F.col("combined_floor"), written=True)
     # From here on at most levels * k rows per seed.
+    ranked = write_and_read(ranked, "swept-ranks")
     quality = ranked.groupBy("seed_id", "level").agg(F.avg("combined").alias("mean"), F.count(F.lit(1)).alias("n"))
     usable = quality.where((F.col("level") == 0) | (F.col("n") >= SWEEP_MIN_SHARE * k))
     best = usable.groupBy("seed_id").agg(
         F.max_by("level", F.struct(sc.score_round(F.col("mean")), -F.col("level"))).alias("level")
     )
-    return ranked.join(F.broadcast(best), ["seed_id", "level"])
+    return ranked.join(best, ["seed_id", "level"])
 
 
 def explanation_columns() -> dict[str, Column]:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import arrays, audio
 from cadenza.operators import scoring as sc
+from cadenza.session import write_and_read
 from cadenza.sources.tables import AUDIO_KEYS
 
 LEGS = ["audio", "lyrics", "sentiment"]
 MOOD = ["neg", "neu", "pos", "compound"]
-SEED_COLUMNS = [*AUDIO_KEYS, *MOOD]
+SEED_COLUMNS = [*AUDIO_KEYS, *MOOD, "terms", "terms_sq"]
 
 
 def sentiment_vector(prefix: str = "") -> Column:
@@ -29,7 +30,6 @@ def sentiment_cosine() -> Column:
 
 def score_pairs(
     catalog: DataFrame,
-    song_terms: DataFrame,
     seeds: DataFrame,
     weights: dict[str, float] = sc.DEFAULT_WEIGHTS,
     audio_floor: float = sc.MIN_AUDIO * sc.START_FACTOR,
@@ -40,14 +40,15 @@ def score_pairs(
 ) -> DataFrame:
     """All (seed, song) pairs that pass the floors, with their leg scores.
 
-    The cheap audio floor runs first, inside the scan, before the lyrics leg is joined.
-    Pairs are ids and scores only (plus ``carry``): names are looked up after the top-k,
-    and the statistics pass and the ranking pass can then read the same shuffle.
+    All legs are scored inside the row that a catalog song and a seed make, the cheap audio
+    floor first; nothing is shuffled. Pairs are ids and scores only (plus ``carry``): names
+    are looked up after the top-k.
     """
     pairs = sc.audio_pairs(catalog, seeds, exclude_self)
     mood = sentiment_cosine()
+    words = ["terms", "terms_sq", "seed"] if weights["lyrics"] > 0 else []
     scored = pairs.select(
-        F.col("seed.seed_id").alias("seed_id"), "song_id", *carry,
+        F.col("seed.seed_id").alias("seed_id"), "song_id", *carry, *words,
         sc.audio_score(feature_weights).alias("audio_raw"),
         (mood if weights["sentiment"] > 0 else F.lit(0.0)).alias("sentiment_raw"),
     )
@@ -56,8 +57,7 @@ def score_pairs(
     if weights["sentiment"] > 0.2:
         scored = scored.where(sc.score_round(F.col("sentiment_raw")) >= sc.MIN_SENTIMENT)
     if weights["lyrics"] > 0:
-        lyrics = sc.lyrics_scores(song_terms, sc.terms_of_seeds(song_terms, seeds)).withColumnRenamed("lyrics", "lyrics_raw")
-        scored = scored.join(lyrics, ["seed_id", "song_id"], "left").na.fill(0.0, ["lyrics_raw"])
+        scored = scored.withColumn("lyrics_raw", sc.lyrics_cosine()).drop("terms", "terms_sq", "seed")
         if weights["lyrics"] > 0.3:
             scored = scored.where(sc.score_round(F.col("lyrics_raw")) >= sc.MIN_LYRICS)
     else:
@@ -78,28 +78,25 @@ def combine_legs(scored: DataFrame, weights: dict[str, float], override: tuple[C
 
 
 def result_rows(ranked: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Result rows with titles; ``ranked`` holds at most k rows per seed of one batch."""
+    """Result rows with titles; ``ranked`` has k rows per seed and is written, so that Spark knows its size."""
     names = catalog.select("song_id", "track_name", "track_artist")
-    return names.join(F.broadcast(ranked), "song_id").select(
+    return names.join(write_and_read(ranked, "ranked"), "song_id").select(
         "seed_id", "song_id", "track_name", "track_artist", "combined", "audio", "lyrics", "sentiment", "rank"
     )
 
 
 def similar_songs(
-    catalog: DataFrame, song_terms: DataFrame, seeds: DataFrame, k: int = 5, weights: dict[str, float] = sc.DEFAULT_WEIGHTS
+    catalog: DataFrame, seeds: DataFrame, k: int = 5, weights: dict[str, float] = sc.DEFAULT_WEIGHTS
 ) -> DataFrame:
-    """Top ``k`` songs per seed by the weighted sum of the three legs, after refinement."""
+    """Top ``k`` songs per seed by the weighted sum of the three legs, after refinement.
+
+    ``catalog`` and ``seeds`` hold the features, the sentiment and the term columns.
+    """
     if weights["audio"] == 1.0 and weights["lyrics"] == 0.0 and weights["sentiment"] == 0.0:
         return similar_by_raw_cosine(catalog, seeds, k)
-    return sc.in_request_batches(
-        seeds,
-        lambda batch: result_rows(
-            sc.refine_and_rank(score_pairs(catalog, song_terms, batch, weights), ["seed_id"], k), catalog
-        ),
-    )
+    return result_rows(sc.refine_and_rank(score_pairs(catalog, seeds, weights), ["seed_id"], k), catalog)
 
 
-@sc.per_request_batch
 def similar_by_raw_cosine(
     catalog: DataFrame, seeds: DataFrame, k: int = 5, floor: float = sc.MIN_AUDIO
 ) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Session defaults, the shared work folder, and size-checked broadcasts."""
+"""Session defaults, the shared work folder, and spreading of small files."""
 
 from __future__ import annotations
 
@@ -8,10 +8,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Rows above which a side is never broadcast.
-BROADCAST_ROWS = 1_000_000
+# A single file of at most this size is spread over the cores.
+SPREAD_BYTES = 32 << 20
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -72,20 +71,22 @@ def write_and_read(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the row count is proven to be small.
-
-    Beyond ``max_rows`` the plan is left unhinted, so Spark shuffles both sides.
-    """
-    # A plain count stays distributed; a limited one would gather rows in a single task.
-    return F.broadcast(df) if df.count() <= max_rows else df
+def input_bytes(scan: DataFrame) -> int:
+    """Size of the files behind a plain scan."""
+    spark = scan.sparkSession
+    total = 0
+    for name in scan.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a table scan over the cores where its files give fewer splits than that.
+def spread(scan: DataFrame, most_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Spread a table of at most ``most_bytes`` over the session's cores.
 
-    A large table has more splits than cores and is left alone, so only small inputs to
-    heavy per-row work are moved. For plain scans: it looks at the plan's partitions.
+    A small Parquet file is one split, however heavy the work per row. The bound is in bytes
+    of the table, whatever the cluster: larger tables are read where they are.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    if len(scan.inputFiles()) > 1 or input_bytes(scan) > most_bytes:
+        return scan
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)

@@ -65,6 +65,18 @@ def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return song_view(spread_table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
 
 
+def text_view(documents: DataFrame) -> DataFrame:
+    """Catalog rows of all documents, for what needs names and texts alone."""
+    return documents.select(
+        F.col("doc_id").alias("song_id"), F.substring_index("text", " ", 3).alias("track_name"),
+        F.col("source").alias("track_artist"), F.col("lang").alias("playlist_genre"), F.col("text").alias("lyrics"),
+    )
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_view(spread_table(spark, sf_dir, "documents"))
+
+
 def audio_map(prefix: str = "") -> Column:
     """The flat features as MAP<STRING, DOUBLE>."""
     parts: list[Column] = []

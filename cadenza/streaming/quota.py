@@ -1,14 +1,9 @@
-"""Request quotas: fixed windows and the sliding log of accepted requests."""
+"""Request quotas over fixed and sliding windows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cadenza.functions.coerce import epoch_micros
 from cadenza.operators.scoring import top_k
@@ -17,7 +12,8 @@ from cadenza.operators.scoring import top_k
 PER_MINUTE = 60
 WINDOW_SECONDS = 60
 HOURLY = {"search": 300, "download": 50}
-HOUR_MICROS = 3_600_000_000
+# How late a request may come and still count.
+LATE = "1 day"
 
 
 def window_number(ts: str, seconds: int) -> Column:
@@ -29,11 +25,16 @@ def fixed_window_quota(requests: DataFrame, key: str, ts: str, id_col: str, limi
 
     Only the first ``limit`` requests of a window need a rank. They are found by a
     limited rank and joined back by request id, so a client that sends a third of all
-    requests is never ranked in one task.
+    requests is never ranked in one task. Request ids must be unique; one that repeats is an
+    error, since the join would multiply its rows.
     """
     numbered = requests.withColumn("window_no", window_number(ts, seconds))
     first = top_k(numbered.select(key, "window_no", ts, id_col), [key, "window_no"], [F.asc(ts), F.asc(id_col)], limit, "nth")
-    joined = numbered.join(first.select(id_col, "nth"), id_col, "left")
+    # At most ``limit`` rows per key and window, so an id that repeats shows here.
+    twice = F.raise_error(F.concat(F.lit("request id repeats: "), F.col(id_col).cast("string")))
+    ranked = first.groupBy(id_col).agg(F.max("nth").alias("nth"), F.count(F.lit(1)).alias("_n"))
+    once = ranked.select(id_col, F.when(F.col("_n") == 1, F.col("nth")).otherwise(twice.cast("int")).alias("nth"))
+    joined = numbered.join(once, id_col, "left")
     return joined.select(
         id_col, key,
         F.col("nth").isNotNull().alias("allowed"),
@@ -42,78 +43,26 @@ def fixed_window_quota(requests: DataFrame, key: str, ts: str, id_col: str, limi
     )
 
 
-def window_counts(requests: DataFrame, key: str, ts: str, seconds: int = WINDOW_SECONDS, late: str = "10 minutes", limit: int = PER_MINUTE) -> DataFrame:
-    """Streaming twin: requests, allowed and refused per key and window, late rows dropped."""
-    counted = (
-        requests.withWatermark(ts, late)
-        .groupBy(F.window(ts, f"{seconds} seconds").alias("w"), F.col(key))
-        .agg(F.count(F.lit(1)).alias("requests"))
-    )
-    return counted.select(
-        key, F.col("w.start").alias("start"), "requests",
-        F.least(F.col("requests"), F.lit(limit)).alias("allowed"),
-        F.greatest(F.col("requests") - limit, F.lit(0)).alias("refused"),
-    )
-
-
-def admit(times: np.ndarray, log: list[int], limit: int, span: int = HOUR_MICROS) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Sliding log over ascending times: (accepted, remaining, log afterwards).
+def window_counts(
+    requests: DataFrame, key: str, ts: str, seconds: int = WINDOW_SECONDS, late: str = LATE, limit: Column | int = PER_MINUTE,
+    slide: int | None = None,
+) -> DataFrame:
+    """Streaming twin: requests, allowed and refused per key and window, for update mode.
 
-    Only accepted requests are logged, so the log never exceeds ``limit`` entries.
+    With ``slide`` seconds the windows overlap and stand for a sliding hour or day. A row
+    counts unless it comes later than ``late`` behind the newest one, which bounds the state.
     """
-    accepted = np.zeros(len(times), dtype=bool)
-    remaining = np.zeros(len(times), dtype=np.int64)
-    head = 0
-    log = list(log)
-    for i, now in enumerate(times):
-        while head < len(log) and log[head] <= now - span:
-            head += 1
-        if len(log) - head < limit:
-            log.append(int(now))
-            accepted[i] = True
-        remaining[i] = limit - (len(log) - head)
-    return accepted, remaining, log[head:]
-
-
-class SlidingLog(StatefulProcessor):
-    """One list state per operation: the accepted timestamps of the last hour."""
-
-    def __init__(self, limits: dict[str, int]):
-        self.limits = limits
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.log = handle.getListState("accepted", "at BIGINT")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        operation = key[0]
-        # A trigger's share of one operation; its size is bounded by the source options.
-        batch = pd.concat(list(rows)).sort_values(["micros", "request_id"], kind="stable")
-        limit = self.limits.get(operation)
-        if limit is None:
-            accepted, remaining = np.zeros(len(batch), dtype=bool), np.zeros(len(batch), dtype=np.int64)
-        else:
-            kept = [int(entry[0]) for entry in self.log.get()] if self.log.exists() else []
-            accepted, remaining, kept = admit(batch["micros"].to_numpy(), kept, limit)
-            self.log.put([(at,) for at in kept]) if kept else self.log.clear()
-        yield pd.DataFrame(
-            {
-                "operation": [operation] * len(batch), "request_id": batch["request_id"].to_numpy(),
-                "accepted": accepted, "remaining": remaining,
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-
-SLIDING_OUTPUT = "operation STRING, request_id BIGINT, accepted BOOLEAN, remaining BIGINT"
-
+    window = F.window(ts, f"{seconds} seconds", f"{slide or seconds} seconds")
+    counted = requests.withWatermark(ts, late).groupBy(window.alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("requests"))
+    cap = limit if isinstance(limit, Column) else F.lit(limit)
+    return counted.select(
+        key, F.unix_seconds("w.start").alias("start"), "requests",
+        F.least(F.col("requests"), cap).alias("allowed"),
+        F.greatest(F.col("requests") - cap, F.lit(0)).alias("refused"),
+    )
 
-def sliding_log_quota(requests: DataFrame, limits: dict[str, int] = HOURLY) -> DataFrame:
-    """Streaming sliding-log limiter; ``requests`` has operation, request_id and micros.
 
-    Unknown operations are refused. Needs the RocksDB state store.
-    """
-    return requests.groupBy("operation").transformWithStateInPandas(
-        statefulProcessor=SlidingLog(limits), outputStructType=SLIDING_OUTPUT, outputMode="Append", timeMode="None"
-    )
+def hourly_limit(operation: Column, limits: dict[str, int] = HOURLY) -> Column:
+    """The limit of an operation; unknown operations are refused."""
+    cases = [F.when(operation == name, F.lit(n).cast("bigint")) for name, n in limits.items()]
+    return F.coalesce(*cases, F.lit(0).cast("bigint"))

@@ -75,17 +75,30 @@ class ExpiringValue(StatefulProcessor):
         pass
 
 
-def expiring_view(log: DataFrame, days: int = URL_DAYS, late: str = "1 hour") -> DataFrame:
+def expiring_view(log: DataFrame, days: int = URL_DAYS, late: str | None = None) -> DataFrame:
     """Streaming twin of the two functions above: one row per change of a key.
 
-    ``log`` has entry_key, ts (zoned), micros, url, status. Rows later than ``late`` are dropped.
+    ``log`` has entry_key, ts (zoned), micros, url, status. The newest value wins whatever the
+    order of arrival. Only rows older than a whole lifetime behind the newest one are left
+    out: such an entry has expired before it arrives. ``late`` overrides that bound.
     """
-    return log.withWatermark("ts", late).groupBy("entry_key").transformWithStateInPandas(
+    return log.withWatermark("ts", late or f"{days} days").groupBy("entry_key").transformWithStateInPandas(
         statefulProcessor=ExpiringValue(days * 86_400_000),
         outputStructType="entry_key BIGINT, micros BIGINT, url STRING", outputMode="Update", timeMode="EventTime",
     )
 
 
+def current_view(changes: DataFrame, as_of_micros: Column, days: int = URL_DAYS) -> DataFrame:
+    """Keys that still answer, from all published changes (entry_key, micros, url, update).
+
+    The watermark trails the newest row by a lifetime, so what expired meanwhile is left out here.
+    """
+    order = F.struct(F.col("update"), F.col("url").isNull())
+    newest = changes.groupBy("entry_key").agg(F.max_by(F.struct("micros", "url"), order).alias("e")).select("entry_key", "e.*")
+    fresh = F.col("micros") >= as_of_micros - days * 86_400_000_000
+    return newest.where(F.col("url").isNotNull() & fresh)
+
+
 def ingest(stream: DataFrame, target_path: str, order: str, text_columns: list[str], key: list[str]) -> None:
     """Clean arriving rows and append the new ones; each batch owns a folder it may rewrite.
 

@@ -8,7 +8,7 @@ from cadenza.plans.features import materialise
 from cadenza.session import work_path
 from cadenza.sources import catalog as cat
 from cadenza.sources import sinks
-from cadenza.sources.tables import AUDIO_KEYS, songs, table
+from cadenza.sources.tables import AUDIO_KEYS, songs, table, texts
 from cadenza.workload import sqlparts as sp
 from cadenza.workload.registry import query
 
@@ -133,11 +133,11 @@ def a8(spark, sf):
 
 @query(
     "a9_import_raw",
-    f"""WITH {sp.SONGS} SELECT track_name, track_artist, playlist_genre, lyrics, '{{}}' AS audio_features, NULL::VARCHAR AS word2vec_features,
+    f"""WITH {sp.TEXTS} SELECT track_name, track_artist, playlist_genre, lyrics, '{{}}' AS audio_features, NULL::VARCHAR AS word2vec_features,
     NULL::VARCHAR AS sentiment_features, NULL::VARCHAR AS topic_features, false AS is_original FROM songs""",
 )
 def a9(spark, sf):
-    return cat.import_raw(songs(spark, sf))
+    return cat.import_raw(texts(spark, sf))
 
 
 @query(
@@ -154,9 +154,15 @@ def a10(spark, sf):
     return materialise(derived, path)
 
 
-@query("a11_file_manifest")
+# Files that the events stand for: one per event, in a folder per type, a kilobyte per unit of value.
+@query(
+    "a11_file_manifest",
+    """SELECT '/store/' || event_type AS folder, count(*) AS files, round(sum((floor(value) * 1024)::BIGINT) / 1048576, 2) AS storage_mb FROM events GROUP BY event_type""",
+)
 def a11(spark, sf):
-    return cat.storage_stats(cat.file_manifest(spark, sf))
+    path = F.concat(F.lit("/store/"), "event_type", F.lit("/"), "event_id", F.lit(".mp3"))
+    length = (F.floor("value") * 1024).cast("bigint")
+    return cat.storage_stats(table(spark, sf, "events").select(path.alias("path"), length.alias("length")))
 
 
 @query(
@@ -165,7 +171,7 @@ def a11(spark, sf):
       nullif(regexp_extract(url, '^https?://([^/]+)/', 1), '') AS uploader, html AS description, CASE WHEN contains(url, '?') THEN length(html) END AS duration,
       CASE WHEN contains(url, '#') THEN NULL ELSE page_id * 10 END AS view_count, CASE WHEN contains(url, '?') THEN string_split(url, '/') END AS tags FROM pages)
     SELECT video_id, coalesce(title, 'Unknown') AS title, coalesce(uploader, 'Unknown') AS uploader, coalesce(duration, 0)::BIGINT AS duration,
-      coalesce(view_count, 0)::BIGINT AS view_count, substr(description, 1, 500) AS description, coalesce(len(tags), 0)::INTEGER AS n_tags,
+      coalesce(view_count, 0)::BIGINT AS view_count, coalesce(description, '') AS description, substr(coalesce(description, ''), 1, 500) AS short_description, coalesce(len(tags), 0)::INTEGER AS n_tags,
       'https://www.youtube.com/watch?v=' || video_id AS url, 'https://img.youtube.com/vi/' || video_id || '/hqdefault.jpg' AS thumbnail, 'youtube' AS source FROM r""",
 )
 def a12(spark, sf):

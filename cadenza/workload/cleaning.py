@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import audio, coerce
 from cadenza.operators import search, shaping
 from cadenza.sources import catalog as cat
-from cadenza.sources.tables import audio_map, songs, spread_table, table
+from cadenza.sources.tables import audio_map, songs, spread_table, table, texts
 from cadenza.workload import sqlparts as sp
 from cadenza.workload.registry import query
 
@@ -69,20 +69,20 @@ def b4(spark, sf):
 
 @query(
     "b5_get_by_id",
-    f"WITH {sp.SONGS} SELECT song_id, track_name, track_artist FROM songs WHERE song_id IN (SELECT doc_id FROM labels)",
+    f"WITH {sp.TEXTS} SELECT song_id, track_name, track_artist FROM songs WHERE song_id IN (SELECT doc_id FROM labels)",
 )
 def b5(spark, sf):
     asked = table(spark, sf, "labels").select(F.col("doc_id").alias("song_id"))
-    return search.by_ids(songs(spark, sf), asked, "song_id").select("song_id", "track_name", "track_artist")
+    return search.by_ids(texts(spark, sf), asked, "song_id").select("song_id", "track_name", "track_artist")
 
 
 @query(
     "b6_substring_search",
-    f"""WITH {sp.SONGS} SELECT song_id, track_name, track_artist, playlist_genre FROM songs
+    f"""WITH {sp.TEXTS} SELECT song_id, track_name, track_artist, playlist_genre FROM songs
     WHERE (track_name ILIKE '%the%' OR track_artist ILIKE '%the%') AND track_artist ILIKE '%SRC1%' AND playlist_genre ILIKE '%E%' ORDER BY track_name, song_id LIMIT 20""",
 )
 def b6(spark, sf):
-    return search.substring_search(songs(spark, sf), "the", "SRC1", "E").select("song_id", "track_name", "track_artist", "playlist_genre")
+    return search.substring_search(texts(spark, sf), "the", "SRC1", "E").select("song_id", "track_name", "track_artist", "playlist_genre")
 
 
 @query(
@@ -145,6 +145,22 @@ def b8(spark, sf):
     return hits.select("request", "song_id", F.round("relevance", 6).alias("relevance"))
 
 
+@query(
+    "b8_fuzzy_page",
+    f"""WITH {FUZZY_SQL}, qg AS (SELECT *, CASE WHEN title IS NOT NULL THEN {grams_sql('title')} END AS tg, CASE WHEN artist IS NOT NULL THEN {grams_sql('artist')} END AS ag FROM q),
+    pg AS (SELECT *, {grams_sql('p_name')} AS ng, {grams_sql('p_brand')} AS bg FROM part),
+    m AS (SELECT request, p_partkey AS song_id, p_name, p_type, genre, CASE WHEN title IS NOT NULL THEN {sim_sql('ng', 'tg')} END AS ts,
+      CASE WHEN artist IS NOT NULL THEN {sim_sql('bg', 'ag')} END AS a_s FROM pg, qg),
+    r AS (SELECT *, CASE WHEN ts IS NOT NULL THEN CASE WHEN ts >= 0.8 THEN 3.0::DOUBLE WHEN ts >= 0.5 THEN 2.0::DOUBLE ELSE ts END
+      ELSE CASE WHEN a_s >= 0.8 THEN 2.0::DOUBLE WHEN a_s >= 0.5 THEN 1.5::DOUBLE ELSE a_s END END AS relevance FROM m WHERE ts >= 0.3 OR a_s >= 0.3 OR p_type = genre)
+    SELECT * FROM (SELECT request, song_id, p_name AS track_name, round(relevance, 6) AS relevance, CAST(row_number() OVER (PARTITION BY request ORDER BY relevance DESC NULLS LAST, p_name, song_id) AS INTEGER) AS place FROM r)
+    WHERE place > 5 AND place <= 15""",
+)
+def b8_page(spark, sf):
+    hits = search.fuzzy_search(part_catalog(spark, sf), FUZZY, "track_name", "track_artist", "playlist_genre")
+    return search.fuzzy_page(hits, 5, 10).select("request", "song_id", "track_name", F.round("relevance", 6).alias("relevance"), "place")
+
+
 @query(
     "b9_exact_lookup",
     """WITH asked AS (SELECT DISTINCT upper(p_name) AS title, lower(p_brand) AS artist FROM part WHERE p_size > 25)
@@ -158,10 +174,10 @@ def b9(spark, sf):
 
 @query(
     "b10_genre_page",
-    f"WITH {sp.SONGS} SELECT song_id, track_name, track_artist FROM songs WHERE playlist_genre = 'en' ORDER BY track_name, song_id LIMIT 10 OFFSET 5",
+    f"WITH {sp.TEXTS} SELECT song_id, track_name, track_artist FROM songs WHERE playlist_genre = 'en' ORDER BY track_name, song_id LIMIT 10 OFFSET 5",
 )
 def b10(spark, sf):
-    rows = songs(spark, sf).where(F.col("playlist_genre") == "en")
+    rows = texts(spark, sf).where(F.col("playlist_genre") == "en")
     return search.page(rows, ["track_name", "song_id"], 5, 10).select("song_id", "track_name", "track_artist")
 
 
@@ -174,10 +190,10 @@ def b11(spark, sf):
     return rows.select("song_id", F.round("tempo", 6).alias("tempo"), F.round("energy", 6).alias("energy"))
 
 
-@query("b12_exclusion_list", f"WITH {sp.SONGS} SELECT song_id, track_name FROM songs WHERE song_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+@query("b12_exclusion_list", f"WITH {sp.TEXTS} SELECT song_id, track_name FROM songs WHERE song_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def b12(spark, sf):
     bad = table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("song_id"))
-    return search.excluding(songs(spark, sf), bad, "song_id").select("song_id", "track_name")
+    return search.excluding(texts(spark, sf), bad, "song_id").select("song_id", "track_name")
 
 
 RAW_FEATURES = {
@@ -272,7 +288,7 @@ def b18_audio(spark, sf):
 
 @query(
     "b19_feature_profile",
-    f"WITH {sp.SONGS} " + " UNION ALL ".join(f"SELECT song_id, '{n}' AS feature, round(least(1, greatest(0, {n})), 6) AS value FROM songs" for n in shaping.PROFILE_KEYS),
+    f"WITH {sp.SONGS} " + " UNION ALL ".join(f"SELECT song_id, '{n}' AS feature, round(least(1, greatest(0, {n})), 6) AS value FROM songs" for n in sp.PROFILE),
 )
 def b19(spark, sf):
     return shaping.profile(songs(spark, sf), "song_id").withColumn("value", F.round("value", 6))
@@ -287,4 +303,17 @@ def b20(spark, sf):
     asked = table(spark, sf, "pages").select(
         "page_id", "url", F.regexp_extract("url", "[#=]([a-z0-9]+)$", 1).alias("text"), F.floor(F.length("html") / 100).alias("limit")
     )
-    return search.check_requests(asked, "url", "text", "limit", r"^https?://(www\.|m\.)?th").select("page_id", "refused")
+    return search.check_requests(asked, "url", "text", "limit", link_pattern=r"^https?://(www\.|m\.)?th").select("page_id", "refused")
+
+
+@query(
+    "b20_check_audio_requests",
+    r"""SELECT doc_id, CASE WHEN length(text) < 2 THEN 'text too short' WHEN length(text) > 200 THEN 'text too long'
+    WHEN lang <> 'en' AND coalesce((32 * (doc_id % 11))::VARCHAR, '') NOT IN ('64', '96', '128', '192', '256', '320') THEN 'bad quality' END AS refused FROM documents""",
+)
+def b20_audio(spark, sf):
+    asked = table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("https://youtu.be/"), "doc_id").alias("url"), "text", F.lit(5).alias("limit"),
+        F.when(F.col("lang") != "en", (32 * (F.col("doc_id") % 11)).cast("string")).alias("quality"),
+    )
+    return search.check_requests(asked, "url", "text", "limit", "quality").select("doc_id", "refused")

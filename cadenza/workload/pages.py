@@ -9,7 +9,22 @@ from cadenza.sources.tables import spread_table, table
 from cadenza.workload.registry import query
 
 
-@query("j1_container_text")
+STRIP_SQL = "regexp_replace({0}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->{1}', chr(10), 'g')"
+
+
+def visible_sql(expr: str) -> str:
+    text = STRIP_SQL.format(expr, "|<[^>]*>")
+    for entity, character in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{character}')"
+    return f"trim(regexp_replace(regexp_replace({text}, '\\[[^\\]\\n]*\\]', '', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
+@query(
+    "j1_container_text",
+    f"""WITH b AS (SELECT page_id, {STRIP_SQL.format('html', '')} AS body FROM pages),
+    c AS (SELECT page_id, regexp_extract_all(body, '(?is)<article(?:\\s[^>]*)?>(.*?)</article>', 1) AS found FROM b)
+    SELECT page_id, CASE WHEN len(found) > 0 THEN {visible_sql('found[1]')} END AS text FROM c""",
+)
 def j1(spark, sf):
     return pg.page_texts(spread_table(spark, sf, "pages"), "page_id", "html", [("article", None, None, False)], None)
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import audio, text as tx
-from cadenza.operators import aggregates as ag, scan_order as so, scoring as sc, spaces as vs
+from cadenza.operators import aggregates as ag, scoring as sc, spaces as vs
 from cadenza.operators.sentiment import lexicon_sentiment
 from cadenza.plans import products as pr, similar
-from cadenza.plans.features import feature_lexicon, genre_leads, song_features, song_terms
 from cadenza.session import write_and_read
 from cadenza.sources.tables import AUDIO_KEYS, audio_vector, song_view, songs, table
 from cadenza.workload import sqlparts as sp
+from cadenza.workload.inputs import feature_lexicon, genre_leads, song_features
 from cadenza.workload.registry import query
 from cadenza.workload.similarity import AUDIO_STD, STD_COSINE_SQL, TOP_SQL, audio_space
 
@@ -19,19 +19,18 @@ RESULT = "seed_id, song_id, track_name, track_artist, combined, audio, lyrics, s
 
 
 def leads(features):
-    """The request's seeds, written once because every leg of a search reads them."""
-    return write_and_read(sc.as_seeds(genre_leads(features), similar.SEED_COLUMNS), "seeds")
+    return sc.as_seeds(genre_leads(features), similar.SEED_COLUMNS)
 
 
 @query("d19_similar_songs", f"WITH {sp.BASE}, {sp.scored()}, {sp.refined(5)} SELECT {RESULT} FROM ranked")
 def d19(spark, sf):
     features = song_features(spark, sf)
-    return similar.similar_songs(features, song_terms(spark, sf), leads(features), k=5)
+    return similar.similar_songs(features, leads(features), k=5)
 
 
 # External records: the benchmark texts beside the embedding of the same number, with raw
-# extracted feature ranges. The shorter ones count as instrumentals without words.
-EXT_SQL = f"""ext AS (SELECT b.item_id AS song_id, CASE WHEN length(b.text) > 250 THEN b.text ELSE '' END AS lyrics,
+# extracted feature ranges. Those of one cluster are flagged as instrumentals without words.
+EXT_SQL = f"""ext AS (SELECT b.item_id AS song_id, b.text AS lyrics, e.label <> 3 AS sung,
   {sp.u(1)} * 26 AS rd, {sp.u(2)} * 10 AS re, CAST(least(11, floor(12 * {sp.u(3)})) AS INTEGER) AS key, -60 + 60 * {sp.u(4)} AS loudness, CASE WHEN {sp.u(5)} >= 0.5 THEN 1 ELSE 0 END AS mode,
   {sp.u(6)} * 30 AS rs, {sp.u(7)} AS acousticness, {sp.u(8)} AS instrumentalness, {sp.u(9)} AS liveness, {sp.u(10)} AS valence, 60 + 140 * {sp.u(11)} AS tempo,
   CAST(floor(120000 + 180000 * {sp.u(12)}) AS INTEGER) AS duration_ms FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
@@ -44,7 +43,7 @@ ext_totals AS (SELECT song_id, sum(tf * tf) AS sq FROM ext_terms GROUP BY song_i
 def external_records(spark, sf):
     texts = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("").alias("lang"), F.lit("").alias("source"))
     raw = song_view(texts, table(spark, sf, "embeddings")).select(
-        F.col("song_id").alias("seed_id"), *AUDIO_KEYS, F.when(F.length("lyrics") > 250, F.col("lyrics")).otherwise("").alias("lyrics")
+        F.col("song_id").alias("seed_id"), *AUDIO_KEYS, "lyrics", (F.col("cluster") != 3).alias("sung")
     )
     raw = raw.withColumns({"danceability": F.col("danceability") * 26, "speechiness": F.col("speechiness") * 30, "energy": F.col("energy") * 10})
     flagged = raw.withColumn("video", audio.looks_unnormalised(F.lit("file"), F.col("danceability"), F.col("speechiness")))
@@ -52,19 +51,19 @@ def external_records(spark, sf):
 
 
 def external_queries(spark, sf):
-    records = external_records(spark, sf)
+    # The records feed the sentiment and the terms; both are small beside the catalog.
+    records = write_and_read(external_records(spark, sf), "external-records")
     mood = lexicon_sentiment(records, "seed_id", "lyrics", feature_lexicon(spark, sf))
-    texts = write_and_read(sc.term_table(records, "seed_id", "lyrics"), "external-terms")
-    queries = records.withColumn("worded", F.size(tx.similarity_tokens(F.col("lyrics"))) > 0).drop("lyrics").join(mood, "seed_id")
-    # A request's records feed several legs; their features are computed once.
-    return write_and_read(queries, "external-queries"), texts
+    worded = F.col("sung") & (F.col("terms_sq") > 0)
+    return sc.with_terms(records, "lyrics").withColumn("worded", worded).drop("lyrics", "sung").join(mood, "seed_id")
 
 
 EXT_SCORED = f"""{sp.lyric_legs('ext_ids', 'ext_terms', 'ext_totals')},
-raw AS (SELECT q.song_id AS seed_id, c.song_id, c.track_name, c.track_artist, q.lyrics <> '' AS worded, CASE WHEN q.video THEN 0.12 ELSE 0.15 END::DOUBLE AS low,
+raw AS (SELECT q.song_id AS seed_id, c.song_id, c.track_name, c.track_artist, q.worded, CASE WHEN q.video THEN 0.12 ELSE 0.15 END::DOUBLE AS low,
     CASE WHEN q.video THEN {sp.audio_sim(sp.VIDEO)} ELSE {sp.audio_sim(sp.STANDARD)} END AS ra, coalesce(lyr.lyrics, 0) AS rl,
-    CASE WHEN q.lyrics <> '' AND c.cluster <> 2 THEN {sp.mood_cos()} ELSE 0 END AS rs
-  FROM (SELECT * FROM extn JOIN xmood USING (song_id)) q CROSS JOIN features c LEFT JOIN lyr ON lyr.seed_id = q.song_id AND lyr.song_id = c.song_id),
+    CASE WHEN q.worded AND c.cluster <> 2 THEN {sp.mood_cos()} ELSE 0 END AS rs
+  FROM (SELECT *, sung AND song_id IN (SELECT song_id FROM ext_terms) AS worded FROM extn JOIN xmood USING (song_id)) q
+  CROSS JOIN features c LEFT JOIN lyr ON lyr.seed_id = q.song_id AND lyr.song_id = c.song_id),
 scored AS (SELECT * FROM (SELECT *, round(ra, 6) AS audio, round(rl, 6) AS lyrics, round(rs, 6) AS sentiment,
     round(CASE WHEN worded THEN 0.7::DOUBLE * ra + 0.2::DOUBLE * rl + 0.1::DOUBLE * rs ELSE ra END, 6) AS combined FROM raw)
   WHERE audio >= 0.8::DOUBLE * low AND combined >= 0.12::DOUBLE)"""
@@ -73,13 +72,13 @@ scored AS (SELECT * FROM (SELECT *, round(ra, 6) AS audio, round(rl, 6) AS lyric
 @query(
     "d20_similar_to_external",
     f"WITH {sp.BASE}, {EXT_SQL}, {EXT_TERMS_SQL}, {sp.sentiment('extn', 'song_id', 'lyrics', 'xmood')}, {EXT_SCORED}, "
-    + sp.refined(5).replace("audio >= greatest(0.15::DOUBLE,", "audio >= greatest(low,") + f" SELECT {RESULT} FROM ranked",
+    f"{sp.refined(5, audio_floor='low')} SELECT {RESULT} FROM ranked",
 )
 def d20(spark, sf):
     features = song_features(spark, sf)
     # Songs of one cluster have no stored sentiment.
     catalog = features.withColumns({m: F.when(F.col("cluster") != 2, F.col(m)) for m in similar.MOOD})
-    return pr.similar_to_external(catalog, song_terms(spark, sf), *external_queries(spark, sf), k=5)
+    return pr.similar_to_external(catalog, external_queries(spark, sf), k=5)
 
 
 VIDEO_PAIRS_SQL = f"vp AS (SELECT q.song_id AS seed_id, c.song_id, c.track_name, c.track_artist, round({sp.audio_sim(sp.VIDEO)}, 6) AS audio FROM extn q CROSS JOIN songs c)"
@@ -97,7 +96,7 @@ def d21(spark, sf):
 
 
 MOOD_ROWS = ", ".join(
-    f"('{m}', [" + ", ".join(f"{float(p.get(n, 0.0))}::DOUBLE" for n in sp.AUDIO) + "])" for m, p in pr.MOODS.items()
+    f"('{m}', [" + ", ".join(f"{float(p.get(n, 0.0))}::DOUBLE" for n in sp.AUDIO) + "])" for m, p in sp.MOODS.items()
 )
 
 
@@ -110,15 +109,33 @@ def d22(spark, sf):
     return pr.songs_for_moods(songs(spark, sf).select("song_id", audio_vector().alias("v")), list(pr.MOODS), 5)
 
 
+def mood_distance_sql(mood, p):
+    return f"STRUCT_PACK(d := sqrt({' + '.join(f'({n} - {w}::DOUBLE) * ({n} - {w}::DOUBLE)' for n, w in p.items())}), m := '{mood}')"
+
+
 PAGE_SQL = "(SELECT song_id AS seed_id FROM songs WHERE playlist_genre = 'de' ORDER BY track_name, song_id LIMIT 10)"
 
 
 @query(
     "d23_genre_page_recommendations",
-    f"WITH {sp.BASE.replace(sp.LEADS, f'leads AS {PAGE_SQL}')}, {sp.scored()}, {sp.refined(5)} SELECT {RESULT} FROM ranked",
+    f"WITH {sp.base(f'leads AS {PAGE_SQL}')}, {sp.scored()}, {sp.refined(5)} SELECT {RESULT} FROM ranked",
 )
 def d23(spark, sf):
-    return pr.recommend_for_genre(song_features(spark, sf), song_terms(spark, sf), "de")
+    return pr.recommend_for_page(song_features(spark, sf), F.col("playlist_genre") == "de")
+
+
+# A song's mood is that of the nearest prototype.
+MOOD_PAGE_SQL = f"""moody AS (SELECT song_id, track_name, list_sort([{', '.join(mood_distance_sql(m, p) for m, p in sp.MOODS.items())}])[1].m AS mood FROM songs),
+leads AS (SELECT song_id AS seed_id FROM moody WHERE mood = 'romantic' ORDER BY track_name, song_id LIMIT 10 OFFSET 5)"""
+
+
+@query(
+    "d23_mood_page_recommendations",
+    f"WITH {sp.base(MOOD_PAGE_SQL)}, {sp.scored()}, {sp.refined(5)} SELECT {RESULT} FROM ranked",
+)
+def d23_mood(spark, sf):
+    mood = pr.predicted_mood({n: F.col(n) for n in ("valence", "energy", "danceability")})
+    return pr.recommend_for_page(song_features(spark, sf), mood == "romantic", 5, 10)
 
 
 NAMED_SQL = """named AS (SELECT track_name AS title FROM (SELECT *, row_number() OVER (PARTITION BY track_artist ORDER BY track_name, song_id) AS r FROM songs) WHERE r = 1),
@@ -127,13 +144,13 @@ leads AS (SELECT DISTINCT seed_id FROM (SELECT lower(title) AS t, min(song_id) A
 
 @query(
     "d24_recommend_by_name",
-    f"WITH {sp.BASE.replace(sp.LEADS, NAMED_SQL)}, {sp.scored()}, {sp.refined(5)} SELECT {RESULT} FROM ranked",
+    f"WITH {sp.base(NAMED_SQL)}, {sp.scored()}, {sp.refined(5)} SELECT {RESULT} FROM ranked",
 )
 def d24(spark, sf):
     features = song_features(spark, sf)
     first = features.groupBy("track_artist").agg(F.min(F.struct("track_name", "song_id")).alias("f"))
     named = first.select(F.col("f.track_name").alias("title")).distinct()
-    return pr.recommend_by_name(features, song_terms(spark, sf), named)
+    return pr.recommend_by_name(features, named)
 
 
 @query(
@@ -155,16 +172,16 @@ def d25(spark, sf):
 )
 def d26(spark, sf):
     features = song_features(spark, sf)
-    return pr.playlist(features, song_terms(spark, sf), leads(features), 20)
+    return pr.playlist(features, leads(features), 20)
 
 
 @query(
     "d27_genre_restricted",
-    f"WITH {sp.BASE}, {sp.scored().replace('ON c.song_id <> q.song_id', chr(79) + 'N c.song_id <> q.song_id AND c.playlist_genre = ' + chr(39) + 'fr' + chr(39))}, {sp.refined(5)} SELECT {RESULT} FROM ranked",
+    f"""WITH {sp.BASE}, {sp.scored(among="c.playlist_genre = 'fr'")}, {sp.refined(5)} SELECT {RESULT} FROM ranked""",
 )
 def d27(spark, sf):
     features = song_features(spark, sf)
-    return similar.similar_songs(features.where("playlist_genre = 'fr'"), song_terms(spark, sf), leads(features), k=5)
+    return similar.similar_songs(features.where("playlist_genre = 'fr'"), leads(features), k=5)
 
 
 TOP_STD = f"WITH {sp.SONGS}, {sp.LEADS}, {AUDIO_STD}, {STD_COSINE_SQL}, t AS (SELECT * FROM (SELECT *, {TOP_SQL.format('score')} FROM cosines) WHERE rank <= 10)"
@@ -196,14 +213,10 @@ def d29(spark, sf):
     return near.select("seed_id", "song_id", *[F.round(c, 6).alias(n) for n, c in pr.estimated_components(F.col("score")).items()])
 
 
-def mood_distance_sql(mood, p):
-    return f"STRUCT_PACK(d := sqrt({' + '.join(f'({n} - {w}::DOUBLE) * ({n} - {w}::DOUBLE)' for n, w in p.items())}), m := '{mood}')"
-
-
 @query(
     "d30_analysis_report",
     f"""WITH {sp.BASE} SELECT song_id, round(energy, 6) AS energy, round(valence, 6) AS valence, neg, neu, pos, compound, list_position(topics, list_max(topics))::BIGINT - 1 AS top_topic,
-    list_sort([{', '.join(mood_distance_sql(m, p) for m, p in pr.MOODS.items())}])[1].m AS mood FROM features""",
+    list_sort([{', '.join(mood_distance_sql(m, p) for m, p in sp.MOODS.items())}])[1].m AS mood FROM features""",
 )
 def d30(spark, sf):
     features = song_features(spark, sf)
@@ -239,65 +252,34 @@ def e6(spark, sf):
 )
 def e7(spark, sf):
     features = song_features(spark, sf)
-    profile = sc.score_profile(similar.score_pairs(features, song_terms(spark, sf), leads(features)), ["seed_id"], ["audio", "combined"])
+    profile = sc.score_profile(similar.score_pairs(features, leads(features)), ["seed_id"], ["audio", "combined"])
     return profile.select("seed_id", "n", *[F.round(c, 6).alias(c) for c in profile.columns if c not in ("seed_id", "n")])
 
 
 @query("e12_result_quality", f"WITH {sp.BASE}, {sp.scored()}, {sp.refined(5)} SELECT seed_id, count(*) AS n, round(avg(combined), 6) AS quality FROM ranked GROUP BY seed_id")
 def e12(spark, sf):
     features = song_features(spark, sf)
-    return ag.result_quality(similar.similar_songs(features, song_terms(spark, sf), leads(features), k=5), "seed_id", "combined")
+    return ag.result_quality(similar.similar_songs(features, leads(features), k=5), "seed_id", "combined")
 
 
 @query("f5_refinement", f"WITH {sp.BASE}, {sp.scored()}, {sp.refined(40)} SELECT seed_id, song_id, combined, rank FROM ranked")
 def f5(spark, sf):
     features = song_features(spark, sf)
-    ranked = sc.refine_and_rank(similar.score_pairs(features, song_terms(spark, sf), leads(features)), ["seed_id"], 40)
+    ranked = sc.refine_and_rank(similar.score_pairs(features, leads(features)), ["seed_id"], 40)
     return ranked.select("seed_id", "song_id", "combined", "rank")
 
 
-SCAN_ROWS = 50
-SCAN_SQL = f"""ids AS (SELECT song_id, row_number() OVER (ORDER BY song_id) AS pos FROM songs),
-placed AS (SELECT s.*, c.pos - CASE WHEN c.pos > q.pos THEN 1 ELSE 0 END AS nth, (c.pos - CASE WHEN c.pos > q.pos THEN 1 ELSE 0 END - 1) // {SCAN_ROWS} AS batch
-  FROM scored s JOIN ids c USING (song_id) JOIN ids q ON q.song_id = s.seed_id)"""
-
-
-def scanned_pairs(spark, sf):
-    features = song_features(spark, sf)
-    scored = similar.score_pairs(features, song_terms(spark, sf), leads(features))
-    places = so.ranked_by_id(features.select("song_id"), "song_id")
-    seed_places = places.join(F.broadcast(genre_leads(features).select("song_id")), "song_id", "left_semi")
-    named = seed_places.select(F.col("song_id").alias("seed_id"), F.col("pos").alias("seed_pos"))
-    placed = scored.join(places, "song_id").join(F.broadcast(named), "seed_id")
-    return placed.withColumn("batch", so.batch_number(F.col("pos"), F.col("seed_pos"), SCAN_ROWS))
-
-
-@query(
-    "f4_early_stop",
-    f"""WITH {sp.BASE}, {sp.scored()}, {SCAN_SQL}, per AS (SELECT seed_id, batch, count(*) AS n FROM placed GROUP BY ALL),
-    run AS (SELECT seed_id, batch, coalesce(sum(n) OVER (PARTITION BY seed_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per)
-    SELECT seed_id, song_id, batch, combined FROM placed JOIN run USING (seed_id, batch) WHERE before < 60""",
-)
-def f4(spark, sf):
-    return so.stop_early(scanned_pairs(spark, sf), k=20).select("seed_id", "song_id", "batch", "combined")
-
-
-@query("f4_rising_thresholds")
-def f4_ramp(spark, sf):
-    return so.rising_thresholds(scanned_pairs(spark, sf), k=30)
-
-
 @query(
     "f6_threshold_sweep",
     f"""WITH {sp.BASE}, {sp.scored()}, levels AS (SELECT s.*, level, 0.15::DOUBLE + 0.05::DOUBLE * level AS low FROM scored s, (SELECT unnest(range(4))::INTEGER AS level)),
-    pass AS (SELECT * FROM levels WHERE audio >= 0.8::DOUBLE * low AND combined >= 0.8::DOUBLE * low), {sp.refined(5, 'seed_id, level', source='pass').replace('greatest(0.15::DOUBLE,', 'greatest(low,')},
+    pass AS (SELECT * FROM levels WHERE audio >= 0.8::DOUBLE * low AND combined >= 0.8::DOUBLE * low), {sp.refined(5, 'seed_id, level', source='pass', audio_floor='low', floor='low')},
     quality AS (SELECT seed_id, level, round(avg(combined), 6) AS mean, count(*) AS n FROM ranked GROUP BY ALL), best AS (SELECT seed_id, level FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY mean DESC, level) AS r
       FROM quality WHERE level = 0 OR n >= 3.5) WHERE r = 1)
     SELECT seed_id, level, song_id, combined, rank FROM ranked JOIN best USING (seed_id, level)""",
 )
 def f6(spark, sf):
     features = song_features(spark, sf)
-    swept = pr.threshold_sweep(similar.score_pairs(features, song_terms(spark, sf), leads(features)), k=5)
+    swept = pr.threshold_sweep(similar.score_pairs(features, leads(features)), k=5)
     return swept.select("seed_id", "level", "song_id", "combined", "rank")
 
 
@@ -311,7 +293,7 @@ def f6(spark, sf):
 )
 def h15(spark, sf):
     features = song_features(spark, sf)
-    found = similar.similar_songs(features, song_terms(spark, sf), leads(features), k=5)
+    found = similar.similar_songs(features, leads(features), k=5)
     return found.select("seed_id", "song_id", *[c.alias(n) for n, c in pr.explanation_columns().items()])
 
 
@@ -325,7 +307,7 @@ def h15(spark, sf):
 )
 def h16(spark, sf):
     features = song_features(spark, sf)
-    found = similar.similar_songs(features, song_terms(spark, sf), leads(features), k=5)
+    found = similar.similar_songs(features, leads(features), k=5)
     long = found.unpivot(["seed_id", "song_id"], ["audio", "lyrics", "sentiment"], "component", "score")
     weight = F.create_map(*[c for leg, w in sc.DEFAULT_WEIGHTS.items() for c in (F.lit(leg), F.lit(w))])
     contribution = F.round(F.element_at(weight, F.col("component")) * F.col("score"), 6)

@@ -31,9 +31,23 @@ def j4(spark, sf):
     return levels.select("series", "frame", F.round("rms", 6).alias("rms"), F.round("zcr", 6).alias("zcr"))
 
 
-@query("j5_spectral_frames")
+@query(
+    "j5_spectral_frames",
+    f"""WITH {SAMPLES_SQL}, fr AS (SELECT series, frame, pos - (frame * 8 - 16) AS k, value FROM samples JOIN (SELECT unnest(range(10000)) AS frame) ON frame <= n // 8 AND pos >= frame * 8 - 16 AND pos < frame * 8 + 16),
+    b AS (SELECT series, frame, bin, value * (0.5::DOUBLE - 0.5::DOUBLE * cos(pi() / 16 * k)) AS v, pi() / 16 * ((bin * k) % 32) AS angle FROM fr, (SELECT unnest(range(17)) AS bin)),
+    s AS (SELECT series, frame, bin * 2.0::DOUBLE AS hz, sum(v * cos(angle)) AS re, sum(v * sin(angle)) AS im FROM b GROUP BY series, frame, bin),
+    z AS (SELECT series, frame, hz, sqrt(re * re + im * im) AS size, greatest(1e-10::DOUBLE, re * re + im * im) AS power FROM s),
+    t AS (SELECT *, sum(size) OVER w AS total, sum(size) OVER (w ORDER BY hz ROWS UNBOUNDED PRECEDING) AS up_to, CASE WHEN sum(size) OVER w > 0 THEN sum(hz * size) OVER w / sum(size) OVER w ELSE 0 END AS centre
+      FROM z WINDOW w AS (PARTITION BY series, frame))
+    SELECT series, frame, round(max(centre), 4) AS centroid, round(sqrt(sum(CASE WHEN total > 0 THEN (hz - centre) * (hz - centre) * size / total ELSE 0 END)), 4) AS bandwidth,
+    min(CASE WHEN up_to >= 0.85::DOUBLE * total THEN hz END) AS rolloff, round(exp(avg(ln(power))) / avg(power), 6) AS flatness FROM t GROUP BY series, frame""",
+)
 def j5(spark, sf):
-    return sg.spectral_frames(samples(spark, sf), RATE, 64, 16)
+    made = sg.spectral_frames(samples(spark, sf), RATE, 32, 8)
+    return made.select(
+        "series", "frame", F.round("centroid", 4).alias("centroid"), F.round("bandwidth", 4).alias("bandwidth"), "rolloff",
+        F.round("flatness", 6).alias("flatness"),
+    )
 
 
 @query(

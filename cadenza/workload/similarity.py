@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from cadenza.functions import arrays, audio as au
 from cadenza.operators import scoring as sc, spaces as vs
 from cadenza.plans import similar
-from cadenza.plans.features import genre_leads, song_features, song_terms
 from cadenza.session import write_and_read
-from cadenza.sources.tables import AUDIO_KEYS, audio_vector, songs, table
+from cadenza.sources.tables import AUDIO_KEYS, audio_vector, songs, table, texts
 from cadenza.workload import sqlparts as sp
+from cadenza.workload.inputs import genre_leads, song_features
 from cadenza.workload.registry import query
 
 PAIRS_SQL = "FROM leads JOIN songs q ON q.song_id = seed_id JOIN songs c ON c.song_id <> q.song_id"
@@ -31,6 +31,11 @@ def top5(scored: DataFrame, column: str, k: int = 5) -> DataFrame:
     return sc.top_k(scored, ["seed_id"], [F.desc(column), F.asc("song_id")], k)
 
 
+def best_sql(source: str, column: str, k: int = 50) -> str:
+    """The ``k`` best rows per seed of a subquery or table."""
+    return f"SELECT * FROM (SELECT *, {TOP_SQL.format(column)} FROM {source}) WHERE rank <= {k}"
+
+
 def audio_sql(weights):
     return f"""WITH {sp.SONGS}, {sp.LEADS}, s AS (SELECT q.song_id AS seed_id, c.song_id, round({sp.audio_sim(weights)}, 6) AS audio {PAIRS_SQL})
     SELECT * FROM (SELECT *, {TOP_SQL.format('audio')} FROM s) WHERE rank <= 5"""
@@ -65,7 +70,7 @@ def partial_sql() -> str:
 
 @query(
     "d1_partial_records",
-    f"WITH {sp.SONGS}, {sp.LEADS} SELECT q.song_id AS seed_id, c.song_id, round({partial_sql()}, 6) AS audio {PAIRS_SQL}",
+    f"WITH {sp.SONGS}, {sp.LEADS}, s AS (SELECT q.song_id AS seed_id, c.song_id, round({partial_sql()}, 6) AS audio {PAIRS_SQL}) {best_sql('s', 'audio')}",
 )
 def d1_partial(spark, sf):
     catalog = songs(spark, sf).select("song_id", "track_name", "playlist_genre", "cluster", *AUDIO_KEYS)
@@ -81,7 +86,7 @@ def d1_partial(spark, sf):
         return test
 
     score = au.partial_similarity(lambda n: F.col(f"seed.{n}"), F.col, (present("seed."), present("")))
-    return pairs.select("seed.seed_id", "song_id", sc.score_round(score).alias("audio"))
+    return top5(pairs.select("seed.seed_id", "song_id", sc.score_round(score).alias("audio")), "audio", 50)
 
 
 @query(
@@ -98,11 +103,11 @@ def d3(spark, sf):
 
 @query(
     "d4_loudness_similarity",
-    f"WITH {sp.SONGS}, {sp.LEADS} SELECT q.song_id AS seed_id, c.song_id, round(1 - least(1, abs(q.loudness - c.loudness) / 20), 6) AS similarity {PAIRS_SQL}",
+    f"WITH {sp.SONGS}, {sp.LEADS}, s AS (SELECT q.song_id AS seed_id, c.song_id, round(1 - least(1, abs(q.loudness - c.loudness) / 20), 6) AS similarity {PAIRS_SQL}) {best_sql('s', 'similarity')}",
 )
 def d4(spark, sf):
     sim = au.range_similarity(F.col("seed.loudness"), F.col("loudness"), 20.0)
-    return audio_pairs(spark, sf).select("seed.seed_id", "song_id", sc.score_round(sim).alias("similarity"))
+    return top5(audio_pairs(spark, sf).select("seed.seed_id", "song_id", sc.score_round(sim).alias("similarity")), "similarity", 50)
 
 
 @query(
@@ -118,12 +123,13 @@ def d5(spark, sf):
     return top5(scored, "audio").unpivot(["seed_id", "song_id", "rank"], list(parts), "feature", "similarity")
 
 
-RAW_COSINE_SQL = f"s AS (SELECT q.song_id AS seed_id, c.song_id, c.track_name, c.track_artist, round({sp.cos(sp.vec('q'), sp.vec('c'))}, 6) AS combined {PAIRS_SQL})"
+def raw_cosine_sql(pairs: str = PAIRS_SQL) -> str:
+    return f"s AS (SELECT q.song_id AS seed_id, c.song_id, c.track_name, c.track_artist, round({sp.cos(sp.vec('q'), sp.vec('c'))}, 6) AS combined {pairs})"
 
 
 @query(
     "d6_raw_cosine_with_floor",
-    f"""WITH {sp.SONGS}, {sp.LEADS}, {RAW_COSINE_SQL} SELECT seed_id, song_id, track_name, track_artist, combined, combined AS audio, 0.0::DOUBLE AS lyrics, 0.0::DOUBLE AS sentiment, rank
+    f"""WITH {sp.SONGS}, {sp.LEADS}, {raw_cosine_sql()} SELECT seed_id, song_id, track_name, track_artist, combined, combined AS audio, 0.0::DOUBLE AS lyrics, 0.0::DOUBLE AS sentiment, rank
     FROM (SELECT *, {TOP_SQL.format('combined')} FROM s WHERE combined >= 0.15) WHERE rank <= 5""",
 )
 def d6(spark, sf):
@@ -133,7 +139,7 @@ def d6(spark, sf):
 
 @query(
     "d7_raw_cosine",
-    f"""WITH {sp.SONGS}, {sp.LEADS}, {RAW_COSINE_SQL.replace('c.song_id <> q.song_id', 'true')} SELECT seed_id, song_id, combined, rank
+    f"""WITH {sp.SONGS}, {sp.LEADS}, {raw_cosine_sql('FROM leads JOIN songs q ON q.song_id = seed_id CROSS JOIN songs c')} SELECT seed_id, song_id, combined, rank
     FROM (SELECT *, {TOP_SQL.format('combined')} FROM s) WHERE rank <= 5""",
 )
 def d7(spark, sf):
@@ -167,7 +173,7 @@ knn AS (SELECT seed_id, song_id, distance, rank, round(1 - distance / far, 6) AS
 def audio_space(spark, sf):
     catalog = songs(spark, sf).select("song_id", "track_name", "playlist_genre", audio_vector().alias("v"))
     # The scaled matrix is written once: the catalog side and the seeds both read it.
-    space = write_and_read(vs.standardised(catalog, "v", len(AUDIO_KEYS)), "audio-space")
+    space = write_and_read(vs.standardised(catalog, ["v"]), "audio-space")
     return space, sc.as_seeds(genre_leads(space), ["v"])
 
 
@@ -241,7 +247,7 @@ def d12(spark, sf):
     return near.select(F.lit("sentiment").alias("space"), "*")
 
 
-HYBRID_DIMS = {"w2v": 52, "audio": 12, "sentiment": 6, "topics": 10}
+HYBRID_SPACES = ["w2v", "audio", "sentiment", "topics"]
 HYBRID_VECTORS = {
     "w2v": "w2v", "audio": sp.vec("features"), "sentiment": "[polarity, subjectivity, neg, neu, pos, compound]", "topics": "topics",
 }
@@ -260,9 +266,9 @@ def hybrid_inputs(spark, sf):
         "song_id", "w2v", audio_vector().alias("audio"),
         F.array("polarity", "subjectivity", *similar.MOOD).alias("sentiment"), "topics",
     )
-    space = write_and_read(vs.hybrid_space(vectors, HYBRID_DIMS), "hybrid-space")
+    space = write_and_read(vs.hybrid_space(vectors, HYBRID_SPACES), "hybrid-space")
     leads = genre_leads(features.select("song_id", "track_name", "playlist_genre")).select("song_id")
-    seeds = sc.as_seeds(space.join(F.broadcast(leads), "song_id", "left_semi"), list(HYBRID_DIMS))
+    seeds = sc.as_seeds(space.join(write_and_read(leads, "leads"), "song_id", "left_semi"), [*HYBRID_SPACES, "unit"])
     return space, seeds
 
 
@@ -292,20 +298,22 @@ def d15(spark, sf):
 
 @query(
     "d16_lyrics_cosine",
-    f"WITH {sp.SONGS}, {sp.TERMS}, {sp.LEADS}, {sp.lyric_legs()} SELECT seed_id, song_id, round(lyrics, 6) AS lyrics FROM lyr",
+    f"WITH {sp.TEXTS}, {sp.TERMS}, {sp.LEADS}, {sp.lyric_legs()}, s AS (SELECT seed_id, song_id, round(lyrics, 6) AS lyrics FROM lyr) {best_sql('s', 'lyrics')}",
 )
 def d16(spark, sf):
-    terms = song_terms(spark, sf)
-    seeds = sc.as_seeds(genre_leads(song_features(spark, sf)), [])
-    return sc.lyrics_scores(terms, sc.terms_of_seeds(terms, seeds)).withColumn("lyrics", sc.score_round(F.col("lyrics")))
+    catalog = sc.with_terms(texts(spark, sf), "lyrics").drop("lyrics")
+    seeds = sc.as_seeds(genre_leads(catalog), ["terms", "terms_sq"])
+    pairs = sc.against_seeds(catalog.select("song_id", "terms", "terms_sq"), seeds, exclude_self=False)
+    scored = pairs.select("seed.seed_id", "song_id", sc.lyrics_cosine().alias("raw")).where(F.col("raw") > 0)
+    return top5(scored.select("seed_id", "song_id", sc.score_round(F.col("raw")).alias("lyrics")), "lyrics", 50)
 
 
 @query(
     "d17_sentiment_cosine",
-    f"""WITH {sp.BASE} SELECT q.song_id AS seed_id, c.song_id, round(CASE WHEN c.cluster = 2 THEN 0 WHEN c.cluster = 4 THEN
+    f"""WITH {sp.BASE}, s AS (SELECT q.song_id AS seed_id, c.song_id, round(CASE WHEN c.cluster = 2 THEN 0 WHEN c.cluster = 4 THEN
       CASE WHEN q.pos * q.pos + q.compound * q.compound > 0 AND c.pos * c.pos + c.compound * c.compound > 0 THEN (q.pos * c.pos + q.compound * c.compound)
         / (sqrt(q.pos * q.pos + q.compound * q.compound) * sqrt(c.pos * c.pos + c.compound * c.compound)) ELSE 0 END
-      ELSE {sp.mood_cos()} END, 6) AS sentiment FROM leads JOIN features q ON q.song_id = seed_id JOIN features c ON c.song_id <> q.song_id""",
+      ELSE {sp.mood_cos()} END, 6) AS sentiment FROM leads JOIN features q ON q.song_id = seed_id JOIN features c ON c.song_id <> q.song_id) {best_sql('s', 'sentiment')}""",
 )
 def d17(spark, sf):
     features = song_features(spark, sf)
@@ -314,18 +322,19 @@ def d17(spark, sf):
     stored = F.when(F.col("cluster") == 4, F.map_filter(mood, lambda k, v: k.isin("pos", "compound"))).when(F.col("cluster") != 2, mood)
     catalog = features.select("song_id", "track_name", "playlist_genre", mood.alias("whole"), stored.alias("stored"))
     pairs = sc.against_seeds(catalog, sc.as_seeds(genre_leads(catalog), ["whole"]))
-    return pairs.select("seed.seed_id", "song_id", sc.score_round(arrays.map_cosine(F.col("seed.whole"), F.col("stored"))).alias("sentiment"))
+    cosine = sc.score_round(arrays.map_cosine(F.col("seed.whole"), F.col("stored")))
+    return top5(pairs.select("seed.seed_id", "song_id", cosine.alias("sentiment")), "sentiment", 50)
 
 
 @query(
     "d18_threshold_cascade",
-    f"WITH {sp.BASE}, {sp.scored((0.3, 0.4, 0.3))} SELECT seed_id, song_id, audio, lyrics, sentiment, combined FROM scored WHERE lyrics >= 0.1 AND sentiment >= 0.1",
+    f"WITH {sp.BASE}, {sp.scored((0.3, 0.4, 0.3))}, s AS (SELECT seed_id, song_id, audio, lyrics, sentiment, combined FROM scored WHERE lyrics >= 0.1 AND sentiment >= 0.1) {best_sql('s', 'combined')}",
 )
 def d18(spark, sf):
     features = song_features(spark, sf)
     weights = {"audio": 0.3, "lyrics": 0.4, "sentiment": 0.3}
-    scored = similar.score_pairs(features, song_terms(spark, sf), sc.as_seeds(genre_leads(features), similar.SEED_COLUMNS), weights)
-    return scored.select("seed_id", "song_id", "audio", "lyrics", "sentiment", "combined")
+    scored = similar.score_pairs(features, sc.as_seeds(genre_leads(features), similar.SEED_COLUMNS), weights)
+    return top5(scored.select("seed_id", "song_id", "audio", "lyrics", "sentiment", "combined"), "combined", 50)
 
 
 @query(

@@ -1,8 +1,18 @@
-"""Shared pieces of the SQL twins, written independently of the Spark side."""
+"""Shared pieces of the SQL twins. They own their constants: nothing is imported from the code they check."""
 
 from __future__ import annotations
 
-from cadenza.operators.sentiment import BOOSTERS_DOWN, BOOSTERS_UP, NEGATORS
+# Fixed values of the published sentiment rules, in dictionary order.
+UP_WORDS = """absolutely amazingly awfully completely considerable considerably decidedly deeply enormous enormously
+entirely especially exceptional exceptionally extreme extremely fabulously fully greatly hella highly hugely
+incredible incredibly intensely major majorly more most particularly purely quite really remarkably so substantially
+thoroughly total totally tremendous tremendously uber unbelievably unusually utter utterly very""".split()
+DOWN_WORDS = """almost barely hardly kind-of kinda kindof less little marginal marginally occasional occasionally
+partly scarce scarcely slight slightly somewhat sort-of sorta sortof""".split()
+NEGATING = """ain't aint aren't arent can't cannot cant couldn't couldnt daren't darent despite didn't didnt doesn't
+doesnt don't dont hadn't hadnt hasn't hasnt haven't havent isn't isnt mightn't mightnt mustn't mustnt needn't neednt
+neither never none nope nor not nothing nowhere oughtn't oughtnt rarely seldom shan't shant shouldn't shouldnt uh-uh
+uhuh wasn't wasnt weren't werent without won't wont wouldn't wouldnt""".split()
 
 AUDIO = [
     "danceability", "energy", "key", "loudness", "mode", "speechiness",
@@ -30,6 +40,11 @@ SONGS = f"""songs AS (
     e.label AS cluster
   FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
 
+# The catalog of all documents, for what needs names and texts alone.
+TEXTS = """songs AS (
+  SELECT doc_id AS song_id, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS track_name,
+    source AS track_artist, lang AS playlist_genre, text AS lyrics FROM documents)"""
+
 WORD_TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
 
 
@@ -41,7 +56,13 @@ LEXICON = f"""lexicon AS MATERIALIZED (
   SELECT term, CAST(length(term) % 9 - 4 AS DOUBLE) AS valence,
     (length(term) % 9 - 4) / 4.0::DOUBLE AS polarity, abs(length(term) % 9 - 4) / 4.0::DOUBLE AS subjectivity
   FROM (SELECT term, count(*) AS n FROM (SELECT unnest({word_tokens('text')}) AS term FROM documents)
-        GROUP BY term ORDER BY n DESC, term LIMIT 200))"""
+        GROUP BY term QUALIFY count(*) * 500 >= sum(count(*)) OVER ()))"""
+
+# Phrases of two and three words from the benchmark texts.
+IDIOMS = """idiom_words AS (SELECT item_id, regexp_split_to_array(lower(text), ' ') AS w FROM benchmark),
+idioms AS (SELECT phrase, min(valence) AS valence FROM
+  (SELECT array_to_string(w[i:i + 1], ' ') AS phrase, item_id % 7 - 3.0::DOUBLE AS valence FROM idiom_words, (SELECT unnest(range(1, 20, 3)) AS i) WHERE len(w) > i
+   UNION ALL SELECT array_to_string(w[i:i + 2], ' '), item_id % 5 - 2.5::DOUBLE FROM idiom_words, (SELECT unnest(range(2, 20, 4)) AS i) WHERE len(w) > i + 1) GROUP BY phrase)"""
 
 
 def quoted(values: list[str]) -> str:
@@ -49,14 +70,14 @@ def quoted(values: list[str]) -> str:
 
 
 _CAPS = "({0} = upper({0}) AND {0} <> lower({0}))"
-_NEG = f"coalesce(lower({{0}}) IN ({quoted(NEGATORS)}) OR contains(lower({{0}}), 'n''t'), false)"
+_NEG = f"coalesce(lower({{0}}) IN ({quoted(NEGATING)}) OR contains(lower({{0}}), 'n''t'), false)"
 
 
 def _step(distance: int, s: str) -> str:
     """One of the three preceding words applied to the running valence ``s``."""
     p, factor = f"p{distance}", {1: 1.0, 2: 0.95, 3: 0.9}[distance]
-    boost = f"""(CASE WHEN lower({p}) IN ({quoted(BOOSTERS_UP)}) THEN 0.293::DOUBLE
-      WHEN lower({p}) IN ({quoted(BOOSTERS_DOWN)}) THEN -0.293::DOUBLE END * CASE WHEN {s} < 0 THEN -1 ELSE 1 END
+    boost = f"""(CASE WHEN lower({p}) IN ({quoted(UP_WORDS)}) THEN 0.293::DOUBLE
+      WHEN lower({p}) IN ({quoted(DOWN_WORDS)}) THEN -0.293::DOUBLE END * CASE WHEN {s} < 0 THEN -1 ELSE 1 END
       + CASE WHEN {_CAPS.format(p)} AND caps_differ THEN CASE WHEN {s} > 0 THEN 0.733::DOUBLE ELSE -0.733::DOUBLE END ELSE 0 END)"""
     boosted = f"({s} + coalesce({boost} * {factor}::DOUBLE, 0))"
     if distance == 1:
@@ -72,8 +93,21 @@ def _step(distance: int, s: str) -> str:
     return f"CASE WHEN {p} IS NOT NULL AND NOT {p}_known THEN {boosted} * {rules} ELSE {s} END"
 
 
-def sentiment(source: str, id_col: str, text_col: str, name: str = "mood") -> str:
-    """CTEs giving neg, neu, pos, compound per row of ``source``; needs LEXICON."""
+def _phrase_joins(keys: list[str]) -> str:
+    active = "p3 IS NOT NULL AND NOT p3_known"
+    return " ".join(f"LEFT JOIN idioms j{i} ON {active} AND {test} AND lower({key}) = j{i}.phrase" for i, (key, test) in enumerate(keys))
+
+
+def sentiment(source: str, id_col: str, text_col: str, name: str = "mood", idioms: bool = False) -> str:
+    """CTEs giving neg, neu, pos, compound per row of ``source``; needs LEXICON, and IDIOMS if asked for."""
+    phrases = [
+        ("p1 || ' ' || word", "true"), ("p2 || ' ' || p1 || ' ' || word", "true"), ("p2 || ' ' || p1", "true"),
+        ("p3 || ' ' || p2 || ' ' || p1", "true"), ("p3 || ' ' || p2", "true"),
+        ("word || ' ' || n1", "n1 IS NOT NULL"), ("word || ' ' || n1 || ' ' || n2", "n2 IS NOT NULL"),
+    ]
+    spoken = "coalesce(j6.valence, j5.valence, j0.valence, j1.valence, j2.valence, j3.valence, j4.valence, s3)" if idioms else "s3"
+    joins = _phrase_joins(phrases) if idioms else ""
+    weak = "('just enough', 'kind of', 'sort of')"
     bare = r"regexp_replace(t, '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+\z', '', 'g')"
     return f"""{name}_w AS (
   SELECT {id_col}, coalesce({text_col}, '') AS txt,
@@ -87,17 +121,22 @@ def sentiment(source: str, id_col: str, text_col: str, name: str = "mood") -> st
 {name}_t AS (SELECT {id_col}, n_words, but_at, n_caps > 0 AND n_caps < n_words AS caps_differ, w, unnest(range(1, n_words + 1)) AS nth FROM {name}_d),
 {name}_x AS (
   SELECT {id_col}, but_at, caps_differ, nth, w[nth] AS word, CASE WHEN nth > 1 THEN w[nth - 1] END AS p1,
-    CASE WHEN nth > 2 THEN w[nth - 2] END AS p2, CASE WHEN nth > 3 THEN w[nth - 3] END AS p3 FROM {name}_t),
+    CASE WHEN nth > 2 THEN w[nth - 2] END AS p2, CASE WHEN nth > 3 THEN w[nth - 3] END AS p3,
+    w[nth + 1] AS n1, w[nth + 2] AS n2 FROM {name}_t),
 {name}_h AS (
   SELECT x.*, k1.term IS NOT NULL AS p1_known, k2.term IS NOT NULL AS p2_known, k3.term IS NOT NULL AS p3_known,
     CASE WHEN {_CAPS.format('word')} AND caps_differ
       THEN CASE WHEN l.valence > 0 THEN l.valence + 0.733::DOUBLE ELSE l.valence - 0.733::DOUBLE END ELSE l.valence END AS s0
-  FROM {name}_x x JOIN lexicon l ON lower(word) = l.term AND lower(word) NOT IN ({quoted(BOOSTERS_UP + BOOSTERS_DOWN)})
+  FROM {name}_x x JOIN lexicon l ON lower(word) = l.term AND lower(word) NOT IN ({quoted(UP_WORDS + DOWN_WORDS)})
   LEFT JOIN lexicon k1 ON lower(p1) = k1.term LEFT JOIN lexicon k2 ON lower(p2) = k2.term LEFT JOIN lexicon k3 ON lower(p3) = k3.term),
 {name}_1 AS (SELECT *, {_step(1, 's0')} AS s1 FROM {name}_h),
 {name}_2 AS (SELECT *, {_step(2, 's1')} AS s2 FROM {name}_1),
 {name}_3 AS (SELECT *, {_step(3, 's2')} AS s3 FROM {name}_2),
-{name}_s AS (SELECT {id_col}, CASE WHEN but_at > 0 AND nth < but_at THEN s3 * 0.5::DOUBLE WHEN but_at > 0 AND nth > but_at THEN s3 * 1.5::DOUBLE ELSE s3 END AS s FROM {name}_3),
+{name}_4 AS (SELECT x.*, {spoken} - CASE WHEN p3 IS NOT NULL AND NOT p3_known THEN
+    CASE WHEN lower(p3 || ' ' || p2) IN {weak} THEN 0.293::DOUBLE ELSE 0 END + CASE WHEN lower(p2 || ' ' || p1) IN {weak} THEN 0.293::DOUBLE ELSE 0 END ELSE 0 END AS s4
+  FROM {name}_3 x {joins}),
+{name}_5 AS (SELECT *, CASE WHEN lower(p1) = 'least' AND NOT p1_known AND NOT coalesce(lower(p2) IN ('at', 'very'), false) THEN s4 * -0.74::DOUBLE ELSE s4 END AS s5 FROM {name}_4),
+{name}_s AS (SELECT {id_col}, CASE WHEN but_at > 0 AND nth < but_at THEN s5 * 0.5::DOUBLE WHEN but_at > 0 AND nth > but_at THEN s5 * 1.5::DOUBLE ELSE s5 END AS s FROM {name}_5),
 {name}_a AS (
   SELECT d.{id_col}, d.n_words, d.bangs, d.marks, coalesce(sum(s), 0) AS total,
     coalesce(sum(CASE WHEN s > 0 THEN s + 1 END), 0) AS up, coalesce(sum(CASE WHEN s < 0 THEN s - 1 END), 0) AS down,
@@ -137,8 +176,35 @@ LEADS = """leads AS (SELECT song_id AS seed_id FROM (SELECT song_id, row_number(
 
 FEATURES = "features AS MATERIALIZED (SELECT s.*, neg, neu, pos, compound, polarity, subjectivity FROM songs s JOIN mood USING (song_id) JOIN tone USING (song_id))"
 
-# Everything the hybrid searches need.
-BASE = ",\n".join([SONGS.replace("songs AS (", "songs AS MATERIALIZED (", 1), LEXICON, sentiment("songs", "song_id", "lyrics"), TONE, TERMS, LEADS, FEATURES])
+
+
+def base(leads: str = LEADS) -> str:
+    """CTEs that the hybrid searches need, with the seeds as CTE ``leads``."""
+    stored = SONGS.replace("songs AS (", "songs AS MATERIALIZED (", 1)
+    return ",\n".join([stored, LEXICON, sentiment("songs", "song_id", "lyrics"), TONE, TERMS, leads, FEATURES])
+
+
+BASE = base()
+
+# Mood prototypes, the weights' order as in AUDIO; features not named are 0.
+MOODS = {
+    "happy": {"valence": 0.8, "energy": 0.7, "danceability": 0.7},
+    "sad": {"valence": 0.2, "energy": 0.3, "danceability": 0.3},
+    "energetic": {"valence": 0.6, "energy": 0.9, "danceability": 0.8},
+    "relaxed": {"valence": 0.5, "energy": 0.2, "danceability": 0.3},
+    "angry": {"valence": 0.3, "energy": 0.8, "danceability": 0.4},
+    "romantic": {"valence": 0.6, "energy": 0.4, "danceability": 0.5},
+    "melancholic": {"valence": 0.3, "energy": 0.4, "danceability": 0.3},
+    "party": {"valence": 0.8, "energy": 0.8, "danceability": 0.9},
+}
+
+# Substrings deleted from a title, in this order.
+TITLE_SUFFIXES = (
+    "official audio, official video, music video, lyric video, lyrics, audio, video, hd, "
+    "remastered, explicit, clean, visualizer, feat, ft, featuring"
+).split(", ")
+
+PROFILE = ["danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness"]
 
 
 def tempo(a: str, b: str) -> str:
@@ -207,32 +273,42 @@ def lyric_legs(seeds: str = "leads", seed_terms: str = "terms", seed_totals: str
 
 def scored(
     weights: tuple[float, float, float] = (0.7, 0.2, 0.1),
-    audio_floor: str = "0.12", combined_floor: str = "0.12", feature_weights: dict[str, float] = STANDARD,
+    audio_floor: str = "0.12", combined_floor: str = "0.12", feature_weights: dict[str, float] = STANDARD, among: str = "true",
 ) -> str:
-    """CTEs lyr and scored for the genre leads against the catalog."""
+    """CTEs lyr and scored for the leads against the catalog songs ``c`` that satisfy ``among``."""
     wa, wl, ws = weights
     return f"""{lyric_legs()},
 raw AS (
   SELECT q.song_id AS seed_id, c.song_id, c.track_name, c.track_artist, {audio_sim(feature_weights)} AS ra,
     coalesce(lyr.lyrics, 0) AS rl, {mood_cos()} AS rs
-  FROM leads l JOIN features q ON q.song_id = l.seed_id JOIN features c ON c.song_id <> q.song_id
+  FROM leads l JOIN features q ON q.song_id = l.seed_id JOIN features c ON c.song_id <> q.song_id AND {among}
   LEFT JOIN lyr ON lyr.seed_id = q.song_id AND lyr.song_id = c.song_id),
 scored AS (SELECT * FROM (SELECT seed_id, song_id, track_name, track_artist, round(ra, 6) AS audio, round(rl, 6) AS lyrics, round(rs, 6) AS sentiment,
     round({wa}::DOUBLE * ra + {wl}::DOUBLE * rl + {ws}::DOUBLE * rs, 6) AS combined FROM raw)
   WHERE audio >= {audio_floor}::DOUBLE AND combined >= {combined_floor}::DOUBLE)"""
 
 
-def refined(k: int, keys: str = "seed_id", factor: int = 3, floor: str = "0.15", min_kept: int | None = None, source: str = "scored") -> str:
-    """CTE ranked: refinement and top-k of ``scored``."""
+def refined(
+    k: int, keys: str = "seed_id", factor: int = 3, floor: str = "0.15", min_kept: int | None = None, source: str = "scored", audio_floor: str | None = None,
+) -> str:
+    """CTE ranked: refinement and top-k of ``scored``; floors are numbers or columns."""
+    low = audio_floor or f"{floor}::DOUBLE"
     need = max(k, 3) if min_kept is None else min_kept
     return f"""stats AS (
   SELECT {keys}, count(*) AS n, median(audio) AS ma, stddev_pop(audio) AS sa, median(combined) AS mc, stddev_pop(combined) AS sc
   FROM {source} GROUP BY {keys}),
 flagged AS (
   SELECT s.*, n > {factor * k} AS many,
-    audio >= greatest({floor}::DOUBLE, ma * 0.85::DOUBLE, ma - sa) AND combined >= greatest({floor}::DOUBLE, mc * 0.85::DOUBLE, mc - sc) AS good
+    audio >= greatest({low}, ma * 0.85::DOUBLE, ma - sa) AND combined >= greatest({floor}::DOUBLE, mc * 0.85::DOUBLE, mc - sc) AS good
   FROM {source} s JOIN stats USING ({keys})),
 enough AS (SELECT {keys}, count(*) FILTER (WHERE good) >= {need} AS ok FROM flagged GROUP BY {keys}),
 ranked AS (
   SELECT * FROM (SELECT f.*, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY combined DESC, song_id) AS INTEGER) AS rank
     FROM flagged f JOIN enough USING ({keys}) WHERE NOT many OR NOT ok OR good) WHERE rank <= {k})"""
+
+
+def normalised_title(expr: str) -> str:
+    base = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({expr}), '\([^)\n]*\)', '', 'g'), '\[[^\]\n]*\]', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+    for suffix in TITLE_SUFFIXES:
+        base = f"replace({base}, '{suffix}', '')"
+    return f"trim({base})"

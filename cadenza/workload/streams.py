@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.coerce import epoch_micros
 from cadenza.operators import scoring as sc
-from cadenza.plans.features import genre_leads
 from cadenza.session import work_path
 from cadenza.sources import catalog as cat
 from cadenza.sources.tables import AUDIO_KEYS, songs, table
 from cadenza.streaming import quota, runs, views
 from cadenza.workload import sqlparts as sp
+from cadenza.workload.inputs import genre_leads
 from cadenza.workload.registry import query
 from cadenza.workload.similarity import audio_sql
 
@@ -36,22 +36,41 @@ def event_stream(spark, sf):
     return runs.read_files(spark, sf, table(spark, sf, "events").schema, "events.parquet")
 
 
-@query("t1_window_counts_stream")
+def published_counts(counts, label, key):
+    """The last count that update mode published for every key and window."""
+    spark = counts.sparkSession
+    path = work_path(spark, label)
+    runs.run_batches(counts, label, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/update={number}"), mode="update")
+    published = spark.read.parquet(path)
+    values = F.struct("requests", "allowed", "refused")
+    return published.groupBy(key, "start").agg(F.max_by(values, "update").alias("v")).select(key, "start", "v.*")
+
+
+@query(
+    "t1_window_counts_stream",
+    f"""SELECT event_type, epoch_us(ts) // ({DAY}::BIGINT * 1000000) * {DAY} AS start, count(*) AS requests, least(count(*), 60) AS allowed, greatest(count(*) - 60, 0) AS refused
+    FROM events GROUP BY ALL""",
+)
 def t1_stream(spark, sf):
     # Event time needs a zoned timestamp for the watermark.
     stream = event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    return runs.run_to_table(quota.window_counts(stream, "event_type", "ts", DAY, limit=60), "window-counts")
+    return published_counts(quota.window_counts(stream, "event_type", "ts", DAY, limit=60), "window-counts", "event_type")
 
 
-LIMITS = {"click": 2, "view": 3, "purchase": 1, "error": 4}
+LIMITS = {"click": 200, "view": 300, "purchase": 100, "error": 4}
+LIMIT_SQL = " ".join(f"WHEN '{name}' THEN {n}" for name, n in (("click", 200), ("view", 300), ("purchase", 100), ("error", 4)))
 
 
-@query("t2_sliding_log_stream")
+@query(
+    "t2_sliding_window_stream",
+    f"""WITH w AS (SELECT event_type AS operation, (epoch_us(ts) // 21600000000 - unnest(range(4))) * 21600 AS start FROM events), n AS (SELECT operation, start, count(*) AS requests FROM w GROUP BY ALL),
+    l AS (SELECT *, CASE operation {LIMIT_SQL} ELSE 0 END AS most FROM n) SELECT operation, start, requests, least(requests, most) AS allowed, greatest(requests - most, 0) AS refused FROM l""",
+)
 def t2(spark, sf):
-    requests = event_stream(spark, sf).select(
-        F.col("event_type").alias("operation"), F.col("event_id").alias("request_id"), epoch_micros("ts").alias("micros")
-    )
-    return runs.run_to_table(quota.sliding_log_quota(requests, LIMITS), "sliding-log")
+    # A day's quota, renewed every six hours; signups have none and are refused.
+    requests = event_stream(spark, sf).select(F.col("event_type").alias("operation"), F.col("ts").cast("timestamp").alias("ts"))
+    limit = quota.hourly_limit(F.col("operation"), LIMITS)
+    return published_counts(quota.window_counts(requests, "operation", "ts", DAY, limit=limit, slide=21_600), "sliding-counts", "operation")
 
 
 @query(
@@ -79,21 +98,24 @@ def cache_log(spark, sf, events=None):
     )
 
 
-@query("t3_ttl_view_stream")
+@query(
+    "t3_ttl_view_stream",
+    """WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+    SELECT user_id AS entry_key, epoch_us(ts) AS micros, props AS url FROM x WHERE r = 1 AND event_type NOT IN ('error', 'signup') AND ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY""",
+)
 def t3_stream(spark, sf):
     log = cache_log(spark, sf, event_stream(spark, sf)).select(
         F.col("user_id").alias("entry_key"), F.col("ts").cast("timestamp").alias("ts"), epoch_micros("ts").alias("micros"), "url", "status"
     )
-    updates = views.expiring_view(log)
     path = work_path(spark, "ttl-view")
 
     def publish(batch, number):
         batch.write.mode("overwrite").parquet(f"{path}/update={number}")
 
-    runs.run_batches(updates, "ttl-view", publish, mode="update")
-    published = spark.read.schema("entry_key BIGINT, micros BIGINT, url STRING, update INT").parquet(path)
-    newest = F.struct(F.col("update"), F.col("url").isNull())
-    return published.groupBy("entry_key").agg(F.max_by(F.struct("micros", "url"), newest).alias("e")).select("entry_key", "e.*")
+    runs.run_batches(views.expiring_view(log), "ttl-view", publish, mode="update")
+    changes = spark.read.schema("entry_key BIGINT, micros BIGINT, url STRING, update INT").parquet(path)
+    newest = table(spark, sf, "events").agg(F.max(epoch_micros("ts")).alias("m")).scalar()
+    return views.current_view(changes, newest)
 
 
 @query(
@@ -111,8 +133,8 @@ def t4(spark, sf):
 @query(
     "t5_retention_plan",
     """WITH m AS (SELECT max(o_orderdate) AS now FROM orders), s AS (SELECT c_custkey AS id, c_mktsegment = 'BUILDING' AS orig, max(o_orderdate) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
-    SELECT 'song' AS kind, id, CASE WHEN NOT orig AND (last IS NULL OR last <= now - INTERVAL 30 DAY) THEN 'drop' ELSE 'keep' END AS action FROM s, m
-    UNION ALL SELECT 'recommendation', o_orderkey, CASE WHEN o_orderdate < now - INTERVAL 7 DAY THEN 'drop' ELSE 'keep' END FROM orders, m""",
+    SELECT 'song' AS kind, id, CASE WHEN (SELECT sum(o_totalprice) / 1e6 FROM orders) > 450 AND NOT orig AND (last IS NULL OR last <= now - INTERVAL 30 DAY) THEN 'drop' ELSE 'keep' END AS action FROM s, m
+    UNION ALL SELECT 'recommendation', o_orderkey, CASE WHEN (SELECT sum(o_totalprice) / 1e6 FROM orders) > 450 AND o_orderdate < now - INTERVAL 7 DAY THEN 'drop' ELSE 'keep' END FROM orders, m""",
 )
 def t5(spark, sf):
     orders = table(spark, sf, "orders")
@@ -122,18 +144,21 @@ def t5(spark, sf):
     ).join(accessed, "song_id", "left")
     recs = orders.select(F.col("o_orderkey").alias("rec_id"), F.col("o_custkey").alias("song_id"), F.col("o_orderdate").alias("created_at"))
     latest = orders.agg(F.max("o_orderdate").alias("m")).scalar()
-    return views.retention_plan(catalog, recs, latest, 512.0)
+    # The storage in use, measured: the orders' prices stand for bytes.
+    storage = orders.agg(F.sum("o_totalprice") / 1e6).scalar()
+    return views.retention_plan(catalog, recs, latest, storage)
 
 
 @query(
     "t5_file_retention",
     f"""WITH f AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'audio' ELSE 'cache' END AS kind, '/store/' || event_id AS path, ts AS modified FROM events)
-    SELECT kind, path, CASE WHEN modified < TIMESTAMP '{AS_OF}' - CASE WHEN kind = 'audio' THEN INTERVAL 6 HOUR ELSE INTERVAL 24 HOUR END THEN 'drop' ELSE 'keep' END AS action FROM f""",
+    SELECT kind, path, CASE WHEN (SELECT sum(floor(value * 1024)::BIGINT) / 1048576.0::DOUBLE FROM events) > 450 AND modified < TIMESTAMP '{AS_OF}' - CASE WHEN kind = 'audio' THEN INTERVAL 6 HOUR ELSE INTERVAL 24 HOUR END THEN 'drop' ELSE 'keep' END AS action FROM f""",
 )
 def t5_files(spark, sf):
     kind = F.when(F.col("event_type").isin("click", "view"), "audio").otherwise("cache")
     files = table(spark, sf, "events").select(kind.alias("kind"), F.concat(F.lit("/store/"), "event_id").alias("path"), F.col("ts").alias("modified"))
-    return views.file_retention_plan(files, as_of(), 512.0)
+    storage = table(spark, sf, "events").agg(F.sum(F.floor(F.col("value") * 1024)) / 1048576.0).scalar()
+    return views.file_retention_plan(files, as_of(), storage)
 
 
 @query("t6_progressive_top_k_stream", audio_sql(sp.STANDARD))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import coerce, text as tx
-from cadenza.sources.tables import songs, table
+from cadenza.sources.tables import table, texts
 from cadenza.workload import sqlparts as sp
 from cadenza.workload.registry import query
 
@@ -63,17 +63,10 @@ def h5(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.words(F.col("text"), STOP_WORDS).alias("tokens"))
 
 
-def normalised_sql(expr: str) -> str:
-    base = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({expr}), '\([^)\n]*\)', '', 'g'), '\[[^\]\n]*\]', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
-    for suffix in tx.TITLE_SUFFIXES:
-        base = f"replace({base}, '{suffix}', '')"
-    return f"trim({base})"
-
-
 DRESSED_SQL = "CASE WHEN p_size > 40 THEN upper(p_name) || ' (Live 2020) [HD] Official Video!' WHEN p_size > 20 THEN 'After ' || p_name || ' feat. ' || p_brand ELSE p_name || '  - Lyrics' END"
 
 
-@query("h6_normalise_title", f"SELECT p_partkey, {normalised_sql(DRESSED_SQL)} AS title FROM part")
+@query("h6_normalise_title", f"SELECT p_partkey, {sp.normalised_title(DRESSED_SQL)} AS title FROM part")
 def h6(spark, sf):
     title = F.when(F.col("p_size") > 40, F.concat(F.upper("p_name"), F.lit(" (Live 2020) [HD] Official Video!"))).when(
         F.col("p_size") > 20, F.concat(F.lit("After "), "p_name", F.lit(" feat. "), "p_brand")
@@ -127,13 +120,13 @@ def h10(spark, sf):
 
 @query(
     "h11_url_slug",
-    f"WITH {sp.SONGS} " + r"SELECT song_id, 'https://www.azlyrics.com/lyrics/' || replace(regexp_replace(lower(track_artist), '[^\p{L}\p{N}_\s\p{Z}\-]', '', 'g'), ' ', '') || '/' || replace(regexp_replace(lower(track_name), '[^\p{L}\p{N}_\s\p{Z}\-]', '', 'g'), ' ', '') || '.html' AS url FROM songs",
+    f"WITH {sp.TEXTS} " + r"SELECT song_id, 'https://www.azlyrics.com/lyrics/' || replace(regexp_replace(lower(track_artist), '[^\p{L}\p{N}_\s\p{Z}\-]', '', 'g'), ' ', '') || '/' || replace(regexp_replace(lower(track_name), '[^\p{L}\p{N}_\s\p{Z}\-]', '', 'g'), ' ', '') || '.html' AS url FROM songs",
 )
 def h11(spark, sf):
     url = F.concat(
         F.lit("https://www.azlyrics.com/lyrics/"), tx.url_slug(F.col("track_artist")), F.lit("/"), tx.url_slug(F.col("track_name")), F.lit(".html")
     )
-    return songs(spark, sf).select("song_id", url.alias("url"))
+    return texts(spark, sf).select("song_id", url.alias("url"))
 
 
 @query("h12_title_from_file", r"SELECT p_partkey, regexp_replace(p_partkey || '_- ' || p_name || CASE WHEN p_size > 25 THEN '.v2' ELSE '' END, '^[\d_\-\s]+', '') AS title FROM part")
@@ -146,10 +139,10 @@ def h12(spark, sf):
 
 @query(
     "h12_file_pattern",
-    f"WITH {sp.SONGS} " + r"SELECT song_id, replace(regexp_replace(track_name, '[^\p{L}\p{N}_\s\p{Z}\-]', '', 'g'), ' ', '_') AS pattern FROM songs",
+    f"WITH {sp.TEXTS} " + r"SELECT song_id, replace(regexp_replace(track_name, '[^\p{L}\p{N}_\s\p{Z}\-]', '', 'g'), ' ', '_') AS pattern FROM songs",
 )
 def h12_pattern(spark, sf):
-    return songs(spark, sf).select("song_id", tx.file_pattern(F.col("track_name")).alias("pattern"))
+    return texts(spark, sf).select("song_id", tx.file_pattern(F.col("track_name")).alias("pattern"))
 
 
 @query(

@@ -72,17 +72,16 @@ def test_trim_drops_silence_at_the_ends(spark):
 
 
 HTML = """<html><script>var a = "<div class='lyrics'>no</div>";</script><div class="x MyLyricBox">{long}</div>
-<div class="lyrics">one<p>two<div>three</div></div><div data-lyrics-container="true">A<br>B</div><div data-lyrics-container="true">C</div></html>"""
+<div class="lyrics">one<p>two<div>three &amp; four</div></div><div data-lyrics-container="true">A<br>B</div><div data-lyrics-container="true">C</div></html>"""
 
 
-def test_container_cascade():
+def test_container_cascade(spark):
     long = "w" * 120
     page = HTML.format(long=long)
-    assert pg.container_text(page) == "A\nB\nC"
     without = page.replace("data-lyrics-container", "data-other")
-    assert pg.container_text(without) == "one\ntwo\nthree"
-    assert pg.container_text(without.replace('class="lyrics"', 'class="none"')) == long
-    assert pg.container_text("<div class='lyricish'>short</div>") is None and pg.container_text(None) is None
+    pages = [page, without, without.replace('class="lyrics"', 'class="none"'), "<div class='lyricish'>short</div>", None]
+    rows = pg.page_texts(spark.createDataFrame(list(enumerate(pages)), "id INT, html STRING"), "id", "html").orderBy("id").collect()
+    assert [r.text for r in rows] == ["A B\nC", "one two three & four", long, None, None]
 
 
 def test_links_unwrap_redirects(spark):
@@ -106,31 +105,30 @@ def test_topics_and_word_vectors(spark):
     assert len(vectors) == 61 and vectors[60] == [0.0] * 8 and any(vectors[0])
 
 
-def plain_log(requests, limits):
-    accepted, out = {}, {}
-    for rid, op, micros in sorted(requests, key=lambda r: (r[2], r[0])):
-        if op not in limits:
-            out[rid] = (False, 0)
-            continue
-        log = [t for t in accepted.get(op, []) if t > micros - quota.HOUR_MICROS]
-        ok = len(log) < limits[op]
-        accepted[op] = log + [micros] if ok else log
-        out[rid] = (ok, limits[op] - len(accepted[op]))
-    return out
-
-
-def test_sliding_log_over_several_triggers(spark):
+def test_sliding_counts_over_several_triggers(spark):
     rng = random.Random(8)
-    requests = [(i, rng.choice(["search", "search", "download", "other"]), i * 40_000_000 + rng.randrange(30_000_000)) for i in range(600)]
-    schema = "request_id BIGINT, operation STRING, micros BIGINT"
-    path = work_path(spark, "requests")
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    requests = [(rng.choice(["search", "search", "download", "other"]), start + dt.timedelta(seconds=i * 40 + rng.randrange(30))) for i in range(600)]
+    schema = "operation STRING, ts TIMESTAMP"
+    path, out = work_path(spark, "requests"), work_path(spark, "counts")
+    shuffled = requests[:]
+    rng.shuffle(shuffled)  # rows come late by hours, across triggers
     for part in range(3):
-        spark.createDataFrame(requests[part * 200 : part * 200 + 200], schema).coalesce(1).write.mode("append").parquet(path)
+        spark.createDataFrame(shuffled[part * 200 : part * 200 + 200], schema).coalesce(1).write.mode("append").parquet(path)
     stream = runs.read_files(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
     limits = {"search": 20, "download": 5}
-    got = {r.request_id: (r.accepted, r.remaining) for r in runs.run_to_table(quota.sliding_log_quota(stream, limits), "log").collect()}
-    assert got == plain_log(requests, limits)
-    assert any(not ok for ok, _ in got.values())
+    counts = quota.window_counts(stream, "operation", "ts", 3600, limit=quota.hourly_limit(F.col("operation"), limits), slide=600)
+    runs.run_batches(counts, "sliding", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/update={n}"), mode="update")
+    last = {}
+    for r in sorted(spark.read.parquet(out).collect(), key=lambda r: r.update):
+        last[r.operation, r.start] = (r.requests, r.allowed, r.refused)
+    want = {}
+    for operation, at in requests:
+        second = int(at.timestamp())
+        for k in range(6):
+            begin = (second // 600 - k) * 600
+            want[operation, begin] = want.get((operation, begin), 0) + 1
+    assert last == {k: (n, min(n, limits.get(k[0], 0)), max(0, n - limits.get(k[0], 0))) for k, n in want.items()}
 
 
 def test_expiring_view_over_several_triggers(spark):
@@ -143,7 +141,7 @@ def test_expiring_view_over_several_triggers(spark):
         spark.createDataFrame(row, "entry_key BIGINT, ts TIMESTAMP, micros BIGINT, url STRING, status STRING").coalesce(1).write.mode("append").parquet(path)
     stream = runs.read_files(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
     out = work_path(spark, "view")
-    runs.run_batches(views.expiring_view(stream), "view", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/update={n}"), mode="update")
+    runs.run_batches(views.expiring_view(stream, late="1 hour"), "view", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/update={n}"), mode="update")
     rows = spark.read.schema("entry_key BIGINT, micros BIGINT, url STRING, update INT").parquet(out).collect()
     last = {}
     for r in sorted(rows, key=lambda r: (r.update, r.url is None)):
@@ -152,6 +150,28 @@ def test_expiring_view_over_several_triggers(spark):
     assert last == {1: None, 2: None, 3: None, 4: "u4"}
 
 
+def test_view_keeps_late_rows(spark):
+    day = 86_400
+    writes = [(1, 20 * day, "new", "valid"), (2, 19 * day, None, "invalid"), (3, 15 * day, "late", "valid"), (2, 18 * day, "older", "valid"), (1, 16 * day, "older", "valid"), (4, 2 * day, "dead", "valid")]
+    path, out = work_path(spark, "late-cache"), work_path(spark, "late-view")
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    for key, second, url, status in writes:
+        row = [(key, start + dt.timedelta(seconds=second), 1_704_067_200_000_000 + second * 1_000_000, url, status)]
+        spark.createDataFrame(row, "entry_key BIGINT, ts TIMESTAMP, micros BIGINT, url STRING, status STRING").coalesce(1).write.mode("append").parquet(path)
+    stream = runs.read_files(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+    runs.run_batches(views.expiring_view(stream), "late-view", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/update={n}"), mode="update")
+    changes = spark.read.schema("entry_key BIGINT, micros BIGINT, url STRING, update INT").parquet(out)
+    as_of = F.lit(1_704_067_200_000_000 + 20 * day * 1_000_000)
+    assert {r.entry_key: r.url for r in views.current_view(changes, as_of).collect()} == {1: "new", 3: "late"}
+
+
+def test_a_repeated_request_id_is_an_error(spark):
+    rows = [(1, dt.datetime(2024, 1, 1), "a"), (1, dt.datetime(2024, 1, 1), "b")]
+    df = spark.createDataFrame(rows, "id BIGINT, ts TIMESTAMP_NTZ, client STRING")
+    with pytest.raises(Exception, match="request id repeats"):
+        quota.fixed_window_quota(df, "client", "ts", "id").collect()
+
+
 def test_view_keeps_the_newest_valid_entry(spark):
     now = dt.datetime(2024, 2, 1)
     rows = [(1, now - dt.timedelta(days=8), 1, "a", "valid"), (2, now - dt.timedelta(days=1), 2, "b", "valid"), (2, now, 3, "c", "invalid"), (3, now, 4, "d", "valid"), (3, now, 5, "e", "valid")]
@@ -194,12 +214,12 @@ def test_materialised_tables_are_reused(spark):
 def test_media_defaults(spark):
     schema = "video_id STRING, title STRING, uploader STRING, duration BIGINT, view_count BIGINT, description STRING, tags ARRAY<STRING>"
     row = cat.normalise_media(spark.createDataFrame([("abc", None, None, None, 7, "d" * 600, None)], schema)).first()
-    assert (row.title, row.uploader, row.duration, row.view_count, len(row.description), row.n_tags) == ("Unknown", "Unknown", 0, 7, 500, 0)
+    assert (row.title, row.uploader, row.duration, row.view_count, len(row.description), len(row.short_description), row.n_tags) == ("Unknown", "Unknown", 0, 7, 600, 500, 0)
     assert row.url.endswith("watch?v=abc")
 
 
 def test_catalog_build_and_lyrics_analysis(spark, sf):
-    from cadenza.sources.tables import songs
+    from cadenza.sources.tables import songs, table
     from cadenza.workload import texts
 
     built = texts.i7(spark, sf).collect()
@@ -208,5 +228,5 @@ def test_catalog_build_and_lyrics_analysis(spark, sf):
     assert all(sum(r.topics) == pytest.approx(1.0) or sum(r.topics) == 0.0 for r in built)
     assert np.mean([r.audio_scaled for r in built], axis=0) == pytest.approx(np.zeros(12), abs=1e-9)
     analysed = texts.i8(spark, sf).collect()
-    assert len(analysed) == songs(spark, sf).count()
+    assert len(analysed) == table(spark, sf, "documents").count()
     assert all((sum(r.topics) > 0) == bool(r.tokens) and -1 <= r.compound <= 1 for r in analysed)

@@ -36,23 +36,51 @@ def test_pages_take_ordered(spark, sf, name):
     assert "TakeOrderedAndProject" in plan_of(QUERIES[name](spark, sf))
 
 
-def test_both_passes_of_the_flagship_read_one_shuffle(spark, sf):
-    plan = plan_of(QUERIES["d19_similar_songs"](spark, sf), run=True)
-    pairs = [line for line in plan.splitlines() if "hashpartitioning(seed_id" in line and "song_id" in line]
-    assert sum("ReusedExchange" in line for line in pairs) >= 1
-    assert sum("audio_raw" in line and "ReusedExchange" in line for line in pairs) == 1
+def test_lyrics_are_scored_inside_the_row(spark, sf):
+    from cadenza.plans import similar
+    from cadenza.workload.inputs import song_features
+    from cadenza.workload.recommend import leads
+
+    features = song_features(spark, sf)
+    plan = plan_of(similar.score_pairs(features, leads(features)), run=True)
+    # One catalog scan meets the request's blocks in place; terms are neither exploded nor shuffled.
+    assert plan.count("Scan parquet") == 2 and "BroadcastHashJoin" in plan
+    assert "explode(terms" not in plan and "hashpartitioning(term" not in plan
 
 
 def test_term_counts_shuffle_nothing(spark, sf):
-    from cadenza.operators.scoring import term_table
+    from cadenza.operators.scoring import with_terms
 
-    assert "Exchange" not in plan_of(term_table(table(spark, sf, "documents"), "doc_id", "text"))
+    assert "Exchange" not in plan_of(with_terms(table(spark, sf, "documents"), "text"))
 
 
 def test_sentiment_shuffles_once(spark, sf):
     from cadenza.operators.sentiment import lexicon_sentiment
-    from cadenza.plans.features import feature_lexicon
+    from cadenza.workload.inputs import feature_lexicon
 
     df = lexicon_sentiment(table(spark, sf, "documents"), "doc_id", "text", feature_lexicon(spark, sf))
     plan = plan_of(df)
     assert plan.count("BroadcastHashJoin") == 4 and plan.count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_duplicates_block_before_they_fetch_terms(spark, sf):
+    plan = plan_of(QUERIES["d31_find_duplicates"](spark, sf), run=True)
+    assert plan.count("Scan parquet") < 6 and "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from cadenza.session import work_root
+
+    def session(master, folder=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default=None: folder if key == "spark.checkpoint.dir" else default),
+            sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"),
+        )
+
+    for master in ("yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="shared folder"):
+            work_root(session(master))
+        assert work_root(session(master, "hdfs://x")) == "hdfs://x"
+    assert work_root(session("local[4]")) and work_root(session("local[*]"))

@@ -92,13 +92,13 @@ def test_lyrics_leg_equals_two_document_tfidf(spark):
     for k, t in texts.items():
         for w in re.findall(r"\w{2,}", re.sub(r"[^\w\s]", "", re.sub(r"\[.*?\]", "", t.lower()))):
             words[k][w] = words[k].get(w, 0) + 1
-    docs = spark.createDataFrame(list(texts.items()), "song_id BIGINT, lyrics STRING")
-    terms = sc.term_table(docs, "song_id", "lyrics")
-    seeds = spark.createDataFrame([(1,)], "seed_id BIGINT")
-    got = {r.song_id: r.lyrics for r in sc.lyrics_scores(terms, sc.terms_of_seeds(terms, seeds)).collect()}
-    assert set(got) == {1, 2}
-    assert got[1] == pytest.approx(1.0)
-    assert got[2] == pytest.approx(tfidf_cosine(words[1], words[2]))
+    docs = sc.with_terms(spark.createDataFrame(list(texts.items()), "song_id BIGINT, lyrics STRING"), "lyrics")
+    seeds = sc.as_seeds(docs.where("song_id in (1, 4)"), ["terms", "terms_sq"])
+    pairs = sc.against_seeds(docs, seeds, exclude_self=False).select("seed.seed_id", "song_id", sc.lyrics_cosine().alias("lyrics"))
+    got = {(r.seed_id, r.song_id): r.lyrics for r in pairs.collect()}
+    assert got[1, 1] == pytest.approx(1.0)
+    assert got[1, 2] == pytest.approx(tfidf_cosine(words[1], words[2]))
+    assert all(v == 0.0 for k, v in got.items() if k not in ((1, 1), (1, 2)))
 
 
 def scored_frame(spark, rows):
@@ -144,13 +144,30 @@ def test_refinement_against_brute_force(spark, n, k):
         assert got == plain_refine([r for r in rows if r[0] == s], k)
 
 
-def test_too_many_seeds_fail_in_one_batch_and_pass_in_several(spark):
+@pytest.mark.parametrize("n", [1, 64, 65, 300])
+def test_any_number_of_seeds_meets_every_song_once(spark, n):
     frame = song_frame(spark, random_songs(300, 3))
+    seeds = sc.as_seeds(frame.where(f"song_id < {n}"), AUDIO_KEYS)
+    got = sc.against_seeds(frame, seeds).select("seed.seed_id", "song_id").collect()
+    assert len(got) == len({tuple(r) for r in got}) == n * 299
+
+
+def test_no_seeds_and_repeated_seeds(spark):
+    frame = song_frame(spark, random_songs(30, 3))
+    assert sc.against_seeds(frame, sc.as_seeds(frame.limit(0), AUDIO_KEYS)).count() == 0
+    twice = sc.as_seeds(frame.where("song_id = 1"), AUDIO_KEYS)
+    assert sc.against_seeds(frame, twice.unionByName(twice)).count() == 2 * 29
+
+
+def test_large_requests_join_by_block_without_a_broadcast(spark):
+    frame = song_frame(spark, random_songs(200, 4))
     seeds = sc.as_seeds(frame, AUDIO_KEYS)
-    with pytest.raises(Exception, match="more than 256 seeds"):
-        sc.against_seeds(frame, seeds).count()
-    run = lambda batch: sc.against_seeds(frame, batch).select("seed.seed_id", "song_id")
-    assert sc.in_request_batches(seeds, run).distinct().count() == 300 * 299
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sc.against_seeds(frame, seeds).count() == 200 * 199
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_unknown_mood_is_an_error(spark):
@@ -161,11 +178,11 @@ def test_unknown_mood_is_an_error(spark):
 
 
 def test_playlist_repeats_no_title(spark, sf):
-    from cadenza.plans.features import genre_leads, song_features, song_terms
+    from cadenza.workload.inputs import genre_leads, song_features
 
     features = song_features(spark, sf)
     seeds = sc.as_seeds(genre_leads(features), similar.SEED_COLUMNS)
-    rows = pr.playlist(features, song_terms(spark, sf), seeds, 15).collect()
+    rows = pr.playlist(features, seeds, 15).collect()
     keys = [(r.seed_id, r.track_name, r.track_artist) for r in rows]
     assert rows and len(keys) == len(set(keys))
 

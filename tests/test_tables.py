@@ -99,6 +99,8 @@ def test_confidence(spark):
     assert score("Song", "Ann", "song", "ann", steps=ln.SEARCH_HIT) == pytest.approx(1.0)
     assert score("Song", "Ann", "The Song", "Annie", steps=ln.SEARCH_HIT) == pytest.approx(0.8)
     assert score("Song", "Ann", "Other", "Bob", steps=ln.OPEN_DATABASE) == pytest.approx(0.2)
+    corrected = ln.match_confidence(*map(F.lit, ("Song", "Ann", "Other", "Bob")), ln.OPEN_DATABASE, autocorrected=F.lit(True))
+    assert spark.range(1).select(corrected.alias("c")).first().c == pytest.approx(0.6)
 
 
 def plain_survivor(sources):
@@ -130,16 +132,14 @@ def test_survivorship_against_a_loop(spark):
 
 
 def test_duplicates_by_title_or_lyrics(spark):
-    from cadenza.operators.scoring import term_table
+    from cadenza.operators.scoring import with_terms
 
-    rows = [(1, "Blue Sky (Official Video)", "Ann", "a completely different set of words"), (2, "Red", "Annie", "love me tender love me true"), (3, "Green", "Ann", "nothing alike at all"), (4, "Blue Sky", "Bob", "love me tender love me true")]
+    rows = [(1, "Blue Sky (Official Video)", "Ann", "a completely different set of words"), (2, "Red", "Annie", "love me tender love me true"), (3, "Green", "Ann", "nothing alike at all"), (4, "Blue Sky", "Bob", "love me tender love me true"), (5, "Blue Sky", "ann", "")]
     catalog = spark.createDataFrame(rows, "song_id BIGINT, track_name STRING, track_artist STRING, lyrics STRING")
     incoming = spark.createDataFrame([(9, "blue sky", "ann", "love me tender love me true")], "incoming_id BIGINT, track_name STRING, track_artist STRING, lyrics STRING")
-    found = ln.find_duplicates(
-        catalog.drop("lyrics"), term_table(catalog, "song_id", "lyrics", cleaned=False), incoming,
-        term_table(incoming.withColumnRenamed("incoming_id", "seed_id"), "seed_id", "lyrics", cleaned=False),
-    ).collect()
-    assert {r.song_id: (round(r.title_similarity, 2), round(r.lyrics_similarity, 2)) for r in found} == {1: (1.0, 0.0), 2: (0.18, 1.0)}
+    found = ln.find_duplicates(with_terms(catalog, "lyrics", cleaned=False), with_terms(incoming, "lyrics", cleaned=False)).collect()
+    got = {r.song_id: (r.title_similarity, r.lyrics_similarity) for r in found}
+    assert got == {1: (1.0, 0.0), 2: (0.0, 1.0), 5: (1.0, None)}
 
 
 def test_retention_ignores_null_ids(spark):
@@ -148,14 +148,26 @@ def test_retention_ignores_null_ids(spark):
     assert ids(jn.keep_recommended(catalog, recent, "song_id", F.col("orig"))) == [1, 3]
 
 
-@pytest.mark.parametrize("keep", [1, 3, 4, 100])
-def test_vocabulary_keeps_the_most_frequent_terms(spark, keep):
+def test_vocabulary_is_cut_by_frequency_alone(spark):
     from cadenza.operators.aggregates import document_frequency
 
     docs = [["a", "b", "c"], ["a", "b", "d", "d"], ["a", "c", "e"], ["f", "b"], ["g"]]
     df = spark.createDataFrame([(d,) for d in docs], "tokens ARRAY<STRING>")
     counts = {t: sum(t in d for d in docs) for d in docs for t in d}
-    allowed = [t for t, n in counts.items() if 1 <= n <= 0.6 * len(docs)]
-    expected = sorted(allowed, key=lambda t: (-counts[t], t))[:keep]
-    got = document_frequency(df, "tokens", 1, 0.6, keep).collect()
-    assert sorted((r.term, r.df) for r in got) == sorted((t, counts[t]) for t in expected)
+    for low, share in ((1, 0.6), (2, 0.6), (1, 0.4)):
+        expected = {t: n for t, n in counts.items() if low <= n <= share * len(docs)}
+        assert {r.term: r.df for r in document_frequency(df, "tokens", low, share).collect()} == expected
+
+
+def test_fuzzy_pages_follow_relevance_then_title(songs):
+    found = search.fuzzy_search(songs, [{"title": "song"}, {"genre": "Pop"}], "track_name", "track_artist", "playlist_genre")
+    rows = search.fuzzy_page(found, 0, 5).orderBy("request", "place").collect()
+    assert [(r.request, r.song_id) for r in rows] == [(0, 2), (0, 1), (1, 1), (1, 3)]
+    assert [r.song_id for r in search.fuzzy_page(found, 1, 1).orderBy("request").collect()] == [1, 3]
+
+
+def test_unparsed_rows(spark):
+    from cadenza.operators.aggregates import unparsed
+
+    df = spark.createDataFrame([("1", "2.5"), ("x", "1"), (None, ""), ("3", "4 in")], "a STRING, b STRING")
+    assert unparsed(df, ["a", "b"]).count() == 2
