@@ -14,6 +14,9 @@ NEGATION = -0.74
 ALPHA = 15.0
 NEAR_FACTORS = (1.0, 0.95, 0.9)
 
+# Shares on the edge between two third digits go up, whatever the order of summing.
+TIE = 1e-9
+
 # Degree adverbs.
 BOOSTERS_UP = [
     "absolutely", "amazingly", "awfully", "completely", "considerable", "considerably", "decidedly",
@@ -229,13 +232,13 @@ def lexicon_sentiment(
     whole = F.col("up") - F.col("down") + F.col("flat")
 
     def share(part: Column) -> Column:
-        return F.when(whole > 0, F.round(F.abs(part / whole), 3)).otherwise(F.lit(0.0))
+        return F.when(whole > 0, F.round(F.abs(part / whole) + TIE, 3)).otherwise(F.lit(0.0))
 
     compound = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("x") / F.sqrt(F.col("x") * F.col("x") + ALPHA)))
     return out.select(
         id_col,
         share(F.col("down")).alias("neg"),
-        F.when(whole > 0, F.round(F.col("flat") / whole, 3)).otherwise(F.lit(1.0)).alias("neu"),
+        F.when(whole > 0, F.round(F.col("flat") / whole + TIE, 3)).otherwise(F.lit(1.0)).alias("neu"),
         share(F.col("up")).alias("pos"),
         F.round(compound, 4).alias("compound"),
     )

@@ -148,9 +148,9 @@ def sentiment(source: str, id_col: str, text_col: str, name: str = "mood", idiom
     CASE WHEN up > -down THEN up + emph ELSE up END AS up, CASE WHEN up < -down THEN down - emph ELSE down END AS down FROM {name}_b),
 {name} AS (
   SELECT {id_col},
-    CASE WHEN up - down + flat > 0 THEN round(abs(down / (up - down + flat)), 3) ELSE 0 END AS neg,
-    CASE WHEN up - down + flat > 0 THEN round(flat / (up - down + flat), 3) ELSE 1 END AS neu,
-    CASE WHEN up - down + flat > 0 THEN round(abs(up / (up - down + flat)), 3) ELSE 0 END AS pos,
+    CASE WHEN up - down + flat > 0 THEN round(abs(down / (up - down + flat)) + 1e-9, 3) ELSE 0 END AS neg,
+    CASE WHEN up - down + flat > 0 THEN round(flat / (up - down + flat) + 1e-9, 3) ELSE 1 END AS neu,
+    CASE WHEN up - down + flat > 0 THEN round(abs(up / (up - down + flat)) + 1e-9, 3) ELSE 0 END AS pos,
     round(greatest(-1.0, least(1.0, x / sqrt(x * x + 15))), 4) AS compound FROM {name}_c)"""
 
 
