@@ -170,22 +170,23 @@ def duration_text(ms: Column) -> Column:
     return F.concat(minutes.cast("string"), F.lit(":"), F.lpad(seconds.cast("string"), 2, "0"))
 
 
-def reason_text(audio: Column, lyrics: Column, sentiment: Column) -> Column:
-    """Why a song was recommended; two cuts per component."""
+# The wording of a recommendation's reason, for a strong and a weaker score.
+REASON_START, REASON_JOIN, REASON_ELSE = "Recommended because of ", " and ", "overall similarity"
+REASONS = {
+    "audio": ("very similar sound profile", "similar sound profile"),
+    "lyrics": ("very similar lyrical themes", "similar lyrical themes"),
+    "sentiment": ("matching emotional tone", "similar emotional tone"),
+}
 
-    def part(score: Column, strong: str, weak: str) -> Column:
-        return F.when(score > 0.7, F.lit(strong)).when(score > 0.5, F.lit(weak))
 
-    joined = F.concat_ws(
-        " and ",
-        part(audio, "very similar sound profile", "similar sound profile"),
-        part(lyrics, "very similar lyrical themes", "similar lyrical themes"),
-        part(sentiment, "matching emotional tone", "similar emotional tone"),
-    )
-    return F.concat(
-        F.lit("Recommended because of "),
-        F.when(joined == "", F.lit("overall similarity")).otherwise(joined),
-    )
+def reason_text(audio: Column, lyrics: Column, sentiment: Column) -> Column:
+    """Why a song was recommended; two cuts per component."""
+    scores = {"audio": audio, "lyrics": lyrics, "sentiment": sentiment}
+    parts = [
+        F.when(scores[leg] > 0.7, F.lit(strong)).when(scores[leg] > 0.5, F.lit(weak)) for leg, (strong, weak) in REASONS.items()
+    ]
+    joined = F.concat_ws(REASON_JOIN, *parts)
+    return F.concat(F.lit(REASON_START), F.when(joined == "", F.lit(REASON_ELSE)).otherwise(joined))
 
 
 def score_band(score: Column) -> Column:

@@ -76,13 +76,14 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
 
 
 def term_columns(text: Column, cleaned: bool = True) -> dict[str, Column]:
-    """``terms``, a map from term to count, and ``terms_sq``, the sum of the squared counts.
+    """``terms``, a map from a term's 64-bit hash to its count, and ``terms_sq``, the sum of the squared counts.
 
     Counted inside each row, so no text is shuffled.
     """
     counted = tx.term_counts(tx.similarity_tokens(text, cleaned))
     total = F.aggregate(counted, F.lit(0).cast("bigint"), lambda acc, t: acc + t["tf"] * t["tf"])
-    return {"terms": F.map_from_entries(counted), "terms_sq": total}
+    named = F.transform(counted, lambda t: F.struct(F.xxhash64(t["term"]).alias("term"), t["tf"].alias("tf")))
+    return {"terms": F.map_from_entries(named), "terms_sq": total}
 
 
 def with_terms(docs: DataFrame, text_col: str, cleaned: bool = True) -> DataFrame:
@@ -93,24 +94,23 @@ def with_terms(docs: DataFrame, text_col: str, cleaned: bool = True) -> DataFram
 def lyrics_cosine(a: str = "seed.", b: str = "") -> Column:
     """TF-IDF cosine of a pair of term columns, corpus = the pair; 0 without a shared term.
 
-    Both maps are merged by hash inside the row; only shared terms add up, the unshared part
-    follows from the totals.
+    Shared terms come from a hash intersection inside the row, and only they are looked up;
+    the unshared part follows from the totals.
     """
-    both = F.map_zip_with(
-        F.col(f"{a}terms"), F.col(f"{b}terms"),
-        lambda term, x, y: F.when(x.isNotNull() & y.isNotNull(), F.struct((x * y).alias("d"), (x * x).alias("p"), (y * y).alias("q"))),
-    )
+    mine, other = F.col(f"{a}terms"), F.col(f"{b}terms")
+    shared = F.array_intersect(F.map_keys(mine), F.map_keys(other))
+    counts = F.transform(shared, lambda t: F.struct(F.element_at(mine, t).alias("x"), F.element_at(other, t).alias("y")))
     zero = F.lit(0).cast("bigint")
-    sums = F.aggregate(
-        F.map_values(both), F.struct(zero.alias("d"), zero.alias("p"), zero.alias("q")),
-        lambda acc, v: F.when(v.isNull(), acc).otherwise(
-            F.struct((acc["d"] + v["d"]).alias("d"), (acc["p"] + v["p"]).alias("p"), (acc["q"] + v["q"]).alias("q"))
+    cosine = F.aggregate(
+        counts, F.struct(zero.alias("d"), zero.alias("p"), zero.alias("q")),
+        lambda acc, v: F.struct(
+            (acc["d"] + v["x"] * v["y"]).alias("d"), (acc["p"] + v["x"] * v["x"]).alias("p"), (acc["q"] + v["y"] * v["y"]).alias("q")
         ),
         lambda acc: F.when(
             acc["d"] > 0, pair_cosine(acc["d"], acc["p"], F.col(f"{a}terms_sq"), acc["q"], F.col(f"{b}terms_sq"))
         ).otherwise(F.lit(0.0)),
     )
-    return F.coalesce(sums, F.lit(0.0))
+    return F.coalesce(cosine, F.lit(0.0))
 
 
 def pair_cosine(dot: Column, s11: Column, t11: Column, s22: Column, t22: Column) -> Column:

@@ -139,7 +139,7 @@ def test_duplicates_by_title_or_lyrics(spark):
     incoming = spark.createDataFrame([(9, "blue sky", "ann", "love me tender love me true")], "incoming_id BIGINT, track_name STRING, track_artist STRING, lyrics STRING")
     found = ln.find_duplicates(with_terms(catalog, "lyrics", cleaned=False), with_terms(incoming, "lyrics", cleaned=False)).collect()
     got = {r.song_id: (r.title_similarity, r.lyrics_similarity) for r in found}
-    assert got == {1: (1.0, 0.0), 2: (0.0, 1.0), 5: (1.0, None)}
+    assert got == {1: (1.0, 0.0), 2: (0.125, 1.0), 5: (1.0, None)}
 
 
 def test_retention_ignores_null_ids(spark):
