@@ -9,7 +9,7 @@ windows are named by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -129,6 +129,34 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     return Words(codes, space, offsets, starts, ends, rows, run_hashes(codes, starts, ends))
 
 
+def renamed(words: Words, codes: np.ndarray) -> Words:
+    """The same words with the hashes of other bytes at their places, such as the lower-cased ones."""
+    return replace(words, codes=codes, hashes=run_hashes(codes, words.starts, words.ends))
+
+
+def repeats(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key: how often its row has it, and whether this is the first time."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    own = mix(keys ^ mix(rows.astype(U64) + U64(1)))
+    order = np.argsort(own)
+    ranked = own[order]
+    starts = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1])
+    sizes = np.diff(np.append(starts, len(own)))
+    often = np.empty(len(own), np.int64)
+    often[order] = np.repeat(sizes, sizes)
+    is_first = np.zeros(len(own), bool)
+    is_first[np.minimum.reduceat(order, starts)] = True
+    return often, is_first
+
+
+def among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted ``wanted``."""
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
 def window_hashes(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first word) of every run of ``width`` words inside one row."""
     n = len(words.hashes)

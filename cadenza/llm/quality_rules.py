@@ -50,22 +50,13 @@ def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _repeats(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key: how often its row has it, and whether this is the first time."""
-    own = at.mix(keys ^ at.mix(rows.astype(at.U64) + at.U64(1)))
-    _, first, inverse, counts = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
-    is_first = np.zeros(len(keys), bool)
-    is_first[first] = True
-    return counts[inverse], is_first
-
-
-def text_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The five plain measures of each row of a slice."""
-    words = at.words_of(raw, offsets, lower=False)
+def text_counts(raw: np.ndarray, offsets: np.ndarray, words: at.Words | None = None) -> dict[str, np.ndarray]:
+    """The five plain measures of each row of a slice; ``words`` are its words as they are."""
+    words = at.words_of(raw, offsets, lower=False) if words is None else words
     rows = len(offsets) - 1
     in_word = ~words.space & ((raw & 0xC0) != 0x80)  # the first byte of every character
     hashes, first = at.window_hashes(words, WINDOW_WORDS)
-    often, _ = _repeats(hashes, words.rows[first])
+    often, _ = at.repeats(hashes, words.rows[first])
     cover = np.bincount(first[often > 1], minlength=len(words.rows) + 1).astype(np.int64)
     covered = np.cumsum(cover)
     covered[WINDOW_WORDS:] -= np.cumsum(cover)[:-WINDOW_WORDS]
@@ -92,7 +83,7 @@ def _duplicate_lines(raw: np.ndarray, offsets: np.ndarray, words: at.Words, rows
     has_word[np.searchsorted(starts, words.starts, "right") - 1] = True
     starts, ends = starts[has_word], ends[has_word]
     of = np.searchsorted(offsets, starts, "right") - 1
-    _, is_first = _repeats(at.run_hashes(raw, starts, ends), of)
+    _, is_first = at.repeats(at.run_hashes(raw, starts, ends), of)
     return np.bincount(of[~is_first], minlength=rows)
 
 
