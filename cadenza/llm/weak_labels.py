@@ -49,20 +49,23 @@ GOOD, ABSTAIN, BAD = 0, 1, 2
 def text_measures(raw: np.ndarray, offsets: np.ndarray, markers: np.ndarray) -> tuple[dict[str, np.ndarray], at.Words]:
     """Shares per row that the labellers and the scorer look at, and the lower-cased words."""
     rows = len(offsets) - 1
-    words = at.words_of(raw, offsets, lower=True)
-    counts = text_counts(raw, offsets)
+    plain = at.words_of(raw, offsets, lower=False)
+    words = at.renamed(plain, at.LOWER[raw])
+    counts = text_counts(raw, offsets, plain)
     n = np.maximum(counts["n_words"], 1)
     same = (words.hashes[1:] == words.hashes[:-1]) & (words.rows[1:] == words.rows[:-1])
     adjacent = np.bincount(words.rows[1:][same], minlength=rows)
     final = words.codes[words.ends - 1]
-    stops = np.isin(final, np.frombuffer(b".!?", np.uint8))
+    stops = (final == ord(".")) | (final == ord("!")) | (final == ord("?"))
     sentences = np.bincount(words.rows[stops], minlength=rows)
-    abusive = np.isin(bare_hashes(words), markers)
+    abusive = at.among(bare_hashes(words), markers)
     upper, lower = (raw >= 65) & (raw <= 90), (raw >= 97) & (raw <= 122)
     lines = np.bincount(np.searchsorted(offsets, np.flatnonzero(raw == 10), "right") - 1, minlength=rows) + 1
-    own = at.mix(words.hashes ^ at.mix(words.rows.astype(at.U64) + at.U64(1)))
-    _, first = np.unique(own, return_index=True)
-    distinct = np.bincount(words.rows[first], minlength=rows)
+    # Sorted by row, then by the hash's upper bits, which are enough for a share.
+    own = np.sort(words.rows.astype(at.U64) << at.U64(40) | words.hashes >> at.U64(24))
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    distinct = np.bincount((own[new] >> at.U64(40)).astype(np.int64), minlength=rows)
     return {
         "n_words": counts["n_words"],
         "symbols": counts["n_symbols"] / n,
