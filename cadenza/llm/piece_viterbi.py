@@ -29,113 +29,197 @@ from cadenza.llm import arrow_text as at
 
 MARK = "▁"
 #: Stretches remembered per generation; two generations are kept.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
+#: Scores are whole numbers, so that sums are exact and ties are ties wherever they occur.
+SCALE = 1 << 20
 #: Score of a byte-fallback character, below every piece.
-FALLBACK = -30.0
+FALLBACK = -30 * SCALE
 
+# One character in bytes, in place of a piece (length, number, score).
+_FALLEN = (1, -1, FALLBACK)
+_NEVER = -(1 << 62)
+# A written mark among stretches: spaces are marks there, so no stretch is one.
+_WRITTEN = " "
 _STRETCHES = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
+class _Numbers(dict):
+    """Numbers new keys in the order in which they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of consecutive spans, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class PieceCoder:
-    """Encodes and decodes with pieces (text, id, score) and 256 byte ids."""
+    """Encodes and decodes with pieces (text, id, whole score) and 256 byte ids."""
 
-    def __init__(self, pieces: list[tuple[str, int, float]], byte_ids: list[int], remembered: int = REMEMBERED) -> None:
+    def __init__(self, pieces: list[tuple[str, int, int]], byte_ids: list[int], remembered: int = REMEMBERED) -> None:
         if any(MARK in p.lstrip(MARK) for p, _, _ in pieces):
             raise ValueError("a piece has a mark after another character")
         if all(p != MARK for p, _, _ in pieces):
             raise ValueError("the mark must be a piece")
         self.byte_ids = byte_ids
-        self.byte_of = {i: b for b, i in enumerate(byte_ids)}
-        self.text_of = {i: p for p, i, _ in pieces}
+        spelling = {i: p.replace(MARK, " ").encode() for p, i, _ in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        self.sizes = np.zeros(max(spelling) + 1, np.int64)
+        self.sizes[list(spelling)] = [len(b) for b in spelling.values()]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(spelling[i] for i in sorted(spelling)), np.uint8)
         self.single = {p for p, _, _ in pieces if len(p) == 1}
         self.machine = ahocorasick.Automaton()
         for piece, number, score in pieces:
             self.machine.add_word(piece, (len(piece), number, score))
         self.machine.make_automaton()
         self.remembered = remembered
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        written = np.array([byte_ids[b] for b in MARK.encode()], "<u4").tobytes()
+        self.written = {_WRITTEN: written}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def best_path(self, stretch: str) -> list[int]:
+    def best_path(self, text: str) -> list[int]:
         """Ids of the best segmentation; of equal scores the longest last piece wins."""
-        size = len(stretch)
-        best = [0.0] + [-math.inf] * size
-        back: list[tuple[int, int]] = [(0, -1)] * (size + 1)
-        spelt = self.single.issuperset(stretch)
-        done = 0  # positions up to here had their fallback
-
-        def fall_back(upto: int) -> None:
-            nonlocal done
-            for i in range(done, upto):
-                if stretch[i] not in self.single and best[i] + FALLBACK > best[i + 1]:
-                    best[i + 1], back[i + 1] = best[i] + FALLBACK, (1, -1)
-            done = upto
-
-        for last, (length, number, score) in self.machine.iter(stretch):
-            if not spelt:
-                fall_back(last + 1)
-            gained = best[last + 1 - length] + score
-            if gained > best[last + 1] or gained == best[last + 1] and length > back[last + 1][0]:
-                best[last + 1], back[last + 1] = gained, (length, number)
+        return self._walk(text)[0]
+
+    def _walk(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of the best segmentation of a text with marks, and the character where each begins."""
+        size = len(text)
+        best = [0] + [_NEVER] * size
+        back: list[tuple[int, int, int]] = [_FALLEN] * (size + 1)
+        spelt = self.single.issuperset(text)
+        done = 0  # characters before this one had their fallback
+        for last, piece in self.machine.iter(text):
+            if not spelt and done <= last:
+                done = self._fall_back(text, best, back, done, last + 1)
+            length, _, score = piece
+            end = last + 1
+            gained = best[end - length] + score
+            known = best[end]
+            if gained > known or gained == known and length > back[end][0]:
+                best[end] = gained
+                back[end] = piece
         if not spelt:
-            fall_back(size)
+            self._fall_back(text, best, back, done, size)
         ids: list[int] = []
+        places: list[int] = []
         place = size
         while place:
-            length, number = back[place]
+            length, number, _ = back[place]
+            place -= length
             if number < 0:
-                ids += [self.byte_ids[b] for b in reversed(stretch[place - 1].encode())]
+                spelling = [self.byte_ids[b] for b in reversed(text[place].encode())]
+                ids += spelling
+                places += [place] * len(spelling)
             else:
                 ids.append(number)
-            place -= length
+                places.append(place)
         ids.reverse()
-        return ids
-
-    def _ids(self, stretch: str) -> list[int]:
-        ids = self.young.get(stretch)
-        if ids is None:
-            ids = self.old.get(stretch)
-            if ids is None:
-                ids = self.best_path(stretch)
-            if len(self.young) >= self.remembered:
-                self.old, self.young = self.young, {}
-            self.young[stretch] = ids
-        return ids
+        places.reverse()
+        return ids, places
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text; none for an empty one."""
-        if not text:
-            return []
-        out: list[int] = []
-        written = [self.byte_ids[b] for b in MARK.encode()]
+    def _best_paths(self, stretches: list[str]) -> list[bytes]:
+        """The packed ids of each stretch.
+
+        Stretches that begin with a mark and end without one can follow each other in one
+        pass: every path goes through their borders, which no piece crosses.
+        """
+        out = [b""] * len(stretches)
+        chained = [i for i, s in enumerate(stretches) if s[0] == MARK and s[-1] != MARK]
+        ids, places = self._walk("".join(stretches[i] for i in chained))
+        bounds = np.cumsum([0, *(len(stretches[i]) for i in chained)])
+        cuts = np.searchsorted(np.array(places, np.int64), bounds).tolist()
+        packed = np.array(ids, "<u4")
+        for i, start, end in zip(chained, cuts[:-1], cuts[1:]):
+            out[i] = packed[start:end].tobytes()
+        for i in set(range(len(stretches))) - set(chained):
+            out[i] = np.array(self.best_path(stretches[i]), "<u4").tobytes()
+        return out
+
+    def _fall_back(self, stretch: str, best: list[int], back: list, start: int, end: int) -> int:
+        """Byte-fallback steps over the characters that no piece spells alone."""
+        for i in range(start, end):
+            if stretch[i] not in self.single and best[i] + FALLBACK > best[i + 1]:
+                best[i + 1], back[i + 1] = best[i] + FALLBACK, _FALLEN
+        return end
+
+    def _packed(self, stretches: list[str]) -> list[bytes]:
+        """The ids of distinct stretches as little-endian 32-bit numbers."""
+        out: list[bytes] = []
+        new: list[int] = []
+        for i, stretch in enumerate(stretches):
+            packed = self.young.get(stretch)
+            if packed is None:
+                packed = self.old.get(stretch) or self.written.get(stretch)
+                if packed is None:
+                    new.append(i)
+                else:
+                    self.young[stretch] = packed
+            out.append(packed or b"")
+        for i, packed in zip(new, self._best_paths([stretches[i] for i in new])):
+            out[i] = self.young[stretches[i]] = packed
+        if len(self.young) >= self.remembered:
+            self.old, self.young = self.young, {}
+        return out
+
+    def _stretches(self, text: str) -> list[str]:
+        if MARK not in text:
+            return _STRETCHES.findall(MARK + text.replace(" ", MARK)) if text else []
+        out: list[str] = []
         for i, part in enumerate(text.split(MARK)):
-            if i:
-                out += written
             body = part.replace(" ", MARK)
-            for stretch in _STRETCHES.findall(MARK + body if not i else body):
-                out += self._ids(stretch)
+            out += [_WRITTEN, *_STRETCHES.findall(body)] if i else _STRETCHES.findall(MARK + body)
         return out
 
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and their n + 1 bounds. Empty texts have none."""
+        numbers, codes, counts = _Numbers(), [], [0]
+        for text in texts:
+            codes += map(numbers.__getitem__, self._stretches(text))
+            counts.append(len(codes))
+        packed = self._packed(list(numbers))
+        sizes = np.array([len(p) // 4 for p in packed], np.int64)
+        flat = np.frombuffer(b"".join(packed), "<u4")
+        code = np.array(codes, np.int64)
+        ids = flat[_spans((np.cumsum(sizes) - sizes)[code], sizes[code])]
+        ends = np.concatenate([[0], np.cumsum(sizes[code])])
+        return ids, ends[counts]
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text; none for an empty one."""
+        return self.encode_texts([text])[0].tolist()
+
+    def decode_texts(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all texts, one after the other, and their n + 1 bounds.
+
+        Pieces and bytes are joined and marks of pieces are spaces; every text but an empty one
+        still has the space in front that encoding put there.
+        """
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.letters[_spans(self.starts[ids], sizes)], ends[bounds]
+
     def decode(self, ids: list[int]) -> str:
-        """The text that was encoded: pieces and bytes joined, marks of pieces as spaces, the first one dropped."""
-        out: list[bytes] = []
-        for i in ids:
-            byte = self.byte_of.get(i)
-            out.append(self.text_of[i].replace(MARK, " ").encode() if byte is None else bytes([byte]))
-        return b"".join(out)[1:].decode() if out else ""
+        """The text that was encoded."""
+        letters, _ = self.decode_texts(np.array(ids, np.int64), np.array([0, len(ids)]))
+        return letters[1:].tobytes().decode()
 
 
-def vocabulary(path: str) -> tuple[list[tuple[str, int, float]], list[int]]:
+def vocabulary(path: str) -> tuple[list[tuple[str, int, int]], list[int]]:
     """Pieces with scores and the byte ids of a public model.
 
     The model's own scores are merge ranks, not log-probabilities; a piece of rank r gets the
-    log-probability of Zipf's law, 1 / (r * H).
+    log-probability of Zipf's law, 1 / (r * H), as a whole number of 2 ** -20.
     """
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     size = model.get_piece_size()
     plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
     harmonic = sum(1 / r for r in range(1, len(plain) + 1))
-    pieces = [(model.id_to_piece(i), i, -math.log(r * harmonic)) for r, i in enumerate(plain, 1)]
+    pieces = [(model.id_to_piece(i), i, round(-math.log(r * harmonic) * SCALE)) for r, i in enumerate(plain, 1)]
     return pieces, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
@@ -156,22 +240,29 @@ def encode_documents(docs: DataFrame, pieces_path: str, key: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = coder(pieces_path)
-        is_byte = np.zeros(max([*machine.text_of, *machine.byte_ids]) + 1, bool)
+        is_byte = np.zeros(len(machine.sizes), bool)
         is_byte[machine.byte_ids] = True
         names = [key, "n_pieces", "n_bytes", "ids_crc32", "exact"] + ["ids"] * with_ids
         for batch in batches:
             texts = at.column(batch, text)
-            for start, end, _, _ in at.slices(batch, text):
-                told: list[tuple] = []
-                for body in texts[start:end]:
-                    body = body.as_py() or ""
-                    ids = machine.encode(body)
-                    packed = np.array(ids, "<u4")
-                    row = (len(ids), int(is_byte[packed].sum()), zlib.crc32(packed.tobytes()), machine.decode(ids) == body)
-                    told.append((*row, packed) if with_ids else row)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
-                arrays = [pa.array(c, k) for c, k in zip(zip(*told), kinds)]
-                yield pa.RecordBatch.from_arrays([at.column(batch, key).slice(start, end - start), *arrays], names)
+            for start, end, raw, offsets in at.slices(batch, text):
+                ids, bounds = machine.encode_texts([body.as_py() or "" for body in texts[start:end]])
+                letters, ends = machine.decode_texts(ids, bounds)
+                fallen = np.concatenate([[0], np.cumsum(is_byte[ids])])
+                spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+                # A space stands in front of every decoded text but an empty one.
+                firsts = np.minimum(ends[:-1] + 1, ends[1:]).tolist()
+                same = [
+                    np.array_equal(letters[f:e], raw[x:y])
+                    for f, e, x, y in zip(firsts, ends[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist())
+                ]
+                arrays = [
+                    at.column(batch, key).slice(start, end - start), pa.array(np.diff(bounds)), pa.array(np.diff(fallen[bounds])),
+                    pa.array([zlib.crc32(ids[x:y].tobytes()) for x, y in spans], pa.int64()), pa.array(same, pa.bool_()),
+                ]
+                if with_ids:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = f"`{key}` {kind}, n_pieces long, n_bytes long, ids_crc32 long, exact boolean" + ", ids array<int>" * with_ids
     return docs.select(key, text).mapInArrow(run, schema)
