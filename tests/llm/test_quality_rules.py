@@ -82,6 +82,15 @@ def test_bands_reject_strange_texts(spark, documents):
     assert out[-1]["band_failed"] and not out[-1]["kept"]
 
 
+def test_bands_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    measured = quality_rules.measure(docs, PIECES, keep=["doc_id", "lang"]).persist()
+    one = quality_rules.learn_bands(measured.coalesce(1)).collect()
+    many = quality_rules.learn_bands(measured.repartition(13)).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and len(one) > 8
+    measured.unpersist()
+
+
 def test_keep_good_returns_rows_as_they_were(odd_documents, no_documents):
     kept = quality_rules.keep_good(odd_documents, PIECES)
     assert kept.columns == odd_documents.columns
