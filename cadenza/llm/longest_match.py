@@ -31,6 +31,7 @@ class LongestMatch:
         self.edges: dict[int, int] = {}
         nodes = [(-1, 0), (-1, 0)]  # (parent, byte)
         is_piece = [False, False]
+        lone_mark = False
         for root, pieces in ((INITIAL, initial), (INNER, inner)):
             for piece in pieces:
                 node = root
@@ -44,8 +45,12 @@ class LongestMatch:
                     node = follower
                 if piece:
                     is_piece[node] = True
+                elif root == INITIAL:
+                    lone_mark = True
         self.fail = [-1] * len(nodes)
         self.popped = [0] * len(nodes)
+        if lone_mark:  # the empty word-initial piece: one token, and the word goes on inside
+            self.fail[INITIAL], self.popped[INITIAL] = INNER, 1
         depth = [0] * len(nodes)
         for node in range(2, len(nodes)):
             depth[node] = depth[nodes[node][0]] + 1
@@ -101,9 +106,21 @@ def vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
     return [p for p in initial if p], inner
 
 
+def spelling(path: str) -> tuple[list[bytes], list[bytes]]:
+    """``vocabulary`` with all that spells a word: the lone mark as an empty initial piece, and byte tokens.
+
+    A byte token goes on inside a word, so a character without a piece counts its bytes.
+    """
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    initial, inner = vocabulary(path)
+    names = [(model.id_to_piece(i), model.is_byte(i)) for i in range(model.get_piece_size())]
+    lone = [b"" for piece, _ in names if piece == "▁"]
+    return initial + lone, inner + [bytes([int(piece[1:-1], 16)]) for piece, is_byte in names if is_byte]
+
+
 @lru_cache(maxsize=2)
-def automaton(path: str) -> LongestMatch:
-    return LongestMatch(*vocabulary(path))
+def automaton(path: str, spell: bool = False) -> LongestMatch:
+    return LongestMatch(*(spelling(path) if spell else vocabulary(path)))
 
 
 class KnownCounts:
@@ -128,17 +145,20 @@ class KnownCounts:
         self.names, self.counts = joined[order], np.concatenate([self.counts, counts[:room]])[order]
 
 
-def count_tokens(docs: DataFrame, pieces_path: str, key: str = "doc_id", text: str = "text", known_words: int = KNOWN_WORDS) -> DataFrame:
+def count_tokens(
+    docs: DataFrame, pieces_path: str, key: str = "doc_id", text: str = "text", known_words: int = KNOWN_WORDS, spell: bool = False
+) -> DataFrame:
     """One row per document: key, n_words, n_tokens, n_unknown.
 
     Words are split at white space; a word that the vocabulary cannot spell is one unknown
-    token. A null or empty text has none. Null and repeated keys are rows like any other; an
+    token. With ``spell`` a word may begin with the lone mark and characters without a piece
+    count their byte tokens; without it, only a marked piece begins a word. A null or empty text has none. Null and repeated keys are rows like any other; an
     empty table gives no rows; extra columns are ignored.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, known = automaton(pieces_path), KnownCounts(known_words)
+        machine, known = automaton(pieces_path, spell), KnownCounts(known_words)
         for batch in batches:
             for start, end, raw, offsets in at.slices(batch, text):
                 words = at.words_of(raw, offsets, lower=False)

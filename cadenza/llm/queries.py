@@ -92,7 +92,7 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longest_match.count_tokens(given(spark, sf_dir, "documents"), PIECES)
+    return longest_match.count_tokens(given(spark, sf_dir, "documents"), PIECES, spell=True)
 
 
 @query

@@ -143,3 +143,36 @@ def test_whole_text_path_is_the_chain_of_its_stretches():
         # However texts come together, each keeps its ids.
         together, bounds = coder.encode_texts([text, "other " + text, "", text])
         assert together[bounds[0] : bounds[1]].tolist() == together[bounds[3] : bounds[4]].tolist() == whole
+
+
+def spelled(word, initial, inner):
+    """Greedy longest match by characters; the lone mark and byte tokens where no piece fits."""
+    count, at, pieces = 0, 0, initial
+    while at < len(word):
+        size = max((n for n in range(1, len(word) - at + 1) if word[at : at + n] in pieces), default=0)
+        if not size and pieces is initial:
+            count, pieces = count + 1, inner
+            continue
+        count += 1 if size else len(word[at].encode())
+        at, pieces = at + (size or 1), inner
+    return count
+
+
+def test_every_word_is_spelled(spark, documents, odd_documents):
+    from cadenza.llm.queries import op6_token_counts
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    machine = lm.automaton(PIECES, True)
+    for word in ["ñes", "2024", "7", "ç", "中文字", "\U0001f9ff", "\U0001f9ff\U0001f9ff1"]:
+        assert machine.count(word.encode()) == len(library.encode(word)), word
+    initial, inner = ({p.decode() for p in side} for side in lm.vocabulary(PIECES))
+    for docs in (documents, odd_documents):
+        want = []
+        for r in docs.collect():
+            words = [w.decode() for w in (r["text"] or "").encode().split()]
+            want.append((r["doc_id"], len(words), sum(spelled(w, initial, inner) for w in words), 0))
+        key = lambda r: tuple((v is not None, v or 0) for v in r)
+        rows = lm.count_tokens(docs, PIECES, spell=True).collect()
+        assert sorted(map(tuple, rows), key=key) == sorted(want, key=key)
+    got = op6_token_counts(spark, "/root/testdata/sf0.001").agg({"n_unknown": "sum"}).first()[0]
+    assert got == 0
