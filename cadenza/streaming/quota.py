@@ -12,8 +12,6 @@ from cadenza.operators.scoring import top_k
 PER_MINUTE = 60
 WINDOW_SECONDS = 60
 HOURLY = {"search": 300, "download": 50}
-# How late a request may come and still count.
-LATE = "1 day"
 
 
 def window_number(ts: str, seconds: int) -> Column:
@@ -44,16 +42,18 @@ def fixed_window_quota(requests: DataFrame, key: str, ts: str, id_col: str, limi
 
 
 def window_counts(
-    requests: DataFrame, key: str, ts: str, seconds: int = WINDOW_SECONDS, late: str = LATE, limit: Column | int = PER_MINUTE,
+    requests: DataFrame, key: str, ts: str, seconds: int = WINDOW_SECONDS, late: str | None = None, limit: Column | int = PER_MINUTE,
     slide: int | None = None,
 ) -> DataFrame:
     """Streaming twin: requests, allowed and refused per key and window, for update mode.
 
-    With ``slide`` seconds the windows overlap and stand for a sliding hour or day. A row
-    counts unless it comes later than ``late`` behind the newest one, which bounds the state.
+    With ``slide`` seconds the windows overlap and stand for a sliding hour or day. Every row
+    counts, in whatever order files come; the state holds one count per key and window, as
+    the result does. Only a stated ``late`` drops rows that come later behind the newest one.
     """
     window = F.window(ts, f"{seconds} seconds", f"{slide or seconds} seconds")
-    counted = requests.withWatermark(ts, late).groupBy(window.alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("requests"))
+    timely = requests.withWatermark(ts, late) if late else requests
+    counted = timely.groupBy(window.alias("w"), F.col(key)).agg(F.count(F.lit(1)).alias("requests"))
     cap = limit if isinstance(limit, Column) else F.lit(limit)
     return counted.select(
         key, F.unix_seconds("w.start").alias("start"), "requests",

@@ -32,8 +32,9 @@ def t1(spark, sf):
     return quota.fixed_window_quota(table(spark, sf, "events"), "event_type", "ts", "event_id", 60, DAY)
 
 
-def event_stream(spark, sf):
-    return runs.read_files(spark, sf, table(spark, sf, "events").schema, "events.parquet")
+def event_stream(spark, sf, files_per_trigger=100):
+    # The table is a file or a folder of parts; a pattern may name either, a plain path only a folder.
+    return runs.read_files(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema, files_per_trigger=files_per_trigger)
 
 
 def published_counts(counts, label, key):
@@ -52,7 +53,7 @@ def published_counts(counts, label, key):
     FROM events GROUP BY ALL""",
 )
 def t1_stream(spark, sf):
-    # Event time needs a zoned timestamp for the watermark.
+    # Windows are cut in a zoned timestamp.
     stream = event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     return published_counts(quota.window_counts(stream, "event_type", "ts", DAY, limit=60), "window-counts", "event_type")
 
