@@ -94,7 +94,10 @@ def minhash(shingles: np.ndarray, bounds: np.ndarray, coordinates: int) -> np.nd
 
 
 def sign_documents(docs: DataFrame, key: str, text: str, width: int, coordinates: int) -> DataFrame:
-    """(key, n_shingles, node, signature): node and signature are null for texts without words."""
+    """(key, name, n_shingles, node, signature): node and signature are null for texts without words.
+
+    ``name`` is a hash of the text: key and name tell rows apart where a key repeats.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +111,14 @@ def sign_documents(docs: DataFrame, key: str, text: str, width: int, coordinates
                 nodes = class_hashes(shingles, bounds).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        at.column(batch, key).slice(start, end - start), pa.array(sizes, pa.int64()),
+                        *(at.column(batch, c).slice(start, end - start) for c in (key, "name")), pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.int64(), mask=sizes == 0), pa.array(signatures, pa.binary()),
                     ],
-                    [key, "n_shingles", "node", "signature"],
+                    [key, "name", "n_shingles", "node", "signature"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, node long, signature binary")
+    named = docs.select(key, text, F.xxhash64(text).alias("name"))
+    return named.mapInArrow(run, f"`{key}` {kind}, name long, n_shingles long, node long, signature binary")
 
 
 def _signature_rows(column: pa.Array, coordinates: int) -> np.ndarray:
@@ -287,9 +291,11 @@ def candidate_forest(posted: DataFrame, coordinates: int, matches: int) -> DataF
 
 def full_sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the ``wanted`` (node, member) classes, from a whole text of each."""
-    known = wanted.select(F.col("member").alias("_member"), F.col("node").alias("_wanted"))
+    known = wanted.select(F.col("member.key").alias("_member"), F.col("member.name").alias("_text_name"), F.col("node").alias("_wanted"))
     # The wanted keys grow with the corpus: never broadcast, so that every size has the same plan.
-    bodies = docs.join(known.hint("merge"), F.col(key) == F.col("_member")).select("_wanted", F.col(text).alias("_body"))
+    # A key may come with several texts: the text's name goes into the join, so none is multiplied.
+    same = (F.col(key) == F.col("_member")) & (F.xxhash64(text) == F.col("_text_name"))
+    bodies = docs.join(known.hint("merge"), same).select("_wanted", F.col(text).alias("_body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,7 +304,7 @@ def full_sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFram
                 shingles, bounds = shingle_sets(raw, offsets, width)
                 nodes = class_hashes(shingles, bounds).view(np.int64)
                 values = pa.array([shingles[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())
-                # A key may come with several texts: only that of the wanted class counts.
+                # Texts of one name may differ, however rarely: only that of the wanted class counts.
                 own = pa.array(nodes == asked[start:end])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), values], ["node", "shingles"]).filter(own)
 
@@ -404,11 +410,25 @@ def near_duplicates(
     kept. Rows that repeat a key are documents of their own under that key. An empty table
     gives no rows; extra columns are ignored.
     """
+    out = named_documents(docs, key, text, width, percent, coordinates, matches).withColumn(
+        "component_id", F.when(F.col(key).isNotNull(), F.coalesce("own.key", key))
+    )
+    return out.select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def named_documents(
+    docs: DataFrame, key: str, text: str, width: int, percent: int, coordinates: int = COORDINATES, matches: int = MATCHES
+) -> DataFrame:
+    """One row per document: key, name, n_shingles, node, own: the least (key, name) of its component.
+
+    ``own`` is null for texts without words.
+    """
     signed = settle(sign_documents(docs, key, text, width, coordinates), "signed")
     able = signed.where(F.col(key).isNotNull() & F.col("node").isNotNull())
     classes = settle(
         able.groupBy("node").agg(
-            F.min(key).alias("member"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+            F.min(F.struct(F.col(key).alias("key"), "name")).alias("member"), F.first("n_shingles").alias("n_shingles"),
+            F.first("signature").alias("signature"),
         ),
         "classes",
     )
@@ -417,10 +437,9 @@ def near_duplicates(
     members = classes.select("node", "member").join(found, "node")
     least = settle(members.groupBy("component").agg(F.min("member").alias("least")), "least-keys")
     linked = settle(found.join(least, "component").select("node", "least"), "linked")
-    rows = signed.select(key, "n_shingles", "node")
+    rows = signed.select(key, "name", "n_shingles", "node")
     named = settle(classes.join(linked, "node", "left").select("node", F.coalesce("least", "member").alias("own")), "named")
-    out = rows.join(named, "node", "left").withColumn("component_id", F.when(F.col(key).isNotNull(), F.coalesce("own", key)))
-    return out.select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
+    return rows.join(named, "node", "left")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:

@@ -146,3 +146,13 @@ def test_components(spark, seed):
     got = {r["node"]: r["component"] for r in components(frame, "a", "b").collect()}
     assert got == want
     assert components(frame.limit(0), "a", "b").collect() == []
+
+
+def test_texts_under_one_key_are_not_multiplied(spark):
+    texts = near_copies(3)
+    docs = spark.createDataFrame([(5, t) for t in texts], "doc_id long, text string")
+    signed = mj.sign_documents(docs, "doc_id", "text", 2, mj.COORDINATES)
+    wanted = signed.selectExpr("node", "struct(doc_id AS key, name) AS member").distinct()
+    sets = mj.full_sets(docs, "doc_id", "text", 2, wanted)
+    joined = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in joined and sets.count() == wanted.select("node").distinct().count()
