@@ -99,3 +99,43 @@ def test_keep_good_returns_rows_as_they_were(odd_documents, no_documents):
     assert {r["n_words"] for r in kept.collect()} <= {-1}
     assert quality_rules.keep_good(no_documents, PIECES).collect() == []
     assert quality_rules.quality_rules(no_documents, PIECES).collect() == []
+
+
+def clean_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'")
+    return [(r["doc_id"], r["text"], "en", r["source"]) for r in docs.collect()]
+
+
+BAND_SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_junk_source_of_a_third_is_rejected(spark, copies):
+    rows = clean_rows(spark)
+    junk = [" ".join(chr(0x1F900 + (k + 7 * i * (not copies)) % 200) * 3 for k in range(120)) for i in range(len(rows) // 2)]
+    docs = spark.createDataFrame([*rows, *[(-1 - i, t, "en", "src0") for i, t in enumerate(junk)]], BAND_SCHEMA)
+    out = quality_rules.quality_rules(docs, PIECES).collect()
+    assert all(r["band_failed"] for r in out if r["doc_id"] < 0)
+    assert not any(r["band_failed"] and not r["base_failed"] for r in out if r["doc_id"] >= 0)
+
+
+def test_single_long_junk_texts_are_judged(spark):
+    rows = clean_rows(spark)
+    uniform = " ".join("the" for _ in range(70_000))
+    symbols = " ".join(chr(0x1F900 + i % 200) for i in range(9000))
+    docs = spark.createDataFrame([*rows, (-1, uniform, "en", "src1"), (-2, symbols, "en", "src2")], BAND_SCHEMA)
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, PIECES).collect()}
+    assert out[-1]["band_failed"] and out[-2]["band_failed"]
+
+
+def test_entropy_has_an_upper_bound(spark):
+    # Every token once: far more entropy than texts of the same length and a few words.
+    import sentencepiece as sp
+
+    model = sp.SentencePieceProcessor(model_file=PIECES)
+    marked = [model.id_to_piece(i)[1:] for i in range(model.get_piece_size()) if model.id_to_piece(i).startswith("▁")]
+    marked = [m for m in marked if m.isascii() and m.isalpha() and 3 <= len(m) <= 5]
+    rows = [(i, " ".join(marked[(i + k) % 4 + 4 * (i % 50)] for k in range(300)), "en", f"s{i % 9}") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (-1, " ".join(marked[:300]), "en", "s1")], BAND_SCHEMA)
+    out = {r["doc_id"]: r["band_failed"] for r in quality_rules.quality_rules(docs, PIECES).collect()}
+    assert out[-1] and sum(out.values()) == 1
