@@ -445,24 +445,25 @@ def named_documents(
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
     """The documents that stay: of each group of near duplicates the row with the least key.
 
-    Rows with a null key and texts without words all stay, except that of rows that repeat a
-    key one stays. All columns are returned.
+    Rows with a null key and texts without words all stay. Rows that repeat a key are
+    documents of their own: where they differ in text, the least hash of the text decides
+    inside a group; of rows equal in key and text one stays. All columns are returned.
     """
-    rows = near_duplicates(docs, key, text, width, percent)
-    told = rows.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("rows"), F.max("kept").alias("any_kept")
-    )
-    # Only keys with something to decide take part in the join.
+    rows = named_documents(docs, key, text, width, percent).where(F.col(key).isNotNull() & F.col("own").isNotNull())
+    first = (F.col(key) == F.col("own.key")) & (F.col("name") == F.col("own.name"))
+    told = rows.groupBy(key, "name").agg(F.count(F.lit(1)).alias("rows"), F.max(first).alias("first"))
+    # Only rows with something to decide take part in the join.
     decided = settle(
-        told.where((F.col("rows") > 1) | ~F.col("any_kept")).select(
-            F.col(key).alias("_key"), (~F.col("any_kept")).alias("_gone")
+        told.where((F.col("rows") > 1) | ~F.col("first")).select(
+            F.col(key).alias("_key"), F.col("name").alias("_text_name"), (~F.col("first")).alias("_gone")
         ),
         "decided",
     )
-    gone = decided.where("_gone").select("_key")
-    repeated = decided.where(~F.col("_gone")).select("_key")
-    left = docs.join(gone, F.col(key) == F.col("_key"), "left_anti")
+    gone = decided.where("_gone").drop("_gone")
+    repeated = decided.where(~F.col("_gone")).drop("_gone")
+    same = (F.col(key) == F.col("_key")) & (F.xxhash64(text) == F.col("_text_name"))
+    left = docs.join(gone, same, "left_anti")
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key])
-    return left.join(repeated, F.col(key) == F.col("_key"), "left_anti").unionByName(once)
+    once = left.join(repeated, same, "left_semi").dropDuplicates([key, text])
+    return left.join(repeated, same, "left_anti").unionByName(once)

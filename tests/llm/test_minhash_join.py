@@ -148,6 +148,22 @@ def test_components(spark, seed):
     assert components(frame.limit(0), "a", "b").collect() == []
 
 
+def test_keep_one_decides_by_row(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [
+        (1, words("a")), (7, words("b")), (7, words("c")),  # unlike texts under one key
+        (8, words("a")), (8, words("d")),  # one a copy of an earlier document, one clean
+        (9, words("b") + " tail"), (9, ""), (9, None), (9, " "),  # a near copy, and texts without words
+        (10, words("e")), (10, words("e")), (10, words("e") + " tail"),  # copies under one key
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [(r["doc_id"], r["text"]) for r in mj.keep_one(docs).collect()]
+    sure = [(1, words("a")), (7, words("b")), (7, words("c")), (8, words("d")), (9, ""), (9, None), (9, " ")]
+    order = lambda r: (r[0], r[1] is not None, r[1] or "")
+    assert sorted((r for r in left if r[0] != 10), key=order) == sorted(sure, key=order)
+    assert len([r for r in left if r[0] == 10]) == 1
+
+
 def test_texts_under_one_key_are_not_multiplied(spark):
     texts = near_copies(3)
     docs = spark.createDataFrame([(5, t) for t in texts], "doc_id long, text string")
