@@ -289,18 +289,28 @@ def candidate_forest(posted: DataFrame, coordinates: int, matches: int) -> DataF
     return ordered.mapInArrow(merge, "a long, b long").where(F.col("a") > F.col("b")).distinct()
 
 
+def named_texts(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(own_key, own_name, *more): rows by key and hash of the text, whatever their columns are called."""
+    return docs.select(F.col(key).alias("own_key"), F.xxhash64(text).alias("own_name"), *more)
+
+
+def same_text(other: DataFrame, key: str, name: str) -> Column:
+    """Whether a row of ``named_texts`` is the text that ``other`` names; null keys are equal."""
+    return F.col("own_key").eqNullSafe(other[key]) & (F.col("own_name") == other[name])
+
+
 def full_sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the ``wanted`` (node, member) classes, from a whole text of each."""
-    known = wanted.select(F.col("member.key").alias("_member"), F.col("member.name").alias("_text_name"), F.col("node").alias("_wanted"))
+    known = wanted.select("member.key", "member.name", F.col("node").alias("wanted"))
     # The wanted keys grow with the corpus: never broadcast, so that every size has the same plan.
     # A key may come with several texts: the text's name goes into the join, so none is multiplied.
-    same = (F.col(key) == F.col("_member")) & (F.xxhash64(text) == F.col("_text_name"))
-    bodies = docs.join(known.hint("merge"), same).select("_wanted", F.col(text).alias("_body"))
+    bodies = named_texts(docs, key, text, F.col(text).alias("body")).join(known.hint("merge"), same_text(known, "key", "name"))
+    bodies = bodies.select("wanted", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = at.column(batch, "_wanted").to_numpy(zero_copy_only=False)
-            for start, end, raw, offsets in at.slices(batch, "_body"):
+            asked = at.column(batch, "wanted").to_numpy(zero_copy_only=False)
+            for start, end, raw, offsets in at.slices(batch, "body"):
                 shingles, bounds = shingle_sets(raw, offsets, width)
                 nodes = class_hashes(shingles, bounds).view(np.int64)
                 values = pa.array([shingles[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())
@@ -417,18 +427,20 @@ def near_duplicates(
 
 
 def named_documents(
-    docs: DataFrame, key: str, text: str, width: int, percent: int, coordinates: int = COORDINATES, matches: int = MATCHES
+    docs: DataFrame, key: str, text: str, width: int, percent: int, coordinates: int = COORDINATES, matches: int = MATCHES,
+    nameless: bool = False,
 ) -> DataFrame:
     """One row per document: key, name, n_shingles, node, own: the least (key, name) of its component.
 
-    ``own`` is null for texts without words.
+    ``own`` is null for texts without words, and for rows without a key unless ``nameless``
+    lets them link; a null key then comes after all others.
     """
     signed = settle(sign_documents(docs, key, text, width, coordinates), "signed")
-    able = signed.where(F.col(key).isNotNull() & F.col("node").isNotNull())
+    able = signed.where(F.col("node").isNotNull() & (F.lit(nameless) | F.col(key).isNotNull()))
+    own = F.struct(F.col(key).isNull().alias("absent"), F.col(key).alias("key"), "name")
     classes = settle(
         able.groupBy("node").agg(
-            F.min(F.struct(F.col(key).alias("key"), "name")).alias("member"), F.first("n_shingles").alias("n_shingles"),
-            F.first("signature").alias("signature"),
+            F.min(own).alias("member"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
         ),
         "classes",
     )
@@ -445,25 +457,31 @@ def named_documents(
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
     """The documents that stay: of each group of near duplicates the row with the least key.
 
-    Rows with a null key and texts without words all stay. Rows that repeat a key are
-    documents of their own: where they differ in text, the least hash of the text decides
-    inside a group; of rows equal in key and text one stays. All columns are returned.
+    A null key comes after all others. Texts without words all stay. Rows that repeat a key
+    are documents of their own: where they differ in text, the least hash of the text decides
+    inside a group; of rows equal in key and text the one with the least further columns
+    stays (columns without an order, such as maps, are left out of that). All columns are
+    returned, whatever they are called.
     """
-    rows = named_documents(docs, key, text, width, percent).where(F.col(key).isNotNull() & F.col("own").isNotNull())
-    first = (F.col(key) == F.col("own.key")) & (F.col("name") == F.col("own.name"))
+    rows = named_documents(docs, key, text, width, percent, nameless=True).where(F.col("own").isNotNull())
+    first = F.col(key).eqNullSafe(F.col("own.key")) & (F.col("name") == F.col("own.name"))
     told = rows.groupBy(key, "name").agg(F.count(F.lit(1)).alias("rows"), F.max(first).alias("first"))
     # Only rows with something to decide take part in the join.
     decided = settle(
         told.where((F.col("rows") > 1) | ~F.col("first")).select(
-            F.col(key).alias("_key"), F.col("name").alias("_text_name"), (~F.col("first")).alias("_gone")
+            F.col(key).alias("key"), "name", (~F.col("first")).alias("gone")
         ),
         "decided",
     )
-    gone = decided.where("_gone").drop("_gone")
-    repeated = decided.where(~F.col("_gone")).drop("_gone")
-    same = (F.col(key) == F.col("_key")) & (F.xxhash64(text) == F.col("_text_name"))
-    left = docs.join(gone, same, "left_anti")
+    gone = decided.where("gone")
+    repeated = decided.where(~F.col("gone"))
+    whole = named_texts(docs, key, text, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    left = whole.join(gone, same_text(gone, "key", "name"), "left_anti")
     if repeated.isEmpty():
-        return left
-    once = left.join(repeated, same, "left_semi").dropDuplicates([key, text])
-    return left.join(repeated, same, "left_anti").unionByName(once)
+        return left.select("row.*")
+    ordered = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    once = left.join(repeated, same_text(repeated, "key", "name"), "left_semi").groupBy("own_key", "own_name").agg(
+        F.min_by("row", F.struct(*ordered)).alias("row")
+    )
+    alone = left.join(repeated, same_text(repeated, "key", "name"), "left_anti")
+    return alone.select("row.*").unionByName(once.select("row.*"))

@@ -14,6 +14,7 @@ windows.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,11 +39,23 @@ BATCH_TOKENS = 1 << 20
 
 
 @lru_cache(maxsize=2)
-def byte_pair_encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
-    """The public byte-level vocabulary as ranks; strings of special tokens are ordinary text."""
+def byte_pair_encoding(ranks_path: str, pattern: str, tokenizer_path: str | None = None) -> tiktoken.Encoding:
+    """The public byte-level vocabulary as ranks, with the added tokens of a tokenizer file.
+
+    An added token in a text is one id and cuts the text around it, as the tokenizer file has
+    it; only plain added tokens are known (no stripping, no normalising, not as single words).
+    """
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    added: list[dict] = []
+    if tokenizer_path:
+        with open(tokenizer_path, encoding="utf-8") as lines:
+            added = json.load(lines)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError(f"added tokens of {tokenizer_path} are more than plain strings")
+    return tiktoken.Encoding(
+        "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added}
+    )
 
 
 class RoomTree:
@@ -100,7 +113,8 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def cut_documents(
-    docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str, window: int = WINDOW, with_ids: bool = False
+    docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str, tokenizer_path: str | None = None,
+    window: int = WINDOW, with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: the key, start, length, ids_crc32, doc_tokens and, if asked for, ids.
 
@@ -119,13 +133,13 @@ def cut_documents(
         return pa.RecordBatch.from_arrays(arrays, names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = byte_pair_encoding(ranks_path, pattern)
+        coder = byte_pair_encoding(ranks_path, pattern, tokenizer_path)
         for batch in batches:
             keys, texts = at.column(batch, key), at.column(batch, text)
             out: list[tuple] = []
             tokens = 0
             for row, body in enumerate(texts):
-                ids = np.array([*coder.encode_ordinary(body.as_py() or ""), END_ID], "<u4")
+                ids = np.array([*coder.encode(body.as_py() or "", allowed_special="all"), END_ID], "<u4")
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window]
                     out.append((row, start, len(part), zlib.crc32(part.tobytes()), len(ids), part))
@@ -174,6 +188,7 @@ def pack_documents(
     docs: DataFrame,
     ranks_path: str,
     pattern: str,
+    tokenizer_path: str | None = None,
     key: str = "doc_id",
     text: str = "text",
     window: int = WINDOW,
@@ -182,13 +197,13 @@ def pack_documents(
     """All documents as pieces in sequences of at most ``window`` tokens.
 
     Columns: the key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if
-    asked for, ids. Every id of every document lies in exactly one piece; offsets of a
+    asked for, ids. The added tokens of ``tokenizer_path`` are single ids. Every id of every document lies in exactly one piece; offsets of a
     sequence run on from 0 without gaps; what is left of a window is padding. Sequence ids
     are unique, even for full windows and odd for packed ones, with gaps between tasks.
     Null texts count as empty; null and repeated keys are documents like any other; an empty
     table gives no pieces; extra columns are ignored.
     """
-    pieces = settle(cut_documents(docs, key, text, ranks_path, pattern, window, with_ids), "pieces")
+    pieces = settle(cut_documents(docs, key, text, ranks_path, pattern, tokenizer_path, window, with_ids), "pieces")
     full = pieces.where(F.col("length") == window).select(
         "*", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

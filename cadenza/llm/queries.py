@@ -18,6 +18,7 @@ ORACLES: dict[str, str] = {}
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_PATTERN = public_tokenizers.PATTERN
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 8
 
@@ -67,7 +68,7 @@ FROM placed LEFT JOIN (SELECT * FROM met WHERE n = 1) USING (r)
 
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(given(spark, sf_dir, "documents"), BYTE_RANKS, BYTE_PATTERN)
+    return packing.pack_documents(given(spark, sf_dir, "documents"), BYTE_RANKS, BYTE_PATTERN, BYTE_TOKENIZER)
 
 
 @query

@@ -37,14 +37,14 @@ def rendezvous_shard(keys: list[str], weights: list[float]) -> Column:
 def with_slots(placed: DataFrame, shard: str = "shard", slot: str = "slot") -> DataFrame:
     """Numbers the rows of each shard from 0 without gaps, without one task per shard.
 
-    ``placed`` is settled first; its rows get a number there, blocks inside a shard are
+    Every row gets a number, which is written before anything reads it twice; blocks inside a shard are
     dealt by a hash of that number (no key can be hot), and a block's first slot follows
     from the counts of the blocks before it. The number of blocks per shard is the number
     of shuffle partitions.
     """
     spark = placed.sparkSession
     blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = settle(placed, "placed").withColumn("_row", F.monotonically_increasing_id())
+    rows = settle(placed.withColumn("_row", F.monotonically_increasing_id()), "placed")
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int"))
     counts = rows.groupBy(shard, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(shard).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

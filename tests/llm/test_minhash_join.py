@@ -172,3 +172,15 @@ def test_texts_under_one_key_are_not_multiplied(spark):
     sets = mj.full_sets(docs, "doc_id", "text", 2, wanted)
     joined = sets._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64" in joined and sets.count() == wanted.select("node").distinct().count()
+
+
+def test_any_column_names_and_null_keys(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    names = ["_member", "_wanted", "_text_name", "_key", "key", "name", "node", "own_key", "row", "gone", "body", "wanted"]
+    rows = [(1, words("a")), (2, words("a") + " tail"), (None, words("a")), (None, words("b")), (None, words("b")), (3, words("c")), (3, words("c"))]
+    docs = spark.createDataFrame([(*r, *[9 - i] * len(names)) for i, r in enumerate(rows)], ["doc_id", "text", *names])
+    assert sorted(r["component_id"] for r in mj.near_duplicates(docs).collect() if r["doc_id"] is not None) == [1, 1, 3, 3]
+    kept = mj.keep_one(docs)
+    assert kept.columns == docs.columns
+    left = sorted(((r["doc_id"] or 0, r["text"], r["row"]) for r in kept.collect()))
+    assert left == [(0, words("b"), 5), (1, words("a"), 9), (3, words("c"), 3)]

@@ -10,16 +10,14 @@ import pytest
 from tokenizers import Tokenizer
 
 from cadenza.llm import packing
-from cadenza.llm.queries import BYTE_PATTERN, BYTE_RANKS
+from cadenza.llm.queries import BYTE_PATTERN, BYTE_RANKS, BYTE_TOKENIZER
 
 WINDOW = packing.WINDOW
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(rows, docs, tokenizer):
@@ -51,20 +49,28 @@ def check(rows, docs, tokenizer):
 
 
 def test_documents(documents, tokenizer):
-    rows = packing.pack_documents(documents, BYTE_RANKS, BYTE_PATTERN).collect()
+    rows = packing.pack_documents(documents, BYTE_RANKS, BYTE_PATTERN, BYTE_TOKENIZER).collect()
     used, tokens = check(rows, [(r["doc_id"], r["text"]) for r in documents.collect()], tokenizer)
     assert used * WINDOW <= tokens * 1.02 + WINDOW
 
 
 def test_odd_documents(odd_documents, tokenizer):
-    rows = packing.pack_documents(odd_documents, BYTE_RANKS, BYTE_PATTERN).collect()
+    rows = packing.pack_documents(odd_documents, BYTE_RANKS, BYTE_PATTERN, BYTE_TOKENIZER).collect()
     check(rows, [(r["doc_id"], r["text"]) for r in odd_documents.collect()], tokenizer)
 
 
+def test_added_token_is_one_id(spark, tokenizer):
+    texts = ["hello <|endoftext|> x", "<|endoftext|><|endoftext|>", "a<|endoftext|", " <|endoftext|>\nb", "<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack_documents(docs, BYTE_RANKS, BYTE_PATTERN, BYTE_TOKENIZER, with_ids=True).collect()
+    check(rows, list(enumerate(texts)), tokenizer)
+    assert 50256 in next(r["ids"] for r in rows if r["doc_id"] == 0)
+
+
 def test_ids_and_empty(documents, no_documents):
-    rows = packing.pack_documents(documents.limit(20), BYTE_RANKS, BYTE_PATTERN, with_ids=True).collect()
+    rows = packing.pack_documents(documents.limit(20), BYTE_RANKS, BYTE_PATTERN, BYTE_TOKENIZER, with_ids=True).collect()
     assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and r["length"] == len(r["ids"]) for r in rows)
-    assert packing.pack_documents(no_documents, BYTE_RANKS, BYTE_PATTERN).collect() == []
+    assert packing.pack_documents(no_documents, BYTE_RANKS, BYTE_PATTERN, BYTE_TOKENIZER).collect() == []
 
 
 def plain_best_fit(lengths, window):
