@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import minhash_join, packing, quality_rules, weak_labels
-from cadenza.llm.queries import BYTE_PATTERN, BYTE_RANKS, PIECES
+from cadenza.llm.queries import BYTE_PATTERN, BYTE_RANKS, BYTE_TOKENIZER, PIECES
 from cadenza.llm.tables import given, settle
 
 #: Words of a shingle for near duplicates of the corpus; the similarity is 0.8.
@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents left, in windows of 1024 tokens."""
-    return packing.pack_documents(docs, BYTE_RANKS, BYTE_PATTERN)
+    return packing.pack_documents(docs, BYTE_RANKS, BYTE_PATTERN, BYTE_TOKENIZER)
 
 
 STAGES = [
