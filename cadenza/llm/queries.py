@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import (
-    bag_search, class_lm, longest_match, minhash_join, multi_index, packing, piece_viterbi, quality_rules, sharding,
-    url_filter, vector_codes, weak_labels,
+    bag_search, class_lm, disclosure, longest_match, minhash_join, multi_index, packing, piece_viterbi, quality_rules,
+    sharding, url_filter, vector_codes, weak_labels,
 )
 from cadenza.llm.tables import given
 
@@ -179,3 +179,8 @@ ranked AS (
   FROM scored JOIN filled USING (r) WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN item USING (i) WHERE rank <= 20
 """
+
+
+@query
+def op13_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.report(disclosure.find_personal_data(given(spark, sf_dir, "documents")))

@@ -8,8 +8,8 @@ LAESA pivots spare most of them. Pivots are fixed parts, chosen once among the f
 of a codebook. Each part's distances to them are computed once and written beside it. In a
 round only the entries' distances to the pivots are new; the triangle inequality makes the
 largest difference of the two a lower bound of a part's distance to an entry. Entries are
-evaluated in the order of that bound until it exceeds the best distance found, so no entry
-that could win, or tie with a lower index, is left out.
+evaluated in the order of that bound, first a few with the least, then all others that it does
+not exclude, so no entry that could win, or tie with a lower index, is left out.
 
 Tasks hand on one sum and count per entry they used; what reaches the driver has the size of
 the codebooks. Every round reads the written parts, so a lost executor repeats its tasks only.
@@ -39,10 +39,12 @@ ROUNDS = 4
 PIVOTS = 8
 #: Parts whose bounds are held at once.
 BATCH = 2048
-#: Entries evaluated before the bounds are compared with the best distance again: ends of the waves.
-WAVES = (1, 4, 16, 64)
-#: Greatest share by which rounding may lift a bound or lower a distance.
-SLACK = 1e-12
+#: Entries that every part is compared with first: those with the least bounds.
+HEAD = 8
+#: Share of the entries from which a block is evaluated as a whole.
+DENSE = 0.1
+#: More than the share by which rounding to single precision may lift a bound.
+SLACK = 1e-6
 
 
 def whole_components(column: pa.Array, scale: int = SCALE) -> list[np.ndarray | None]:
@@ -147,14 +149,14 @@ def _tables(batch: pa.RecordBatch, parts: int) -> Iterator[tuple[int, np.ndarray
 
 
 def with_pivot_distances(vectors: DataFrame, books: dict[int, Books], parts: int) -> DataFrame:
-    """Adds ``to_pivots``: the distances of every part to its position's pivots, as doubles one after the other."""
+    """Adds ``to_pivots``: the distances of every part to its position's pivots, in single precision, one after the other."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)  # entries and pivots of each length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = [b""] * batch.num_rows
             for length, rows, cut in _tables(batch, parts):
-                far = [np.sqrt(squared(part, p)) for part, p in zip(cut, shared.value[length].pivots)]
+                far = [np.sqrt(squared(part, p)).astype(np.float32) for part, p in zip(cut, shared.value[length].pivots)]
                 for row, body in zip(rows.tolist(), np.concatenate(far, 1)):
                     out[row] = body.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "to_pivots"])
@@ -163,47 +165,61 @@ def with_pivot_distances(vectors: DataFrame, books: dict[int, Books], parts: int
     return vectors.mapInArrow(run, f"{kinds}, to_pivots binary")
 
 
+def exact_squares(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Exact squared distances; as one matrix product of doubles where all its sums stay below 2 ** 53."""
+    most = max(np.abs(points).max(initial=0), np.abs(others).max(initial=0))
+    if 4 * int(most) ** 2 * max(1, points.shape[1]) >= 1 << 53:
+        return squared(points, others)
+    a, b = points.astype(np.float64), others.astype(np.float64)
+    out = a @ (-2 * b.T)
+    out += np.einsum("ij,ij->i", a, a)[:, None]
+    out += np.einsum("ij,ij->i", b, b)[None, :]
+    return out
+
+
 def nearest_entries(
     points: np.ndarray, to_pivots: np.ndarray, entries: np.ndarray, entry_pivots: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, int]:
-    """(index, squared distance) of each part's nearest entry, ties to the lower index, and the evaluations made.
+    """(index, squared distance) of each part's nearest entry, ties to the lower index, and the evaluations needed.
 
     ``to_pivots`` and ``entry_pivots`` are the distances of parts and entries to the same pivots.
+    The entries with the least bounds are evaluated first; of the others only those whose
+    bound does not exceed the best distance found. Where these are still many, a block is
+    evaluated by one matrix product, which costs less than picking them.
     """
     n, m = len(points), len(entries)
-    index, best = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
-    made = 0
+    index, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    needed = 0
+    head = min(HEAD, m)
+    others = entry_pivots.astype(np.float32)
     for start in range(0, n, BATCH):
         rows = slice(start, min(n, start + BATCH))
-        own = points[rows]
-        bound = np.zeros((len(own), m))
-        for i in range(to_pivots.shape[1]):
-            known, other = to_pivots[rows, i][:, None], entry_pivots[:, i][None, :]
-            np.maximum(bound, np.abs(known - other) - SLACK * (known + other), out=bound)
-        order = np.argsort(bound, axis=1, kind="stable")
-        bound = np.take_along_axis(bound, order, 1)
-        least, place = best[rows], index[rows]
-        ends = [e for e in WAVES if e < m] + [m]
-        active = np.arange(len(own))
-        for low, high in zip([0, *ends[:-1]], ends):
-            # A part whose next bound exceeds its best distance is done: later bounds are no smaller.
-            reach = np.sqrt(least[active].astype(np.float64)) * (1 + SLACK)
-            active = active[bound[active, low] <= reach]
-            if not len(active):
-                break
-            reach = np.sqrt(least[active].astype(np.float64)) * (1 + SLACK)
-            some, column = np.nonzero(bound[active, low:high] <= reach[:, None])
-            asked = order[active[some], low + column]
-            apart = own[active[some]] - entries[asked]
-            far = np.einsum("ij,ij->i", apart, apart)
-            made += len(far)
-            ranked = np.lexsort((asked, far, some))
-            first = ranked[np.concatenate([[True], some[ranked][1:] != some[ranked][:-1]])]
-            to = active[some[first]]
-            wins = (far[first] < least[to]) | ((far[first] == least[to]) & (asked[first] < place[to]))
-            least[to[wins]], place[to[wins]] = far[first][wins], asked[first][wins]
-        best[rows], index[rows] = least, place
-    return index, best, made
+        own, known = points[rows], to_pivots[rows].astype(np.float32)
+        bound = np.zeros((len(own), m), np.float32)
+        apart = np.empty_like(bound)
+        for i in range(known.shape[1]):
+            np.subtract(known[:, i][:, None], others[:, i][None, :], out=apart)
+            np.maximum(bound, np.abs(apart, out=apart), out=bound)
+        slack = SLACK * (known.max(initial=0) + others.max(initial=0))
+        first = np.argpartition(bound, head - 1, axis=1)[:, :head]
+        steps = own[:, None, :] - entries[first]
+        reach = np.sqrt(np.einsum("ijk,ijk->ij", steps, steps).min(1).astype(np.float64)) * (1 + SLACK) + slack
+        open_ = bound <= reach[:, None]
+        count = int(np.count_nonzero(open_))
+        needed += count
+        if count > DENSE * open_.size:
+            far = exact_squares(own, entries)
+            far[~open_] = np.iinfo(np.int64).max if far.dtype == np.int64 else np.inf
+            index[rows] = far.argmin(1)
+            best[rows] = far[np.arange(len(own)), index[rows]]
+        else:
+            some, asked = np.nonzero(open_)  # by row, then by index; every row has its best so far
+            steps = own[some] - entries[asked]
+            far = np.einsum("ij,ij->i", steps, steps)
+            begins = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+            best[rows] = np.minimum.reduceat(far, begins)
+            index[rows] = np.minimum.reduceat(np.where(far == best[rows][some], asked, m), begins)
+    return index, best, needed
 
 
 def _assigned(batch: pa.RecordBatch, books: dict[int, Books], parts: int):
@@ -212,7 +228,7 @@ def _assigned(batch: pa.RecordBatch, books: dict[int, Books], parts: int):
     for length, rows, cut in _tables(batch, parts):
         book = books[length]
         joined = b"".join(known.take(pa.array(rows)).to_pylist())
-        wide = np.frombuffer(joined, np.float64).reshape(len(rows), sum(map(len, book.pivots)))
+        wide = np.frombuffer(joined, np.float32).reshape(len(rows), sum(map(len, book.pivots)))
         indexes, distances, start = [], [], 0
         for part, entries, pivots in zip(cut, book.entries, book.pivots):
             own = wide[:, start : start + len(pivots)]
