@@ -94,18 +94,18 @@ def with_terms(docs: DataFrame, text_col: str, cleaned: bool = True) -> DataFram
 def lyrics_cosine(a: str = "seed.", b: str = "") -> Column:
     """TF-IDF cosine of a pair of term columns, corpus = the pair; 0 without a shared term.
 
-    Shared terms come from a hash intersection inside the row, and only they are looked up;
-    the unshared part follows from the totals.
+    The two maps are merged by hash inside the row, one step a term; the unshared part
+    follows from the totals.
     """
-    mine, other = F.col(f"{a}terms"), F.col(f"{b}terms")
-    shared = F.array_intersect(F.map_keys(mine), F.map_keys(other))
-    counts = F.transform(shared, lambda t: F.struct(F.element_at(mine, t).alias("x"), F.element_at(other, t).alias("y")))
     zero = F.lit(0).cast("bigint")
+    merged = F.map_zip_with(
+        f"{a}terms", f"{b}terms",
+        lambda _, x, y: F.when(x.isNotNull() & y.isNotNull(), F.struct((x * y).alias("d"), (x * x).alias("p"), (y * y).alias("q"))),
+    )
     cosine = F.aggregate(
-        counts, F.struct(zero.alias("d"), zero.alias("p"), zero.alias("q")),
-        lambda acc, v: F.struct(
-            (acc["d"] + v["x"] * v["y"]).alias("d"), (acc["p"] + v["x"] * v["x"]).alias("p"), (acc["q"] + v["y"] * v["y"]).alias("q")
-        ),
+        F.filter(F.map_values(merged), lambda v: v.isNotNull()),
+        F.struct(zero.alias("d"), zero.alias("p"), zero.alias("q")),
+        lambda acc, v: F.struct((acc["d"] + v["d"]).alias("d"), (acc["p"] + v["p"]).alias("p"), (acc["q"] + v["q"]).alias("q")),
         lambda acc: F.when(
             acc["d"] > 0, pair_cosine(acc["d"], acc["p"], F.col(f"{a}terms_sq"), acc["q"], F.col(f"{b}terms_sq"))
         ).otherwise(F.lit(0.0)),
@@ -113,6 +113,29 @@ def lyrics_cosine(a: str = "seed.", b: str = "") -> Column:
     return F.coalesce(cosine, F.lit(0.0))
 
 
+def lyrics_by_terms(catalog: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed_id, song_id, lyrics_raw) of every pair that shares a term, by a join on the term.
+
+    For requests that score by lyrics alone: only the seeds' terms of the catalog meet
+    anything, and the sums of a pair combine before their shuffle.
+    """
+    asked = seeds.select("seed_id", F.col("terms_sq").alias("seed_sq"), F.explode("terms").alias("term", "x"))
+    postings = write_and_read(
+        asked.groupBy("term").agg(F.collect_list(F.struct("seed_id", "seed_sq", "x")).alias("asked")), "seed-postings"
+    )
+    own = catalog.select("song_id", "terms_sq", F.explode("terms").alias("term", "y"))
+    met = own.join(postings, "term").select("song_id", "terms_sq", "y", F.explode("asked").alias("seed"))
+    x, y = F.col("seed.x"), F.col("y")
+    sums = met.groupBy("seed.seed_id", "song_id").agg(
+        F.sum(x * y).alias("d"), F.sum(x * x).alias("p"), F.sum(y * y).alias("q"),
+        F.max("seed.seed_sq").alias("seed_sq"), F.max("terms_sq").alias("terms_sq"),
+    )
+    return sums.select(
+        "seed_id", "song_id",
+        pair_cosine(F.col("d"), F.col("p"), F.col("seed_sq"), F.col("q"), F.col("terms_sq")).alias("lyrics_raw"),
+    )
+
+
 def pair_cosine(dot: Column, s11: Column, t11: Column, s22: Column, t22: Column) -> Column:
     """Two-document TF-IDF cosine from shared and total squared counts."""
     c2 = F.lit(UNSHARED_IDF * UNSHARED_IDF)

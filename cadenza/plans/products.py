@@ -64,12 +64,21 @@ def video_audio_pairs(catalog: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def similar_by_video_audio(catalog: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Audio-only search for video-derived features: no early stop, median-based refinement."""
-    floor = sc.MIN_VIDEO_AUDIO
-    scored = video_audio_pairs(catalog, queries).where(F.col("audio") >= floor * sc.START_FACTOR)
-    scored = scored.withColumns({"combined": F.col("audio"), "lyrics": F.lit(0.0), "sentiment": F.lit(0.0)})
-    ranked = sc.refine_and_rank(scored, ["seed_id"], k, floor, floor, candidate_factor=2, with_std=False, min_kept=k)
-    return similar.result_rows(ranked, catalog)
+    """Audio-only search for video-derived features: no early stop, median-based refinement.
+
+    The refinement keeps scores of at least max(floor, 0.85 median) where there are more than
+    2 k candidates, unless fewer than ``k`` would remain. The k best of so many lie at or above
+    the median, and with fewer than ``k`` above the floor nothing is cut: either way the result
+    is the k best candidates, so no median is computed.
+    """
+    scored = video_audio_pairs(catalog, queries).where(F.col("audio") >= sc.MIN_VIDEO_AUDIO * sc.START_FACTOR)
+    return video_results(sc.top_k(scored, ["seed_id"], [F.desc("audio"), F.asc("song_id")], k), catalog)
+
+
+def video_results(ranked: DataFrame, catalog: DataFrame) -> DataFrame:
+    return similar.result_rows(
+        ranked.withColumns({"combined": F.col("audio"), "lyrics": F.lit(0.0), "sentiment": F.lit(0.0)}), catalog
+    )
 
 
 def mood_seeds(spark: SparkSession, moods: list[str]) -> DataFrame:

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as tx
+from cadenza.operators.cells import CellTable, build_cells
 from cadenza.plans.features import build_features
 from cadenza.session import path_exists, spread, work_path
-from cadenza.sources.tables import songs, spread_table, table
+from cadenza.sources.tables import AUDIO_KEYS, songs, spread_table, table
 
-_BUILT: dict[tuple, str] = {}
+_BUILT: dict[tuple, Any] = {}
 
 # A term belongs to the stand-in lexicon from one token in so many on.
 LEXICON_SHARE = 500
+# Songs of a cell in the workload, whose catalogs are small.
+CELL_SONGS = 50
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +77,15 @@ def song_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def song_cells(spark: SparkSession, sf_dir: str) -> CellTable:
+    """The catalog in cells, written on first use in an application; small cells for a small catalog."""
+    key = (spark.sparkContext.applicationId, "cells", _version(spark, sf_dir, ["documents", "embeddings"]))
+    if key not in _BUILT:
+        catalog = songs(spark, sf_dir).select("song_id", *AUDIO_KEYS)
+        _BUILT[key] = build_cells(catalog, per_cell=CELL_SONGS)
+    return _BUILT[key]
+
+
 def genre_leads(features: DataFrame) -> DataFrame:
     """The alphabetically first song of every genre, as a request's seeds."""
     leads = features.groupBy("playlist_genre").agg(F.min(F.struct("track_name", "song_id")).alias("lead"))

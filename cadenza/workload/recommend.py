@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import audio, text as tx
-from cadenza.operators import aggregates as ag, scoring as sc, spaces as vs
+from cadenza.operators import aggregates as ag, cells as ce, scoring as sc, spaces as vs
 from cadenza.operators.sentiment import lexicon_sentiment
 from cadenza.plans import products as pr, similar
 from cadenza.session import write_and_read
 from cadenza.sources.tables import AUDIO_KEYS, audio_vector, song_view, songs, table
 from cadenza.workload import sqlparts as sp
-from cadenza.workload.inputs import feature_lexicon, genre_leads, song_features
+from cadenza.workload.inputs import feature_lexicon, genre_leads, song_cells, song_features
 from cadenza.workload.registry import query
 from cadenza.workload.similarity import AUDIO_STD, STD_COSINE_SQL, TOP_SQL, audio_space
 
@@ -84,17 +84,25 @@ def d20(spark, sf):
 VIDEO_PAIRS_SQL = f"vp AS (SELECT q.song_id AS seed_id, c.song_id, c.track_name, c.track_artist, round({sp.audio_sim(sp.VIDEO)}, 6) AS audio FROM extn q CROSS JOIN songs c)"
 
 
-@query(
-    "d21_video_audio_search",
-    f"""WITH {sp.SONGS}, {EXT_SQL}, {VIDEO_PAIRS_SQL}, s AS (SELECT *, count(*) OVER (PARTITION BY seed_id) AS n, median(audio) OVER (PARTITION BY seed_id) AS med FROM vp WHERE audio >= 0.096::DOUBLE),
+VIDEO_SEARCH_SQL = f"""WITH {sp.SONGS}, {EXT_SQL}, {VIDEO_PAIRS_SQL}, s AS (SELECT *, count(*) OVER (PARTITION BY seed_id) AS n, median(audio) OVER (PARTITION BY seed_id) AS med FROM vp WHERE audio >= 0.096::DOUBLE),
     f AS (SELECT *, n > 10 AS many, audio >= greatest(0.12::DOUBLE, med * 0.85::DOUBLE) AS good FROM s), g AS (SELECT *, count(*) FILTER (WHERE good) OVER (PARTITION BY seed_id) AS ok FROM f)
     SELECT seed_id, song_id, track_name, track_artist, audio AS combined, audio, 0.0::DOUBLE AS lyrics, 0.0::DOUBLE AS sentiment, rank FROM
-    (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY audio DESC, song_id) AS INTEGER) AS rank FROM g WHERE NOT many OR good OR ok < 5) WHERE rank <= 5""",
-)
+    (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY audio DESC, song_id) AS INTEGER) AS rank FROM g WHERE NOT many OR good OR ok < 5) WHERE rank <= 5"""
+
+
+@query("d21_video_audio_search", VIDEO_SEARCH_SQL)
 def d21(spark, sf):
     return pr.similar_by_video_audio(songs(spark, sf), external_records(spark, sf), k=5)
 
 
+@query("d21_bounded_search", VIDEO_SEARCH_SQL)
+def d21_bounded(spark, sf):
+    found = ce.nearest_by_audio(
+        song_cells(spark, sf), external_records(spark, sf), 5, audio.VIDEO_WEIGHTS, sc.MIN_VIDEO_AUDIO * sc.START_FACTOR, exclude_self=False
+    )
+    return pr.video_results(found.best, songs(spark, sf))
+
+
 MOOD_ROWS = ", ".join(
     f"('{m}', [" + ", ".join(f"{float(p.get(n, 0.0))}::DOUBLE" for n in sp.AUDIO) + "])" for m, p in sp.MOODS.items()
 )

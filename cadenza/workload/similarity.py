@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import arrays, audio as au
-from cadenza.operators import scoring as sc, spaces as vs
+from cadenza.operators import cells as ce, scoring as sc, spaces as vs
 from cadenza.plans import similar
 from cadenza.session import write_and_read
 from cadenza.sources.tables import AUDIO_KEYS, audio_vector, songs, table, texts
 from cadenza.workload import sqlparts as sp
-from cadenza.workload.inputs import genre_leads, song_features
+from cadenza.workload.inputs import genre_leads, song_cells, song_features
 from cadenza.workload.registry import query
 
 PAIRS_SQL = "FROM leads JOIN songs q ON q.song_id = seed_id JOIN songs c ON c.song_id <> q.song_id"
@@ -47,6 +47,13 @@ def d1(spark, sf):
     return top5(scored, "audio")
 
 
+@query("d1_bounded_search", audio_sql(sp.STANDARD))
+def d1_bounded(spark, sf):
+    catalog = songs(spark, sf).select("song_id", "track_name", "playlist_genre", *AUDIO_KEYS)
+    kept = song_cells(spark, sf)
+    return ce.nearest_by_audio(kept, sc.as_seeds(genre_leads(catalog), AUDIO_KEYS), 5).best
+
+
 @query("d2_video_audio_similarity", audio_sql(sp.VIDEO))
 def d2(spark, sf):
     scored = audio_pairs(spark, sf).select("seed.seed_id", "song_id", sc.score_round(sc.audio_score(au.VIDEO_WEIGHTS)).alias("audio"))
@@ -301,11 +308,11 @@ def d15(spark, sf):
     f"WITH {sp.TEXTS}, {sp.TERMS}, {sp.LEADS}, {sp.lyric_legs()}, s AS (SELECT seed_id, song_id, round(lyrics, 6) AS lyrics FROM lyr) {best_sql('s', 'lyrics')}",
 )
 def d16(spark, sf):
-    catalog = sc.with_terms(texts(spark, sf), "lyrics").drop("lyrics")
-    seeds = sc.as_seeds(genre_leads(catalog), ["terms", "terms_sq"])
-    pairs = sc.against_seeds(catalog.select("song_id", "terms", "terms_sq"), seeds, exclude_self=False)
-    scored = pairs.select("seed.seed_id", "song_id", sc.lyrics_cosine().alias("raw")).where(F.col("raw") > 0)
-    return top5(scored.select("seed_id", "song_id", sc.score_round(F.col("raw")).alias("lyrics")), "lyrics", 50)
+    words = texts(spark, sf)
+    # The seeds are chosen by name before any text is cut into terms.
+    seeds = sc.as_seeds(sc.with_terms(genre_leads(words), "lyrics"), ["terms", "terms_sq"])
+    scored = sc.lyrics_by_terms(sc.with_terms(words, "lyrics"), seeds)
+    return top5(scored.select("seed_id", "song_id", sc.score_round(F.col("lyrics_raw")).alias("lyrics")), "lyrics", 50)
 
 
 @query(
