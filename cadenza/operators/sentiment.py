@@ -17,19 +17,20 @@ NEAR_FACTORS = (1.0, 0.95, 0.9)
 # Shares on the edge between two third digits go up, whatever the order of summing.
 TIE = 1e-9
 
-# Degree adverbs.
+# The published degree adverbs, whole and in their order.
 BOOSTERS_UP = [
-    "absolutely", "amazingly", "awfully", "completely", "considerable", "considerably", "decidedly",
-    "deeply", "enormous", "enormously", "entirely", "especially", "exceptional", "exceptionally",
-    "extreme", "extremely", "fabulously", "fully", "greatly", "hella", "highly", "hugely", "incredible",
-    "incredibly", "intensely", "major", "majorly", "more", "most", "particularly", "purely", "quite",
-    "really", "remarkably", "so", "substantially", "thoroughly", "total", "totally", "tremendous",
+    "absolutely", "amazingly", "awfully", "completely", "considerable", "considerably", "decidedly", "deeply",
+    "effing", "enormous", "enormously", "entirely", "especially", "exceptional", "exceptionally", "extreme",
+    "extremely", "fabulously", "flipping", "flippin", "frackin", "fracking", "fricking", "frickin", "frigging",
+    "friggin", "fully", "fuckin", "fucking", "fuggin", "fugging", "greatly", "hella", "highly", "hugely",
+    "incredible", "incredibly", "intensely", "major", "majorly", "more", "most", "particularly", "purely",
+    "quite", "really", "remarkably", "so", "substantially", "thoroughly", "total", "totally", "tremendous",
     "tremendously", "uber", "unbelievably", "unusually", "utter", "utterly", "very",
 ]
 BOOSTERS_DOWN = [
-    "almost", "barely", "hardly", "kinda", "kindof", "kind-of", "less", "little", "marginal",
-    "marginally", "occasional", "occasionally", "partly", "scarce", "scarcely", "slight", "slightly",
-    "somewhat", "sorta", "sortof", "sort-of",
+    "almost", "barely", "hardly", "kinda", "kindof", "kind-of", "less", "little", "marginal", "marginally",
+    "occasional", "occasionally", "partly", "scarce", "scarcely", "slight", "slightly", "somewhat", "sorta",
+    "sortof", "sort-of",
 ]
 
 # Two-word degree adverbs, all of which weaken.

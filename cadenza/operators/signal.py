@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.functions.arrays import bind
 from cadenza.functions.audio import normalise_ranges
 from cadenza.functions.coerce import epoch_micros
 
@@ -86,39 +87,104 @@ def frame_levels(samples: DataFrame, frame: int = FRAME, hop: int = HOP) -> Data
     )
 
 
+def fft(values: Column, n: int) -> Column:
+    """The discrete Fourier transform of an array of ``n`` doubles, a power of two: ARRAY<STRUCT<re, im>>.
+
+    Radix-2 butterflies inside the row: the values in bit-reversed order, then log2(n) steps
+    that each combine pairs ``half`` apart.
+    """
+    bits = n.bit_length() - 1
+    if n != 1 << bits:
+        raise ValueError(f"{n} is not a power of two")
+    order = _reversed_bits(n, bits)
+    numbers = F.sequence(F.lit(0), F.lit(n - 1))
+    state = bind(values, lambda v: F.transform(order, lambda i: F.struct(F.get(v, i).alias("re"), F.lit(0.0).alias("im"))))
+    for step in range(bits):
+        state = _combined(state, numbers, 1 << step)
+    return state
+
+
+def _combined(state: Column, numbers: Column, half: int) -> Column:
+    return bind(state, lambda x: F.transform(numbers, lambda i: _butterfly(x, i, half)))
+
+
+def _reversed_bits(n: int, bits: int) -> Column:
+    """0..n-1 with their bits in reverse order, as an expression of fixed size."""
+
+    def reverse(i: Column) -> Column:
+        return sum((F.shiftright(i, b).bitwiseAND(1) * (1 << (bits - 1 - b)) for b in range(bits)), F.lit(0))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), reverse)
+
+
+def _butterfly(x: Column, i: Column, half: int) -> Column:
+    place = i % half
+    upper = i % (2 * half) < half
+    a, b = F.get(x, F.when(upper, i).otherwise(i - half)), F.get(x, F.when(upper, i + half).otherwise(i))
+    turn = place * (-math.pi / half)
+    re = b["re"] * F.cos(turn) - b["im"] * F.sin(turn)
+    im = b["re"] * F.sin(turn) + b["im"] * F.cos(turn)
+    sign = F.when(upper, 1.0).otherwise(-1.0)
+    return F.struct((a["re"] + sign * re).alias("re"), (a["im"] + sign * im).alias("im"))
+
+
+def frame_arrays(samples: DataFrame, frame: int = FRAME, hop: int = HOP) -> DataFrame:
+    """(series, frame, values): the ``frame`` samples of every frame in order, 0.0 where none is.
+
+    A frame's samples are the only ones that come together.
+    """
+    rows = framed(samples, frame, hop).groupBy("series", "frame").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("held"))
+    first, last = F.element_at("held", 1)["at"], F.element_at("held", -1)["at"]
+    nothing = F.lit(0.0)
+    whole = F.concat(
+        F.array_repeat(nothing, first.cast("int")), F.transform("held", lambda h: h["value"].cast("double")),
+        F.array_repeat(nothing, (frame - 1 - last).cast("int")),
+    )
+    # Positions normally run without gaps; otherwise each sample is looked up.
+    by_place = bind(
+        F.map_from_entries(F.transform("held", lambda h: F.struct(h["at"].cast("int"), h["value"].cast("double")))),
+        lambda m: F.transform(F.sequence(F.lit(0), F.lit(frame - 1)), lambda i: F.coalesce(F.element_at(m, i), nothing)),
+    )
+    gapless = last - first + 1 == F.size("held")
+    return rows.select("series", "frame", F.when(gapless, whole).otherwise(by_place).alias("values"))
+
+
 def spectral_frames(samples: DataFrame, sample_rate: float, frame: int = FRAME, hop: int = HOP) -> DataFrame:
-    """Centroid, bandwidth, roll-off and flatness per frame, from a Hann window and the Fourier sums.
+    """Centroid, bandwidth, roll-off and flatness per frame, from a Hann window and a Fourier transform in the row.
 
-    A sample adds its part to every frequency of its frames, and the sums combine before
-    their shuffle; so no frame is gathered, and a long series spreads like many short ones.
+    ``frame`` is a power of two. A series is spread over its frames, however long it is.
     """
     turn = 2 * math.pi / frame
-    window = 0.5 - 0.5 * F.cos(turn * F.col("at"))
-    rows = framed(samples, frame, hop).select("series", "frame", "at", (F.col("value") * window).alias("v"))
-    bins = rows.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(frame // 2))))
-    angle = F.col("bin") * F.col("at") % frame * turn
-    sums = bins.groupBy("series", "frame", "bin").agg(
-        F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im")
-    )
-    power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
-    sized = sums.select(
-        "series", "frame", (F.col("bin") * sample_rate / frame).alias("hz"), F.sqrt(power).alias("size"),
-        F.greatest(F.lit(TINY), power).alias("power"),
+    hann = F.transform("values", lambda v, i: v * (0.5 - 0.5 * F.cos(turn * i)))
+    spectrum = F.slice(fft(hann, frame), 1, frame // 2 + 1)
+    powers = F.transform(spectrum, lambda z: z["re"] * z["re"] + z["im"] * z["im"])
+    sized = frame_arrays(samples, frame, hop).select("series", "frame", powers.alias("powers"))
+    step = sample_rate / frame
+    zero = F.lit(0.0)
+
+    def total(part) -> Column:
+        """The sum of ``part(size, hz)`` over all bins."""
+        return F.aggregate(F.transform("sizes", lambda s, i: part(s, i * F.lit(step))), zero, lambda acc, v: acc + v)
+
+    summed = sized.withColumn("sizes", F.transform("powers", F.sqrt)).select(
+        "*", total(lambda s, hz: s).alias("total"), total(lambda s, hz: s * hz).alias("weighted")
     )
-    # A frame has frame / 2 + 1 frequencies.
-    whole = W.partitionBy("series", "frame")
-    total = F.sum("size").over(whole)
-    up_to = F.sum("size").over(whole.orderBy("hz").rowsBetween(W.unboundedPreceding, 0))
-    marked = sized.select(
-        "*", total.alias("total"), up_to.alias("up_to"),
-        F.when(total > 0, F.sum(F.col("hz") * F.col("size")).over(whole) / total).otherwise(F.lit(0.0)).alias("centre"),
+    centred = summed.withColumn("centroid", F.when(F.col("total") > 0, F.col("weighted") / F.col("total")).otherwise(zero))
+    off = lambda hz: hz - F.col("centroid")
+    spread = F.when(F.col("total") > 0, total(lambda s, hz: off(hz) * off(hz) * s / F.col("total"))).otherwise(zero)
+    reached = F.aggregate(
+        "sizes", F.struct(zero.alias("up_to"), F.lit(0).alias("bins")),
+        lambda acc, s: F.struct(
+            (acc["up_to"] + s).alias("up_to"),
+            (acc["bins"] + F.when(acc["up_to"] + s < ROLL_OFF * F.col("total"), 1).otherwise(0)).alias("bins"),
+        ),
+        lambda acc: acc["bins"] * F.lit(step),
     )
-    off = F.col("hz") - F.col("centre")
-    return marked.groupBy("series", "frame").agg(
-        F.max("centre").alias("centroid"),
-        F.sqrt(F.sum(F.when(F.col("total") > 0, off * off * F.col("size") / F.col("total")).otherwise(0.0))).alias("bandwidth"),
-        F.min(F.when(F.col("up_to") >= ROLL_OFF * F.col("total"), F.col("hz"))).alias("rolloff"),
-        (F.exp(F.avg(F.ln("power"))) / F.avg("power")).alias("flatness"),
+    floored = F.transform("powers", lambda p: F.greatest(F.lit(TINY), p))
+    mean = lambda values: F.aggregate(values, zero, lambda acc, v: acc + v) / F.lit(frame // 2 + 1)
+    return centred.select(
+        "series", "frame", "centroid", F.sqrt(spread).alias("bandwidth"), reached.alias("rolloff"),
+        (F.exp(mean(F.transform(floored, F.ln))) / mean(floored)).alias("flatness"),
     )
 
 

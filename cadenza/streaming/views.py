@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cadenza.operators.scoring import top_k
-from cadenza.session import path_exists, work_path
+from cadenza.session import path_exists, work_path, write_and_read
 from cadenza.sources import catalog as cat
-from cadenza.sources.sinks import append_new
+from cadenza.sources.sinks import first_per_key
 from cadenza.streaming.runs import run_batches
 
 # Cache lifetimes and retention ages; storage ceiling in megabytes.
@@ -99,26 +99,46 @@ def current_view(changes: DataFrame, as_of_micros: Column, days: int = URL_DAYS)
     return newest.where(F.col("url").isNotNull() & fresh)
 
 
-def ingest(stream: DataFrame, target_path: str, order: str, text_columns: list[str], key: list[str]) -> None:
+#: Hash buckets of the ingested keys; a batch reads those that its own keys fall into.
+KEY_BUCKETS = 256
+
+
+def ingest(
+    stream: DataFrame, target_path: str, order: str, text_columns: list[str], key: list[str], buckets: int = KEY_BUCKETS
+) -> None:
     """Clean arriving rows and append the new ones; each batch owns a folder it may rewrite.
 
-    Rewriting the batch's own folder makes a repeated batch harmless.
+    Beside the rows, a batch writes 128-bit names of its new keys by hash bucket. A later batch
+    meets only the buckets of its own keys, and names instead of rows, so its work follows its
+    own size. Rewriting the batch's own folders makes a repeated batch harmless.
     """
     spark = stream.sparkSession
-    schema = stream.schema
+    names = "high BIGINT, low BIGINT, batch INT, bucket INT"
 
     def handle(batch: DataFrame, number: int) -> None:
         clean = cat.trim_text(cat.drop_empty_fill_unknown(batch, text_columns), text_columns)
-        # Earlier batches only, by partition: a repeated batch must not see its own first try.
-        target = clean.limit(0)
-        if path_exists(spark, target_path):
-            stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())]))
-            target = stored.parquet(target_path).where(F.col("batch") < number)
-        append_new(target, clean, order, key).write.mode("overwrite").parquet(f"{target_path}/batch={number}")
+        marked = [c for k in key for c in (F.col(k).isNull(), F.col(k))]
+        named = clean.withColumns({"_high": F.xxhash64(*marked), "_low": F.xxhash64(F.lit("low"), *marked)})
+        asked = write_and_read(first_per_key(named, key, order).withColumn("_bucket", F.pmod("_high", F.lit(buckets)).cast("int")), "arrived")
+        numbers = [r[0] for r in asked.select("_bucket").distinct().collect()]  # at most all buckets
+        if path_exists(spark, f"{target_path}/keys"):
+            # Earlier batches only, by partition: a repeated batch must not see its own first try.
+            stored = spark.read.schema(names).parquet(f"{target_path}/keys")
+            known = stored.where((F.col("batch") < number) & F.col("bucket").isin(numbers or [-1]))
+            same = (F.col("_high") == F.col("high")) & (F.col("_low") == F.col("low"))
+            asked = write_and_read(asked.join(known, same, "left_anti"), "new-rows")
+        asked.drop("_high", "_low", "_bucket").write.mode("overwrite").parquet(f"{target_path}/rows/batch={number}")
+        kept = asked.select(F.col("_high").alias("high"), F.col("_low").alias("low"), F.col("_bucket").alias("bucket"))
+        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{target_path}/keys/batch={number}")
 
     run_batches(stream, "ingest", handle)
 
 
+def ingested(spark: SparkSession, target_path: str, schema: T.StructType) -> DataFrame:
+    """All rows that :func:`ingest` has taken in."""
+    return spark.read.schema(schema).parquet(f"{target_path}/rows").drop("batch")
+
+
 def retention_plan(
     songs: DataFrame, recommendations: DataFrame, as_of: Column, storage_mb: Column | float,
     ceiling_mb: float = STORAGE_CEILING_MB,

@@ -12,9 +12,16 @@ FRAME, HOP, RATE = 16, 4, 64.0
 
 SAMPLES_SQL = """samples AS (SELECT user_id AS series, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
   value - avg(value) OVER (PARTITION BY user_id) AS value, count(*) OVER (PARTITION BY user_id) AS n FROM events)"""
+
+
+def frames_sql(hop):
+    """All frame numbers of the longest series."""
+    return f"(SELECT unnest(range(CAST((SELECT max(n) // {hop} + 1 FROM samples) AS BIGINT))) AS frame)"
+
+
 FRAMED_SQL = f"""crossed AS (SELECT *, CASE WHEN pos > 0 AND (CASE WHEN abs(value) <= 1e-10 THEN 0 ELSE value END < 0) <> (CASE WHEN abs(lag(value) OVER w) <= 1e-10 THEN 0 ELSE lag(value) OVER w END < 0) THEN 1 ELSE 0 END AS crossing
   FROM samples WINDOW w AS (PARTITION BY series ORDER BY pos)),
-framed AS (SELECT series, frame, pos, value, crossing, n FROM crossed JOIN (SELECT unnest(range(10000)) AS frame) ON frame <= n // {HOP} AND pos >= frame * {HOP} - {FRAME // 2} AND pos < frame * {HOP} + {FRAME // 2}),
+framed AS (SELECT series, frame, pos, value, crossing, n FROM crossed JOIN {frames_sql(HOP)} ON frame <= n // {HOP} AND pos >= frame * {HOP} - {FRAME // 2} AND pos < frame * {HOP} + {FRAME // 2}),
 levels AS (SELECT series, frame, sqrt(sum(value * value) / {FRAME}) AS rms, sum(CASE WHEN pos > frame * {HOP} - {FRAME // 2} THEN crossing ELSE 0 END) / {FRAME}::DOUBLE AS zcr, max(n) AS n FROM framed GROUP BY series, frame)"""
 
 
@@ -33,9 +40,9 @@ def j4(spark, sf):
 
 @query(
     "j5_spectral_frames",
-    f"""WITH {SAMPLES_SQL}, fr AS (SELECT series, frame, pos - (frame * 8 - 16) AS k, value FROM samples JOIN (SELECT unnest(range(10000)) AS frame) ON frame <= n // 8 AND pos >= frame * 8 - 16 AND pos < frame * 8 + 16),
-    b AS (SELECT series, frame, bin, value * (0.5::DOUBLE - 0.5::DOUBLE * cos(pi() / 16 * k)) AS v, pi() / 16 * ((bin * k) % 32) AS angle FROM fr, (SELECT unnest(range(17)) AS bin)),
-    s AS (SELECT series, frame, bin * 2.0::DOUBLE AS hz, sum(v * cos(angle)) AS re, sum(v * sin(angle)) AS im FROM b GROUP BY series, frame, bin),
+    f"""WITH {SAMPLES_SQL}, fr AS (SELECT series, frame, pos - (frame * 16 - 32) AS k, value FROM samples JOIN {frames_sql(16)} ON frame <= n // 16 AND pos >= frame * 16 - 32 AND pos < frame * 16 + 32),
+    b AS (SELECT series, frame, bin, value * (0.5::DOUBLE - 0.5::DOUBLE * cos(pi() / 32 * k)) AS v, pi() / 32 * ((bin * k) % 64) AS angle FROM fr, (SELECT unnest(range(33)) AS bin)),
+    s AS (SELECT series, frame, bin * 1.0::DOUBLE AS hz, sum(v * cos(angle)) AS re, sum(v * sin(angle)) AS im FROM b GROUP BY series, frame, bin),
     z AS (SELECT series, frame, hz, sqrt(re * re + im * im) AS size, greatest(1e-10::DOUBLE, re * re + im * im) AS power FROM s),
     t AS (SELECT *, sum(size) OVER w AS total, sum(size) OVER (w ORDER BY hz ROWS UNBOUNDED PRECEDING) AS up_to, CASE WHEN sum(size) OVER w > 0 THEN sum(hz * size) OVER w / sum(size) OVER w ELSE 0 END AS centre
       FROM z WINDOW w AS (PARTITION BY series, frame))
@@ -43,7 +50,7 @@ def j4(spark, sf):
     min(CASE WHEN up_to >= 0.85::DOUBLE * total THEN hz END) AS rolloff, round(exp(avg(ln(power))) / avg(power), 6) AS flatness FROM t GROUP BY series, frame""",
 )
 def j5(spark, sf):
-    made = sg.spectral_frames(samples(spark, sf), RATE, 32, 8)
+    made = sg.spectral_frames(samples(spark, sf), RATE, 64, 16)
     return made.select(
         "series", "frame", F.round("centroid", 4).alias("centroid"), F.round("bandwidth", 4).alias("bandwidth"), "rolloff",
         F.round("flatness", 6).alias("flatness"),
@@ -75,7 +82,7 @@ def j6(spark, sf):
 
 @query(
     "j7_silence_trim",
-    f"""WITH {SAMPLES_SQL}, framed AS (SELECT series, frame, value, n FROM samples JOIN (SELECT unnest(range(10000)) AS frame) ON frame <= n // 2 AND pos >= frame * 2 - 2 AND pos < frame * 2 + 2),
+    f"""WITH {SAMPLES_SQL}, framed AS (SELECT series, frame, value, n FROM samples JOIN {frames_sql(2)} ON frame <= n // 2 AND pos >= frame * 2 - 2 AND pos < frame * 2 + 2),
     p AS (SELECT series, frame, sum(value * value) / 4 AS power, max(n) AS n FROM framed GROUP BY series, frame), k AS (SELECT *, max(power) OVER (PARTITION BY series) AS peak FROM p),
     r AS (SELECT series, min(frame) * 2 AS lo, least(max(n), (max(frame) + 1) * 2) AS hi FROM k WHERE 10 * log10(greatest(power, 1e-10)) - 10 * log10(greatest(peak, 1e-10)) > -3 GROUP BY series)
     SELECT series, pos, round(value, 6) AS value FROM samples JOIN r USING (series) WHERE pos >= lo AND pos < hi""",

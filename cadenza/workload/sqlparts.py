@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-# Fixed values of the published sentiment rules, in dictionary order.
-UP_WORDS = """absolutely amazingly awfully completely considerable considerably decidedly deeply enormous enormously
-entirely especially exceptional exceptionally extreme extremely fabulously fully greatly hella highly hugely
-incredible incredibly intensely major majorly more most particularly purely quite really remarkably so substantially
-thoroughly total totally tremendous tremendously uber unbelievably unusually utter utterly very""".split()
-DOWN_WORDS = """almost barely hardly kind-of kinda kindof less little marginal marginally occasional occasionally
-partly scarce scarcely slight slightly somewhat sort-of sorta sortof""".split()
-NEGATING = """ain't aint aren't arent can't cannot cant couldn't couldnt daren't darent despite didn't didnt doesn't
-doesnt don't dont hadn't hadnt hasn't hasnt haven't havent isn't isnt mightn't mightnt mustn't mustnt needn't neednt
-neither never none nope nor not nothing nowhere oughtn't oughtnt rarely seldom shan't shant shouldn't shouldnt uh-uh
-uhuh wasn't wasnt weren't werent without won't wont wouldn't wouldnt""".split()
+# Fixed values of the published sentiment rules, whole and in their order.
+UP_WORDS = [
+    "absolutely", "amazingly", "awfully", "completely", "considerable", "considerably", "decidedly", "deeply",
+    "effing", "enormous", "enormously", "entirely", "especially", "exceptional", "exceptionally", "extreme",
+    "extremely", "fabulously", "flipping", "flippin", "frackin", "fracking", "fricking", "frickin", "frigging",
+    "friggin", "fully", "fuckin", "fucking", "fuggin", "fugging", "greatly", "hella", "highly", "hugely",
+    "incredible", "incredibly", "intensely", "major", "majorly", "more", "most", "particularly", "purely",
+    "quite", "really", "remarkably", "so", "substantially", "thoroughly", "total", "totally", "tremendous",
+    "tremendously", "uber", "unbelievably", "unusually", "utter", "utterly", "very",
+]
+DOWN_WORDS = [
+    "almost", "barely", "hardly", "kinda", "kindof", "kind-of", "less", "little", "marginal", "marginally",
+    "occasional", "occasionally", "partly", "scarce", "scarcely", "slight", "slightly", "somewhat", "sorta",
+    "sortof", "sort-of",
+]
+NEGATING = [
+    "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "ain't", "aren't",
+    "can't", "couldn't", "daren't", "didn't", "doesn't", "dont", "hadnt", "hasnt", "havent", "isnt",
+    "mightnt", "mustnt", "neither", "don't", "hadn't", "hasn't", "haven't", "isn't", "mightn't",
+    "mustn't", "neednt", "needn't", "never", "none", "nope", "nor", "not", "nothing", "nowhere",
+    "oughtnt", "shant", "shouldnt", "uhuh", "wasnt", "werent", "oughtn't", "shan't", "shouldn't",
+    "uh-uh", "wasn't", "weren't", "without", "wont", "wouldnt", "won't", "wouldn't", "rarely",
+    "seldom", "despite",
+]
 
 AUDIO = [
     "danceability", "energy", "key", "loudness", "mode", "speechiness",

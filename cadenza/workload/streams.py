@@ -32,9 +32,13 @@ def t1(spark, sf):
     return quota.fixed_window_quota(table(spark, sf, "events"), "event_type", "ts", "event_id", 60, DAY)
 
 
+def table_stream(spark, sf, name, files_per_trigger=100):
+    # A table is a file or a folder of parts; a pattern may name either, a plain path only a folder.
+    return runs.read_files(spark, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema, files_per_trigger=files_per_trigger)
+
+
 def event_stream(spark, sf, files_per_trigger=100):
-    # The table is a file or a folder of parts; a pattern may name either, a plain path only a folder.
-    return runs.read_files(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema, files_per_trigger=files_per_trigger)
+    return table_stream(spark, sf, "events", files_per_trigger)
 
 
 def published_counts(counts, label, key):
@@ -125,10 +129,9 @@ def t3_stream(spark, sf):
     (SELECT doc_id, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+\z', '', 'g') AS text, lang, source, n_chars FROM documents)) WHERE n = 1""",
 )
 def t4(spark, sf):
-    schema = table(spark, sf, "documents").schema
     target = work_path(spark, "ingested")
-    views.ingest(runs.read_files(spark, sf, schema, "documents.parquet"), target, "doc_id", ["text", "lang", "source"], ["text", "source"])
-    return spark.read.option("basePath", target).parquet(target).drop("batch")
+    views.ingest(table_stream(spark, sf, "documents"), target, "doc_id", ["text", "lang", "source"], ["text", "source"])
+    return views.ingested(spark, target, table(spark, sf, "documents").schema)
 
 
 @query(

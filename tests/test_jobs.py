@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from cadenza.operators import models, pages as pg, signal as sg
 from cadenza.session import path_exists, work_path
 from cadenza.sources import catalog as cat
 from cadenza.streaming import quota, runs, views
+from cadenza.workload import streams
 
 
 def sine(spark, seconds=0.5, rate=22_050, hz=440.0):
@@ -51,6 +53,33 @@ def test_spectrum_of_a_sine(spark):
     assert inner and all(abs(r.centroid - 440) < 25 and r.flatness < 0.01 and r.rolloff < 500 for r in inner)
 
 
+@pytest.mark.parametrize("frame,hop,n", [(8, 2, 21), (64, 16, 300), (2048, 512, 3000), (4, 4, 1)])
+def test_spectrum_equals_a_plain_transform(spark, frame, hop, n):
+    rng = np.random.default_rng(frame)
+    wave = rng.normal(size=n)
+    df = spark.createDataFrame([(1, i, float(v), n) for i, v in enumerate(wave)], "series INT, pos BIGINT, value DOUBLE, n BIGINT")
+    # Without some of the samples, frames have holes, which count as 0.
+    for keep in (np.ones(n, bool), rng.random(n) < 0.8 if n < 500 else np.ones(n, bool)):
+        kept = df.where(F.col("pos").isin(np.flatnonzero(keep).tolist())) if not keep.all() else df
+        got = {r.frame: (r.centroid, r.bandwidth, r.rolloff, r.flatness) for r in sg.spectral_frames(kept, 1000.0, frame, hop).collect()}
+        padded = np.concatenate([np.zeros(frame), np.where(keep, wave, 0), np.zeros(frame)])
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / frame)
+        for f, values in got.items():
+            start = f * hop - frame // 2 + frame
+            power = np.abs(np.fft.rfft(padded[start : start + frame] * hann)) ** 2
+            size, hz = np.sqrt(power), np.arange(frame // 2 + 1) * 1000.0 / frame
+            total = size.sum()
+            centre = (hz * size).sum() / total if total > 0 else 0.0
+            wide = math.sqrt((((hz - centre) ** 2) * size).sum() / total) if total > 0 else 0.0
+            floored = np.maximum(power, 1e-10)
+            rolloff = hz[np.flatnonzero(np.cumsum(size) >= 0.85 * total - 1e-12)[0]]
+            assert values == (
+                pytest.approx(centre, abs=1e-6), pytest.approx(wide, abs=1e-6), pytest.approx(rolloff),
+                pytest.approx(np.exp(np.log(floored).mean()) / floored.mean(), rel=1e-6, abs=1e-9),
+            ), f
+        assert got
+
+
 def test_positions_of_a_hot_series(spark):
     rng = random.Random(6)
     start = dt.datetime(2024, 1, 1)
@@ -188,8 +217,22 @@ def test_ingest_dedupes_across_batches(spark):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
     stream = runs.read_files(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
     views.ingest(stream, target, "nr", ["track_name", "track_artist"], ["track_name", "track_artist"])
-    got = {(r.track_name, r.track_artist) for r in spark.read.parquet(target).collect()}
-    assert got == {("A", "x"), ("Unknown", "y"), ("B", "x")} and spark.read.parquet(target).count() == 3
+    kept = views.ingested(spark, target, spark.read.parquet(path).schema)
+    assert {(r.track_name, r.track_artist) for r in kept.collect()} == {("A", "x"), ("Unknown", "y"), ("B", "x")} and kept.count() == 3
+
+
+def test_ingest_takes_a_folder_of_parts_and_meets_only_its_buckets(spark, sf, monkeypatch):
+    folder = work_path(spark, "parts")
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(5, "doc_id").write.parquet(f"{folder}/documents.parquet")
+    whole = streams.table_stream
+    monkeypatch.setattr(streams, "table_stream", lambda spark, sf, name: whole(spark, sf, name, files_per_trigger=1))
+    read = []
+    path_exists = views.path_exists
+    monkeypatch.setattr(views, "path_exists", lambda spark, path: read.append(path) or path_exists(spark, path))
+    got, want = (streams.t4(spark, f).select("text", "source").distinct().count() for f in (folder, sf))
+    assert got == want > 0 and streams.t4(spark, folder).count() == want
+    # Earlier rows are known by their names alone.
+    assert read and all(p.endswith("/keys") for p in read)
 
 
 def test_fixed_window_quota_of_one_hot_client(spark):
