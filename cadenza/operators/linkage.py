@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as tx
+from cadenza.operators.gram_index import containing_texts
 from cadenza.operators.scoring import lyrics_cosine, top_k
 from cadenza.session import write_and_read
 
@@ -24,20 +25,15 @@ DUPLICATE_AT = 0.8
 def containment_join(catalog: DataFrame, requests: DataFrame, column: str, wanted: str) -> DataFrame:
     """Rows whose ``column`` contains a request's ``wanted`` text, ignoring case.
 
-    A text contains x exactly if x equals one of its substrings of x's length. The distinct
-    texts offer their distinct substrings of the lengths asked for and meet the distinct
-    wanted texts in an equi-join; rows and requests then join the few texts that met.
+    The distinct texts offer each of their grams once; a wanted text is posted under its
+    rarest gram alone, and ``contains`` confirms what meets there. Rows and requests then
+    join the few texts that met.
     """
     asked = requests.withColumn("_part", F.lower(wanted))
     named = catalog.withColumn("_whole", F.lower(column))
-    parts = asked.select("_part").distinct()
-    lengths = parts.agg(F.sort_array(F.collect_set(F.length("_part"))).alias("l")).scalar()
-    whole = named.select("_whole").distinct().withColumn("_len", F.explode(lengths)).where(F.col("_len") <= F.length("_whole"))
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.length("_whole") - F.col("_len") + 1), lambda i: F.col("_whole").substr(i, F.col("_len"))
-    )
-    offered = whole.select("_whole", F.explode(F.array_distinct(pieces)).alias("_part"))
-    met = write_and_read(offered.join(parts, "_part"), "contained")
+    wholes = named.select(F.col("_whole").alias("value")).where(F.col("value").isNotNull()).distinct()
+    parts = asked.select(F.col("_part").alias("wanted")).where(F.col("wanted").isNotNull()).distinct()
+    met = write_and_read(containing_texts(wholes, parts), "contained").withColumnsRenamed({"wanted": "_part", "value": "_whole"})
     return named.join(met, "_whole").join(asked, "_part").drop("_whole", "_part")
 
 

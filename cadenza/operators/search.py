@@ -54,7 +54,7 @@ def filtered(
     return catalog
 
 
-def _relevance(similarity: Column, steps: tuple[tuple[float, float], ...]) -> Column:
+def relevance_steps(similarity: Column, steps: tuple[tuple[float, float], ...]) -> Column:
     (high, top), (mid, second) = steps
     return F.when(similarity >= high, F.lit(top)).when(similarity >= mid, F.lit(second)).otherwise(similarity)
 
@@ -102,8 +102,8 @@ def fuzzy_search(
         | (F.col("artist_sim") >= FUZZY_FLOOR)
         | (F.col(genre_col) == F.col("q.genre"))
     )
-    relevance = F.when(F.col("q.title").isNotNull(), _relevance(F.col("title_sim"), TITLE_STEPS)).otherwise(
-        _relevance(F.col("artist_sim"), ARTIST_STEPS)
+    relevance = F.when(F.col("q.title").isNotNull(), relevance_steps(F.col("title_sim"), TITLE_STEPS)).otherwise(
+        relevance_steps(F.col("artist_sim"), ARTIST_STEPS)
     )
     return matches.select(F.col("q.request").alias("request"), *catalog.columns, relevance.alias("relevance"))
 

@@ -39,17 +39,20 @@ def similar_to_external(
     queries use their own feature weights and a lower audio floor. A catalog song without
     stored sentiment scores 0 there.
     """
-    pairs = sc.audio_pairs(catalog, queries, exclude_self=False)
+    numbers = [*audio.STANDARD_WEIGHTS, *similar.MOOD]
+    pairs = sc.audio_pairs(
+        catalog.select("song_id", *numbers), queries.select("seed_id", *numbers, "video", "worded"), exclude_self=False
+    )
     video, worded = F.col("seed.video"), F.col("seed.worded")
     audio_leg = F.when(video, sc.audio_score(audio.VIDEO_WEIGHTS)).otherwise(sc.audio_score())
     stored = F.col("compound").isNotNull()
     mood = F.when(worded & stored, similar.sentiment_cosine())
     low = F.when(video, F.lit(sc.MIN_VIDEO_AUDIO)).otherwise(F.lit(sc.MIN_AUDIO))
     scored = pairs.select(
-        "seed.seed_id", "song_id", "terms", "terms_sq", "seed", worded.alias("worded"), low.alias("audio_floor"),
+        "seed.seed_id", "song_id", worded.alias("worded"), low.alias("audio_floor"),
         audio_leg.alias("audio_raw"), F.coalesce(mood, F.lit(0.0)).alias("sentiment_raw"),
     ).where(sc.score_round(F.col("audio_raw")) >= sc.START_FACTOR * F.col("audio_floor"))
-    scored = scored.withColumn("lyrics_raw", sc.lyrics_cosine()).drop("terms", "terms_sq", "seed")
+    scored = similar.with_lyrics(scored, catalog, queries)
     kept = similar.combine_legs(scored, weights, (~F.col("worded"), F.col("audio_raw"))).where(
         F.col("combined") >= sc.START_FACTOR * sc.MIN_COMBINED
     )

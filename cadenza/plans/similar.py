@@ -40,15 +40,15 @@ def score_pairs(
 ) -> DataFrame:
     """All (seed, song) pairs that pass the floors, with their leg scores.
 
-    All legs are scored inside the row that a catalog song and a seed make, the cheap audio
-    floor first; nothing is shuffled. Pairs are ids and scores only (plus ``carry``): names
-    are looked up after the top-k.
+    Audio and sentiment are scored inside the row that a catalog song and a seed make. The
+    lyrics leg is a join on the seeds' terms, whose sums meet the pairs that passed the audio
+    floor. Pairs are ids and scores only (plus ``carry``): names are looked up after the top-k.
     """
-    pairs = sc.audio_pairs(catalog, seeds, exclude_self)
+    numbers = [*audio.STANDARD_WEIGHTS, *MOOD]
+    pairs = sc.audio_pairs(catalog.select("song_id", *numbers, *carry), seeds.select("seed_id", *numbers), exclude_self)
     mood = sentiment_cosine()
-    words = ["terms", "terms_sq", "seed"] if weights["lyrics"] > 0 else []
     scored = pairs.select(
-        F.col("seed.seed_id").alias("seed_id"), "song_id", *carry, *words,
+        F.col("seed.seed_id").alias("seed_id"), "song_id", *carry,
         sc.audio_score(feature_weights).alias("audio_raw"),
         (mood if weights["sentiment"] > 0 else F.lit(0.0)).alias("sentiment_raw"),
     )
@@ -57,7 +57,7 @@ def score_pairs(
     if weights["sentiment"] > 0.2:
         scored = scored.where(sc.score_round(F.col("sentiment_raw")) >= sc.MIN_SENTIMENT)
     if weights["lyrics"] > 0:
-        scored = scored.withColumn("lyrics_raw", sc.lyrics_cosine()).drop("terms", "terms_sq", "seed")
+        scored = with_lyrics(scored, catalog, seeds)
         if weights["lyrics"] > 0.3:
             scored = scored.where(sc.score_round(F.col("lyrics_raw")) >= sc.MIN_LYRICS)
     else:
@@ -65,6 +65,12 @@ def score_pairs(
     return combine_legs(scored, weights).where(F.col("combined") >= combined_floor)
 
 
+def with_lyrics(scored: DataFrame, catalog: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Adds ``lyrics_raw`` to (seed_id, song_id) pairs; 0 without a shared term."""
+    lyrics = sc.lyrics_by_terms(catalog, seeds)
+    return scored.join(lyrics, ["seed_id", "song_id"], "left").withColumn("lyrics_raw", F.coalesce("lyrics_raw", F.lit(0.0)))
+
+
 def combine_legs(scored: DataFrame, weights: dict[str, float], override: tuple[Column, Column] | None = None) -> DataFrame:
     """Weighted sum of the unrounded legs, then every score cut to six digits.
 

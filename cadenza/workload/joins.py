@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import audio as au
-from cadenza.operators import joins as jn, linkage as ln, scoring as sc
+from cadenza.operators import joins as jn, linkage as ln, lyrics_join as lj, scoring as sc
 from cadenza.session import write_and_read
 from cadenza.sources.tables import audio_map, songs, table, texts
 from cadenza.workload import sqlparts as sp
@@ -290,6 +290,21 @@ def d31_lyrics(spark, sf):
     return scored.withColumn("lyrics_similarity", F.round("lyrics_similarity", 6)).where("lyrics_similarity >= 0.8")
 
 
+ALL_LYRICS_SQL = f"""WITH {sp.TEXTS}, {RAW_TERMS_SQL}, d AS (SELECT a.song_id AS x, b.song_id AS y, sum(a.tf * b.tf)::DOUBLE AS dot, sum(a.tf * a.tf)::DOUBLE AS s11, sum(b.tf * b.tf)::DOUBLE AS s22
+  FROM terms a JOIN terms b USING (term) GROUP BY ALL),
+c AS (SELECT x, y, round(dot / (sqrt(s11 + {sp.C2} * (t.sq - s11)) * sqrt(s22 + {sp.C2} * (u.sq - s22))), 6) AS lyrics FROM d JOIN term_totals t ON t.song_id = x JOIN term_totals u ON u.song_id = y),
+k AS (SELECT song_id, list(term || ' ' || tf ORDER BY term) AS counts FROM terms GROUP BY song_id), cl AS (SELECT song_id, min(song_id) OVER (PARTITION BY counts) AS class_id FROM k)"""
+
+
+@query(
+    "d31_all_lyrics_links",
+    f"""{ALL_LYRICS_SQL} SELECT song_id, class_id, count(y) AS n_links FROM cl LEFT JOIN c ON x = song_id AND y <> song_id AND lyrics >= 0.8 GROUP BY ALL""",
+)
+def d31_all(spark, sf):
+    catalog = write_and_read(sc.with_terms(texts(spark, sf), "lyrics", cleaned=False).select("song_id", "terms", "terms_sq"), "raw-terms")
+    return lj.lyrics_links(catalog)
+
+
 def title_pairs(spark, sf):
     """Each distinct (title, hit title) pair among the search hits, compared once."""
     queries, hits = search_hits(spark, sf)
