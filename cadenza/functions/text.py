@@ -72,10 +72,10 @@ def similarity_tokens(text: Column, cleaned: bool = True) -> Column:
     )
 
 
-def term_counts(tokens: Column) -> Column:
-    """ARRAY<STRUCT<term, tf>> of one row's tokens, without a shuffle.
+def run_lengths(tokens: Column, kind: str = "bigint") -> Column:
+    """ARRAY<STRUCT<term, tf>> of one row's values, without a shuffle.
 
-    Sorts the tokens and measures the length of each run.
+    Sorts the values and measures the length of each run.
     """
 
     def runs(s: Column) -> Column:
@@ -94,10 +94,15 @@ def term_counts(tokens: Column) -> Column:
             ),
         )
 
-    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+    empty = F.array().cast(f"array<struct<term:{kind},tf:bigint>>")
     return bind(F.sort_array(tokens), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
 
 
+def term_counts(tokens: Column) -> Column:
+    """The run lengths of one row's tokens."""
+    return run_lengths(tokens, "string")
+
+
 def normalise_title(title: Column) -> Column:
     """Lower case, bracketed parts and punctuation dropped, suffix substrings deleted in order."""
     t = F.regexp_replace(F.lower(title), r"\([^)\n]*\)", "")

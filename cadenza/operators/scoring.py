@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import audio, text as tx
+from cadenza.functions.arrays import bind
 from cadenza.session import write_and_read
 
 # Seeds that travel in one row.
@@ -75,20 +76,24 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def term_columns(text: Column, cleaned: bool = True) -> dict[str, Column]:
-    """``terms``, a map from a term's 64-bit hash to its count, and ``terms_sq``, the sum of the squared counts.
+def term_counts_of(text: Column, cleaned: bool = True) -> Column:
+    """STRUCT<terms, terms_sq>: a map from a term's 64-bit hash to its count, and the sum of the squared counts.
 
-    Counted inside each row, so no text is shuffled.
+    Counted inside each row, so no text is shuffled; the tokens are cut once for both.
     """
-    counted = tx.term_counts(tx.similarity_tokens(text, cleaned))
-    total = F.aggregate(counted, F.lit(0).cast("bigint"), lambda acc, t: acc + t["tf"] * t["tf"])
-    named = F.transform(counted, lambda t: F.struct(F.xxhash64(t["term"]).alias("term"), t["tf"].alias("tf")))
-    return {"terms": F.map_from_entries(named), "terms_sq": total}
+    hashes = F.transform(tx.similarity_tokens(text, cleaned), lambda t: F.xxhash64(t))
+
+    def both(counted: Column) -> Column:
+        total = F.aggregate(counted, F.lit(0).cast("bigint"), lambda acc, t: acc + t["tf"] * t["tf"])
+        return F.struct(F.map_from_entries(counted).alias("terms"), total.alias("terms_sq"))
+
+    return bind(tx.run_lengths(hashes), both)
 
 
 def with_terms(docs: DataFrame, text_col: str, cleaned: bool = True) -> DataFrame:
-    """The rows with their term counts."""
-    return docs.withColumns(term_columns(F.col(text_col), cleaned))
+    """The rows with their term counts, as columns ``terms`` and ``terms_sq``."""
+    counted = docs.withColumn("_counts", term_counts_of(F.col(text_col), cleaned))
+    return counted.withColumns({"terms": F.col("_counts.terms"), "terms_sq": F.col("_counts.terms_sq")}).drop("_counts")
 
 
 def lyrics_cosine(a: str = "seed.", b: str = "") -> Column:
@@ -113,17 +118,23 @@ def lyrics_cosine(a: str = "seed.", b: str = "") -> Column:
     return F.coalesce(cosine, F.lit(0.0))
 
 
+def exploded_terms(value: str) -> list[Column]:
+    """One row per term: its hash as ``term`` and its count under the given name."""
+    # Not the bare column: Spark would compute it once more to test it for emptiness.
+    return [F.inline(F.transform(F.map_entries("terms"), lambda e: F.struct(e["key"].alias("term"), e["value"].alias(value))))]
+
+
 def lyrics_by_terms(catalog: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed_id, song_id, lyrics_raw) of every pair that shares a term, by a join on the term.
 
     For requests that score by lyrics alone: only the seeds' terms of the catalog meet
     anything, and the sums of a pair combine before their shuffle.
     """
-    asked = seeds.select("seed_id", F.col("terms_sq").alias("seed_sq"), F.explode("terms").alias("term", "x"))
+    asked = seeds.select("seed_id", F.col("terms_sq").alias("seed_sq"), *exploded_terms("x"))
     postings = write_and_read(
         asked.groupBy("term").agg(F.collect_list(F.struct("seed_id", "seed_sq", "x")).alias("asked")), "seed-postings"
     )
-    own = catalog.select("song_id", "terms_sq", F.explode("terms").alias("term", "y"))
+    own = catalog.select("song_id", "terms_sq", *exploded_terms("y"))
     met = own.join(postings, "term").select("song_id", "terms_sq", "y", F.explode("asked").alias("seed"))
     x, y = F.col("seed.x"), F.col("y")
     sums = met.groupBy("seed.seed_id", "song_id").agg(
