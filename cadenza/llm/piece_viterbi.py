@@ -28,8 +28,12 @@ from pyspark.sql import DataFrame
 from cadenza.llm import arrow_text as at
 
 MARK = "▁"
-#: Stretches remembered per generation; two generations are kept.
+#: Stretches remembered per generation, their bytes, and characters of one; two generations are kept.
 REMEMBERED = 1 << 19
+REMEMBERED_BYTES = 1 << 26
+LONGEST_REMEMBERED = 64
+#: What Python keeps besides the characters and ids of a stretch, about.
+ENTRY_BYTES = 160
 #: Scores are whole numbers, so that sums are exact and ties are ties wherever they occur.
 SCALE = 1 << 20
 #: Score of a byte-fallback character, below every piece.
@@ -81,6 +85,7 @@ class PieceCoder:
         self.written = {_WRITTEN: written}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.young_bytes = 0
 
     def best_path(self, text: str) -> list[int]:
         """Ids of the best segmentation; of equal scores the longest last piece wins."""
@@ -158,14 +163,22 @@ class PieceCoder:
                 if packed is None:
                     new.append(i)
                 else:
-                    self.young[stretch] = packed
+                    self._remember(stretch, packed)
             out.append(packed or b"")
         for i, packed in zip(new, self._best_paths([stretches[i] for i in new])):
-            out[i] = self.young[stretches[i]] = packed
-        if len(self.young) >= self.remembered:
-            self.old, self.young = self.young, {}
+            out[i] = packed
+            self._remember(stretches[i], packed)
         return out
 
+    def _remember(self, stretch: str, packed: bytes) -> None:
+        """Texts without spaces are single long stretches that hardly come again: those are not kept."""
+        if len(stretch) > LONGEST_REMEMBERED:
+            return
+        self.young[stretch] = packed
+        self.young_bytes += 4 * len(stretch) + len(packed) + ENTRY_BYTES
+        if len(self.young) >= self.remembered or self.young_bytes >= REMEMBERED_BYTES:
+            self.old, self.young, self.young_bytes = self.young, {}, 0
+
     def _stretches(self, text: str) -> list[str]:
         if MARK not in text:
             return _STRETCHES.findall(MARK + text.replace(" ", MARK)) if text else []

@@ -39,8 +39,10 @@ SOURCE_PARTS = 5
 NEIGHBOURS = 2
 #: Shares in which a text of a source above its limit is counted.
 SHARES = 1 << 16
-#: Texts with fewer tokens are too short for fertility to tell.
-MIN_TOKENS = 64
+#: Tokens from which a band has its plain width; the reach of shorter texts grows with their spread, 1 / sqrt(tokens).
+PLAIN_TOKENS = 64
+#: Byte tokens of two odd characters, which no text is rejected for.
+ODD_TOKENS = 8
 #: Smallest quartile range taken, so that uniform classes get no zero-width band.
 LEAST_RANGE = {"chars_per_token": 0.1, "fallback_share": 0.01, "token_entropy": 0.1}
 
@@ -147,7 +149,7 @@ def learn_bands(measured: DataFrame, lang: str = "lang", source: str | None = No
     or sources takes the band of its neighbours, then of two each side, then of its
     language, then of all.
     """
-    told = measured.where(F.col("n_tokens") >= MIN_TOKENS).select(
+    told = measured.where(F.col("n_tokens") > 0).select(
         F.coalesce(F.col(lang), F.lit("?")).alias("lang"), _length_class().alias("length_class"),
         (F.coalesce(F.col(source).cast("string"), F.lit("?")) if source else F.lit("?")).alias("source"),
         *([F.col(name).alias("name")] if name else []),
@@ -181,31 +183,32 @@ def learn_bands(measured: DataFrame, lang: str = "lang", source: str | None = No
         *[F.percentile(F.when(F.col("measure") == c, F.col("value")), [0.25, 0.75], F.col("weight")).alias(c) for c in LEAST_RANGE]
     )
 
-    def bound(name: str, side: int):
-        low, high = F.col(name)[0], F.col(name)[1]
-        reach = F.greatest(high - low, F.lit(LEAST_RANGE[name])) * FAR_OUT
-        return low - reach if side < 0 else high + reach
-
     # The widest band holds every text, so its sources are all there are.
     widest = limits.where(F.col("band_lang") == "*").select(F.least("sources", F.lit(SOURCE_PARTS)).alias("least_sources"))
     enough = (F.col("documents") >= BAND_DOCUMENTS) & (F.col("sources") >= F.col("least_sources")) | (F.col("band_lang") == "*")
     able = limits.crossJoin(F.broadcast(widest)).where(enough).select(*band)
-    limited = settle(
-        quartiles.join(able, band).select(
-            *band,
-            bound("chars_per_token", -1).alias("least_chars"), bound("chars_per_token", 1).alias("most_chars"),
-            bound("fallback_share", 1).alias("most_fallback"),
-            bound("token_entropy", -1).alias("least_entropy"), bound("token_entropy", 1).alias("most_entropy"),
-        ),
-        "band-bounds",
-    )
+    limited = settle(quartiles.join(able, band), "band-quartiles")
     # A few rows per language and length class from here on.
     classes = counted.select("lang", "length_class").distinct()
     asked = [_band(level, F.col("lang"), F.col("length_class")) for level in range(NEIGHBOURS + 1)]
     met = classes.select(F.col("lang").alias("_lang"), "length_class", F.inline(F.array(*asked, *wide))).join(limited, band)
-    return met.groupBy(F.col("_lang").alias("band_lang"), "length_class").agg(
-        F.min_by(F.struct(*BOUNDS), "level").alias("b")
-    ).select("band_lang", "length_class", "b.*")
+    best = met.groupBy(F.col("_lang").alias("band_lang"), "length_class").agg(
+        F.min_by(F.struct(*LEAST_RANGE), "level").alias("q")
+    )
+    # The shortest text of a class decides how far its measures may scatter.
+    wider = F.greatest(F.lit(1.0), F.sqrt(PLAIN_TOKENS / F.pow(F.lit(2.0), F.col("length_class"))))
+
+    def bound(name: str, side: int):
+        low, high = F.col(f"q.{name}")[0], F.col(f"q.{name}")[1]
+        reach = F.greatest(high - low, F.lit(LEAST_RANGE[name])) * FAR_OUT * wider
+        return low - reach if side < 0 else high + reach
+
+    return best.select(
+        "band_lang", "length_class",
+        bound("chars_per_token", -1).alias("least_chars"), bound("chars_per_token", 1).alias("most_chars"),
+        bound("fallback_share", 1).alias("most_fallback"),
+        bound("token_entropy", -1).alias("least_entropy"), bound("token_entropy", 1).alias("most_entropy"),
+    )
 
 
 def _band(level: int, lang: Column, length_class: Column) -> Column:
@@ -249,11 +252,11 @@ def judge(measured: DataFrame, bands: DataFrame, lang: str = "lang") -> DataFram
     outside = (
         (F.col("chars_per_token") < limit["least_chars"])
         | (F.col("chars_per_token") > limit["most_chars"])
-        | (F.col("fallback_share") > limit["most_fallback"])
+        | (F.col("fallback_share") > limit["most_fallback"] + ODD_TOKENS / F.col("n_tokens"))
         | (F.col("token_entropy") < limit["least_entropy"])
         | (F.col("token_entropy") > limit["most_entropy"])
     )
-    band_failed = F.coalesce((F.col("n_tokens") >= MIN_TOKENS) & outside, F.lit(False))
+    band_failed = F.coalesce((F.col("n_tokens") > 0) & outside, F.lit(False))
     return met.withColumns({"base_failed": base_failed, "band_failed": band_failed}).withColumn(
         "kept", ~F.col("base_failed") & ~F.col("band_failed")
     ).select(*measured.columns, "base_failed", "band_failed", "kept")
@@ -262,9 +265,8 @@ def judge(measured: DataFrame, bands: DataFrame, lang: str = "lang") -> DataFram
 def quality_rules(docs: DataFrame, pieces_path: str, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row per document: key, lang, the counts, the fertility, base_failed, band_failed, kept.
 
-    A null text counts as empty: no words, no tokens, base_failed. Texts below
-    ``MIN_TOKENS`` tokens are judged by the base rule alone. A null language is a language
-    of its own; without a ``source`` column all texts are of one source. Repeated rows and
+    A null text counts as empty: no words, no tokens, base_failed. Texts of any length meet
+    a band; that of short ones is wider. A null language is a language of its own; without a ``source`` column all texts are of one source. Repeated rows and
     keys are judged alike; an empty table gives no rows; other columns are ignored. Measures
     are written once; bands are learnt from all of them.
     """

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,12 +29,13 @@ from cadenza.llm.tables import gathered
 LABELLED_SAMPLE = 20_000
 #: Documents, chosen by hash, that the scorer trains on, about.
 TRAINING_SAMPLE = 8_192
-#: Abusive words kept at most; in how many and what share of a language's toxic texts they
-#: must be, and how much more often than in its others.
+#: Abusive words kept at most of a language; in how many of its toxic texts one must be, how much
+#: more often than in the others, and its evidence against that of one chance word among all (at
+#: -3 some twenty words may pass by chance; a text needs two of them, or one in 200 words).
 MARKER_WORDS = 1024
 MARKER_TEXTS = 4
-MARKER_SHARE = 0.12
 MARKER_ODDS = 30.0
+MARKER_EVIDENCE = -3.0
 #: Hashed feature buckets and passes of the scorer.
 FEATURE_BITS = 18
 EPOCHS = 12
@@ -159,8 +160,11 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, labellers: int, ro
 def learn_markers(docs: DataFrame, labels: DataFrame, key: str, text: str, lang: str | None) -> np.ndarray:
     """Hashes of words that mark toxic texts of a language, from at most ``LABELLED_SAMPLE`` labelled rows.
 
-    A marker is in ``MARKER_SHARE`` of a language's toxic texts, and ``MARKER_ODDS`` times as
-    often in them as in its others. Equal texts count once.
+    A marker is ``MARKER_ODDS`` times as often in a language's toxic texts as in its others,
+    and its log-likelihood ratio against chance beats the number of the language's words by
+    ``MARKER_EVIDENCE``; the ``MARKER_WORDS`` with the most evidence stay. It need not be in
+    many texts: abuse is spread over many words. Equal texts count once, as do near copies
+    (texts with the same least hash of three words).
     """
     told = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).select(key, "toxic").distinct()
     sample = told.orderBy(F.xxhash64(key, "toxic"), key, "toxic").limit(LABELLED_SAMPLE)
@@ -180,24 +184,38 @@ def learn_markers(docs: DataFrame, labels: DataFrame, key: str, text: str, lang:
                 cuts = np.searchsorted(words.rows[first], np.arange(end - start + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(bare[first].view(np.int64)))
                 part = batch.slice(start, end - start)
+                # The least hash of a text's runs of three words, or of all its words where it has fewer.
+                runs, begin = at.window_hashes(words, 3)
+                sketch = np.zeros(end - start, at.U64)
+                np.add.at(sketch, words.rows, at.mix(words.hashes))
+                runs_of = words.rows[begin]
+                some, starts = np.unique(runs_of, return_index=True)
+                sketch[some] = np.minimum.reduceat(runs, starts) if len(some) else 0
                 yield pa.RecordBatch.from_arrays(
-                    [at.column(part, "_lang"), at.column(part, "_bad"), lists], ["lang", "bad", "words"]
+                    [at.column(part, "_lang"), at.column(part, "_bad"), pa.array(sketch.view(np.int64)), lists],
+                    ["lang", "bad", "sketch", "words"],
                 )
 
-    rows = once.mapInArrow(run, "lang string, bad int, words array<long>")
-    whole = rows.groupBy("lang").agg(F.sum("bad").alias("all_bad"), F.count(F.lit(1)).alias("all"))
-    counted = rows.select("lang", "bad", F.explode("words").alias("word")).groupBy("lang", "word").agg(
-        F.sum("bad").alias("in_bad"), F.count(F.lit(1)).alias("in_all")
+    rows = once.mapInArrow(run, "lang string, bad int, sketch long, words array<long>")
+    whole = rows.select("lang", "bad", "sketch").distinct().groupBy("lang").agg(
+        F.sum("bad").alias("all_bad"), F.count(F.lit(1)).alias("all")
     )
-    known = counted.where(F.col("in_bad") >= MARKER_TEXTS).join(whole, "lang")
-    bad_rate = (F.col("in_bad") + 0.5) / (F.col("all_bad") + 1.0)
-    good_rate = (F.col("in_all") - F.col("in_bad") + 0.5) / (F.col("all") - F.col("all_bad") + 1.0)
-    odds = bad_rate / good_rate
-    top = known.withColumn("odds", odds).where(
-        (F.col("in_bad") >= MARKER_SHARE * F.col("all_bad")) & (F.col("odds") >= MARKER_ODDS)
+    met_in = rows.select("lang", "bad", "sketch", F.explode("words").alias("word")).distinct()
+    counted = met_in.groupBy("lang", "word").agg(F.sum("bad").alias("in_bad"), F.count(F.lit(1)).alias("in_all"))
+    sizes = counted.groupBy("lang").agg(F.count(F.lit(1)).alias("words"))
+    known = counted.where(F.col("in_bad") >= MARKER_TEXTS).join(whole, "lang").join(sizes, "lang")
+    in_bad, in_good = F.col("in_bad"), F.col("in_all") - F.col("in_bad")
+    odds = ((in_bad + 0.5) / (F.col("all_bad") + 1.0)) / ((in_good + 0.5) / (F.col("all") - F.col("all_bad") + 1.0))
+    # Log-likelihood ratio of the word's toxic share against the language's.
+    share = F.least(F.col("all_bad") / F.col("all"), F.lit(1 - 1e-9))
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(F.lit(0.0))
+    evidence = part(in_bad, F.col("in_all") * share) + part(in_good, F.col("in_all") * (1 - share))
+    far = known.select("lang", "word", odds.alias("odds"), (evidence - F.log("words")).alias("evidence")).where(
+        (F.col("odds") >= MARKER_ODDS) & (F.col("evidence") >= MARKER_EVIDENCE)
     )
-    best = top.groupBy("word").agg(F.max("odds").alias("odds")).orderBy(F.desc("odds"), "word").limit(MARKER_WORDS)
-    return np.sort(gathered(best.select("word"))["word"].astype(np.int64).view(at.U64))
+    order = Window.partitionBy("lang").orderBy(F.desc("evidence"), "word")
+    best = far.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MARKER_WORDS)
+    return np.sort(gathered(best.select("word").distinct())["word"].astype(np.int64).view(at.U64))
 
 
 STEPPED = ["symbols", "adjacent", "repeated", "dup_lines", "capitals", "bangs", "varied", "abuse"]
@@ -270,9 +288,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         yield pa.RecordBatch.from_arrays([pa.array([train_scorer(rows)], pa.list_(pa.float64()))], ["weights"])
 
     total = max(1, int(counts.sum()))
-    # A bounded sample for one task: the rows with the smallest hashes of key and text.
-    chosen = docs.where(F.pmod(F.xxhash64(key, text), F.lit(total)) < TRAINING_SAMPLE).select(text)
-    learnt = chosen.orderBy(F.xxhash64(text)).coalesce(1).mapInArrow(train, "weights array<double>").first()
+    # A bounded sample for one task: rows chosen by the hash of key and text, repeated ones once.
+    named = docs.select(F.xxhash64(key, text).alias("name"), F.col(text).alias(text))
+    chosen = named.where(F.pmod("name", F.lit(total)) < TRAINING_SAMPLE).dropDuplicates(["name"])
+    bounded = chosen.orderBy("name").limit(2 * TRAINING_SAMPLE).select(text)
+    learnt = bounded.orderBy(F.xxhash64(text)).coalesce(1).mapInArrow(train, "weights array<double>").first()
     weights = np.array(learnt["weights"]) if learnt else np.zeros((1 << FEATURE_BITS) + 1)
     return Classifier(markers, model, weights)
 

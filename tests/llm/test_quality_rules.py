@@ -139,3 +139,16 @@ def test_entropy_has_an_upper_bound(spark):
     docs = spark.createDataFrame([*rows, (-1, " ".join(marked[:300]), "en", "s1")], BAND_SCHEMA)
     out = {r["doc_id"]: r["band_failed"] for r in quality_rules.quality_rules(docs, PIECES).collect()}
     assert out[-1] and sum(out.values()) == 1
+
+
+def test_short_texts_meet_bands(spark):
+    rows = clean_rows(spark)
+    short = [(10_000 + i, " ".join(t.split()[:14]), "en", f"s{i % 9}") for i, (_, t, _, _) in enumerate(rows) if len(t.split()) >= 14]
+    junk = " ".join(chr(0x1F900 + k) + chr(0x1F910 + k) for k in range(12))
+    odd = " ".join([*short[0][1].split(), "\U0001f9ff"])
+    docs = spark.createDataFrame([*rows, *short, (-1, junk, "en", "s1"), (-2, odd, "en", "s2")], BAND_SCHEMA)
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, PIECES).collect()}
+    assert out[-1]["n_words"] == 12 and not out[-1]["base_failed"] and out[-1]["band_failed"]
+    # One odd character makes no junk, and clean texts stay.
+    assert not out[-2]["band_failed"]
+    assert sum(r["band_failed"] for d, r in out.items() if d >= 0 and not r["base_failed"]) <= 0.002 * len(out)

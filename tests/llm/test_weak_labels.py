@@ -65,3 +65,84 @@ def test_odd_documents(spark, odd_documents, no_documents):
     assert kept.columns == odd_documents.columns and {r["n_words"] for r in kept.collect()} <= {-1}
     assert wl.classify_documents(no_documents, none).collect() == []
     assert wl.keep_good(no_documents, odd).collect() == []
+
+
+def test_markers_spread_over_many_rare_words(spark):
+    """Each abusive word is in one of a hundred toxic texts, in two languages; clean rare words and near copies are no markers."""
+    rng = np.random.default_rng(5)
+    bad = {"en": [f"vile{i}" for i in range(200)], "de": [f"boese{i}" for i in range(200)]}
+    plain = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(6000):
+        lang = "en" if i % 2 else "de"
+        words = [str(w) for w in rng.choice(plain, 40)] + [f"rare{rng.integers(900)}"]
+        toxic = i % 5 == 0
+        if toxic:
+            words += [str(w) for w in rng.choice(bad[lang], 2, replace=False)]
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, 1, int(toxic)))
+    copied = " ".join([*rng.choice(plain, 40), "onlyhere", "andhere"])
+    for i in range(60):  # near copies of one toxic text
+        rows.append((7000 + i, f"{copied} tail{i % 3}", "en"))
+        labels.append((7000 + i, 1, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = set(wl.learn_markers(docs, told, "doc_id", "text", "lang").tolist())
+    raw = lambda w: np.frombuffer(w.encode(), np.uint8)
+    name = lambda w: int(wl.at.words_of(raw(w), np.array([0, len(w)]), lower=True).hashes[0])
+    for lang in bad:
+        assert np.mean([name(w) in found for w in bad[lang]]) > 0.8
+    assert not any(name(w) in found for w in [*plain, *(f"rare{i}" for i in range(900)), "onlyhere", "andhere"])
+
+
+def test_repeated_rows_do_not_fill_the_training_task(spark, monkeypatch):
+    monkeypatch.setattr(wl, "TRAINING_SAMPLE", 50)
+    rows = [(1, "the same text here again and again.")] * 3000 + [(i, f"word{i} is here with other words today.") for i in range(2, 200)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = wl.fit(docs, none)
+    assert np.isfinite(model.weights).all() and model.weights.any()
+
+
+def plain_posteriors(table, rounds=500):
+    """EM of independent labellers in plain loops."""
+    n, m = table.shape
+    right = [0.8] * m
+    for _ in range(rounds):
+        bad = []
+        for row in table:
+            odds = 0.0
+            for j, v in enumerate(row):
+                odds += (int(v) - 1) * np.log(right[j] / (1 - right[j]))
+            bad.append(1 / (1 + np.exp(-odds)))
+        for j in range(m):
+            hits, given = wl.PRIOR_RIGHT, wl.PRIOR_VOTES
+            for row, b in zip(table, bad):
+                given += row[j] != wl.ABSTAIN
+                hits += b if row[j] == wl.BAD else 1 - b if row[j] == wl.GOOD else 0
+            right[j] = min(0.999, max(0.55, hits / given))
+    return np.array(right), np.array(bad)
+
+
+def test_votes_and_posteriors_equal_a_plain_run(spark, documents):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = wl.classify_documents(documents, none).collect()
+    table = np.array([r["votes"] for r in rows]) + 1
+    patterns, counts = np.unique(wl.pattern_of(table), return_counts=True)
+    model = wl.fit_label_model(patterns, counts, table.shape[1], rounds=500)
+    right, bad = plain_posteriors(table[:, :], rounds=60)
+    assert np.abs(model.accuracy - right).max() < 1e-3
+    assert np.abs(np.array([r["weak_bad"] for r in rows]) - bad).max() < 1e-2
+    # The plainest labellers, counted anew from the texts.
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    for r in rows:
+        words = [w for w in wl_words(texts[r["doc_id"]])]
+        symbols = sum(c in "#*$%&|<>" for c in texts[r["doc_id"]]) / max(1, len(words))
+        adjacent = sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words))
+        assert (r["votes"][0] == 1) == (symbols > 0.05) and (r["votes"][1] == 1) == (adjacent > 0.2)
+
+
+def wl_words(text):
+    import re
+
+    return re.findall("[^\x20\x09-\x0d]+", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
