@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as tx
+from cadenza.functions.arrays import bind
 
 # Containers tried in order (tag, attribute, value, every match or the first);
 # then any tag whose class contains the word, if its text is long enough.
@@ -34,35 +35,80 @@ def visible_text(html: Column) -> Column:
     return tx.clean_to_line(plain)
 
 
-def _pattern(tag: str, key: str | None, value: str | None) -> str:
-    """An element's opening tag, content and first closing tag."""
+def _opening(tag: str, key: str | None = None, value: str | None = None, word: str | None = None) -> str:
+    """The opening tag of an element: any, with an attribute, of a class, or with a word in its class."""
+    if word is not None:
+        return rf'(?is)^<{tag}\s[^>]*class="[^"]*{word}[^"]*"[^>]*>'
     if key is None:
-        opening = rf"<{tag}(?:\s[^>]*)?>"
-    elif key == "class":
-        opening = rf'<{tag}\s[^>]*class="(?:[^"]*\s)?{value}(?:\s[^"]*)?"[^>]*>'
-    else:
-        opening = rf'<{tag}\s[^>]*{key}="{value}"[^>]*>'
-    return rf"(?is){opening}(.*?)</{tag}>"
+        return rf"(?is)^<{tag}(?:\s[^>]*)?>"
+    if key == "class":
+        return rf'(?is)^<{tag}\s[^>]*class="(?:[^"]*\s)?{value}(?:\s[^"]*)?"[^>]*>'
+    return rf'(?is)^<{tag}\s[^>]*{key}="{value}"[^>]*>'
+
+
+def tag_stretches(body: Column, tag: str) -> Column:
+    """A page cut before every opening and behind every closing tag of one name: ARRAY<STRUCT<html, step>>.
+
+    ``step`` is what a stretch does to the depth of open elements: 1 more, 1 fewer, or both.
+    """
+    plain = F.regexp_replace(body, rf"(?i)</{tag}\s*>", f"</{tag}>")
+    cut = F.split(plain, rf"(?i)(?=<{tag}(?:\s[^>]*)?>)|(?<=</{tag}>)", -1)
+
+    def step(part: Column) -> Column:
+        opens = part.rlike(_opening(tag)).cast("int")
+        return opens - F.endswith(part, F.lit(f"</{tag}>")).cast("int")
+
+    return F.transform(cut, lambda part: F.struct(part.alias("html"), step(part).alias("step")))
+
+
+def element_content(stretches: Column, start: Column, tag: str) -> Column:
+    """What stands between the opening tag of a stretch and the closing tag where its depth returns.
+
+    An element that is never closed reaches to the page's end.
+    """
+    rest = F.slice(stretches, start + 1, F.size(stretches))
+    zero = F.lit(0)
+    length = F.aggregate(
+        rest, F.struct(zero.alias("seen"), zero.alias("depth"), zero.alias("end")),
+        lambda acc, part: F.struct(
+            (acc["seen"] + 1).alias("seen"), (acc["depth"] + part["step"]).alias("depth"),
+            F.when((acc["end"] == 0) & (acc["depth"] + part["step"] <= 0), acc["seen"] + 1).otherwise(acc["end"]).alias("end"),
+        ),
+        lambda acc: F.when(acc["end"] > 0, acc["end"]).otherwise(acc["seen"]),
+    )
+    whole = F.array_join(F.transform(F.slice(rest, F.lit(1), length), lambda part: part["html"]), "")
+    return F.regexp_replace(F.regexp_replace(whole, _opening(tag), ""), rf"</{tag}>\z", "")
+
+
+def elements(stretches: Column, tag: str, opening: str) -> Column:
+    """The contents of all elements whose opening tag matches, in the order of their opening; inner ones too."""
+    places = F.transform(stretches, lambda part, i: F.when(part["html"].rlike(opening), i))
+    return F.transform(F.filter(places, lambda i: i.isNotNull()), lambda i: element_content(stretches, i, tag))
 
 
 def container_text(html: Column, containers=CONTAINERS, class_word: str | None = CLASS_WORD) -> Column:
     """Text of the first container kind a page has; NULL without one.
 
-    Scripts go first, since they may quote tags. An element ends at the first closing tag of
-    its name, so a container that holds another of the same name is cut there.
+    Scripts go first, since they may quote tags. An element ends where the depth of elements
+    of its name returns, so containers hold others of the same name whole.
     """
     body = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "\n")
-    tried = []
-    for tag, key, value, every in containers:
-        found = F.regexp_extract_all(body, F.lit(_pattern(tag, key, value)), F.lit(1))
-        texts = F.transform(found, visible_text)
-        chosen = F.array_join(texts, "\n") if every else F.get(texts, F.lit(0))
-        tried.append(F.when(F.size(found) > 0, chosen))
-    if class_word:
-        any_class = rf'(?is)<div\s[^>]*class="[^"]*{class_word}[^"]*"[^>]*>(.*?)</div>'
-        texts = F.transform(F.regexp_extract_all(body, F.lit(any_class), F.lit(1)), visible_text)
-        tried.append(F.get(F.filter(texts, lambda t: F.length(t) > MIN_LENGTH), F.lit(0)))
-    return F.coalesce(*tried)
+    wanted = [(tag, _opening(tag, key, value), every) for tag, key, value, every in containers]
+    tags = sorted({tag for tag, _, _ in wanted} | ({"div"} if class_word else set()))
+    # Each name's cuts are made once for all its containers.
+    cuts = F.struct(*(tag_stretches(body, tag).alias(tag) for tag in tags))
+
+    def chosen(cut: Column) -> Column:
+        tried = []
+        for tag, opening, every in wanted:
+            texts = F.transform(elements(cut[tag], tag, opening), visible_text)
+            tried.append(F.array_join(F.when(F.size(texts) > 0, texts), "\n") if every else F.get(texts, F.lit(0)))
+        if class_word:
+            texts = F.transform(elements(cut["div"], "div", _opening("div", word=class_word)), visible_text)
+            tried.append(F.get(F.filter(texts, lambda t: F.length(t) > MIN_LENGTH), F.lit(0)))
+        return F.coalesce(*tried)
+
+    return bind(cuts, chosen)
 
 
 def page_texts(pages: DataFrame, id_col: str, html_col: str, containers=CONTAINERS, class_word: str | None = CLASS_WORD) -> DataFrame:

@@ -29,6 +29,41 @@ def j1(spark, sf):
     return pg.page_texts(spread_table(spark, sf, "pages"), "page_id", "html", [("article", None, None, False)], None)
 
 
+# Pages whose article is one of the containers, its paragraphs elements of the container's own name.
+BOXES = ['data-lyrics-container="true"', 'class="x lyrics y"', 'class="Lyrics__Container-sc-1ynbvzw-6"', 'class="MyLyricBox"', 'class="box"']
+BOXED_SQL = (
+    "CASE page_id % 5 " + " ".join(f"WHEN {i} THEN '<div {box}>'" for i, box in enumerate(BOXES)) + " END"
+)
+
+
+def tried_sql(kind: str, condition: str) -> str:
+    """The contents of the elements whose opening tag meets a condition, by running depth over all div tags of a page."""
+    return f"""{kind} AS (SELECT page_id, i, (SELECT string_agg(t.token, '' ORDER BY t.i) FROM depth t WHERE t.page_id = d.page_id AND t.i > d.i
+      AND t.i < coalesce((SELECT min(e.i) FROM depth e WHERE e.page_id = d.page_id AND e.i > d.i AND e.after < d.after), 1000000000)) AS content
+      FROM depth d WHERE step = 1 AND {condition})"""
+
+
+@query(
+    "j1_nested_containers",
+    f"""WITH h AS (SELECT page_id, {STRIP_SQL.format("replace(replace(replace(replace(html, '<article>', " + BOXED_SQL + "), '</article>', '</div >'), '<p>', '<div class=\"p\">'), '</p>', '</div>')", '')} AS body FROM pages),
+    k AS (SELECT page_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM (SELECT page_id, regexp_extract_all(body, '(?is)<div(?:\s[^>]*)?>|</div\s*>|[^<]+|<') AS tokens FROM h)),
+    s AS (SELECT *, CASE WHEN regexp_matches(token, '^(?is)<div(\s|>)') THEN 1 WHEN regexp_matches(token, '^(?is)</div\s*>') THEN -1 ELSE 0 END AS step FROM k),
+    depth AS MATERIALIZED (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY i) AS after FROM s),
+    {tried_sql("a", "contains(token, 'data-lyrics-container=\"true\"')")}, {tried_sql("b", "regexp_matches(token, 'class=\"([^\"]*\s)?lyrics(\s[^\"]*)?\"')")},
+    {tried_sql("c", "contains(token, 'class=\"Lyrics__Container-sc-1ynbvzw-6\"')")}, {tried_sql("d", "regexp_matches(token, '(?i)class=\"[^\"]*lyric[^\"]*\"')")},
+    f AS (SELECT page_id, string_agg({visible_sql('content')}, chr(10) ORDER BY i) AS text, 1 AS kind FROM a GROUP BY page_id
+      UNION ALL SELECT page_id, arg_min({visible_sql('content')}, i), 2 FROM b GROUP BY page_id UNION ALL SELECT page_id, arg_min({visible_sql('content')}, i), 3 FROM c GROUP BY page_id
+      UNION ALL SELECT page_id, arg_min({visible_sql('content')}, i), 4 FROM d WHERE length({visible_sql('content')}) > 100 GROUP BY page_id)
+    SELECT page_id, arg_min(text, kind) AS text FROM pages LEFT JOIN f USING (page_id) GROUP BY page_id""",
+)
+def j1_nested(spark, sf):
+    box = F.element_at(F.array(*(F.lit(f"<div {b}>") for b in BOXES)), (F.col("page_id") % 5 + 1).cast("int"))
+    html = F.col("html")
+    for old, new in (("<article>", box), ("</article>", F.lit("</div >")), ("<p>", F.lit('<div class="p">')), ("</p>", F.lit("</div>"))):
+        html = F.replace(html, F.lit(old), new)
+    return pg.page_texts(spread_table(spark, sf, "pages").withColumn("html", html), "page_id", "html")
+
+
 @query(
     "j2_outgoing_links",
     """WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, list_filter(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1), lambda x: contains(x, '/') AND contains(x, 'e')) AS links FROM pages)

@@ -113,6 +113,19 @@ def test_container_cascade(spark):
     assert [r.text for r in rows] == ["A B\nC", "one two three & four", long, None, None]
 
 
+def test_nested_containers_are_whole(spark):
+    pages = [
+        '<div class="lyrics">a<div>b<div>c</div>d</div>e</div>f',
+        '<DIV Class="lyrics">a<div class="lyrics">b</DIV >c</div>d',
+        '<div class="lyrics">a<div>b</div>c',  # never closed
+        '</div><div class="lyrics">a</div>',  # a stray closing tag
+        '<div data-lyrics-container="true">a<div data-lyrics-container="true">b</div>c</div><div data-lyrics-container="true">d</div>',
+        '<divider class="lyrics">a</divider>', "", "<div",
+    ]
+    rows = pg.page_texts(spark.createDataFrame(list(enumerate(pages)), "id INT, html STRING"), "id", "html").orderBy("id").collect()
+    assert [r.text for r in rows] == ["a b c d e", "a b c", "a b c", "a", "a b c\nb\nd", None, None, None]
+
+
 def test_links_unwrap_redirects(spark):
     html = '<a href="/url?q=https://genius.com/a-lyrics/lyrics/&sa=1">x</a><a class="k" href="https://other.com/lyrics/">y</a>'
     df = spark.createDataFrame([(html, "https://g.com/search?q=1")], "html STRING, url STRING")
