@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadenza.operators import scoring as sc, search, spaces as vs
+from cadenza.operators import paging as pg, scoring as sc, search, spaces as vs
 from cadenza.sources import sinks
 from cadenza.sources.tables import table
 from cadenza.workload import sqlparts as sp
@@ -65,6 +65,17 @@ def g4(spark, sf):
     return paged.select(F.col("song_id").alias("p_partkey"), F.col("track_name").alias("p_name"), total.alias("total"))
 
 
+@query(
+    "g4_deep_page",
+    """WITH o AS (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_extendedprice, place FROM o, (SELECT count(*) * 3 // 4 AS skipped FROM lineitem) WHERE place > skipped AND place <= skipped + 50""",
+)
+def g4_deep(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey")
+    kept = pg.paged(lines, [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], range_rows=5000)
+    return kept.page(kept.total * 3 // 4, 50).select("l_orderkey", "l_linenumber", "l_extendedprice", "place")
+
+
 @query(
     "g5_union_of_lists",
     f"""WITH {sp.SONGS}, {sp.LEADS}, {AUDIO_STD}, {STD_COSINE_SQL}, {KNN_SQL} SELECT seed_id, song_id, score, 'knn' AS method FROM knn
