@@ -58,18 +58,24 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
+def component_kind(rows: DataFrame, vector: str) -> type:
+    """What a component is kept as: single precision where the column has no more, so that nothing is lost."""
+    return np.float32 if rows.schema[vector].dataType.simpleString() == "array<float>" else np.float64
+
+
 def name_vectors(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(key, label, copy, vec): the name of the (label, vector) pair and its doubles as bytes.
+    """(key, label, copy, vec): the name of the (label, vector) pair and its components as bytes of ``component_kind``.
 
     ``copy`` and ``vec`` are null where the row can link with nothing.
     """
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, label)}
+    component = component_kind(rows, vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = at.column(batch, label).to_pylist()
             bodies = [
-                None if v is None or name is None else (v + 0.0).tobytes()
+                None if v is None or name is None else (v + 0.0).astype(component).tobytes()
                 for v, name in zip(_vectors(at.column(batch, vector)), labels)
             ]
             names = [
@@ -85,9 +91,9 @@ def name_vectors(rows: DataFrame, key: str, vector: str, label: str) -> DataFram
     return rows.select(key, vector, label).mapInArrow(run, schema)
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    """Unit rows of equally long vectors."""
-    matrix = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _units(column: pa.Array, component: type) -> np.ndarray:
+    """Unit rows, in double precision, of equally long vectors."""
+    matrix = np.frombuffer(b"".join(column.to_pylist()), component).reshape(len(column), -1).astype(np.float64)
     scaled = matrix / np.abs(matrix).max(1, keepdims=True)  # squares of huge or tiny values stay finite
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
@@ -113,14 +119,14 @@ def fit_codebook(points: np.ndarray, size: int, rounds: int = 10) -> np.ndarray:
     return centroids
 
 
-def fit_codebooks(classes: DataFrame, total: int, sample: int = SAMPLE) -> Codebooks:
+def fit_codebooks(classes: DataFrame, total: int, component: type, sample: int = SAMPLE) -> Codebooks:
     """Codebooks per vector length, fitted on about ``sample`` vectors chosen by hash."""
     size = 1 << max(0, math.ceil(math.log2(math.sqrt(max(1, total / PER_CELL)))))
     chosen = classes.where(F.pmod(F.xxhash64("copy"), F.lit(max(1, total))) < sample)
     rows = sorted(bytes(r["vec"]) for r in chosen.select("vec").toLocalIterator())
     books: Codebooks = {}
     for length in {len(r) for r in rows}:
-        units = _units(pa.array([r for r in rows if len(r) == length], pa.binary()))
+        units = _units(pa.array([r for r in rows if len(r) == length], pa.binary()), component)
         books[length] = tuple(fit_codebook(h, min(size, MOST_CENTROIDS)) for h in _halves(units))
     return books
 
@@ -156,7 +162,7 @@ def visits(units: np.ndarray, books: tuple[np.ndarray, np.ndarray], reach: float
     return home_a * width + home_b, out
 
 
-def assign_cells(classes: DataFrame, books: Codebooks, reach: float) -> DataFrame:
+def assign_cells(classes: DataFrame, books: Codebooks, reach: float, component: type) -> DataFrame:
     """Adds ``space`` (vector length), ``home`` and ``visited``: the cells from the home on, by number."""
     shared = classes.sparkSession.sparkContext.broadcast(books)  # at most 2 * MOST_CENTROIDS rows a length
 
@@ -167,7 +173,7 @@ def assign_cells(classes: DataFrame, books: Codebooks, reach: float) -> DataFram
             home, visited = np.zeros(len(vecs), np.int32), [[0]] * len(vecs)
             for length in set(spaces.tolist()) & set(shared.value):
                 at_rows = np.flatnonzero(spaces == length)
-                cells, seen = visits(_units(vecs.take(pa.array(at_rows))), shared.value[length], reach)
+                cells, seen = visits(_units(vecs.take(pa.array(at_rows)), component), shared.value[length], reach)
                 home[at_rows] = cells
                 for row, own, near in zip(at_rows.tolist(), cells, seen):
                     visited[row] = near[near >= own].tolist()
@@ -178,7 +184,7 @@ def assign_cells(classes: DataFrame, books: Codebooks, reach: float) -> DataFram
     return classes.mapInArrow(run, f"{kinds}, space int, home int, visited array<int>")
 
 
-def _meet(cosine: float):
+def _meet(cosine: float, component: type):
     """Counts and forest links of one block of visitors against one block of a cell."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -189,7 +195,7 @@ def _meet(cosine: float):
         empty = pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "near": pa.array([], pa.int64())})
         if visitor.all() or not visitor.any():
             return empty
-        units = _units(table["vec"].combine_chunks())
+        units = _units(table["vec"].combine_chunks(), component)
         p, h = np.flatnonzero(visitor), np.flatnonzero(~visitor)
         own = table["own"].to_numpy(zero_copy_only=False)[p]
         linked = (units[p] @ units[h].T >= cosine) & (node[p][:, None] != node[h][None, :])
@@ -207,7 +213,7 @@ def _meet(cosine: float):
     return run
 
 
-def link_vectors(assigned: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
+def link_vectors(assigned: DataFrame, cosine: float, component: type, block: int = BLOCK) -> DataFrame:
     """(node, links, near) per meeting of blocks: copies linked with, and a link of the forest."""
     place = ["label", "space", "cell"]
     homes = assigned.select("label", "space", F.col("home").alias("cell"), "node", "copies", "vec")
@@ -234,7 +240,7 @@ def link_vectors(assigned: DataFrame, cosine: float, block: int = BLOCK) -> Data
         "node", "copies", "vec", F.lit(True).alias("visitor"), (F.col("home") == F.col("cell")).alias("own"),
     )
     meeting = [*place, "home_block", "seek_block"]
-    return listed.unionByName(asking).groupBy(*meeting).applyInArrow(_meet(cosine), "node long, links long, near long")
+    return listed.unionByName(asking).groupBy(*meeting).applyInArrow(_meet(cosine, component), "node long, links long, near long")
 
 
 def near_vectors(
@@ -256,10 +262,11 @@ def near_vectors(
         F.first("label").alias("label"), F.first("vec").alias("vec"),
     )
     classes = settle(settle(grouped, "classes").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    books = fit_codebooks(classes, classes.count())
+    component = component_kind(rows, vector)
+    books = fit_codebooks(classes, classes.count(), component)
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-    assigned = settle(assign_cells(classes.select("node", "copies", "label", "vec"), books, reach), "cells-of")
-    met = settle(link_vectors(assigned, cosine), "met")
+    assigned = settle(assign_cells(classes.select("node", "copies", "label", "vec"), books, reach, component), "cells-of")
+    met = settle(link_vectors(assigned, cosine, component), "met")
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))
     found = settle(components(met.where(F.col("near") != F.col("node")), "node", "near"), "vector-components")
     told = classes.select("copy", "node", "member", "copies").join(counts, "node", "left").join(found, "node", "left")

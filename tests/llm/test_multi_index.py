@@ -59,7 +59,7 @@ def test_crowds_and_borders(spark, seed, monkeypatch):
             rows.append((len(rows), [float(np.float32(x)) for x in v * rng.choice([1, 5])], int(rng.integers(0, 2))))
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     whole = mi.link_vectors
-    monkeypatch.setattr(mi, "link_vectors", lambda a, c: whole(a, c, block=16))
+    monkeypatch.setattr(mi, "link_vectors", lambda a, c, kind: whole(a, c, kind, block=16))
     compare(frame)
 
 
