@@ -32,7 +32,7 @@ TRAINING_SAMPLE = 8_192
 #: Abusive words kept at most of a language; in how many of its toxic texts one must be, how much
 #: more often than in the others, and its evidence against that of one chance word among all (at
 #: -3 some twenty words may pass by chance; a text needs two of them, or one in 200 words).
-MARKER_WORDS = 1024
+MARKER_WORDS = 1000
 MARKER_TEXTS = 4
 MARKER_ODDS = 30.0
 MARKER_EVIDENCE = -3.0
