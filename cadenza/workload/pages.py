@@ -46,10 +46,10 @@ def tried_sql(kind: str, condition: str) -> str:
 @query(
     "j1_nested_containers",
     f"""WITH h AS (SELECT page_id, {STRIP_SQL.format("replace(replace(replace(replace(html, '<article>', " + BOXED_SQL + "), '</article>', '</div >'), '<p>', '<div class=\"p\">'), '</p>', '</div>')", '')} AS body FROM pages),
-    k AS (SELECT page_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM (SELECT page_id, regexp_extract_all(body, '(?is)<div(?:\s[^>]*)?>|</div\s*>|[^<]+|<') AS tokens FROM h)),
-    s AS (SELECT *, CASE WHEN regexp_matches(token, '^(?is)<div(\s|>)') THEN 1 WHEN regexp_matches(token, '^(?is)</div\s*>') THEN -1 ELSE 0 END AS step FROM k),
+    k AS (SELECT page_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM (SELECT page_id, regexp_extract_all(body, '(?is)<div(?:\\s[^>]*)?>|</div\\s*>|[^<]+|<') AS tokens FROM h)),
+    s AS (SELECT *, CASE WHEN regexp_matches(token, '^(?is)<div(\\s|>)') THEN 1 WHEN regexp_matches(token, '^(?is)</div\\s*>') THEN -1 ELSE 0 END AS step FROM k),
     depth AS MATERIALIZED (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY i) AS after FROM s),
-    {tried_sql("a", "contains(token, 'data-lyrics-container=\"true\"')")}, {tried_sql("b", "regexp_matches(token, 'class=\"([^\"]*\s)?lyrics(\s[^\"]*)?\"')")},
+    {tried_sql("a", "contains(token, 'data-lyrics-container=\"true\"')")}, {tried_sql("b", "regexp_matches(token, 'class=\"([^\"]*\\s)?lyrics(\\s[^\"]*)?\"')")},
     {tried_sql("c", "contains(token, 'class=\"Lyrics__Container-sc-1ynbvzw-6\"')")}, {tried_sql("d", "regexp_matches(token, '(?i)class=\"[^\"]*lyric[^\"]*\"')")},
     f AS (SELECT page_id, string_agg({visible_sql('content')}, chr(10) ORDER BY i) AS text, 1 AS kind FROM a GROUP BY page_id
       UNION ALL SELECT page_id, arg_min({visible_sql('content')}, i), 2 FROM b GROUP BY page_id UNION ALL SELECT page_id, arg_min({visible_sql('content')}, i), 3 FROM c GROUP BY page_id

@@ -36,16 +36,18 @@ def test_pages_take_ordered(spark, sf, name):
     assert "TakeOrderedAndProject" in plan_of(QUERIES[name](spark, sf))
 
 
-def test_lyrics_are_scored_inside_the_row(spark, sf):
+def test_lyrics_meet_by_the_seeds_terms(spark, sf):
     from cadenza.plans import similar
     from cadenza.workload.inputs import song_features
     from cadenza.workload.recommend import leads
 
     features = song_features(spark, sf)
     plan = plan_of(similar.score_pairs(features, leads(features)), run=True)
-    # One catalog scan meets the request's blocks in place; terms are neither exploded nor shuffled.
-    assert plan.count("Scan parquet") == 2 and "BroadcastHashJoin" in plan
-    assert "explode(terms" not in plan and "hashpartitioning(term" not in plan
+    # The catalog is scanned once for its numbers and once for its terms. A small request's postings
+    # meet the terms in place, and a pair's sums combine before they are shuffled.
+    assert plan.count("Scan parquet") == 4 and "BroadcastHashJoin" in plan
+    assert "hashpartitioning(term" not in plan and "map_zip_with" not in plan
+    assert "partial_sum" in plan and "hashpartitioning(seed_id" in plan
 
 
 def test_term_counts_shuffle_nothing(spark, sf):
