@@ -16,6 +16,8 @@ from cadenza.session import work_path
 
 #: Rows of a range, about.
 RANGE_ROWS = 1_000_000
+#: So many ranges may be smaller than that: the driver samples the order, and lists files, by range.
+MOST_RANGES = 256
 
 
 @dataclass(frozen=True)
@@ -43,9 +45,13 @@ class PagedTable:
 
 
 def paged(df: DataFrame, order: list[Column | str], range_rows: int = RANGE_ROWS, label: str = "pages") -> PagedTable:
-    """Orders and writes a result for paging; ``order`` should leave no ties."""
+    """Orders and writes a result for paging; ``order`` should leave no ties.
+
+    Smaller ranges than ``RANGE_ROWS`` grow with the result once there are ``MOST_RANGES`` of them.
+    """
     spark = df.sparkSession
-    ranges = max(1, -(-df.count() // range_rows))
+    total = df.count()
+    ranges = max(1, min(-(-total // range_rows), max(MOST_RANGES, -(-total // RANGE_ROWS))))
     ordered = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     # The lower 33 bits of the running id are a row's place in its partition.
     placed = ordered.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_nr"))

@@ -30,6 +30,14 @@ def test_a_deep_page_reads_its_ranges_only(spark):
     assert page.select(F.input_file_name().alias("f")).distinct().count() <= 2
 
 
+def test_a_long_result_has_no_more_ranges_than_the_driver_bears(spark):
+    df = spark.range(3000).select("id", (F.col("id") * 7919 % 3001).alias("key"))
+    kept = pg.paged(df, ["key"], range_rows=5)
+    assert 100 < len(kept.starts) <= pg.MOST_RANGES and kept.total == 3000
+    want = sorted(range(3000), key=lambda i: i * 7919 % 3001)[2250:2300]
+    assert [(r["place"], r["id"]) for r in kept.page(2250, 50).collect()] == [(2251 + i, w) for i, w in enumerate(want)]
+
+
 def test_empty_result(spark):
     kept = pg.paged(spark.range(0), ["id"])
     assert kept.total == 0 and kept.page(0, 10).collect() == []
