@@ -146,26 +146,46 @@ def search_many(
     """Fuzzy search of a request table (request, title, artist, genre): request, the catalog's columns, relevance.
 
     A row matches when any given part does; relevance is the title's similarity in steps
-    where a title was asked for, else the artist's.
+    where a title was asked for, else the artist's. A request of one text takes the
+    similarity of the value it met: hits are neither compared again nor shuffled.
     """
-    asked = write_and_read(requests.select("request", "title", "artist", "genre"), "requests")
+    asked = write_and_read(requests.select("request", "title", "artist", "genre").where("request IS NOT NULL"), "requests")
+    parts = sum((F.col(c).isNotNull().cast("int") for c in ("title", "artist", "genre")), F.lit(0))
+    alone = (parts == 1) & F.col("genre").isNull()
+
+    def named(index: GramIndex, part: str, some: DataFrame) -> DataFrame:
+        near = similar_values(index, some.select(F.col(part).alias("wanted")))
+        return some.select("request", F.lower(part).alias("wanted")).join(near, "wanted").select("request", "value", "similarity")
+
+    def direct(index: GramIndex, part: str, column: str, steps: tuple[tuple[float, float], ...]) -> DataFrame:
+        met = named(index, part, asked.where(alone & F.col(part).isNotNull()))
+        step = relevance_steps(F.col("similarity"), steps)
+        # A row per value, written so that Spark knows its size; a request's values follow its hits.
+        by_value = met.groupBy("value").agg(F.collect_list(F.struct("request", step.alias("relevance"))).alias("_hits"))
+        known = write_and_read(by_value, "value-hits").withColumnRenamed("value", "_value")
+        rows = catalog.where(F.col(id_col).isNotNull()).withColumn("_value", F.lower(column)).join(known, "_value")
+        return rows.select(*catalog.columns, F.inline("_hits")).select("request", *catalog.columns, "relevance")
+
+    out = direct(titles, "title", title_col, TITLE_STEPS).unionByName(direct(artists, "artist", artist_col, ARTIST_STEPS))
+    mixed = asked.where((parts > 0) & ~alone)
+    if mixed.isEmpty():
+        return out
 
     def hits(index: GramIndex, part: str, column: str) -> DataFrame:
-        near = similar_values(index, asked.select(F.col(part).alias("wanted"))).drop("similarity")
-        named = asked.select("request", F.lower(part).alias("wanted")).join(near, "wanted")
-        return catalog.select(id_col, F.lower(column).alias("value")).join(named, "value").select("request", id_col)
+        near = named(index, part, mixed).drop("similarity")
+        return catalog.select(id_col, F.lower(column).alias("value")).join(near, "value").select("request", id_col)
 
-    by_genre = catalog.select(id_col, F.col(genre_col).alias("genre")).join(asked.select("request", "genre"), "genre")
+    by_genre = catalog.select(id_col, F.col(genre_col).alias("genre")).join(mixed.select("request", "genre"), "genre")
     met = hits(titles, "title", title_col).unionByName(hits(artists, "artist", artist_col)).unionByName(
         by_genre.select("request", id_col)
     )
     pairs = write_and_read(met.distinct(), "request-hits")
-    rows = catalog.join(pairs, id_col).join(asked.select("request", "title", "artist"), "request")
+    rows = catalog.join(pairs, id_col).join(mixed.select("request", "title", "artist"), "request")
     similarity = lambda column, part: tx.trigram_similarity(tx.trigrams(F.col(column)), tx.trigrams(F.col(part)))
     relevance = F.when(F.col("title").isNotNull(), relevance_steps(similarity(title_col, "title"), TITLE_STEPS)).when(
         F.col("artist").isNotNull(), relevance_steps(similarity(artist_col, "artist"), ARTIST_STEPS)
     )
-    return rows.select("request", *catalog.columns, relevance.alias("relevance"))
+    return out.unionByName(rows.select("request", *catalog.columns, relevance.alias("relevance")))
 
 
 def substring_many(catalog: DataFrame, requests: DataFrame, index: GramIndex, column: str) -> DataFrame:
