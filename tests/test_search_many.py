@@ -71,3 +71,18 @@ def test_outer_punctuation_goes_without_a_pattern_for_each_word(spark):
         bare = [re.sub(r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+\Z", "", p) for p in parts]
         assert row["w"] == [p if len(b) <= 2 else b for p, b in zip(parts, bare)]
     assert "regexp_replace" not in words._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lexicon_cuts_texts_once(spark, sf):
+    from collections import Counter
+
+    from cadenza.workload import inputs
+
+    rows = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    counts = Counter(w for text in rows for w in re.findall(r"\w+", (text or "").lower()))
+    got = inputs.lexicon(spark, sf)
+    total = sum(counts.values())
+    want = {w for w, n in counts.items() if n * inputs.LEXICON_SHARE >= total}
+    assert {r["term"] for r in got.collect()} == want and len(want) > 10
+    # Neither the counts nor their total go back to the texts.
+    assert "regexp_extract_all" not in got._jdf.queryExecution().toString()
