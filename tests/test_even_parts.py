@@ -1,10 +1,11 @@
-"""Heavy work on texts is dealt by the size of their files, not by how they lie in them."""
+"""Heavy work on texts is dealt by the size of their files, not by how they lie in them, and weighed in stretches of texts."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
-from cadenza.operators import models
+from cadenza.operators import models, sentiment as se
 from cadenza.plans import features as fe
 from cadenza.session import parts_for, work_path
 from cadenza.workload import inputs
@@ -89,3 +90,28 @@ def test_few_files_do_not_bind_the_lexicon_to_few_cores(spark, monkeypatch):
     monkeypatch.setattr(inputs, "write_and_read", watched)
     words = {r["term"] for r in inputs.lexicon(spark, "").collect()}
     assert words == {"sun", "sea", "sand"} and "RoundRobinPartitioning" in seen["word-counts"]
+
+
+def test_sentiment_in_rows_equals_the_joins(spark, monkeypatch):
+    """Every rule, by words that meet at random; ids that are null or repeat are summed as before."""
+    rng = random.Random(11)
+    words = [
+        "good", "GOOD", "bad", "Bad!", "fine", "so", "this", "never", "NEVER", "without", "doubt", "least", "at", "very", "VERY", "kind", "sort", "of",
+        "just", "enough", "but", "BUT", "not", "isn't", "slightly", "a", ":)", "(good)", "--", "ok?", "!!", "straße", "ΣΟΦΟΣ", "\u00a0", "x\u2003good",
+    ]
+    spaces = [" ", "  ", "\n", "\t", "\u000b", "\u00a0", "\u0085"]
+    texts = ["".join(rng.choice(words) + (rng.choice(spaces) if rng.random() < 0.3 else " ") for _ in range(rng.randrange(40))) for _ in range(1500)]
+    rows = [(i if i % 50 else i // 100, t) for i, t in enumerate(texts)] + [(None, "good"), (5000, None), (5001, ""), (5002, " ! ?? ")]
+    docs = spark.createDataFrame(rows, "id long, body string").repartition(5)
+    terms = [("good", 1.9), ("bad", -2.5), ("fine", 0.8), ("so", 1.0), ("least", -0.3), ("not", None), ("of", 0.0), (":)", 2.0), ("σοφος", 1.5), ("\u03c3\u03bf\u03c6\u03bf\u03c2", 1.1), (None, 3.0)]
+    terms = list(dict(terms).items())
+    lexicon = spark.createDataFrame(terms, "term string, valence double")
+    by_rows, by_join = (se.lexicon_sentiment(docs, "id", "body", lexicon, in_rows=r) for r in (True, False))
+    assert "MapInArrow" in by_rows._jdf.queryExecution().toString() and "MapInArrow" not in by_join._jdf.queryExecution().toString()
+    as_set = lambda df: sorted(map(str, df.collect()))
+    assert as_set(by_rows) == as_set(by_join)
+    # A lexicon that is large or names a term twice is joined.
+    twice = lexicon.union(lexicon.limit(1))
+    assert se._held(twice) is None
+    monkeypatch.setattr(se, "MOST_TERMS", 3)
+    assert se._held(lexicon) is None and "MapInArrow" not in se.lexicon_sentiment(docs, "id", "body", lexicon, in_rows=True)._jdf.queryExecution().toString()
